@@ -121,15 +121,17 @@ def digest(rows: DataFrame, key: str, doc: str, kinds: Sequence[Kind], extra: Se
 def redacted(df: DataFrame, kinds: Sequence[Kind], text: str) -> DataFrame:
     """`df` with the valid matches of each kind replaced by its tag, kind after kind, without a shuffle."""
     columns = df.columns
-    for k in kinds:
-        df = occurrences(df, [k], text)
 
-        def piece(o: Column, k: Kind = k) -> Column:
+    def piece(k: Kind) -> Callable[[Column], Column]:
+        def of(o: Column) -> Column:
             hit, before, after = _context(o)
-            kept = F.when(F.coalesce(k.valid(hit, before, after), F.lit(False)), F.lit(k.tag)).otherwise(F.coalesce(hit, F.lit("")))
-            return F.concat(o["gap"], kept)
+            sure = F.coalesce(k.valid(hit, before, after), F.lit(False))
+            return F.concat(o["gap"], F.when(sure, F.lit(k.tag)).otherwise(F.coalesce(hit, F.lit(""))))
+
+        return of
 
+    for k in kinds:
         occ = F.col(f"_occ_{k.name}")
-        new = F.when(occ.isNotNull(), F.array_join(F.transform(occ, piece), "")).otherwise(F.col(text))
-        df = df.select(*[new.alias(text) if c == text else F.col(f"`{c}`") for c in columns])
+        new = F.when(occ.isNotNull(), F.array_join(F.transform(occ, piece(k)), "")).otherwise(F.col(text))
+        df = occurrences(df, [k], text).select(*[new.alias(text) if c == text else F.col(f"`{c}`") for c in columns])
     return df

@@ -32,7 +32,7 @@ from ..session import bound_batches, ship, written
 #: Bounds of the training samples and of the vocabulary.
 POSITIVES, UNLABELLED, VOCABULARY = 4000, 12000, 3000
 #: Standard errors by which a feature must be more frequent in positives.
-SURE = 2.5
+SURE = 2.0
 #: A mark is added to a feature for each of these: so many words for each occurrence at most.
 DENSITIES = (150, 40)
 BEGINNINGS = (4, 5)
