@@ -33,7 +33,7 @@ from ..session import bound_batches, ship
 
 WINDOW, CLOSING, OPEN = 2048, 1, 512
 #: Chunks of text whose ids a worker remembers, and the longest such chunk in bytes.
-REMEMBERED, LONGEST = 300_000, 64
+REMEMBERED, LONGEST = 700_000, 64
 SCHEMA = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -51,38 +51,38 @@ class Ids:
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.known: dict[bytes, bytes] = {}
-        self.words: dict[str, bytes] = {}
+        self.words: dict[bytes, bytes] = {}
 
     def _apart(self, chunks: list[str]) -> list[bytes]:
         codes = self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)
         return [np.array(e.ids, "<u4").tobytes() for e in codes]
 
-    def _learn(self, words: list[str]) -> None:
+    def _learn(self, words: list[bytes]) -> None:
         """Words of letters: many are encoded as one text and cut where a word ends."""
         for some in batched(words, 4096):
-            ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
+            ids = np.array(self.tokenizer.encode_batch_fast([b" ".join(some).decode()], add_special_tokens=False)[0].ids, "<u4")
             cuts = 4 * (np.flatnonzero(self.ends[ids]) + 1)
             if len(cuts) == len(some):
                 data = ids.tobytes()
                 self.words.update(zip(some, (data[i:j] for i, j in zip([0, *cuts.tolist()], cuts.tolist())), strict=True))
             else:  # a letter that its normal form splits
-                self.words.update(zip(some, self._apart(list(some)), strict=True))
+                self.words.update(zip(some, self._apart([w.decode() for w in some]), strict=True))
 
     def _encoded(self, chunks: list[bytes]) -> dict[bytes, bytes]:
         if len(self.words) > REMEMBERED:
             self.words.clear()
         split, odd = {}, []
         for c in chunks:
-            s = c.decode()
-            word = s.rstrip(".,;:!?")
-            lower = word.lower() if word.isascii() else unicodedata.normalize("NFC", word).lower()
-            if lower.isalpha():  # else a mark that comes off a letter may join the punctuation
-                split[c] = lower if word.isascii() else word, s[len(word) :]
-            else:
+            word = c.rstrip(b".,;:!?")
+            if word.isalpha():  # of bytes: ASCII letters only
+                split[c] = word.lower(), c[len(word) :]
+            elif not word.isascii() and unicodedata.normalize("NFC", word.decode()).lower().isalpha():
+                split[c] = word, c[len(word) :]
+            else:  # also where a mark comes off a letter, which may join the punctuation
                 odd.append(c)
         self._learn(list({w for w, _ in split.values()} - self.words.keys()))
-        tails = list({t for _, t in split.values()} - {""})
-        tail = dict(zip(tails, self._apart(tails), strict=True)) | {"": b""}
+        tails = list({t for _, t in split.values()} - {b""})
+        tail = dict(zip(tails, self._apart([t.decode() for t in tails]), strict=True)) | {b"": b""}
         out = {c: self.words[w] + tail[t] for c, (w, t) in split.items()}
         for some in batched(odd, 4096):
             out.update(zip(some, self._apart([c.decode() for c in some]), strict=True))
@@ -134,6 +134,7 @@ class Packer:
     def __post_init__(self) -> None:
         self.count = np.zeros(self.window + 1, np.int64)
         self.open: dict[int, list[list[Piece]]] = {}
+        self.n_open = 0
 
     def add(self, doc: object, ids: bytes) -> None:
         rest = Piece(doc, 0, ids, len(ids) // 4)
@@ -142,7 +143,7 @@ class Packer:
             self.done.append([full])
         if len(rest):
             self._place([rest], len(rest))
-        if sum(self.count) > OPEN:
+        if self.n_open > OPEN:
             self._pour()
 
     def _level(self, n: int) -> int:
@@ -160,17 +161,20 @@ class Packer:
         if level:
             held = self.open[level].pop()
             self.count[level] -= 1
+            self.n_open -= 1
         held = held + pieces
         if level + n == self.window:
             self.done.append(held)
         else:
             self.open.setdefault(level + n, []).append(held)
             self.count[level + n] += 1
+            self.n_open += 1
 
     def _pour(self) -> None:
         """Fill windows with the pieces of all open ones; what is left over stays as one open window."""
         pieces = [p for level in sorted(self.open, reverse=True) for held in self.open[level] for p in held]
         self.count[:] = 0
+        self.n_open = 0
         self.open.clear()
         now, room = [], self.window
         for p in pieces:
@@ -183,14 +187,14 @@ class Packer:
                 room -= len(p)
         if now:
             self.open[self.window - room] = [now]
-            self.count[self.window - room] = 1
+            self.count[self.window - room] = self.n_open = 1
 
     def close(self) -> None:
         """Pour the open windows and cut the last into powers of two."""
         self._pour()
         rest = [p for held in self.open.values() for one in held for p in one]
         self.open.clear()
-        self.count[:] = 0
+        self.count[:] = self.n_open = 0
         left = sum(map(len, rest))
         while left:
             room = 1 << (left.bit_length() - 1)
