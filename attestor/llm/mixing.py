@@ -122,7 +122,7 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", t
 ORACLE = rf"""
 WITH d AS (
   SELECT doc_id, coalesce('s' || source, 'z') AS src, coalesce(text, '') AS t,
-    len(list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), x -> x <> ''))::BIGINT AS size,
+    len(list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> ''))::BIGINT AS size,
     ((('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || ':{SEED}'), 1, 12))::BIGINT)::DOUBLE + 0.5) / 281474976710656.0 AS u
   FROM documents),
 k AS (
