@@ -23,7 +23,7 @@ from pyspark.sql.window import Window as W
 
 from ..session import written
 
-WEIGHTS, EPOCHS, ROWS, SEED = (5, 2, 1), 3, 20_000, 42
+WEIGHTS, EPOCHS, ROWS, SEED = (5, 2, 1), 3, 5_000, 42
 #: Quality weights of documents: the best class first.
 CLASSES = (1.0, 0.8, 0.6)
 #: A table of up to so many sources is broadcast.
