@@ -34,6 +34,8 @@ from ..session import bound_batches, ship
 WINDOW, CLOSING, OPEN = 2048, 1, 512
 #: Chunks of text whose ids a worker remembers, and the longest such chunk in bytes.
 REMEMBERED, LONGEST = 700_000, 64
+#: Punctuation that may follow a word. An apostrophe isn't: it may begin a contraction.
+TAIL = b"".join(bytes([c]) for c in range(33, 127) if not chr(c).isalnum() and chr(c) != "'")
 SCHEMA = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -52,6 +54,7 @@ class Ids:
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.known: dict[bytes, bytes] = {}
         self.words: dict[bytes, bytes] = {}
+        self.tails: dict[bytes, bytes] = {}
 
     def _apart(self, chunks: list[str]) -> list[bytes]:
         codes = self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)
@@ -68,36 +71,48 @@ class Ids:
             else:  # a letter that its normal form splits
                 self.words.update(zip(some, self._apart([w.decode() for w in some]), strict=True))
 
-    def _encoded(self, chunks: list[bytes]) -> dict[bytes, bytes]:
+    def _encoded(self, chunks: set[bytes]) -> dict[bytes, bytes]:
         if len(self.words) > REMEMBERED:
             self.words.clear()
-        split, odd = {}, []
+        plain, words, odd = [], [], []
         for c in chunks:
-            word = c.rstrip(b".,;:!?")
+            word = c.rstrip(TAIL)
             if word.isalpha():  # of bytes: ASCII letters only
-                split[c] = word.lower(), c[len(word) :]
+                plain.append(c)
+                words.append(word.lower())
             elif not word.isascii() and unicodedata.normalize("NFC", word.decode()).lower().isalpha():
-                split[c] = word, c[len(word) :]
+                plain.append(c)
+                words.append(word)
             else:  # also where a mark comes off a letter, which may join the punctuation
                 odd.append(c)
-        self._learn(list({w for w, _ in split.values()} - self.words.keys()))
-        tails = list({t for _, t in split.values()} - {b""})
-        tail = dict(zip(tails, self._apart([t.decode() for t in tails]), strict=True)) | {b"": b""}
-        out = {c: self.words[w] + tail[t] for c, (w, t) in split.items()}
+        self._learn(list(set(words).difference(self.words)))
+        known = self.words
+        out = {c: known[w] if len(c) == len(w) else known[w] + self._tail(c[len(w) :]) for c, w in zip(plain, words, strict=True)}
         for some in batched(odd, 4096):
             out.update(zip(some, self._apart([c.decode() for c in some]), strict=True))
         return out
 
+    def _tail(self, tail: bytes) -> bytes:
+        ids = self.tails.get(tail)
+        if ids is None:
+            ids = self._apart([tail.decode()])[0]
+            if len(tail) <= LONGEST and len(self.tails) < REMEMBERED:
+                self.tails[tail] = ids
+        return ids
+
     def __call__(self, texts: list[bytes]) -> Iterator[bytes]:
         if len(self.known) > REMEMBERED:
             self.known.clear()
-        split = [t.split() for t in texts]
-        new = self._encoded(list({c for chunks in split for c in chunks} - self.known.keys()))
-        self.known.update((c, i) for c, i in new.items() if len(c) <= LONGEST)
-        long = {c: i for c, i in new.items() if len(c) > LONGEST}
-        known = self.known
+        split, found, new = [t.split() for t in texts], [], set()
         for chunks in split:
-            yield b"".join([known[c] if c in known else long[c] for c in chunks] if long else map(known.__getitem__, chunks))
+            ids = list(map(self.known.get, chunks))
+            if None in ids:
+                new.update(c for c, i in zip(chunks, ids, strict=True) if i is None)
+            found.append(ids)
+        learned = self._encoded(new)
+        self.known.update(learned if max(map(len, new), default=0) <= LONGEST else {c: i for c, i in learned.items() if len(c) <= LONGEST})
+        for chunks, ids in zip(split, found, strict=True):
+            yield b"".join([learned[c] if i is None else i for c, i in zip(chunks, ids, strict=True)] if None in ids else ids)
 
 
 _ids: dict[str, Ids] = {}
