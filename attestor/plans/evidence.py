@@ -108,7 +108,7 @@ def _(t: Tables) -> DataFrame:
     return t("documents").select("doc_id", score.alias("score"))
 
 
-@query("txt10_governance_boost", "SELECT doc_id, round(1 + 0.15 * ((contains(lower(text), 'the'))::INT + (contains(lower(text), 'with'))::INT) - 0.10 * (contains(lower(text), 'der'))::INT, 2) AS boost FROM documents")
+@query("txt10_governance_boost", "SELECT doc_id, round(1 + 0.15::DOUBLE * ((contains(lower(text), 'the'))::INT + (contains(lower(text), 'with'))::INT) - 0.10::DOUBLE * (contains(lower(text), 'der'))::INT, 2) AS boost FROM documents")
 def _(t: Tables) -> DataFrame:
     has = lambda x: F.lower("text").contains(x).cast("int")
     return t("documents").select("doc_id", F.round(1 + 0.15 * (has("the") + has("with")) - 0.10 * has("der"), 2).alias("boost"))
