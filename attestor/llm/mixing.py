@@ -114,9 +114,11 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", t
     rows, plan = taken(docs, id_col, source_col, text_col)
     cutoff = rows.filter("2 * _part >= size AND size > 0 AND _part > 0").groupBy("_source").agg(F.max("_key").alias("_cutoff"))
     plan = written(plan.join(cutoff, "_source", "left").select("_source", "epochs", "_cutoff"), "mix-cutoffs")
-    keyed = with_key(docs, id_col, source_col, text_col).join(_small(plan), "_source")
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), *[F.col(c).alias(f"_{i}") for i, c in enumerate((id_col, source_col, text_col))])
+    keyed = with_key(whole, "_0", "_1", "_2").join(_small(plan), "_source")
     times = F.col("epochs") + F.when(F.col("_key") <= F.col("_cutoff"), 1).otherwise(0)
-    return keyed.withColumn("_times", times).filter("_times > 0").withColumn("_nth", F.explode(F.sequence(F.lit(1), F.col("_times").cast("int")))).select(docs.columns)
+    repeated = keyed.select("_doc", times.cast("int").alias("_times")).filter("_times > 0")
+    return repeated.select("_doc", F.explode(F.sequence(F.lit(1), "_times"))).select("_doc.*")
 
 
 ORACLE = rf"""

@@ -101,4 +101,6 @@ def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """`docs` with each span replaced by the tag of its kind; null texts stay null."""
-    return spans.redacted(docs, KINDS, text_col)
+    others = F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in docs.columns if c != text_col])
+    out = spans.redacted(docs.select(others.alias("_doc"), F.col(text_col).cast("string").alias("_new")), KINDS, "_new")
+    return out.select(*[F.col("_new").alias(c) if c == text_col else F.col(f"_doc.`{c}`").alias(c) for c in docs.columns])

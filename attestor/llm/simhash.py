@@ -26,7 +26,6 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
 from ..session import bound_batches, ship, written
 from .components import components
@@ -203,9 +202,8 @@ def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of `docs` that name their component, one for each; rows with a null id stay."""
+    """The rows of `docs` that name their component, one for each; rows with a null id stay.
+    Of rows with one id any one stays."""
     names = classes(docs, id_col, text_col).filter("id = component").select(F.col("id").alias(id_col)).distinct()
-    kept = docs.filter(F.col(id_col).isNotNull()).join(names, id_col, "left_semi")
-    first = F.row_number().over(W.partitionBy(id_col).orderBy(id_col))
-    kept = kept.withColumn("_nth", first).filter("_nth = 1").select(docs.columns)
+    kept = docs.filter(F.col(id_col).isNotNull()).join(names, id_col, "left_semi").select(docs.columns).dropDuplicates([id_col])
     return kept.unionByName(docs.filter(F.col(id_col).isNull()))

@@ -185,11 +185,19 @@ def scorer(model: tuple[dict[str, int], np.ndarray, float]):
 
 
 def scored(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", out: str = "score") -> DataFrame:
-    """`docs` with a column of scores."""
+    """`docs` with a column of scores, which replaces a column of that name."""
     score = scorer(train(docs, labels, id_col, text_col))
     return docs.withColumn(out, score(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
 
 
+def kept(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of `docs` that score below 0.5, with their columns."""
+    score = scorer(train(docs, labels, id_col, text_col))
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), score(text).alias("_score"))
+    return whole.filter("_score < 0.5").select("_doc.*")
+
+
 def report(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     rows = scored(docs.select(id_col, text_col), labels, id_col, text_col)
     return rows.select(id_col, held_out(id_col).alias("held_out"), "score").withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
