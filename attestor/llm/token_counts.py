@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable, Iterator
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
@@ -30,11 +31,12 @@ from ..session import bound_batches, ship
 
 LIMIT = 1024
 #: Pieces whose tables a worker remembers, their greatest length, and pairs of tokens it remembers.
-REMEMBERED, LONGEST, PAIRS = 250_000, 64, 1_000_000
+REMEMBERED, LONGEST, PAIRS = 400_000, 64, 1_000_000
 #: White space and what it leads to. Contractions stand as the vocabulary's pattern has them, and need no blank before.
 _S, _L, _N = r"\p{White_Space}", r"\p{L}", r"\p{N}"
 _PIECE = regex.compile(rf"[{_S}]*(?:(?<! )'(?:[stmd]|re|ve|ll)|{_L}+|{_N}+|[^{_S}{_L}{_N}]+)|[{_S}]+")
 _PARTS = regex.compile(rf"([{_S}]*)(.*)", regex.DOTALL)
+_STEP = [bytes((n,)) for n in range(256)]
 _CONTRACTION = regex.compile(r"'(?:[stmd]|re|ve|ll)")
 
 
@@ -46,6 +48,20 @@ def _byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+class _Remembered(dict):
+    """Steps by piece; a missing piece's are made, and kept unless it is long."""
+
+    def __init__(self, make: Callable[[str], bytes]):
+        super().__init__()
+        self.make = make
+
+    def __missing__(self, piece: str) -> bytes:
+        steps = self.make(piece)
+        if len(piece) <= LONGEST:
+            self[piece] = steps
+        return steps
+
+
 class Prefixes:
     """Tables of a byte-level BPE vocabulary file. A table is bytes: signed steps of the count, one per code point."""
 
@@ -60,14 +76,15 @@ class Prefixes:
         merges = [(self.ids[as_bytes(a)], self.ids[as_bytes(b)], self.ids[as_bytes(a + b)]) for a, b in pairs]
         self.rank = {(a, b): r for r, (a, b, _) in enumerate(merges)}
         self.parts = {t: (r, a, b) for r, (a, b, t) in enumerate(merges)}
-        self.reach: dict[bytes, int] = {}  # by its last three bytes, the length of the longest token
+        lengths: dict[bytes, set[int]] = {}
         for t in self.ids:
-            if len(t) > 2:
-                self.reach[t[-3:]] = max(len(t), self.reach.get(t[-3:], 0))
+            if len(t) > 3:
+                lengths.setdefault(t[-4:], {3, 2, 1}).add(len(t))
+        self.lengths = {tail: tuple(sorted(n, reverse=True)) for tail, n in lengths.items()}  # of tokens that end so
         self.special = regex.compile("|".join(map(regex.escape, sorted(special, key=len, reverse=True)))) if special else None
-        self.known: dict[str, bytes] = {}
+        self.known = _Remembered(self._piece)
         self.pairs: dict[tuple[int, int], bool] = {}
-        self.states: dict[bytes, int] = {}  # by prefix: its count in the upper bits, its last token in 24 lower ones
+        self.states: dict[bytes, tuple[bytes, int, int]] = {b"": (b"", 0, -1)}  # by prefix: steps, count, last token
 
     def _edge(self, token: int, side: int) -> list[tuple[int, float]]:
         """The parts of a token that lie at one of its ends while it is being built, each with the rank of the merge that
@@ -87,44 +104,56 @@ class Prefixes:
         if known is None:
             if len(self.pairs) > PAIRS:
                 self.pairs.clear()
-            known, never = True, float("inf")
+            known, rank = True, self.rank
+            lefts = self._edge(a, 1)
             for y, right in self._edge(b, 0):
-                for x, left in self._edge(a, 1):
-                    r = self.rank.get((x, y), never)
-                    if r < left and r <= right and r < never:
+                for x, left in lefts:
+                    r = rank.get((x, y))
+                    if r is not None and r < left and r <= right:
                         known = False
             self.pairs[a, b] = known
         return known
 
     def _end(self, word: bytes, end: int, last: Callable[[int], int]) -> tuple[int, int]:
         """Where the last token of word[:end] begins, and the token; `last` gives the last token of a shorter prefix."""
-        tail = word[max(0, end - 3) : end]
-        for begin in range(max(0, end - (self.reach.get(tail, 2) if end > 2 else end)), end):
-            token = self.ids.get(word[begin:end])
-            if token is not None and (not begin or self._follows(last(begin), token)):
-                return begin, token
+        ids = self.ids
+        for n in self.lengths.get(word[end - 4 : end], (3, 2, 1)) if end > 3 else range(end, 0, -1):
+            if n <= end:
+                begin = end - n
+                token = ids.get(word[begin:end])
+                if token is not None and (not begin or self._follows(last(begin), token)):
+                    return begin, token
         raise ValueError(f"no token ends {word[:end]!r}")
 
-    def counts(self, word: bytes) -> list[int]:
-        """Tokens of each prefix of a word that the tokenizer takes as one, from the empty one on. Words share the
-        states of the prefixes they share, unless they are long."""
-        count = [0]
+    def steps(self, word: bytes) -> bytes:
+        """Steps of the count over the bytes of a word that the tokenizer takes as one. Words share the states of the
+        prefixes they share, unless they are long."""
         if len(word) > LONGEST:
-            tokens = [-1]
+            count, tokens = [0], [-1]
             for end in range(1, len(word) + 1):
                 begin, token = self._end(word, end, tokens.__getitem__)
                 count.append(count[begin] + 1)
                 tokens.append(token)
-            return count
-        states = self.states
-        for end in range(1, len(word) + 1):
-            key = word[:end]
-            state = states.get(key)
-            if state is None:
-                begin, token = self._end(word, end, lambda i: states[word[:i]] & 0xFFFFFF)
-                state = states[key] = (count[begin] + 1) << 24 | token
-            count.append(state >> 24)
-        return count
+            return bytes([(b - a) & 0xFF for a, b in zip(count, count[1:], strict=False)])
+        states, known = self.states, len(word)
+        while (state := states.get(word[:known])) is None:
+            known -= 1
+        ids, pairs, lengths = self.ids, self.pairs, self.lengths  # the loop below is `_end`, written out as it runs most
+        for end in range(known + 1, len(word) + 1):
+            for n in lengths.get(word[end - 4 : end], (3, 2, 1)) if end > 3 else range(end, 0, -1):
+                if n > end or (token := ids.get(word[end - n : end])) is None:
+                    continue
+                before = states[word[: end - n]]
+                apart = n == end or pairs.get((before[2], token))
+                if apart or apart is None and self._follows(before[2], token):
+                    break
+            count = before[1] + 1
+            state = states[word[:end]] = (state[0] + _STEP[(count - state[1]) & 0xFF], count, token)
+        return state[0]
+
+    def counts(self, word: bytes) -> list[int]:
+        """Tokens of each prefix of such a word, from the empty one on."""
+        return [0, *accumulate(s - 256 if s > 127 else s for s in self.steps(word))]
 
     def _at_letters(self, word: str) -> list[int]:
         """Tokens of each prefix of whole code points, without the empty one."""
@@ -139,6 +168,9 @@ class Prefixes:
     def _piece(self, piece: str) -> bytes:
         """The steps over white space and the word after it. White space is one word as long as nothing follows; then its
         last character goes with the word if it is a blank, or stands alone."""
+        first = piece[0]
+        if piece.isascii() and not (piece[1:2].isspace() or piece == " " if first == " " else first.isspace() or first == "'"):
+            return self.steps(piece.encode())  # one word of the tokenizer, and a code point is a byte
         blanks, word = _PARTS.fullmatch(piece).groups()
         levels = [0, *(self._at_letters(blanks) if blanks else [])]
         if word:
@@ -154,20 +186,7 @@ class Prefixes:
         return bytes([(b - a) & 0xFF for a, b in zip(levels, levels[1:], strict=False)])
 
     def _plain(self, text: str) -> bytes:
-        pieces = _PIECE.findall(text)
-        known = self.known
-        try:
-            return b"".join(map(known.__getitem__, pieces))
-        except KeyError:
-            out = []
-            for p in pieces:
-                steps = known.get(p)
-                if steps is None:
-                    steps = self._piece(p)
-                    if len(p) <= LONGEST:
-                        known[p] = steps
-                out.append(steps)
-            return b"".join(out)
+        return b"".join(map(self.known.__getitem__, _PIECE.findall(text)))
 
     def table(self, text: str) -> bytes:
         """The steps of a whole text. Inside the string of a special token it is still ordinary text; at its end the
@@ -175,7 +194,7 @@ class Prefixes:
         if len(self.known) > REMEMBERED:
             self.known.clear()
         if len(self.states) > 2 * REMEMBERED:
-            self.states.clear()
+            self.states = {b"": self.states[b""]}
         if self.special is None or not (found := list(self.special.finditer(text))):
             return self._plain(text)
         out, at = [], 0
