@@ -9,9 +9,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions import text as X
+from ..session import written
 
 #: Fixed values of the ranking function: saturation, length normalisation, and the floor of negative weights.
 K1, B, EPSILON = 1.5, 0.75, 0.25
+#: Words of the shingles by which quotes find their documents.
+SHINGLE = 6
 
 
 def bm25(docs: DataFrame, terms: Mapping[str, float], id_col: str, text_col: str) -> DataFrame:
@@ -55,3 +58,38 @@ def within_budget(df: DataFrame, order: Sequence[Column], tokens: Column, target
     df = df.withColumn("_sum", F.sum(tokens).over(w.rowsBetween(W.unboundedPreceding, 0)))
     df = df.withColumn("_stop", F.coalesce(F.max(F.when(F.col("_sum") > hard, 1).otherwise(0)).over(w.rowsBetween(W.unboundedPreceding, 0)), F.lit(0)))
     return df.filter((F.col("_stop") == 0) & (F.col("_sum") - tokens < target)).drop("_sum", "_stop")
+
+
+def _words(alphanumeric: Column) -> Column:
+    return F.filter(F.split(alphanumeric, " "), lambda w: w != "")
+
+
+def grounded(docs: DataFrame, quotes: DataFrame, doc_id: str, item_id: str, text: str) -> DataFrame:
+    """(item, doc) for each row of `quotes` and each row of `docs` that holds the whole of every excerpt of the quote.
+
+    Excerpts are parted by a blank line and lose quotation marks around them. One counts as held if its normal form, or
+    else its letters and digits alone, stand in the document; one without content never does. The words of an excerpt but
+    its first and last are whole words of a document that holds it, so a document has a shingle of them: an equi-join on
+    hashes of shingles finds candidates, and every excerpt is then looked up. Quotes too short for a shingle meet each
+    document. Repeated rows and repeated or null ids are kept apart; null texts count as empty.
+    """
+    trimmed = F.transform(F.split(F.coalesce(F.col(text), F.lit("")), "\n\n"), lambda e: F.regexp_replace(e, r"^\s+|\s+$", ""))
+    bare = F.transform(F.filter(trimmed, lambda e: e != ""), lambda e: F.regexp_replace(e, r"^[\s\"'“”]+|[\s\"'“”]+$", ""))
+    items = quotes.select(F.col(item_id).alias("item"), bare.alias("e"))
+    items = items.filter((F.size("e") > 0) & F.forall("e", lambda e: (e != "") & (F.upper(e) != "NOT_FOUND")))
+    items = items.select("item", F.transform("e", lambda e: F.struct(X.normal(e).alias("t"), X.alphanumeric(e).alias("a"))).alias("e"))
+    longest = F.array_max(F.transform("e", lambda e: F.struct(F.size(_words(e["a"])).alias("n"), e["a"].alias("a"))))
+    items = items.withColumn("w", _words(longest["a"]))
+    items = items.select("item", "e", F.when(F.size("w") >= SHINGLE + 2, F.xxhash64(F.slice("w", 2, SHINGLE))).alias("key"))
+
+    forms = docs.select(F.col(doc_id).alias("doc"), X.normal(F.col(text)).alias("t"), X.alphanumeric(F.col(text)).alias("a"))
+    words = docs.select(F.col(doc_id).alias("doc"), _words(X.alphanumeric(F.col(text))).alias("w")).filter(F.size("w") >= SHINGLE)
+    hashes = F.transform(F.sequence(F.lit(1), F.size("w") - SHINGLE + 1), lambda i: F.xxhash64(F.slice("w", i, SHINGLE)))
+    keys = items.select("key").filter("key IS NOT NULL").distinct()
+    # written, so that its size decides whether the texts are shuffled to meet it
+    pairs = written(words.select("doc", F.explode(F.array_distinct(hashes)).alias("key")).join(keys, "key").distinct(), "grounding")
+    holds = F.forall("e", lambda e: F.col("t").contains(e["t"]) | ((e["a"] != "") & F.col("a").contains(e["a"])))
+    p = pairs.withColumnRenamed("doc", "_doc")
+    long = forms.join(p, F.col("doc").eqNullSafe(F.col("_doc"))).join(items, "key").filter(holds)
+    short = forms.join(items.filter("key IS NULL"), holds)
+    return long.select("item", "doc").unionAll(short.select("item", "doc"))
