@@ -54,8 +54,18 @@ def occurrences(df: DataFrame, kinds: Sequence[Kind], text: str) -> DataFrame:
     return df.select(*keep, *zipped)
 
 
-def _context(o: Column) -> tuple[Column, Column, Column]:
-    return o["hit"], F.right(o["gap"], F.lit(CONTEXT)), F.left(F.coalesce(o["next"], F.lit("")), F.lit(CONTEXT))
+def _context(occ: Column, o: Column, i: Column) -> tuple[Column, Column, Column]:
+    """The match of entry i of `occ` (o) and the code points of the whole text before and after it. A match has one code
+    point at least, so those of CONTEXT entries on either side are enough; they are only joined if the gap is too short."""
+
+    def joined(first: Column, n: Column, entry: Callable[[Column], Column]) -> Column:
+        return F.array_join(F.transform(F.slice(occ, first, n), entry), "")
+
+    n = F.least(i, F.lit(CONTEXT))
+    hit, gap, follow = (lambda x: F.coalesce(x["hit"], F.lit(""))), o["gap"], F.coalesce(o["next"], F.lit(""))
+    before = F.when(F.length(gap) >= CONTEXT, gap).otherwise(F.concat(joined(i - n + 1, n, lambda x: F.concat(x["gap"], hit(x))), gap))
+    after = F.when(F.length(follow) >= CONTEXT, follow).otherwise(joined(i + 2, F.lit(CONTEXT), lambda x: F.concat(x["gap"], hit(x))))
+    return o["hit"], F.right(before, F.lit(CONTEXT)), F.left(after, F.lit(CONTEXT))
 
 
 def found(df: DataFrame, kinds: Sequence[Kind], key: str, text: str, keep: Sequence[str] = ()) -> DataFrame:
@@ -65,7 +75,7 @@ def found(df: DataFrame, kinds: Sequence[Kind], key: str, text: str, keep: Seque
 
     def packed(k: Kind) -> Column:
         def one(o: Column, i: Column) -> Column:
-            hit, before, after = _context(o)
+            hit, before, after = _context(F.col(f"_occ_{k.name}"), o, i)
             return F.struct(
                 F.lit(k.order).alias("ord"), i.alias("pos"), hit.alias("hit"),
                 F.length(o["gap"]).alias("gap"), before.alias("before"), after.alias("after"),
@@ -123,9 +133,9 @@ def redacted(df: DataFrame, kinds: Sequence[Kind], text: str) -> DataFrame:
     columns = df.columns
 
     def piece(k: Kind) -> Callable[[Column], Column]:
-        def of(o: Column) -> Column:
-            hit, before, after = _context(o)
-            sure = F.coalesce(k.valid(hit, before, after), F.lit(False))
+        def of(o: Column, i: Column) -> Column:
+            hit, before, after = _context(F.col(f"_occ_{k.name}"), o, i)
+            sure = hit.isNotNull() & F.coalesce(k.valid(hit, before, after), F.lit(False))
             return F.concat(o["gap"], F.when(sure, F.lit(k.tag)).otherwise(F.coalesce(hit, F.lit(""))))
 
         return of

@@ -79,6 +79,19 @@ def test_checksums_and_context(spark):
     assert "iban" not in got[2]
 
 
+def test_context_reaches_past_other_matches(spark):
+    many = ", ".join(f"555-{i}-4567" for i in range(200, 208))
+    rows = [(1, "Phone: 555-123-4567, 555-987-6543 for details"), (2, "078-05-1120, 219-09-9999, 457-55-5462: social security"), (3, f"call {many}"), (4, "555-123-4567, 555-987-6543")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["spans"] for r in pii.report(docs).collect()}
+    starts = {i: [int(s.split(":")[1]) for s in spans.split(",") if s] for i, spans in got.items()}
+    # 'call' begins the text; the number at 61 no longer sees it within 48 code points
+    assert starts == {1: [7, 21], 2: [0, 13, 26], 3: [5, 19, 33, 47], 4: []}
+    redacted = {r["doc_id"]: r["text"] for r in pii.redact(docs).collect()}
+    assert redacted[1] == "Phone: [PHONE], [PHONE] for details" and redacted[2] == "[SSN], [SSN], [SSN]: social security"
+    assert redacted[3].count("[PHONE]") == len(starts[3]) and redacted[4] == rows[3][1]
+
+
 def test_redaction(spark):
     docs = edges(spark, clashing=True)
     got = pii.redact(docs)
