@@ -49,6 +49,65 @@ def mod97(iban: Column) -> Column:
     return F.aggregate(F.filter(F.split(turned, ""), lambda c: c != ""), F.lit(0), step) == 1
 
 
+#: Length of an account number by its country code (ISO 13616).
+LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST",
+    26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA",
+    30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+LEAST_ACCOUNT, MOST_ACCOUNT = 15, 34
+
+
+def _let(value: Column, of) -> Column:
+    """`of` the value, which is computed once."""
+    return F.transform(F.array(value), of)[0]
+
+
+def _account(hit: Column) -> Column:
+    bare = F.replace(hit, F.lit(" "), F.lit(""))
+    return hit.rlike("^[A-Z]{2}[0-9]{2}") & F.length(bare).between(LEAST_ACCOUNT, MOST_ACCOUNT) & mod97(bare)
+
+
+def _accounts(run: Column) -> Column:
+    """A run of words cut at its account numbers: from left to right, each begins with a word and ends with one. Of
+    several ends that pass the checksum the length of its country decides, or else the longest."""
+    none = F.array().cast("array<struct<gap:string,hit:string>>")
+    length = F.create_map(*[F.lit(x) for n, codes in LENGTHS.items() for c in codes.split() for x in (c, n)])
+
+    def best(window: Column) -> Column:
+        """(is of its country's length, words, text) of the best number at the beginning of the words."""
+        ends = F.transform(F.sequence(F.lit(1), F.size(window)), lambda n: F.struct(n.alias("n"), F.array_join(F.slice(window, 1, n), " ").alias("hit")))
+        right = lambda e: F.coalesce(F.length(F.replace(e["hit"], F.lit(" "), F.lit(""))) == length[F.left(e["hit"], F.lit(2))], F.lit(False))
+        good = F.filter(ends, lambda e: _account(e["hit"]))
+        return F.array_max(F.transform(good, lambda e: F.struct(right(e).alias("right"), e["n"].alias("n"), e["hit"].alias("hit"))))
+
+    def text(words: Column, at: Column, n: Column) -> Column:
+        """n words from `at`, with the blank before them."""
+        return F.concat(F.when((at > 1) & (n > 0), F.lit(" ")).otherwise(F.lit("")), F.array_join(F.slice(words, at, n), " "))
+
+    def of(words: Column) -> Column:
+        heads = F.filter(F.sequence(F.lit(1), F.size(words)), lambda i: F.get(words, i - 1).rlike("^[A-Z]{2}[0-9]{2}"))
+
+        def step(s: Column, i: Column) -> Column:
+            def taken(b: Column) -> Column:
+                gap = F.concat(text(words, s["at"], i - s["at"]), F.when(i > 1, F.lit(" ")).otherwise(F.lit("")))
+                more = F.array(F.struct(gap.alias("gap"), b["hit"].alias("hit")))
+                now = F.struct((i + b["n"]).cast("int").alias("at"), F.concat(s["parts"], more).cast("array<struct<gap:string,hit:string>>").alias("parts"))
+                return F.when(b.isNull(), s).otherwise(now)
+
+            # a word has one character at least, and an account at most MOST_ACCOUNT
+            return F.when(i < s["at"], s).otherwise(_let(best(F.slice(words, i, MOST_ACCOUNT)), taken))
+
+        def end(s: Column) -> Column:
+            left = F.struct(F.lit("").alias("gap"), text(words, s["at"], F.size(words) - s["at"] + 1).alias("hit"))
+            return F.when(s["at"] > F.size(words), s["parts"]).otherwise(F.concat(s["parts"], F.array(left)))
+
+        return F.aggregate(heads, F.struct(F.lit(1).alias("at"), none.alias("parts")), step, end)
+
+    return _let(F.split(run, " "), of)
+
+
 def _digits(hit: Column) -> Column:
     return F.regexp_replace(hit, "[^0-9]", "")
 
@@ -76,8 +135,9 @@ KINDS = [
          lambda h, b, a: F.forall(F.split(h, r"\."), lambda p: p.cast("double") <= 255), tag="[IP]"),
     Kind("card", r"[0-9](?:[\x20-]?[0-9])++", 2, lambda t: t.rlike(r"[0-9](?:[\x20-]?[0-9]){11}"), _card, tag="[CARD]"),
     Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", 3, lambda t: t.contains("+"), lambda h, b, a: F.length(_digits(h)).between(9, 15), tag="[PHONE]"),
-    Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])", 4, lambda t: t.rlike(r"[A-Z]{2}[0-9]{2}[\x20A-Z0-9]"),
-         lambda h, b, a: mod97(F.replace(h, F.lit(" "), F.lit(""))), base=False, tag="[IBAN]"),
+    # whole words from the first that may begin an account number, with one blank between them
+    Kind("iban", r"(?<![A-Za-z0-9])(?=[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11})[A-Z0-9]++(?![a-z])(?:\x20[A-Z0-9]++(?![a-z]))*+", 4, lambda t: t.rlike(r"[A-Z]{2}[0-9]{2}[\x20A-Z0-9]"),
+         lambda h, b, a: _account(h), base=False, tag="[IBAN]", cut=_accounts),
     Kind("local", r"(?<![0-9+(])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9])", 5, lambda t: t.rlike(r"[0-9]{3}[\x20.-][0-9]{4}"), _scored("local"), base=False, tag="[PHONE]"),
     Kind("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", 6, lambda t: t.rlike(r"[0-9]-[0-9]{2}-[0-9]"), _scored("ssn"), base=False, tag="[SSN]"),
 ]

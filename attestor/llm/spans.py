@@ -23,7 +23,8 @@ _OCCURRENCE = "array<struct<hit:string,gap:string,next:string>>"
 @dataclass(frozen=True)
 class Kind:
     """`pattern` must be linear-time on long texts. `guard` is false only for texts without a match.
-    `valid` takes (hit, before, after) and says whether a match counts; `order` breaks ties of equal starts."""
+    `valid` takes (hit, before, after) and says whether a match counts; `order` breaks ties of equal starts.
+    `cut` turns a match into an array of (gap, hit) that joined give the match again; each hit then stands for itself."""
 
     name: str
     pattern: str
@@ -32,6 +33,7 @@ class Kind:
     valid: Callable[[Column, Column, Column], Column]
     base: bool = True
     tag: str = ""
+    cut: Callable[[Column], Column] | None = None
 
 
 def occurrences(df: DataFrame, kinds: Sequence[Kind], text: str) -> DataFrame:
@@ -51,7 +53,26 @@ def occurrences(df: DataFrame, kinds: Sequence[Kind], text: str) -> DataFrame:
         gap, hit = F.col(f"_gap_{k.name}"), F.col(f"_hit_{k.name}")
         z = F.arrays_zip(hit.alias("hit"), gap.alias("gap"), F.slice(gap, 2, 2**31 - 1).alias("next"))
         zipped.append(F.when(hit.isNotNull(), z.cast(_OCCURRENCE)).alias(f"_occ_{k.name}"))
-    return df.select(*keep, *zipped)
+    df = df.select(*keep, *zipped)
+    for k in (k for k in kinds if k.cut):
+        occ = f"_occ_{k.name}"
+        pieces = df.withColumn(occ, F.flatten(F.transform(occ, _pieces(k.cut))))
+        gaps = F.slice(F.transform(occ, lambda o: o["gap"]), 2, 2**31 - 1)
+        df = pieces.withColumn(occ, F.zip_with(occ, gaps, lambda o, n: F.struct(o["hit"].alias("hit"), o["gap"].alias("gap"), n.alias("next"))))
+    return df
+
+
+def _pieces(cut: Callable[[Column], Column]) -> Callable[[Column], Column]:
+    """The entries that stand for one."""
+
+    def entry(gap: Column, hit: Column) -> Column:
+        return F.struct(hit.alias("hit"), gap.alias("gap"))
+
+    def of(o: Column) -> Column:
+        own = F.transform(cut(o["hit"]), lambda p, j: entry(F.when(j == 0, F.concat(o["gap"], p["gap"])).otherwise(p["gap"]), p["hit"]))
+        return F.when(o["hit"].isNull(), F.array(entry(o["gap"], o["hit"]))).otherwise(own)
+
+    return of
 
 
 def _context(occ: Column, o: Column, i: Column) -> tuple[Column, Column, Column]:

@@ -92,6 +92,23 @@ def test_context_reaches_past_other_matches(spark):
     assert redacted[3].count("[PHONE]") == len(starts[3]) and redacted[4] == rows[3][1]
 
 
+def test_account_numbers_among_other_words(spark):
+    de, gb, no = "DE89 3704 0044 0532 0130 00", "GB82 WEST 1234 5698 7654 32", "NO9386011117947"
+    texts = {
+        f"IBAN {de} BIC COBADEFFXXX": [de], f"{gb} USD 500.00": [gb], f"{de} {gb} {no}": [de, gb, no], f"AB12 CDEF {gb} and": [gb],
+        f"XX {de} Xy, {no}.": [de, no], f"{gb}x": [], f"{no}1": [], f"X{no}": [], f"{gb[:-1]}3 USD": [], f"AB12 34 {no} {no} 1 2 3": [no, no], "A" * 9000 + f" {no}": [no],
+        "AB12 CDEF " * 300 + gb: [gb],
+    }
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["spans"].split(",") for r in pii.report(docs).collect()}
+    redacted = {r["doc_id"]: r["text"] for r in pii.redact(docs).collect()}
+    for i, (text, accounts) in enumerate(texts.items()):
+        spans = [s.split(":") for s in got[i] if s.startswith("iban")]
+        assert [text[int(s) : int(e)] for _, s, e in spans] == accounts
+        if accounts:
+            assert redacted[i].count("[IBAN]") == len(accounts) and not any(a in redacted[i] for a in accounts)
+
+
 def test_redaction(spark):
     docs = edges(spark, clashing=True)
     got = pii.redact(docs)
