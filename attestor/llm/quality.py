@@ -179,7 +179,9 @@ def train(stats: DataFrame, labels: DataFrame, id_col: str = "doc_id") -> Trees
     if not n:
         return None
     chosen = F.pmod(F.xxhash64(F.col(id_col), F.lit("quality")), F.lit(1 << 30)) < int(min(1.0, SAMPLE / n) * (1 << 30))
-    rows = stats.filter(chosen).join(marks.filter(chosen), id_col).select(*STATS, "_quality").toPandas()
+    # one row of each id, so that ids bound the rows
+    once = stats.filter(chosen).groupBy(id_col).agg(F.min(F.struct(*STATS)).alias("_stats")).select(id_col, "_stats.*")
+    rows = once.join(marks.filter(chosen), id_col).select(*STATS, "_quality").toPandas()
     if not len(rows):
         return None
     rows = rows.sort_values(list(rows.columns))  # rows come in any order; sums must not depend on it

@@ -9,7 +9,7 @@ and where the second part falls below zero, the step goes against it, so that th
 
 Features are words and word beginnings of 4 and 5 letters: whether a text has one, and whether it has one in each
 `DENSITIES` words at least. They are chosen by how much more often they occur in positives. Positives and unlabelled text are bounded samples by hash (`POSITIVES`, `UNLABELLED`); the hash threshold
-falls with the number of rows, so the samples cover the whole table at every size. Scoring reads every whole text.
+falls with the number of ids, so the samples cover the whole table at every size; an id gives one row, however many it has. Scoring reads every whole text.
 
 Null and empty texts get the score of a text without features; without any positive all scores are 0. Null ids count as
 not held out. Several labels of one id count as toxic if one of them says so. Extra columns pass through.
@@ -71,13 +71,18 @@ def sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str) -> tu
         return docs.select(F.col(text_col).alias("text"), F.lit(True).alias("positive")).filter("false"), 0.0
     ids = train.filter("toxic = 1").filter(_share(id_col, min(1.0, POSITIVES / n_pos))).select(id_col)
     rest = docs.filter(~held_out(id_col))
-    n_docs = rest.count()
+    n_docs = rest.select(id_col).distinct().count()
     # The ids are bounded by POSITIVES (to within sampling error), so they may be broadcast.
-    pos = docs.join(F.broadcast(ids), id_col, "left_semi").select(F.col(text_col).alias("text"), F.lit(True).alias("positive"))
-    unl = rest.filter(_share(id_col, min(1.0, UNLABELLED / max(n_docs, 1)))).select(F.col(text_col).alias("text"), F.lit(False).alias("positive"))
+    pos = _one_each(docs.join(F.broadcast(ids), id_col, "left_semi"), id_col, text_col).withColumn("positive", F.lit(True))
+    unl = _one_each(rest.filter(_share(id_col, min(1.0, UNLABELLED / max(n_docs, 1)))), id_col, text_col).withColumn("positive", F.lit(False))
     return pos.unionByName(unl), min(0.9, n_pos / n_all)
 
 
+def _one_each(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(text): the least text of each id; null ids count as one."""
+    return docs.groupBy(F.col(id_col).alias("_id")).agg(F.min(text_col).alias("text")).select("text")
+
+
 def vocabulary(rows: DataFrame) -> list[str]:
     """The features that mark positives best; counted in the tasks, summed by Spark, VOCABULARY of them come back."""
 

@@ -212,6 +212,21 @@ def test_held_out_labels_are_not_read(spark):
     assert score(marks) == score(turned)
 
 
+def test_samples_bound_rows_not_ids(spark, monkeypatch):
+    """An id with many rows gives one row of each sample."""
+    keep = [i for i in range(200) if zlib.crc32(str(i).encode()) % 5]
+    many, one = keep[:2]
+    docs = [(many, f"bad text {i % 7}") for i in range(500)] + [(None, f"no id {i}") for i in range(500)] + [(i, f"text {i}") for i in keep[1:]]
+    docs = spark.createDataFrame(docs, "doc_id long, text string")
+    marks = spark.createDataFrame([(many, 1, 1), (one, 0, 0)], "doc_id long, quality int, toxic int")
+    rows, _ = toxicity.sample(docs, marks, "doc_id", "text")
+    assert Counter(r["positive"] for r in rows.collect()) == {True: 1, False: len(keep) + 1}
+    sizes, fit = [], quality.fit
+    monkeypatch.setattr(quality, "fit", lambda x, y, signs: sizes.append(len(y)) or fit(x, y, signs))
+    quality.report(docs, marks)
+    assert sizes == [2]
+
+
 # Mixing
 
 
