@@ -3,7 +3,7 @@
 The payload is the UTF-8 text, filled with bytes 0 up to a positive multiple of 64, stored as 8-bit mono samples. The
 stored bytes are read by the wave module; a short-time Fourier transform (Hann window) gives the strongest bin in each
 of four bands of each frame. A peak is a bin no weaker than those of its band in the frames around it; each peak is
-paired with the next few. A pair is one 64-bit code: the time of the first peak in the upper half, then both bins and
+paired with the next few of later frames. A pair is one 64-bit code: the time of the first peak in the upper half, then both bins and
 the time between them, so an array of codes is in the order of time and can be searched by time or by pair.
 
 Frames are transformed in blocks, so memory is that of the text whatever its length. Null texts count as empty (64 zero
@@ -53,9 +53,9 @@ def peaks(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     """Times and bins of the spectral peaks in order of time. Strengths are rounded logarithms, so that the last bits of
     floating-point sums don't decide."""
     x = np.frombuffer(data, np.uint8)
-    if len(x) < FRAME:
-        x = np.concatenate((x, np.full(FRAME - len(x), 128, np.uint8)))
-    n, window = 1 + (len(x) - FRAME) // HOP, np.hanning(FRAME).astype(np.float32)
+    n, window = 1 + max(0, -(-(len(x) - FRAME) // HOP)), np.hanning(FRAME).astype(np.float32)
+    if len(x) < (whole := FRAME + (n - 1) * HOP):  # silence fills the last frame
+        x = np.concatenate((x, np.full(whole - len(x), 128, np.uint8)))
     bins, power = np.empty((n, BANDS), np.int64), np.empty((n, BANDS), np.int64)
     frames = np.lib.stride_tricks.sliding_window_view(x, FRAME)[::HOP]
     for at in range(0, n, BLOCK):
@@ -76,10 +76,12 @@ def codes(data: bytes) -> np.ndarray:
     """Pairs of peaks as 64-bit codes: time << 32 | bin << 16 | other bin << 8 | frames between."""
     t, f = peaks(data)
     out = []
-    for k in range(1, min(PARTNERS, len(t) - 1) + 1):
-        gap = t[k:] - t[:-k]
-        ok = (gap > 0) & (gap <= APART)
-        out.append((t[:-k] << 32 | f[:-k] << 16 | f[k:] << 8 | gap)[ok])
+    later = np.searchsorted(t, t, "right")  # the first peak of a later frame
+    for k in range(PARTNERS):
+        own = np.flatnonzero(later + k < len(t))
+        other = later[own] + k
+        gap = t[other] - t[own]
+        out.append((t[own] << 32 | f[own] << 16 | f[other] << 8 | gap)[gap <= APART])
     return np.sort(np.concatenate(out)) if out else np.empty(0, np.int64)
 
 

@@ -142,6 +142,22 @@ def test_tones_are_peaks_and_shift_in_time():
     assert len(code) and len(low & set((later & 0xFFFFFFFF).tolist())) >= 0.8 * len(low)
 
 
+def test_the_last_samples_are_in_a_frame():
+    rng = np.random.default_rng(0)
+    for n in (320, 448, 704):
+        a = rng.integers(0, 256, n).astype(np.uint8)
+        b = np.concatenate((a[:-64], (128 + 100 * np.sin(np.arange(64))).astype(np.uint8)))
+        assert any((x.tolist() != y.tolist()) for x, y in zip(media.peaks(a.tobytes()), media.peaks(b.tobytes()), strict=True))
+
+
+def test_partners_are_in_later_frames(monkeypatch):
+    t, f = np.array([0, 0, 0, 0, 1, 2, 3, 90]), np.array([1, 40, 70, 100, 2, 3, 4, 5])
+    monkeypatch.setattr(media, "peaks", lambda data: (t, f))
+    later = lambda i: [j for j in range(len(t)) if t[j] > t[i]][: media.PARTNERS]
+    expected = [int(t[i] << 32 | f[i] << 16 | f[j] << 8 | t[j] - t[i]) for i in range(len(t)) for j in later(i) if t[j] - t[i] <= media.APART]
+    assert media.codes(b"").tolist() == sorted(expected)
+
+
 # Quality
 
 
