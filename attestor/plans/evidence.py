@@ -167,8 +167,8 @@ def _(t: Tables) -> DataFrame:
     words = lambda df, k: df.select(k, F.filter(F.split(X.alphanumeric(F.col("text")), " "), lambda w: w != "").alias("w")).filter("size(w) > 0")
     b = words(t("benchmark"), "item_id").select("item_id", F.explode(F.array_distinct(grams(F.col("w")))).alias("g"))
     d = words(t("documents"), "doc_id").select(F.explode(F.array_distinct(grams(F.col("w")))).alias("g"))
-    seen = d.join(F.broadcast(b.select("g").distinct()), "g", "left_semi").distinct().withColumn("seen", F.lit(1))
-    return b.join(F.broadcast(seen), "g", "left").groupBy("item_id").agg(F.round(F.count("seen") / F.count("*"), 4).alias("support"))
+    seen = d.join(b.select("g").distinct(), "g", "left_semi").distinct().withColumn("seen", F.lit(1))
+    return b.join(seen, "g", "left").groupBy("item_id").agg(F.round(F.count("seen") / F.count("*"), 4).alias("support"))
 
 
 @query("flagship_evidence_ranking", _bm25_sql().replace("FROM documents)", "FROM documents WHERE doc_id IN (SELECT min(doc_id) FROM documents GROUP BY text))", 1) + " SELECT doc_id, round(score, 4) AS score FROM b WHERE score > 0 ORDER BY score DESC, doc_id LIMIT 10")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from collections import Counter
 
 from attestor.operators import retrieval
+from attestor.plans import evidence  # noqa: F401  registers the queries
+from attestor.plans.registry import QUERIES
 
 HEAD = "the quick brown fox jumps over the lazy dog near the old river bank"
 QUOTE = HEAD + " and was approved on the first of may"
@@ -24,3 +26,15 @@ def test_whole_quotes(spark):
     got = Counter(map(tuple, retrieval.grounded(docs, quotes, "doc_id", "item_id", "text").collect()))
     holders = [1, 3, 4, 7, None]
     assert got == Counter({(10, d): 2 for d in holders} | {(11, d): 1 for d in holders} | {(12, 5): 1, (13, 7): 1, (14, 7): 1})
+
+
+def test_three_word_support_forces_no_broadcast(spark):
+    """With broadcasts off none is left in the plan."""
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    was = spark.conf.get(key)
+    spark.conf.set(key, "-1")
+    try:
+        plan = QUERIES["val04_three_word_support"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set(key, was)
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
