@@ -19,10 +19,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a folder of our own where it is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir, or a folder of our own where it is unset and the master is
+    local (tests). Executors elsewhere couldn't read a folder of this machine, so there it must be set."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
         sc = spark.sparkContext
+        if not sc.master.startswith("local") and sc._jsc.sc().getCheckpointDir().isEmpty():
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         if sc._jsc.sc().getCheckpointDir().isEmpty():
             sc.setCheckpointDir(tempfile.mkdtemp(prefix="attestor-"))
         where = sc._jsc.sc().getCheckpointDir().get()
@@ -40,8 +43,17 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def clear(spark: SparkSession) -> None:
+    """Delete the tables that `written` has made for this application. Frames that read them are of no use afterwards, so
+    call it once their results are stored."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/attestor/{spark.sparkContext.applicationId}")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def bound_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Keep Arrow batches of whole texts small; a batch of long texts must fit a Python worker."""
+    """Keep Arrow batches of whole texts small; a batch of long texts must fit a Python worker. Frames are lazy, so the bound
+    has to stay in the session until they run: it only ever falls, and a lower one that the caller set is kept."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key, "10000")) > rows:
         spark.conf.set(key, str(rows))
