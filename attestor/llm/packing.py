@@ -4,13 +4,18 @@ Documents arrive one by one in each partition. Whole windows are cut off long do
 the fill level that minimises the sum over levels of (number of windows partially filled to it) squared. The numbers
 stand in a level array, and each level keeps its open windows.
 
-Open windows hold their token ids until they are full, at most `OPEN` windows of them. Beyond that, and at the end of a
-partition, open windows are poured together and cut anew, which fills all but one; the last is cut into powers of two,
-which need no padding. A partition is packed on its own, so memory doesn't grow with the input and a lost task is
-repeated alone; sequence ids hold the partition's number in their upper bits.
-
-Null texts count as empty: such a document has the closing id only. Repeated rows and null ids are packed like any other
-row. An empty table gives no rows. Columns beside id and text are not read.
+The method has bounded space: at most `SPACE` windows are open. While there is room, a document is placed whole, in an
+open window or a new one. When there is none and the document fits into no open window, it is cut at placement to fill
+one, the level chosen by the same sum of squares, and its rest is placed in turn. At the end of a partition the windows
+still open are given up, the emptiest first: their pieces are placed by level among the others, cut where they don't fit.
+The last window of a partition is cut into powers of two, which need no padding.
+
+Open windows hold their token ids (at most `SPACE` times `WINDOW`). A partition is packed on its own, so memory doesn't
+grow with the input and a lost task is repeated alone; sequence ids hold the partition's number in their upper bits.
+
+Null texts count as empty: such a document has the closing id only. A text longer than a window gives whole windows and
+a rest; it is encoded in one task. Ties between levels go to the fullest. Repeated rows and null ids are packed like any
+other row. An empty table gives no rows. Columns beside id and text are not read.
 """
 
 from __future__ import annotations
@@ -31,7 +36,7 @@ from pyspark.sql import functions as F
 
 from ..session import bound_batches, ship
 
-WINDOW, CLOSING, OPEN = 2048, 1, 512
+WINDOW, CLOSING, SPACE = 2048, 1, 64
 #: Chunks of text whose ids a worker remembers, and the longest such chunk in bytes.
 REMEMBERED, LONGEST = 700_000, 64
 #: Punctuation that may follow a word. An apostrophe isn't: it may begin a contraction.
@@ -141,10 +146,14 @@ class Piece:
 
 @dataclass
 class Packer:
-    """Packs pieces one after another; `done` collects full windows as lists of pieces."""
+    """Packs pieces one after another; `done` collects full windows as lists of pieces. `placed` counts the windows that
+    were filled through the level array or by one document alone, `closed` those of the last window's powers of two."""
 
     window: int = WINDOW
+    space: int = SPACE
     done: list[list[Piece]] = field(default_factory=list)
+    placed: int = 0
+    closed: int = 0
 
     def __post_init__(self) -> None:
         self.count = np.zeros(self.window + 1, np.int64)
@@ -155,61 +164,58 @@ class Packer:
         rest = Piece(doc, 0, ids, len(ids) // 4)
         while len(rest) >= self.window:
             full, rest = rest.cut(self.window)
-            self.done.append([full])
+            self._finish([full])
         if len(rest):
-            self._place([rest], len(rest))
-        if self.n_open > OPEN:
-            self._pour()
+            self._place(rest, self.space)
 
-    def _level(self, n: int) -> int:
-        """The level whose choice leaves the least sum of squares; the fullest of equals; 0 opens a window."""
+    def _level(self, n: int, may_open: bool = True) -> int:
+        """The level whose choice leaves the least sum of squares; the fullest of equals; 0 opens a window. Without room
+        for another window it is the level that the piece fits into, or else the level that it is cut to fill."""
         here = self.count[1 : self.window - n + 1]
         cost = 2 * (self.count[n + 1 : self.window + 1] - here) + 2
         cost[-1] = 1 - 2 * here[-1]  # a window that gets full leaves the array
         cost = np.where(here > 0, cost, np.iinfo(np.int64).max)
         best = len(cost) - 1 - int(np.argmin(cost[::-1]))
-        return best + 1 if cost[best] <= 2 * self.count[n] + 1 else 0
-
-    def _place(self, pieces: list[Piece], n: int) -> None:
-        level = self._level(n)
-        held: list[Piece] = []
-        if level:
-            held = self.open[level].pop()
-            self.count[level] -= 1
-            self.n_open -= 1
-        held = held + pieces
-        if level + n == self.window:
-            self.done.append(held)
-        else:
-            self.open.setdefault(level + n, []).append(held)
-            self.count[level + n] += 1
-            self.n_open += 1
-
-    def _pour(self) -> None:
-        """Fill windows with the pieces of all open ones; what is left over stays as one open window."""
-        pieces = [p for level in sorted(self.open, reverse=True) for held in self.open[level] for p in held]
-        self.count[:] = 0
-        self.n_open = 0
-        self.open.clear()
-        now, room = [], self.window
-        for p in pieces:
-            while len(p) >= room:
-                first, p = p.cut(room)
-                self.done.append([*now, first])
-                now, room = [], self.window
-            if len(p):
-                now.append(p)
-                room -= len(p)
-        if now:
-            self.open[self.window - room] = [now]
-            self.count[self.window - room] = self.n_open = 1
+        if may_open:
+            return best + 1 if cost[best] <= 2 * self.count[n] + 1 else 0
+        if here[best]:
+            return best + 1
+        # a cut takes one window off its level, so the highest count falls most; of equals the emptiest takes most of the piece
+        return int(np.argmax(self.count[1:])) + 1
+
+    def _place(self, piece: Piece, space: int) -> None:
+        while len(piece):
+            n = len(piece)
+            level = self._level(n, self.n_open < space)
+            held, rest = [], piece.cut(n)[1]
+            if level:
+                held = self._taken(level)
+                piece, rest = piece.cut(min(n, self.window - level))
+            held.append(piece)
+            filled = level + len(piece)
+            if filled == self.window:
+                self._finish(held)
+            else:
+                self.open.setdefault(filled, []).append(held)
+                self.count[filled] += 1
+                self.n_open += 1
+            piece = rest
+
+    def _taken(self, level: int) -> list[Piece]:
+        self.count[level] -= 1
+        self.n_open -= 1
+        return self.open[level].pop()
+
+    def _finish(self, held: list[Piece]) -> None:
+        self.done.append(held)
+        self.placed += 1
 
     def close(self) -> None:
-        """Pour the open windows and cut the last into powers of two."""
-        self._pour()
-        rest = [p for held in self.open.values() for one in held for p in one]
-        self.open.clear()
-        self.count[:] = self.n_open = 0
+        """Give up the emptiest windows until one is left, and cut that into powers of two."""
+        while self.n_open > 1:
+            for piece in self._taken(int(np.flatnonzero(self.count)[0])):
+                self._place(piece, min(self.n_open, 1))
+        rest = self._taken(int(np.flatnonzero(self.count)[0])) if self.n_open else []
         left = sum(map(len, rest))
         while left:
             room = 1 << (left.bit_length() - 1)
@@ -223,6 +229,7 @@ class Packer:
                 now.append(p)
                 room -= len(p)
             self.done.append(now)
+            self.closed += 1
 
 
 def packed(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
