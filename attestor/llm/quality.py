@@ -1,12 +1,13 @@
 """Quality rules: gradient-boosted trees over document statistics, flattened into numpy node arrays.
 
-Statistics are taken from whole texts in one pass and written; a bounded sample of labelled rows (`SAMPLE`, by hash)
-trains the trees. Some features have a monotonic constraint: more repetition or more symbols never raises the score.
+Statistics are taken from whole texts in one pass and written; a sample of at most `SAMPLE` labelled rows (the least hashes
+of id and statistics, equal rows once) trains the trees. Some features have a monotonic constraint: more repetition or more symbols never raises the score.
 Every tree is complete, so a model is three arrays (feature, threshold, leaf) and scoring is `DEPTH` vectorised steps.
 
 Null and empty texts have no words, fail the base rule and aren't kept. Without labelled rows the trees say 1.0 and the
-base rule alone decides. Null ids are never in the sample; repeated rows are each returned; an empty table gives no
-rows; extra columns are not read.
+base rule alone decides. Very long texts are described whole. A score of exactly 0.5 keeps a document, and values equal to
+a threshold go left. Null ids are never in the sample; of several labels of one id the least counts; repeated rows are each
+returned, alike; an empty table gives no rows; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import bound_batches, ship, written
-from .toxicity import FOLDS
+from .toxicity import FOLDS, least_hashes
 
 SAMPLE, ROUNDS, DEPTH, RATE, BINS, LEAST_LEAF = 20_000, 60, 3, 0.15, 32, 1.0
 WINDOW, LEAST_WORDS, MOST_REPEATED = 5, 10, 20
@@ -175,13 +176,9 @@ def train(stats: DataFrame, labels: DataFrame, id_col: str = "doc_id") -> Trees
     """Trees from a sample of labelled rows, none of the held-out fold."""
     fold = F.crc32(F.col(id_col).cast("string").cast("binary")) % FOLDS
     marks = labels.filter("quality IS NOT NULL").filter(fold != 0).groupBy(id_col).agg(F.min("quality").alias("_quality"))
-    n = marks.count()
-    if not n:
-        return None
-    chosen = F.pmod(F.xxhash64(F.col(id_col), F.lit("quality")), F.lit(1 << 30)) < int(min(1.0, SAMPLE / n) * (1 << 30))
-    # one row of each id, so that ids bound the rows
-    once = stats.filter(chosen).groupBy(id_col).agg(F.min(F.struct(*STATS)).alias("_stats")).select(id_col, "_stats.*")
-    rows = once.join(marks.filter(chosen), id_col).select(*STATS, "_quality").toPandas()
+    labelled = written(stats.join(marks, id_col).select(F.xxhash64(F.col(id_col), *STATS, F.lit("quality")).alias("h"), *STATS, "_quality"), "quality-rows")
+    chosen = written(least_hashes(labelled, SAMPLE), "quality-chosen")
+    rows = labelled.join(F.broadcast(chosen), "h", "left_semi").dropDuplicates(["h"]).select(*STATS, "_quality").toPandas()
     if not len(rows):
         return None
     rows = rows.sort_values(list(rows.columns))  # rows come in any order; sums must not depend on it

@@ -8,11 +8,14 @@ documents among the labelled ones of the training folds) the risk is
 and where the second part falls below zero, the step goes against it, so that the model can't fit it away.
 
 Features are words and word beginnings of 4 and 5 letters: whether a text has one, and whether it has one in each
-`DENSITIES` words at least. They are chosen by how much more often they occur in positives. Positives and unlabelled text are bounded samples by hash (`POSITIVES`, `UNLABELLED`); the hash threshold
-falls with the number of ids, so the samples cover the whole table at every size; an id gives one row, however many it has. Scoring reads every whole text.
+`DENSITIES` words at least. They are chosen by how much more often they occur in positives. Positives and unlabelled text
+are samples of at most `POSITIVES` and `UNLABELLED` rows: those with the least hashes of id and text among all rows, equal
+rows counting once, so the samples cover the whole table at every size, with null and repeated ids. Scoring reads every
+whole text, however long.
 
 Null and empty texts get the score of a text without features; without any positive all scores are 0. Null ids count as
-not held out. Several labels of one id count as toxic if one of them says so. Extra columns pass through.
+not held out. Several labels of one id count as toxic if one of them says so. A score of exactly 0.5 counts as toxic.
+Repeated rows are each scored, alike. An empty table gives no rows. Extra columns pass through.
 """
 
 from __future__ import annotations
@@ -58,9 +61,14 @@ def features(text: str | None) -> set[str]:
     return out
 
 
-def _share(col: str, share: float) -> Column:
-    """About this share of rows, the same ones each time."""
-    return F.pmod(F.xxhash64(F.col(col), F.lit("sample")), F.lit(1 << 30)) < int(share * (1 << 30))
+def least_hashes(rows: DataFrame, n: int) -> DataFrame:
+    """(h): the n least distinct values of column h of `rows`. A threshold from the number of distinct values drops most
+    rows before they are made distinct and sorted."""
+    about = rows.agg(F.approx_count_distinct("h")).first()[0]
+    share = min(1.0, 1.5 * (n + 50) / max(about, 1))
+    least, span = -(2**63), 2**64
+    few = rows if share == 1 else rows.filter(F.col("h") < least + int(span * share))
+    return few.select("h").distinct().orderBy("h").limit(n)
 
 
 def sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, float]:
@@ -69,18 +77,15 @@ def sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str) -> tu
     n_pos, n_all = train.agg(F.count_if(F.col("toxic") == 1), F.count("*")).first()
     if not n_pos:
         return docs.select(F.col(text_col).alias("text"), F.lit(True).alias("positive")).filter("false"), 0.0
-    ids = train.filter("toxic = 1").filter(_share(id_col, min(1.0, POSITIVES / n_pos))).select(id_col)
+    hashed = F.xxhash64(F.col(id_col), F.col(text_col), F.lit("toxicity")).alias("h")
     rest = docs.filter(~held_out(id_col))
-    n_docs = rest.select(id_col).distinct().count()
-    # The ids are bounded by POSITIVES (to within sampling error), so they may be broadcast.
-    pos = _one_each(docs.join(F.broadcast(ids), id_col, "left_semi"), id_col, text_col).withColumn("positive", F.lit(True))
-    unl = _one_each(rest.filter(_share(id_col, min(1.0, UNLABELLED / max(n_docs, 1)))), id_col, text_col).withColumn("positive", F.lit(False))
-    return pos.unionByName(unl), min(0.9, n_pos / n_all)
-
-
-def _one_each(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(text): the least text of each id; null ids count as one."""
-    return docs.groupBy(F.col(id_col).alias("_id")).agg(F.min(text_col).alias("text")).select("text")
+    light = written(rest.select(F.col(id_col), hashed), "toxicity-hashes")
+    of_toxic = light.join(train.filter("toxic = 1").select(id_col), id_col, "left_semi")
+    chosen = least_hashes(of_toxic, POSITIVES).withColumn("positive", F.lit(True)).unionByName(least_hashes(light, UNLABELLED).withColumn("positive", F.lit(False)))
+    chosen = written(chosen, "toxicity-chosen")
+    # at most POSITIVES + UNLABELLED rows of a number, so they are broadcast
+    texts = rest.select(hashed, F.col(text_col).alias("text")).join(F.broadcast(chosen), "h").dropDuplicates(["h", "positive"])
+    return texts.select("text", "positive"), min(0.9, n_pos / n_all)
 
 
 def vocabulary(rows: DataFrame) -> list[str]:
