@@ -8,18 +8,31 @@ segment i from which every chain of l consecutive segments differs in at most fl
 at most one in i and i+1, and so on. So the two agree in all of segment i and in one half of segment i+1, which makes
 10 blocking keys of about 19 bits. Within a key, a chain that leaves its budget is dropped before the full Hamming check.
 
-Copies never meet: only distinct fingerprints are keyed. A partition sorted by key is read as a stream; each group of a
-key emits links to one root of each of its clusters, found by flooding, so a cluster of n near copies costs about n
-comparisons and n - 1 links instead of all pairs, and no link between different texts is lost.
+Two longer chains give wider keys: with a third segment there are 25 keys of about 26 bits, or 60 of about 30. All find
+the same pairs; the number of fingerprints decides which costs least (`_scheme`), so that pair checks don't grow with the
+square of the table.
 
-Null texts count as empty; a text without words has fingerprint zero, linked like any other. Rows with a null id are
-returned, but don't name a component. Repeated rows are returned each. An empty table gives no rows.
+Copies never meet: only distinct fingerprints are keyed. A partition sorted by key is read as a stream; each group of a
+key emits the links of a spanning forest, found by flooding, so a cluster of n near copies costs about n comparisons and
+n - 1 links instead of all pairs, and no link between different texts is lost.
+
+`deduplicated` is for corpora: it links texts whose sets of five-word shingles have a similarity (Jaccard) of 0.8 or more.
+Four bits of 64 don't reach that far (texts of similarity 0.8 differ in about 10 bits), and pigeonring keys for 20 bits
+would be too short to prune. So there, blocks of two min-wise shingles add candidates to those of the ring; the Hamming
+budget of `WIDE` bits and the sizes prune them, and the shingle sets decide. A pair of similarity 0.8 shares no block with
+a probability of 0.36 ** 8 = 0.0003, at 0.9 of 0.000002.
+
+Null texts count as empty; a text without words has fingerprint zero, linked like any other; very long texts are read
+whole, in pieces of memory. Rows with a null id are returned, but don't name a component. Repeated rows and rows that
+repeat an id with another text are each returned with their own component. An empty table gives no rows. Other columns
+are not read.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
-from itertools import repeat
+from itertools import combinations, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +44,11 @@ from ..session import bound_batches, ship, written
 from .components import components
 
 SHINGLE, BITS, SEED = 4, 4, 42
+#: Near copies of a corpus: words of a shingle, least similarity, bits that a candidate may differ in, blocks of two min-wise
+#: shingles. Of 64 bits, a pair of similarity 0.8 differs in 9.6 on average, with a standard deviation of 2.9.
+WORDS, SIMILAR, WIDE, BANDS = 5, 0.8, 22, 8
+#: Up to so many rows of representatives are broadcast.
+BROADCAST = 500_000
 #: (lowest bit, width) of the segments, and where the next segment is halved.
 SEGMENTS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
 #: Rows of one fingerprint are spread over so many salts before they meet their component.
@@ -39,23 +57,32 @@ SALTS = 64
 SMALL, BLOCK = 32, 1 << 21
 
 
-def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
-    """The 64-bit fingerprint of one UTF-8 text."""
-    words = text.lower().split()  # bytes: A-Z only, and only the six ASCII blanks separate words
-    n = max(1, len(words) - shingle + 1)
+def hashes(words: list[bytes], shingle: int) -> np.ndarray:
+    """Hashes of the shingles of a text's words, repeats included; fewer words are one shingle."""
     if not words:
-        return 0
+        return np.empty(0, np.uint64)
+    n = max(1, len(words) - shingle + 1)
     flat = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     last = ends[min(shingle, len(words)) - 1 :]
     first = np.concatenate(([0], ends[: n - 1] + 1))
     cuts = map(slice, first.tolist(), last.tolist())
-    h = np.fromiter(map(xxhash.xxh64_intdigest, map(flat.__getitem__, cuts), repeat(SEED)), np.uint64, n)
+    return np.fromiter(map(xxhash.xxh64_intdigest, map(flat.__getitem__, cuts), repeat(SEED)), np.uint64, n)
+
+
+def majority(h: np.ndarray) -> int:
+    """The 64-bit number whose bits are those that over half of the hashes have."""
     ones = np.zeros(64, np.int64)
-    for at in range(0, n, 1 << 16):
+    for at in range(0, len(h), 1 << 16):
         part = h[at : at + (1 << 16)].astype("<u8")
         ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
+    return int(np.packbits(2 * ones > len(h), bitorder="little").view("<u8")[0])
+
+
+def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
+    """The 64-bit fingerprint of one UTF-8 text."""
+    # bytes: A-Z only, and only the six ASCII blanks separate words
+    return majority(hashes(text.lower().split(), shingle))
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
@@ -73,15 +100,41 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return rows.mapInArrow(of, f"id {kind.simpleString()}, fp long")
 
 
-def _keys(fp: Column) -> Column:
-    """The blocking keys: number of the key, segment i, and one half of segment i+1."""
+def _part(fp: Column, low: int, width: int) -> Column:
+    return F.shiftrightunsigned(fp, low).bitwiseAND(F.lit((1 << width) - 1).cast("long"))
+
+
+def _cuts(segment: tuple[int, int], n: int) -> list[tuple[int, int]]:
+    """A segment in n parts."""
+    low, width = segment
+    at = [low + width * i // n for i in range(n + 1)]
+    return [(x, y - x) for x, y in zip(at, at[1:], strict=False)]
+
+
+def _scheme(n: int) -> tuple[int, int]:
+    """(segments of a chain, parts of each) whose keys suit n distinct fingerprints."""
+    return (2, 2) if n <= 1 << 22 else (3, 2) if n <= 1 << 28 else (3, 3)
+
+
+def _kept(chain: int, parts: int, i: int) -> list[list[tuple[int, int]]]:
+    """The bits of each key that begins with segment i: all of it, and the parts of the next segments but one part for
+    each bit in which they may differ (one in the first of them, two in both)."""
+    cut = [_cuts(SEGMENTS[(i + k) % len(SEGMENTS)], parts) for k in range(1, chain)]
+    where = [(k, p) for k in range(chain - 1) for p in range(parts)]
+    drops = [d for d in combinations(where, chain - 1) if sum(k == 0 for k, _ in d) <= 1]
+    return [[SEGMENTS[i], *[cut[k][p] for k, p in where if (k, p) not in d]] for d in drops]
+
+
+def _keys(fp: Column, chain: int = 2, parts: int = 2) -> Column:
+    """The blocking keys: first segment and number of the key above, a hash of the bits below."""
     out = []
-    for i, (low, width) in enumerate(SEGMENTS):
-        nlow, nwidth = SEGMENTS[(i + 1) % len(SEGMENTS)]
-        own = F.shiftrightunsigned(fp, low).bitwiseAND(F.lit((1 << width) - 1).cast("long"))
-        for half, (hlow, hwidth) in enumerate(((nlow, nwidth // 2), (nlow + nwidth // 2, nwidth - nwidth // 2))):
-            part = F.shiftrightunsigned(fp, hlow).bitwiseAND(F.lit((1 << hwidth) - 1).cast("long"))
-            out.append(F.lit((2 * i + half) << 20).cast("long") * 2**20 + own * 2**8 + part)
+    for i in range(len(SEGMENTS)):
+        for j, bits in enumerate(_kept(chain, parts, i)):
+            value, width = F.lit(0).cast("long"), 0
+            for low, w in bits:
+                value = F.shiftleft(value, w).bitwiseOR(_part(fp, low, w))
+                width += w
+            out.append(F.lit((i << 8 | j) << 40).cast("long").bitwiseOR(value))
     return F.array(*out)
 
 
@@ -106,92 +159,109 @@ def _close(diff: np.ndarray, chain: list[tuple[np.uint64, int]]) -> np.ndarray:
     return ok
 
 
-def _flood(fps: np.ndarray, chain: list[tuple[np.uint64, int]]) -> tuple[np.ndarray, np.ndarray]:
-    """Links of each fingerprint of a group to the root of its cluster; what is reached is compared with the rest only."""
-    found, roots, rest = [], [], fps
+def _flood(fps: np.ndarray, sizes: np.ndarray, chain: list[tuple[np.uint64, int]], similar: float) -> tuple[np.ndarray, np.ndarray]:
+    """Positions (new, from) of the links by which the clusters of a group are reached, each from the first of its rows;
+    what is reached is compared with the rest only."""
+    found, reached_from, rest = [], [], np.arange(len(fps))
     while len(rest) > 1:
-        root, rest = rest[0], rest[1:]
-        edge = np.array([root], fps.dtype)
+        edge, rest = rest[:1], rest[1:]
         while len(edge) and len(rest):
             n = max(1, BLOCK // len(rest))
             now, edge = edge[:n], edge[n:]
-            hit = _close(now[:, None] ^ rest[None, :], chain).any(0)
-            if hit.any():
-                new, rest = rest[hit], rest[~hit]
-                edge = np.concatenate((edge, new))
-                found.append(new)
-                roots.append(np.full(len(new), root, fps.dtype))
-    none = np.empty(0, fps.dtype)
-    return np.concatenate(found or [none]), np.concatenate(roots or [none])
-
-
-def _linked(keys: np.ndarray, fps: np.ndarray, chains: list) -> tuple[np.ndarray, np.ndarray]:
-    """Links within the whole groups of sorted keys."""
+            hit = _close(fps[now][:, None] ^ fps[rest][None, :], chain)
+            if similar:
+                hit &= np.minimum(sizes[now][:, None], sizes[rest][None, :]) >= similar * np.maximum(sizes[now][:, None], sizes[rest][None, :])
+            some = hit.any(0)
+            if some.any():
+                found.append(rest[some])
+                reached_from.append(now[hit[:, some].argmax(0)])
+                edge, rest = np.concatenate((edge, rest[some])), rest[~some]
+    none = np.empty(0, np.int64)
+    return np.concatenate(found or [none]), np.concatenate(reached_from or [none])
+
+
+def _linked(keys: np.ndarray, fps: np.ndarray, sizes: np.ndarray, chains: list, similar: float) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of the linked rows within the whole groups of sorted keys."""
     starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
-    sizes = np.diff(np.concatenate((starts, [len(keys)])))
+    counts = np.diff(np.concatenate((starts, [len(keys)])))
+    chain_of = np.where(keys < 0, len(chains) - 1, keys >> 48)
     out_a, out_b = [], []
-    for s, n in zip(starts[sizes > SMALL].tolist(), sizes[sizes > SMALL].tolist(), strict=True):
-        a, b = _flood(fps[s : s + n], chains[int(keys[s] >> 40) // 2])
-        out_a.append(a)
-        out_b.append(b)
-    small = np.repeat((sizes > 1) & (sizes <= SMALL), sizes)
-    k, f = keys[small], fps[small]
-    first = (k >> 40) // 2
+    for s, n in zip(starts[counts > SMALL].tolist(), counts[counts > SMALL].tolist(), strict=True):
+        a, b = _flood(fps[s : s + n], sizes[s : s + n], chains[int(chain_of[s])], similar)
+        out_a.append(a + s)
+        out_b.append(b + s)
+    small = np.flatnonzero(np.repeat((counts > 1) & (counts <= SMALL), counts))
+    k = keys[small]
     for lag in range(1, SMALL):
         at = np.flatnonzero(k[lag:] == k[:-lag]) if len(k) > lag else np.empty(0, np.int64)
         if not len(at):
             break
-        for i, chain in enumerate(chains):
-            own = at[first[at] == i]
-            ok = own[_close(f[own] ^ f[own + lag], chain)]
-            out_a.append(f[ok + lag])
-            out_b.append(f[ok])
-    none = np.empty(0, np.uint64)
+        one, other = small[at], small[at + lag]
+        for i in np.unique(chain_of[one]).tolist():
+            own = chain_of[one] == i
+            x, y = one[own], other[own]
+            ok = _close(fps[x] ^ fps[y], chains[i])
+            if similar:
+                ok &= np.minimum(sizes[x], sizes[y]) >= similar * np.maximum(sizes[x], sizes[y])
+            out_a.append(y[ok])
+            out_b.append(x[ok])
+    none = np.empty(0, np.int64)
     return np.concatenate(out_a or [none]), np.concatenate(out_b or [none])
 
 
-def links(fps: DataFrame, bits: int = BITS) -> DataFrame:
-    """(a, b): links between the distinct fingerprints of column fp that connect all that differ in `bits` or fewer."""
-    if bits >= len(SEGMENTS):
-        raise ValueError(f"at most {len(SEGMENTS) - 1} bits: more need more segments")
-    chains = _chains(bits)
+def _grouped(keyed: DataFrame, chains: list, similar: float, kind: str) -> DataFrame:
+    """(a, b): linked vertices of (key, fp, size, v), group by group; a partition is read as a stream of its sorted keys."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def result(keys: np.ndarray, fps: np.ndarray) -> pa.RecordBatch:
-            a, b = _linked(keys, fps, chains)
-            return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
-
-        held: list[tuple[np.ndarray, np.ndarray]] = []  # the last key's rows, which may go on
+        def result(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+            t = pa.Table.from_batches(held).combine_chunks()
+            k, f, n = (t.column(i).to_numpy() for i in range(3))
+            a, b = _linked(k, f.view(np.uint64), n, chains, similar)
+            v = t.column(3).combine_chunks()
+            return pa.RecordBatch.from_arrays([v.take(pa.array(a)), v.take(pa.array(b))], names=["a", "b"])
+
+        held: list[pa.RecordBatch] = []  # the last key's rows, which may go on
         for batch in batches:
             if not batch.num_rows:
                 continue
-            k, f = batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64)
-            if held and held[-1][0][-1] == k[-1]:
-                held.append((k, f))
+            k = batch.column(0).to_numpy()
+            if held and held[-1].column(0)[-1].as_py() == k[-1]:
+                held.append(batch)
                 continue
             cut = int(np.searchsorted(k, k[-1]))
-            held.append((k[:cut], f[:cut]))
-            yield result(*map(np.concatenate, zip(*held, strict=True)))
-            held = [(k[cut:], f[cut:])]
+            held.append(batch.slice(0, cut))
+            yield result(held)
+            held = [batch.slice(cut)]
         if held:
-            yield result(*map(np.concatenate, zip(*held, strict=True)))
+            yield result(held)
 
-    keyed = fps.select(F.explode(_keys(F.col("fp"))).alias("key"), "fp")
-    return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(of, "a long, b long")
+    return keyed.repartition("key").sortWithinPartitions("key", "v").mapInArrow(of, f"a {kind}, b {kind}")
+
+
+def links(fps: DataFrame, bits: int = BITS, scheme: tuple[int, int] | None = None) -> DataFrame:
+    """(a, b): links between the distinct fingerprints of column fp that connect all that differ in `bits` or fewer."""
+    if bits >= len(SEGMENTS):
+        raise ValueError(f"at most {len(SEGMENTS) - 1} bits: more need more segments")
+    chain, parts = scheme or _scheme(fps.count())
+    keyed = fps.select(F.explode(_keys(F.col("fp"), chain, parts)).alias("key"), "fp").select("key", "fp", F.lit(0).alias("size"), F.col("fp").alias("v"))
+    return _grouped(keyed, _chains(bits), 0.0, "long")
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, bits: int = BITS) -> DataFrame:
     """(id, fp, component): for every row its fingerprint and the smallest id that links of `bits` or fewer reach."""
     prints = written(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
     # The rows of a fingerprint may be a third of all: they are counted and later met by salt.
-    salt = F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int").alias("salt")
+    salt_of = lambda c: F.pmod(F.xxhash64(c), F.lit(SALTS)).cast("int")
+    salt = salt_of("id").alias("salt")
     salted = written(prints.groupBy("fp", salt).agg(F.min("id").alias("least")), "salted")
-    distinct = salted.groupBy("fp").agg(F.min("least").alias("least"))
+    distinct = written(salted.groupBy("fp").agg(F.min("least").alias("least")), "distinct")
     edges = written(links(distinct, bits).distinct(), "links")
     roots = components(edges, "a", "b").withColumnsRenamed({"v": "fp"}) if not edges.isEmpty() else distinct.filter("false").select("fp", F.col("fp").alias("root"))
-    rooted = distinct.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = rooted.groupBy("root").agg(F.min("least").alias("component"))
-    of_fp = rooted.join(least, "root").select("fp", "component")
+    # a component may hold most fingerprints with a link, so its rows meet its least id by salt
+    rooted = distinct.join(roots, "fp").withColumn("salt", salt_of("fp"))
+    least = rooted.groupBy("root").agg(F.min("least").alias("component")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    of_fp = rooted.join(least, ["root", "salt"]).select("fp", "component")
+    of_fp = of_fp.unionByName(distinct.join(roots, "fp", "left_anti").select("fp", F.col("least").alias("component")))
     of_salt = salted.select("fp", "salt").join(of_fp, "fp")
     return prints.select("id", "fp", salt).join(of_salt, ["fp", "salt"]).select("id", "fp", "component")
 
@@ -201,9 +271,89 @@ def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     return out.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
-def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of `docs` that name their component, one for each; rows with a null id stay.
-    Of rows with one id any one stays."""
-    names = classes(docs, id_col, text_col).filter("id = component").select(F.col("id").alias(id_col)).distinct()
-    kept = docs.filter(F.col(id_col).isNotNull()).join(names, id_col, "left_semi").select(docs.columns).dropDuplicates([id_col])
-    return kept.unionByName(docs.filter(F.col(id_col).isNull()))
+# Near copies of a corpus
+
+_FACTORS = np.random.default_rng(SEED).integers(1, 2**63, 2 * BANDS, np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def described(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, row_key, norm, fp, size, bands, shingles) for every row: the digest of the text, that of its lower-cased words
+    (equal words have equal shingles), fingerprint, number of distinct shingles, block keys and 32-bit hashes of shingles."""
+    bound_batches(docs.sparkSession)
+    ship(docs.sparkSession)
+    kind = docs.schema[id_col].dataType.simpleString()
+
+    def bands(h: np.ndarray) -> np.ndarray:
+        """Negative keys, which the ring's keys never are."""
+        if not len(h):
+            return np.full(1, -1)
+        least = np.array([(h * f).min() for f in _FACTORS]).reshape(BANDS, 2)
+        mixed = (least[:, 0] * _FACTORS[:BANDS]) ^ (least[:, 1] * _FACTORS[BANDS:])
+        return (mixed | np.uint64(1 << 63)).view(np.int64)
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            norm, fp, size, keys, sets = [], [], [], [], []
+            for text in b.column(1).to_pylist():
+                words = (text or b"").lower().split()
+                h = hashes(words, WORDS)
+                own = np.unique((h >> np.uint64(32)).astype(np.uint32)).view(np.int32)
+                norm.append(hashlib.md5(b" ".join(words), usedforsecurity=False).digest())
+                fp.append(majority(h))
+                size.append(len(own))
+                keys.append(bands(h))
+                sets.append(own)
+            columns = [
+                b.column(0), b.column(2), pa.array(norm, pa.binary()), pa.array(np.array(fp, np.uint64).view(np.int64), pa.int64()), pa.array(size, pa.int32()),
+                pa.array(keys, pa.list_(pa.int64())), pa.array(sets, pa.list_(pa.int32())),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "row_key", "norm", "fp", "size", "bands", "shingles"])
+
+    text = F.col(text_col).cast("string")
+    rows = docs.select(F.col(id_col).alias("id"), text.cast("binary").alias("text"), row_key(text).alias("row_key"))
+    return rows.mapInArrow(of, f"id {kind}, row_key string, norm binary, fp long, size int, bands array<long>, shingles array<int>")
+
+
+def row_key(text: Column) -> Column:
+    """Which text a row has; with the id it names the row, up to copies that share both."""
+    return F.md5(F.coalesce(text, F.lit("")))
+
+
+def similar_pairs(rows: DataFrame, texts: DataFrame, similar: float = SIMILAR) -> DataFrame:
+    """(a, b): links between texts (norm) of that similarity or more. `rows` is `described`, `texts` has one row a norm with
+    the row that stands for it (least)."""
+    chain, parts = _scheme(texts.count())
+    keyed = texts.select(F.explode(F.concat(_keys(F.col("fp"), chain, parts), "bands")).alias("key"), "fp", "size", F.col("norm").alias("v"))
+    everywhere = [(np.uint64(2**64 - 1), WIDE)]
+    pairs = written(_grouped(keyed, [*_chains(BITS), everywhere], similar, "binary").distinct(), "near-pairs")
+    # the shingles of one row of each text that is in a pair
+    meant = pairs.select(F.explode(F.array("a", "b")).alias("norm")).distinct().join(texts.select("norm", "least.id", "least.row_key"), "norm")
+    meant = written(meant, "near-texts")
+    named = [F.col("r.norm") == F.col("m.norm"), F.col("r.row_key") == F.col("m.row_key"), F.col("r.id").eqNullSafe(F.col("m.id"))]
+    small = F.broadcast(meant) if meant.count() <= BROADCAST else meant
+    sets = rows.alias("r").join(small.alias("m"), named, "left_semi").select("norm", "shingles").dropDuplicates(["norm"])
+    sets = written(sets, "near-sets")
+    a = pairs.join(sets.select(F.col("norm").alias("a"), F.col("shingles").alias("sa")), "a")
+    both = a.join(sets.select(F.col("norm").alias("b"), F.col("shingles").alias("sb")), "b")
+    common = F.size(F.array_intersect("sa", "sb"))
+    return both.filter(common >= similar * (F.size("sa") + F.size("sb") - common)).select("a", "b")
+
+
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similar: float = SIMILAR) -> DataFrame:
+    """One row of each group of near copies: that with the least id, or else the least digest of its text.
+
+    Rows with one id but unlike texts are judged each by its own text; rows with a null id come last in their group. Of
+    rows that share id and text any one stays. Columns of any name pass through."""
+    rows = written(described(docs, id_col, text_col), "described")
+    name = F.struct(F.col("id").isNull().alias("unnamed"), "id", "row_key")
+    texts = rows.groupBy("norm").agg(F.min(name).alias("least"), *[F.first(c).alias(c) for c in ("fp", "size", "bands")])
+    texts = written(texts, "texts")
+    edges = written(similar_pairs(rows, texts, similar), "similar")
+    stays = texts.select("norm", "least")
+    if not edges.isEmpty():
+        roots = components(edges, "a", "b")
+        stays = stays.join(roots.withColumnRenamed("v", "norm"), "norm", "left").withColumn("norm", F.coalesce("root", "norm"))
+    stays = stays.groupBy("norm").agg(F.min("least").alias("least")).select(F.col("least.id").alias("_id"), F.col("least.row_key").alias("_key"))
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), F.col(id_col).alias("_0"), row_key(F.col(text_col).cast("string")).alias("_1"))
+    kept = whole.join(stays, F.col("_0").eqNullSafe(F.col("_id")) & (F.col("_1") == F.col("_key")), "left_semi")
+    return kept.dropDuplicates(["_0", "_1"]).select("_doc.*")
