@@ -6,7 +6,8 @@ of four bands of each frame. A peak is a bin no weaker than those of its band in
 paired with the next few of later frames. A pair is one 64-bit code: the time of the first peak in the upper half, then both bins and
 the time between them, so an array of codes is in the order of time and can be searched by time or by pair.
 
-Frames are transformed in blocks, so memory is that of the text whatever its length. Null texts count as empty (64 zero
+Frames are transformed in blocks, so memory is that of the text whatever its length. Ties between bins of a band go to the
+lowest, those between frames to the earliest. Other columns are not read. Null texts count as empty (64 zero
 samples). Equal texts give equal bytes and codes. Repeated rows and null ids are kept; an empty table gives no rows.
 """
 
@@ -112,9 +113,10 @@ def encoded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Lengths and digests of what is stored and read back, the digest of the time-coded array and the array itself."""
     pairs = F.col("fingerprint")
     feature = F.concat_ws(":", F.size(pairs).cast("string"), F.sha2(F.array_join(pairs.cast("array<string>"), ","), 256))
     return encoded(docs, id_col, text_col).select(
         id_col, "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", F.length("media").cast("long").alias("media_bytes"),
-        F.sha2("media", 256).alias("media_sha256"), feature.alias("feature"),
+        F.sha2("media", 256).alias("media_sha256"), feature.alias("feature"), "fingerprint",
     )

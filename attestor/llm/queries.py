@@ -9,42 +9,52 @@ from . import media, mixing, packing, pii, quality, secrets, simhash, token_coun
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document: base spans, spans that the method adds, and linked credentials."""
     return secrets.report(table(spark, sf_dir, "documents"))
 
 
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fingerprint of every document and the least id that links of four or fewer bits reach."""
     return simhash.report(table(spark, sf_dir, "documents"))
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A score of toxicity and a verdict for every document, learned from the labels that aren't held out."""
     return toxicity.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in sequences of at most 2,048 tokens, one row for each piece."""
     return packing.report(table(spark, sf_dir, "documents"))
 
 
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rule and the verdict for the URL of every page."""
     return url_rules.report(table(spark, sf_dir, "pages"))
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many words of every document the mixture takes."""
     return mixing.report(table(spark, sf_dir, "documents"))
 
 
 def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as a WAV file, read back and fingerprinted."""
     return media.report(table(spark, sf_dir, "documents"))
 
 
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of every document: base spans and those that checksums or nearby words confirm."""
     return pii.report(table(spark, sf_dir, "documents"))
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics of every document, the base rule and the verdict of the trees."""
     return quality.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact token counts of every document, and how much of it the limit holds."""
     return token_counts.report(table(spark, sf_dir, "documents"))
 
 

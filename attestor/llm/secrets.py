@@ -10,8 +10,13 @@ only when a complementary part starts within `SCOPE` code points of them in the
 The interval join is a range frame over the parts of one document, so no pairs are made; the frame spans at most
 2 * SCOPE code points and therefore holds a bounded number of parts.
 
-Null texts count as empty; rows without any span are returned with empty results; repeated rows and repeated or null
-ids are kept apart; an empty table gives no rows; columns beside the id and the text are not read.
+`credentials` links them: each secret with the nearest identifier and the nearest endpoint whose starts lie within the
+scope, found by range frames before and after it. Parts whose starts follow one another within the scope form a group.
+
+Null texts count as empty; rows without any span are returned with empty results; very long texts are scanned whole, in
+linear time; spans of equal start come in the order of the kinds, and of two parts equally near the one before counts;
+repeated rows and repeated or null ids are kept apart; an empty table gives no rows; columns beside the id and the text
+are not read.
 """
 
 from __future__ import annotations
@@ -80,7 +85,42 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scope:
     )
 
 
+def _nearest(names: tuple[str, ...], scope: int) -> Column:
+    """(kind, start, end) of the nearest reported part of these kinds within the scope."""
+    part = F.when(F.col("kind").isin(*names), F.struct("kind", "start", "end"))
+    by = W.partitionBy("_row").orderBy("start")
+    before = F.last(part, True).over(by.rangeBetween(-scope, 0))
+    after = F.first(part, True).over(by.rangeBetween(1, scope))
+    nearer = F.coalesce(F.col("start") - before["start"], F.lit(scope + 1)) <= F.coalesce(after["start"] - F.col("start"), F.lit(scope + 1))
+    return F.when(nearer, before).otherwise(after)
+
+
+def linked(parts: DataFrame, scope: int = SCOPE) -> DataFrame:
+    """`parts` with group (of the parts whose starts follow one another within the scope, numbered in each row of the
+    input), identifier and endpoint: the nearest of each kind as kind, start, end, or null."""
+    by = W.partitionBy("_row").orderBy("start", "ord")
+    start = F.when(F.col("kind").isNotNull(), F.col("start"))
+    last = F.last(start, True).over(by.rowsBetween(W.unboundedPreceding, -1))
+    parts = parts.withColumn("_begins", F.coalesce(start - last > scope, last.isNull()).cast("int") * start.isNotNull().cast("int"))
+    group = F.sum("_begins").over(by.rowsBetween(W.unboundedPreceding, 0)).cast("int")
+    return parts.withColumns({"group": group, "identifier": _nearest(_IDENTIFIERS, scope), "endpoint": _nearest(("endpoint",), scope)}).drop("_begins")
+
+
+def _is_linked() -> Column:
+    return F.col("kind").isin(*_SECRETS) & (F.col("identifier").isNotNull() | F.col("endpoint").isNotNull())
+
+
+def credentials(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scope: int = SCOPE) -> DataFrame:
+    """One row for each secret with an identifier or an endpoint near it: the columns of `scan` and `linked`."""
+    return linked(scan(docs, id_col, text_col, scope), scope).filter(_is_linked())
+
+
 def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scope: int = SCOPE) -> DataFrame:
-    """Per row of `docs`: base counts, the digest of base spans, all spans, and the number of linked spans."""
-    linked = F.count_if(F.col("n_linked") > 0).alias("linked_spans")
-    return spans.digest(scan(docs, id_col, text_col, scope), "_row", id_col, KINDS, [linked])
+    """Per row of `docs`: base counts, the digest of base spans, all spans, the number of linked spans, and the linked
+    credentials as group|identifier|secret|endpoint, each part as kind:start:end or empty, joined by semicolons."""
+    span = lambda c: F.concat_ws(":", c["kind"], c["start"].cast("string"), c["end"].cast("string"))
+    text = F.concat_ws("|", F.col("group").cast("string"), span(F.col("identifier")), span(F.struct("kind", "start", "end")), span(F.col("endpoint")))
+    found = F.array_sort(F.collect_list(F.when(_is_linked(), F.struct("start", "ord", text.alias("text")))))
+    n_linked = F.count_if(F.col("n_linked") > 0).alias("linked_spans")
+    joined = F.array_join(F.transform(found, lambda x: x["text"]), ";").alias("credentials")
+    return spans.digest(linked(scan(docs, id_col, text_col, scope), scope), "_row", id_col, KINDS, [n_linked, joined])

@@ -8,7 +8,7 @@ worker and reused; a text's table is the pieces' tables one after another, with
 The table answers how many tokens any prefix has (`count_at`), and how much of a text fits a budget (`fitting`),
 without encoding again. Counts are those of the prefix itself: they may fall as a word is completed.
 
-Null texts count as empty (no tokens, an empty table). Strings of special tokens count as the special token, as is the
+Null texts count as empty (no tokens, an empty table). Very long texts are counted whole; long pieces aren't remembered. Strings of special tokens count as the special token, as is the
 library's default. Repeated rows and null ids are kept; an empty table gives no rows; extra columns are not read.
 """
 
@@ -225,8 +225,14 @@ def levels(table: bytes) -> np.ndarray:
     return np.concatenate(([0], np.cumsum(np.frombuffer(table, np.int8), dtype=np.int64)))
 
 
-def prefix_tables(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_bytes, n_tokens, prefix): prefix is the table of the whole text."""
+def longest(table: bytes, budget: int) -> int:
+    """Code points of the longest prefix that has at most `budget` tokens."""
+    return int(np.flatnonzero(levels(table) <= budget)[-1])
+
+
+def prefix_tables(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", limit: int = LIMIT) -> DataFrame:
+    """(id, n_bytes, n_tokens, fit_chars, prefix): prefix is the table of the whole text, fit_chars the number of its code
+    points that `limit` tokens hold."""
     bound_batches(docs.sparkSession, 256)
     ship(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
@@ -236,11 +242,14 @@ def prefix_tables(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_
         for b in batches:
             steps = [tables.table(x or "") for x in b.column(1).to_pylist()]
             tokens = [int(np.frombuffer(s, np.int8).sum(dtype=np.int64)) for s in steps]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(tokens, pa.int64()), pa.array(steps, pa.binary())], names=[id_col, "n_bytes", "n_tokens", "prefix"])
+            # a prefix may have more tokens than the whole text, but only a long one can pass the limit
+            fits = [len(s) if len(s) <= limit else longest(s, limit) for s in steps]
+            columns = [b.column(0), b.column(2), pa.array(tokens, pa.int64()), pa.array(fits, pa.int64()), pa.array(steps, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=[id_col, "n_bytes", "n_tokens", "fit_chars", "prefix"])
 
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col), text.alias("_text"), F.octet_length(text).cast("long").alias("_bytes"))
-    return rows.mapInArrow(of, f"`{id_col}` {kind}, n_bytes long, n_tokens long, prefix binary")
+    return rows.mapInArrow(of, f"`{id_col}` {kind}, n_bytes long, n_tokens long, fit_chars long, prefix binary")
 
 
 @F.pandas_udf(LongType())
@@ -253,12 +262,13 @@ def fitting(prefix: Column, budget: int) -> Column:
     """Code points of the longest prefix that has at most `budget` tokens."""
 
     @F.pandas_udf("long")
-    def longest(tables: pd.Series) -> pd.Series:
-        return pd.Series([int(np.flatnonzero(levels(t) <= budget)[-1]) for t in tables])
+    def fits(tables: pd.Series) -> pd.Series:
+        return pd.Series([longest(t, budget) for t in tables])
 
-    return longest(prefix)
+    return fits(prefix)
 
 
 def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = LIMIT) -> DataFrame:
-    rows = prefix_tables(docs, public_tokenizers.path("byte_bpe_50k.json"), id_col, text_col)
-    return rows.select(id_col, "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+    """(id, n_bytes, n_tokens, over_limit, fit_chars): whether a text passes the limit and how much of it the limit holds."""
+    rows = prefix_tables(docs, public_tokenizers.path("byte_bpe_50k.json"), id_col, text_col, limit)
+    return rows.select(id_col, "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"), "fit_chars")

@@ -4,11 +4,13 @@ Each rule is a regular expression over host and path that can only match where c
 letters and digits) occur. Of these the index holds the one that is rarest among the URLs at hand. The tokens of a URL
 fetch its candidate rules by an equi-join, and only those expressions run.
 
-List rules name a host (with all its subdomains) and the beginning of a path; the longest that fits decides. Other
-rules block hosts by patterns; they decide where no list rule fits, and what nothing matches is allowed.
+List rules name a host (with all its subdomains) and the beginning of a path; the longest that fits decides, of equal
+lengths the last by code point. Pattern rules block by wildcards, separators and anchors; they decide where no list rule
+fits, and what nothing matches is allowed.
 
-A null URL, or one without `://`, has an empty host and path; such a URL is blocked. Repeated rows and null ids are each
-returned; an empty table gives no rows; columns beside id and URL are not read.
+A null URL, or one without `://`, has an empty host and path; such a URL is blocked. Very long URLs are read whole, and a
+token that is repeated in one fetches its rules once. Repeated rows and null ids are each returned; an empty table gives
+no rows; columns beside id and URL are not read.
 """
 
 from __future__ import annotations
@@ -49,11 +51,37 @@ def word_rule(word: str) -> Rule:
     return Rule(rf"^(?:[^/]*[^a-z0-9/])?{word}(?![a-z0-9])", "block", (word,))
 
 
+_PIECE = re.compile(r"[A-Za-z0-9]+|.", re.DOTALL)
+
+
+def pattern_rule(pattern: str, verdict: str = "block") -> Rule:
+    """A rule in the style of filter lists: || begins at the host or one of its domains, | at either end is the URL's own,
+    * stands for any characters, ^ for a separator or the end. A run of letters and digits is a literal token unless it
+    may go on: beside a * or at an end that isn't anchored."""
+    body, head, tail = pattern, "", ""
+    if body.startswith("||"):
+        body, head = body[2:], r"^(?:[^/]*\.)?"
+    elif body.startswith("|"):
+        body, head = body[1:], "^"
+    if body.endswith("|"):
+        body, tail = body[:-1], "$"
+    pieces = _PIECE.findall(body)
+    bounded = [bool(head), *[p != "*" and not p.isalnum() for p in pieces], bool(tail)]
+    literals = tuple(p for i, p in enumerate(pieces) if p.isascii() and p.isalnum() and bounded[i] and bounded[i + 2])
+    spelled = {"*": "(?s:.*)", "^": "(?:[^A-Za-z0-9_.%-]|$)"}
+    return Rule(head + "".join(spelled.get(p) or re.escape(p) for p in pieces) + tail, verdict, literals)
+
+
 LIST = (
     list_rule("allow", "org/"), list_rule("block", "example.org/es/"), list_rule("block", "example.org/en/1"),
     list_rule("allow", "com/fr/"), list_rule("block", "com/de/"),
 )
-RULES = (*LIST, *map(word_rule, BLOCKED_WORDS))
+#: Patterns of paths and hosts that the method blocks: fixed values of this filter.
+BLOCKED_PATTERNS = (
+    "/ads/", "/adserver^", "/banner^*^click^", "/cgi-bin/*.exe|", "/wp-login.php|", "/xmlrpc.php|", "/track/*/pixel.", "/popunder^", "/phishing/",
+    "||adserver.", "||doubleclick.", "||free-download^", "-casino-online^", "/porn/", "^affiliate^*^redirect^",
+)
+RULES = (*LIST, *map(word_rule, BLOCKED_WORDS), *map(pattern_rule, BLOCKED_PATTERNS))
 
 
 def host(url: Column) -> Column:
@@ -71,7 +99,8 @@ def _tokens(place: Column) -> Column:
 
 
 def index(urls: DataFrame, rules: Sequence[Rule]) -> DataFrame:
-    """(token, pattern, verdict, name): each rule under the literal that the fewest of `urls` (column _place) have."""
+    """(token, pattern, verdict, name): each rule under the literal that the fewest of `urls` (column _place) have, of equals
+    the least."""
     spark = urls.sparkSession
     rows = [(i, r.pattern, r.verdict, r.name, list(r.literals)) for i, r in enumerate(rules)]
     frame = spark.createDataFrame(rows, "id int, pattern string, verdict string, name string, literals array<string>")
@@ -109,6 +138,7 @@ def judged(pages: DataFrame, rules: Sequence[Rule] = RULES, id_col: str = "page_
 
 
 def report(pages: DataFrame, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
+    """(id, host, path, rule, verdict) for every row of `pages`."""
     return judged(pages, RULES, id_col, url_col).drop("candidates")
 
 
@@ -123,6 +153,7 @@ j AS (
   SELECT u.*, (SELECT max(struct_pack(n := length(name), name := name, verdict := verdict)) FROM r
                WHERE (u.host = h OR u.host LIKE '%.' || h) AND starts_with(u.path, p)) AS best FROM u)
 SELECT page_id, host, path, best.name AS rule,
-  coalesce(best.verdict, CASE WHEN host = '' OR regexp_matches(host, '(^|[^a-z0-9])({"|".join(BLOCKED_WORDS)})([^a-z0-9]|$)') THEN 'block' ELSE 'allow' END) AS verdict
+  coalesce(best.verdict, CASE WHEN host = '' OR regexp_matches(host, '(^|[^a-z0-9])({"|".join(BLOCKED_WORDS)})([^a-z0-9]|$)')
+    OR regexp_matches(host || path, '{"|".join(pattern_rule(p).pattern for p in BLOCKED_PATTERNS)}') THEN 'block' ELSE 'allow' END) AS verdict
 FROM j
 """
