@@ -20,7 +20,10 @@ TEXTS = [
 
 def edge_rows() -> list[tuple]:
     out = [(i, t, "en" if i % 2 else None, "ab"[i % 2] if i % 5 else None, len(t or "")) for i, t in enumerate(TEXTS)]
-    return [*out, out[9], out[9], (None, "no id here, password=abcdefgh1", "en", "a", 30), (None, None, None, None, None)]
+    unnamed = [(None, f"no id here either, {'x ' * i}password=abcdefgh{i}", "en", "a", 30) for i in range(12)]
+    unlike = [(77, f"{w} " * 60, "en", "b", 60) for w in ("north", "south", "west")]
+    often = [(78, "one text that comes again and again with its id", "en", "b", 47)] * 300
+    return [*out, out[9], out[9], (None, None, None, None, None), *unnamed, unnamed[0], *unlike, *often]
 
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"

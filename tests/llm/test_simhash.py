@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import random
 import re
 from collections import Counter
@@ -56,8 +57,9 @@ def test_classes(spark, which):
     assert got == Counter((i, f"{f:016x}", least[f]) for i, f in rows)
 
 
-def test_links_lose_nothing(spark):
-    """Random clusters, among them one larger than the groups that are compared lag by lag."""
+@pytest.mark.parametrize("scheme", [(2, 2), (3, 2), (3, 3)])
+def test_links_lose_nothing(spark, scheme):
+    """With keys of each width. Random clusters, among them one larger than the groups that are compared lag by lag."""
     rng = random.Random(1)
     fps = set()
     for size in (2, 3, 10, 120):
@@ -68,7 +70,7 @@ def test_links_lose_nothing(spark):
     fps |= {rng.getrandbits(64) for _ in range(500)}
     rows = [(i, f) for i, f in enumerate(sorted(fps))]
     df = spark.createDataFrame([(int(np.uint64(f).view(np.int64)),) for f in fps], "fp long")
-    edges_ = [(r["a"] % 2**64, r["b"] % 2**64) for r in simhash.links(df).collect()]
+    edges_ = [(r["a"] % 2**64, r["b"] % 2**64) for r in simhash.links(df, scheme=scheme).collect()]
     assert all((a ^ b).bit_count() <= 4 for a, b in edges_)
     root = {f: f for f in fps}
 
@@ -85,14 +87,72 @@ def test_links_lose_nothing(spark):
             assert (of(f) == of(g)) == (expected[f] == expected[g])
 
 
-def test_one_of_each_group_stays(spark):
-    docs = edges(spark, clashing=True)
+def shingles(text: str | None) -> frozenset:
+    w = re.findall(r"[^\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
+    return frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset()
+
+
+def survivors(rows: list[tuple]) -> Counter:
+    """(id, text) of the row that stays for each group, over all pairs of texts."""
+    sets = {}
+    for _, t in rows:
+        sets.setdefault(shingles(t), len(sets))
+    distinct = list(sets)
+    root = list(range(len(distinct)))
+
+    def of(i: int) -> int:
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, a in enumerate(distinct):
+        for j in range(i):
+            both = len(a & distinct[j])
+            if both >= 0.8 * (len(a) + len(distinct[j]) - both) and both:
+                root[of(i)] = of(j)
+    least: dict[int, tuple] = {}
+    for i, t in rows:
+        g = of(sets[shingles(t)])
+        key = (i is None, i or 0, hashlib.md5((t or "").encode()).hexdigest())
+        least[g] = min(least.get(g, key), key)
+    return Counter((None if k[0] else k[1], k[2]) for k in least.values())
+
+
+@pytest.mark.parametrize("which", ["edges", "table"])
+def test_one_of_each_group_stays(spark, which):
+    docs = table(spark, "/root/testdata/sf0.001", "documents") if which == "table" else edges(spark, clashing=True)
     got = simhash.deduplicated(docs)
     assert got.columns == docs.columns
-    component = {r["doc_id"]: r["component_id"] for r in simhash.report(docs).collect() if r["doc_id"] is not None}
-    kept = [r.asDict() for r in got.collect()]
-    assert sorted(r["doc_id"] for r in kept if r["doc_id"] is not None) == sorted(set(component.values()))
-    assert all(r["_nth"] == "_nth" for r in kept)
+    digest = lambda t: hashlib.md5((t or "").encode()).hexdigest()
+    assert Counter((r["doc_id"], digest(r["text"])) for r in got.collect()) == survivors([(r["doc_id"], r["text"]) for r in docs.collect()])
+
+
+def test_rows_of_one_id_are_judged_apart(spark):
+    texts = [" ".join(f"{w}{i}" for i in range(60)) for w in "abc"]
+    docs = spark.createDataFrame([(7, texts[0]), (7, texts[1]), (8, texts[2]), (None, texts[2]), (None, texts[0] + " more"), (None, "alone")], "doc_id long, text string")
+    assert Counter(map(tuple, simhash.deduplicated(docs).collect())) == Counter([(7, texts[0]), (7, texts[1]), (8, texts[2]), (None, "alone")])
+
+
+def test_near_copies_are_caught(spark):
+    """Copies of similarity 0.8 to 0.95, of long and short texts, and a crowd of copies of one text."""
+    rng = random.Random(2)
+    rows, pairs = [], 0
+    for n in (40, 100, 400, 2000):
+        for _ in range(25):
+            w = [f"w{rng.randrange(10**6)}" for _ in range(n)]
+            other = list(w)
+            for i in rng.sample(range(n), max(1, round(n * rng.uniform(0.005, 0.02)))):
+                other[i] = f"x{rng.randrange(10**6)}"
+            a, b = shingles(" ".join(w)), shingles(" ".join(other))
+            pairs += len(a & b) / len(a | b) >= 0.8
+            rows += [(len(rows), " ".join(w)), (len(rows) + 1, " ".join(other))]
+    w = [f"c{i}" for i in range(300)]
+    for k in range(400):
+        rows.append((len(rows), " ".join(w[:k] + ["odd"] + w[k + 1 :]) if k < 300 else " ".join(w) + f" {k}"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert pairs > 60
+    kept = Counter(r["doc_id"] for r in simhash.deduplicated(docs).collect())
+    assert kept == Counter(i for i, _ in survivors(rows).elements())
 
 
 def test_empty_table(spark):

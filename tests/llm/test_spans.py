@@ -72,6 +72,36 @@ def test_weak_parts_need_a_partner(spark):
     assert kinds == {1: [], 2: ["account", "assign"], 3: ["assign"], 4: [], 5: ["endpoint", "account", "assign"]}
 
 
+def test_credentials(spark):
+    """Each secret with the nearest parts within the scope, against all pairs in plain Python."""
+    far = " filler" * 100
+    rows = [
+        (1, "user: bob password=abcdefgh1 https://a.b/c"), (2, f"login=amy{far} secret=abcdefgh2"), (3, f"user: bob token=abcdefgh3{far} account: eve api_key=abcdefgh4 postgres://db/x"),
+        (4, None), (5, "AKIA" + "B" * 16 + " user: joe password=abcdefgh5 user: sue"), (6, "password=abcdefgh6"), (6, "password=abcdefgh6 login=max"),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = Counter((r["doc_id"], r["credentials"]) for r in secrets.report(docs).collect())
+    expected = Counter()
+    for i, text in rows:
+        all_spans = {r["spans"] for r in secrets.report(spark.createDataFrame([(i, text)], docs.schema)).collect()}.pop()
+        parts = [(k, int(a), int(b)) for k, a, b in (s.split(":") for s in all_spans.split(",") if s)]
+        group, last, groups = 0, None, {}
+        for p in sorted(parts, key=lambda p: p[1]):
+            group += last is None or p[1] - last > secrets.SCOPE
+            groups[p], last = group, p[1]
+        near = lambda s, kinds: min((p for p in parts if p[0] in kinds and abs(p[1] - s[1]) <= secrets.SCOPE), key=lambda p: (abs(p[1] - s[1]), p[1] > s[1], -p[1]), default=None)  # noqa: B023, E731
+        shown = lambda p: ":".join(map(str, p)) if p else ""
+        out = []
+        for s in (p for p in parts if p[0] in secrets._SECRETS):
+            a, e = near(s, secrets._IDENTIFIERS), near(s, ("endpoint",))
+            if a or e:
+                out.append("|".join((str(groups[s]), shown(a), shown(s), shown(e))))
+        expected[i, ";".join(out)] += 1
+    assert got == expected and sum(n for (_, c), n in got.items() if c) >= 4
+    found = secrets.credentials(docs).collect()
+    assert len(found) == sum(c.count(";") + 1 for _, c in got.elements() if c)
+
+
 def test_checksums_and_context(spark):
     rows = [(1, "GB82 WEST 1234 5698 7654 32"), (2, "GB83 WEST 1234 5698 7654 32"), (3, "call 555-123-4567"), (4, "size 555-123-4567"), (5, "my ssn 078-05-1120")]
     got = {r["doc_id"]: r["spans"].split(":")[0] for r in pii.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
