@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import evidence, findings, live, scans  # noqa: F401  they register their queries
+from .plans import evidence, findings, live, rules, scans  # noqa: F401  they register their queries
 from .plans.registry import QUERIES, SQL
 
 

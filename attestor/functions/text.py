@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: The quotation marks and dashes that plain ones replace.
-SMART, PLAIN = "‘’“”–—", "''\"\"--"
+#: The quotation marks that plain ones replace.
+SMART, PLAIN = "‘’“”", "''\"\""
 BLANKS = r"[\x20\x09-\x0D]+"
 
 
@@ -30,10 +30,61 @@ def word_hit(text: Column, words: list[str]) -> Column:
     return F.lower(F.coalesce(text, F.lit(""))).rlike("(?:^|[^a-z0-9])(?:" + "|".join(words) + ")(?:[^a-z0-9]|$)")
 
 
-def masked(text: Column) -> Column:
-    """E-mail addresses, then addresses of hosts up to their last part."""
-    out = F.regexp_replace(text, r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "[EMAIL]")
-    return F.regexp_replace(out, r"([0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3})\.[0-9]{1,3}", "$1.xxx")
+_OCTET = "(?:25[0-5]|2[0-4][0-9]|[01]?[0-9][0-9]?)"
+_NET = rf"\b((?:{_OCTET}\.){{2}}{_OCTET})\.{_OCTET}\b"
+#: A number with a country code or a leading zero, and no digit beside it.
+PHONE = r"(?:\+(?:91|44|1)[\s-]|(?:91|44)-|0)[0-9][0-9\s-]{7,10}[0-9]"
+MARKER = " (IP masked)"
+
+
+def masked(text: Column, addresses: str = "mask") -> Column:
+    """E-mail addresses, then addresses of hosts, then phone numbers. "mask" hides the last part of a host's address and says
+    so once, at the first; "redact" takes whole addresses out; "keep" leaves them."""
+    out = F.regexp_replace(text, r"[A-Za-z0-9_.+-]+@[A-Za-z0-9_-]+\.[A-Za-z]{2,}", "[EMAIL REDACTED]")
+    if addresses == "mask":
+        out = F.regexp_replace(F.regexp_replace(out, rf"(?s)^(.*?){_NET}", f"$1$2.xxx{MARKER}"), _NET, "$1.xxx")
+    elif addresses == "redact":
+        out = F.regexp_replace(out, _NET, "[IP REDACTED]")
+    return F.regexp_replace(out, rf"(?<![0-9]){PHONE}(?![0-9])", "[PHONE REDACTED]")
+
+
+def stripped(text: Column) -> Column:
+    """Without white space at its ends."""
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
+def n_words(text: Column) -> Column:
+    return F.size(F.filter(F.split(text, r"\s+"), lambda w: w != ""))
+
+
+def pairs(text: Column) -> Column:
+    """map of label to value for "label: value" in a text, yes and no standing for all words of their kind; of equal labels
+    the first counts. Words that text recognition glues to a label are taken off."""
+    flat = F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " ")
+    found = F.regexp_extract_all(flat, F.lit(_PAIR), F.lit(0))
+
+    def entry(hit: Column) -> Column:
+        label = F.regexp_replace(F.lower(F.regexp_extract(hit, _PAIR, 1)), "[^a-z ]", " ")
+        label = F.trim(F.regexp_replace(F.trim(F.regexp_replace(label, " +", " ")), _GLUED, ""))
+        value = F.lower(F.regexp_extract(hit, _PAIR, 2))
+        return F.struct(label.alias("label"), F.when(value.isin(*YES), "yes").when(value.isin(*NO), "no").otherwise(value).alias("value"))
+
+    entries = F.filter(F.transform(found, entry), lambda e: F.length(e["label"]) >= 3)
+    labels = F.transform(entries, lambda e: e["label"])
+    first = F.filter(entries, lambda e, i: F.array_position(labels, e["label"]) == i + 1)
+    return F.map_from_entries(first)
+
+
+# How a field and its value are written, words that don't belong to a label, and words of one meaning.
+_PAIR = r"(?i)([A-Za-z][A-Za-z /_-]{2,40}?)\s*[:=]\s*(yes|no|true|false|enabled|disabled|active|inactive|on|off|present|absent|n/a)\b"
+_GLUED = r"^(?:(?:a|the|cache|config|dbus|db|local|java|root|tmp|var|etc|usr|bin)\s+)+"
+YES, NO = ("true", "on", "enabled", "active", "present", "yes"), ("false", "off", "disabled", "inactive", "absent", "no")
+
+
+def contradictions(quote: Column, source: Column) -> Column:
+    """Labels that a quote and its source both have, with different values."""
+    said, truth = pairs(quote), pairs(source)
+    return F.filter(F.map_keys(said), lambda k: F.map_contains_key(truth, k) & (said[k] != truth[k]))
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -54,8 +105,8 @@ def token_estimate(text: Column) -> Column:
 
 
 def sentences(text: Column, least: int = 4) -> Column:
-    """Sentences of at least so many words."""
-    return F.filter(F.split(text, r"[.!?]\s+"), lambda s: F.size(F.filter(F.split(s, BLANKS), lambda w: w != "")) >= least)
+    """Sentences of at least so many words, with the mark that ends them."""
+    return F.filter(F.transform(F.split(text, r"(?<=[.!?])\s+"), stripped), lambda s: n_words(s) >= least)
 
 
 def content_key(text: Column) -> Column:

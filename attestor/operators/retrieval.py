@@ -17,24 +17,37 @@ K1, B, EPSILON = 1.5, 0.75, 0.25
 SHINGLE = 6
 
 
-def bm25(docs: DataFrame, terms: Mapping[str, float], id_col: str, text_col: str) -> DataFrame:
-    """(id, score) for rows with one of the terms; `terms` are query words with their weights.
-
-    Lengths and document counts are one aggregation over all rows; a term's frequency is counted within its row, so
-    nothing is exploded beyond the query's words."""
-    words = docs.select(F.col(id_col), X.tokens(F.col(text_col)).alias("_w"))
-    names = list(terms)
-    counts = [_count(t).alias(f"_tf{i}") for i, t in enumerate(names)]
-    rows = words.select(id_col, F.size("_w").alias("_dl"), *counts)
+def bm25(docs: DataFrame, terms: Mapping[str, float] | Sequence[Mapping[str, float]], id_col: str, text_col: str, keep_all: bool = False, carry: Sequence[str] = ()) -> DataFrame:
+    """(id, carry..., score) for rows with one of the terms, or for all rows. `terms` are query words with their weights; of
+    several queries the best score counts.
+
+    A word that most rows have would weigh less than nothing; it gets EPSILON of the mean weight of all words instead. Rows
+    are cut down to their length and the counts of the query's words, which is written and read twice; the vocabulary is a
+    count that combines before the shuffle."""
+    queries = [terms] if isinstance(terms, Mapping) else list(terms)
+    names = list(dict.fromkeys(t for q in queries for t in q))
+    words = docs.select(F.col(id_col), *carry, X.tokens(F.col(text_col)).alias("_w"))
+    rows = words.select(id_col, *carry, F.size("_w").alias("_dl"), *[_count(t).alias(f"_tf{i}") for i, t in enumerate(names)])
+    rows = written(rows, "term-counts")
     stats = rows.agg(F.count("*").alias("_n"), F.avg("_dl").alias("_avg"), *[F.count_if(F.col(f"_tf{i}") > 0).alias(f"_df{i}") for i in range(len(names))])
-    rows = rows.crossJoin(F.broadcast(stats))  # one row of statistics
-    score = F.lit(0.0)
-    for i, t in enumerate(names):
-        idf = F.log((F.col("_n") - F.col(f"_df{i}") + 0.5) / (F.col(f"_df{i}") + 0.5))
-        idf = F.greatest(idf, F.lit(EPSILON))
-        tf = F.col(f"_tf{i}").cast("double")
-        score = score + terms[t] * idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("_dl") / F.col("_avg")))
-    return rows.select(id_col, score.alias("score")).filter("score > 0")
+    seen = words.select(F.explode(F.array_distinct("_w")).alias("t")).groupBy("t").agg(F.count("*").alias("df"))
+    weight = lambda n, df: F.log((n - df + 0.5) / (df + 0.5))
+    # one row of statistics and one of the mean
+    mean = seen.crossJoin(F.broadcast(stats.select("_n"))).agg(F.avg(weight(F.col("_n"), F.col("df"))).alias("_mean"))
+    rows = rows.crossJoin(F.broadcast(stats.crossJoin(mean)))
+    scores = []
+    for q in queries:
+        score = F.lit(0.0)
+        for t, w in q.items():
+            i = names.index(t)
+            idf = weight(F.col("_n"), F.col(f"_df{i}"))
+            idf = F.when(idf < 0, EPSILON * F.col("_mean")).otherwise(idf)
+            tf = F.col(f"_tf{i}").cast("double")
+            score = score + w * idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("_dl") / F.col("_avg")))
+        scores.append(score)
+    best = scores[0] if len(scores) == 1 else F.greatest(*scores)
+    out = rows.select(id_col, *carry, best.alias("score"))
+    return out if keep_all else out.filter("score > 0")
 
 
 def _count(term: str) -> Column:
@@ -48,13 +61,89 @@ def nearest(vectors: DataFrame, query: Sequence[float], id_col: str, vector_col:
     return near.orderBy(F.desc("similarity"), id_col).limit(k)
 
 
-def hybrid(keyword: Column, vector: Column, top: Column) -> Column:
-    return F.when(vector.isNull(), keyword / top).otherwise(0.4 * keyword / top + 0.6 * vector)
+# Words that formal documents have, and those of texts that only explain; shares of the two rankings; the cut
+# of candidates; how alike two chunks may be; the least score of a file that must be heard.
+GOVERNING = (
+    "effective date", "version", "approved by", "document owner", "review cycle", "revision history", "effective", "annual review",
+    "implementation", "status: active", "status: approved", "policy statement",
+)
+EXPLAINING = ("is defined as", "refers to", "what is ", "definition of", "background and introduction", "general overview", "purpose of this document is to define")
+WORD_SHARE, VECTOR_SHARE, CUT, MOST, SOME, ALIKE, HEARD = 0.4, 0.6, 0.05, 40, 20, 0.97, 0.15
+RERANKED, KEPT = 0.7, 0.3
+
+
+def boost(text: Column) -> Column:
+    """What a chunk's score is multiplied by: more for formal documents, less for explanations."""
+    low = F.lower(F.coalesce(text, F.lit("")))
+    n = lambda words: sum((low.contains(w).cast("int") for w in words), F.lit(0))
+    return 1.0 + 0.15 * n(GOVERNING) - 0.10 * n(EXPLAINING)
+
+
+def hybrid(rows: DataFrame, keys: Sequence[str], keyword: str = "keyword", vector: str | None = "vector") -> DataFrame:
+    """`rows` with score: the keyword score as a share of the best of its query and the similarity (0 if a row has none).
+    Without a query vector it is the keyword score."""
+    if vector is None:
+        return rows.withColumn("score", F.col(keyword))
+    top = rows.groupBy(*keys).agg(F.max(keyword).alias("_top"))  # one row a query
+    rows = rows.join(F.broadcast(top), list(keys)) if keys else rows.crossJoin(F.broadcast(top))
+    share = F.when(F.col("_top") > 0, F.col(keyword) / F.col("_top")).otherwise(0.0)
+    return rows.withColumn("score", WORD_SHARE * share + VECTOR_SHARE * F.coalesce(F.col(vector), F.lit(0.0))).drop("_top")
+
+
+def _ranked(keys: Sequence[str], order: Sequence[str]) -> Column:
+    return F.row_number().over(W.partitionBy(*(keys or [F.lit(1)])).orderBy(F.desc("score"), *order))
+
+
+def candidates(rows: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """The best MOST rows of each query above the cut, or the best SOME where none is. Limits on ranks are pushed below the
+    shuffle, so a task sends no more than MOST rows of a query."""
+    best = rows.withColumn("_r", _ranked(keys, order)).filter(F.col("_r") <= MOST)
+    over = W.partitionBy(*(keys or [F.lit(1)]))
+    best = best.withColumn("_any", F.max("score").over(over) > CUT)
+    return best.filter((F.col("_any") & (F.col("score") > CUT)) | (~F.col("_any") & (F.col("_r") <= SOME))).drop("_r", "_any")
+
+
+def distinct_texts(rows: DataFrame, keys: Sequence[str], order: Sequence[str], text: str) -> DataFrame:
+    """The best of candidates with equal texts."""
+    over = W.partitionBy(*keys, F.md5(X.stripped(F.col(text)))).orderBy(F.desc("score"), *order)
+    return rows.withColumn("_r", F.row_number().over(over)).filter("_r = 1").drop("_r")
+
+
+def unlike(rows: DataFrame, keys: Sequence[str], order: Sequence[str], text: str, alike: float = ALIKE) -> DataFrame:
+    """Candidates in order of score, but for those whose words nearly are those of a better one that stays. Candidates of a
+    query are at most MOST, so they are compared within one array."""
+    columns = rows.columns
+    words = F.array_distinct(F.filter(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), "[^a-z0-9_]+"), lambda w: w != ""))
+    item = F.struct((-F.col("score")).alias("_o"), *[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)], F.struct(*columns).alias("row"), words.alias("words"))
+    lists = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(item)).alias("items"))
+    near = lambda x: lambda y: X.jaccard(x["words"], y["words"]) >= alike
+    stay = F.aggregate("items", F.filter("items", lambda x: F.lit(False)), lambda kept, x: F.when(F.exists(kept, near(x)), kept).otherwise(F.concat(kept, F.array(x))))
+    return lists.select(F.explode(stay).alias("x")).select("x.row.*")
+
+
+def reranked(rows: DataFrame, model_score: str) -> DataFrame:
+    """Scores of candidates mixed with those that a second model gave them."""
+    return rows.withColumn("score", KEPT * F.col("score") + RERANKED * F.col(model_score))
+
+
+def diverse(chosen: DataFrame, everything: DataFrame, keys: Sequence[str], order: Sequence[str], file: str, text: str, k: int) -> DataFrame:
+    """The best k of each query. A file that has none among them, but a row with a score above HEARD whose text isn't there,
+    takes the place of the last ones with its best row."""
+    top = chosen.withColumn("_r", _ranked(keys, order)).filter(F.col("_r") <= k)
+    heard = top.select(*keys, file).distinct()
+    texts = chosen.select(*keys, F.md5(X.stripped(F.col(text))).alias("_k")).distinct()
+    rest = everything.filter(F.col("score") > HEARD).join(heard, [*keys, file], "left_anti")
+    rest = rest.withColumn("_k", F.md5(X.stripped(F.col(text)))).join(texts, [*keys, "_k"], "left_anti").drop("_k")
+    best = F.row_number().over(W.partitionBy(*keys, file).orderBy(F.desc("score"), *order))
+    rest = rest.withColumn("_b", best).filter("_b = 1").drop("_b").withColumn("_r", F.lit(0))
+    both = top.select(*chosen.columns, "_r").unionByName(rest.select(*chosen.columns, "_r"))
+    place = F.row_number().over(W.partitionBy(*(keys or [F.lit(1)])).orderBy("_r", F.desc("score"), *order))
+    return both.withColumn("_p", place).filter(F.col("_p") <= k).drop("_p", "_r")
 
 
 def within_budget(df: DataFrame, order: Sequence[Column], tokens: Column, target: int, hard: int, keys: Sequence[str]) -> DataFrame:
     """Rows in order until the target is reached or the hard limit would be passed."""
-    w = W.partitionBy(*keys).orderBy(*order)
+    w = W.partitionBy(*(keys or [F.lit(1)])).orderBy(*order)
     df = df.withColumn("_sum", F.sum(tokens).over(w.rowsBetween(W.unboundedPreceding, 0)))
     df = df.withColumn("_stop", F.coalesce(F.max(F.when(F.col("_sum") > hard, 1).otherwise(0)).over(w.rowsBetween(W.unboundedPreceding, 0)), F.lit(0)))
     return df.filter((F.col("_stop") == 0) & (F.col("_sum") - tokens < target)).drop("_sum", "_stop")
@@ -64,32 +153,94 @@ def _words(alphanumeric: Column) -> Column:
     return F.filter(F.split(alphanumeric, " "), lambda w: w != "")
 
 
-def grounded(docs: DataFrame, quotes: DataFrame, doc_id: str, item_id: str, text: str) -> DataFrame:
-    """(item, doc) for each row of `quotes` and each row of `docs` that holds the whole of every excerpt of the quote.
-
-    Excerpts are parted by a blank line and lose quotation marks around them. One counts as held if its normal form, or
-    else its letters and digits alone, stand in the document; one without content never does. The words of an excerpt but
-    its first and last are whole words of a document that holds it, so a document has a shingle of them: an equi-join on
-    hashes of shingles finds candidates, and every excerpt is then looked up. Quotes too short for a shingle meet each
-    document. Repeated rows and repeated or null ids are kept apart; null texts count as empty.
-    """
-    trimmed = F.transform(F.split(F.coalesce(F.col(text), F.lit("")), "\n\n"), lambda e: F.regexp_replace(e, r"^\s+|\s+$", ""))
-    bare = F.transform(F.filter(trimmed, lambda e: e != ""), lambda e: F.regexp_replace(e, r"^[\s\"'“”]+|[\s\"'“”]+$", ""))
-    items = quotes.select(F.col(item_id).alias("item"), bare.alias("e"))
-    items = items.filter((F.size("e") > 0) & F.forall("e", lambda e: (e != "") & (F.upper(e) != "NOT_FOUND")))
-    items = items.select("item", F.transform("e", lambda e: F.struct(X.normal(e).alias("t"), X.alphanumeric(e).alias("a"))).alias("e"))
-    longest = F.array_max(F.transform("e", lambda e: F.struct(F.size(_words(e["a"])).alias("n"), e["a"].alias("a"))))
-    items = items.withColumn("w", _words(longest["a"]))
-    items = items.select("item", "e", F.when(F.size("w") >= SHINGLE + 2, F.xxhash64(F.slice("w", 2, SHINGLE))).alias("key"))
-
-    forms = docs.select(F.col(doc_id).alias("doc"), X.normal(F.col(text)).alias("t"), X.alphanumeric(F.col(text)).alias("a"))
-    words = docs.select(F.col(doc_id).alias("doc"), _words(X.alphanumeric(F.col(text))).alias("w")).filter(F.size("w") >= SHINGLE)
+def _excerpts(text: Column) -> Column:
+    """Parts of a quote between blank lines, without quotation marks around them; array<struct<t, a>>: their normal form and
+    their letters and digits. A part that says nothing has empty forms."""
+    trimmed = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), "\n\n"), X.stripped), lambda e: e != "")
+    bare = F.transform(trimmed, lambda e: F.regexp_replace(e, r"^[\s\"'“”]+|[\s\"'“”]+$", ""))
+    said = F.transform(bare, lambda e: F.when(F.upper(e) == "NOT_FOUND", "").otherwise(e))
+    return F.transform(said, lambda e: F.struct(X.normal(e).alias("t"), X.alphanumeric(e).alias("a")))
+
+
+def _held(e: Column, t: Column, a: Column) -> Column:
+    return ((e["t"] != "") & t.contains(e["t"])) | ((e["a"] != "") & a.contains(e["a"]))
+
+
+def grounding(quote: Column, document: Column) -> Column:
+    """GROUNDED if every excerpt of a quote stands in the document, PARTIALLY_GROUNDED if some do, else NOT_GROUNDED."""
+    e, t, a = _excerpts(quote), X.normal(document), X.alphanumeric(document)
+    n = F.size(F.filter(e, lambda x: _held(x, t, a)))
+    return F.when(n == 0, "NOT_GROUNDED").when(n < F.size(e), "PARTIALLY_GROUNDED").otherwise("GROUNDED")
+
+
+def found_excerpts(docs: DataFrame, quotes: DataFrame, doc_id: str, item_id: str, text: str) -> DataFrame:
+    """(row, item, excerpts, doc, held, copies): for each row of `quotes` (row numbers it) and each document that holds at
+    least one of its excerpts, how many it holds, and how many rows are that document.
+
+    An excerpt counts as held if its normal form, or else its letters and digits alone, stand in the document. The words of
+    an excerpt but its first and last are whole words of a document that holds it, so the document has a shingle of them: an
+    equi-join on hashes of shingles finds candidates, and only those are looked up. Excerpts too short for a shingle meet
+    each document. Repeated rows and repeated or null ids are kept apart; null texts count as empty."""
+    items = quotes.select(F.monotonically_increasing_id().alias("row"), F.col(item_id).alias("item"), _excerpts(F.col(text)).alias("e"))
+    items = written(items.filter(F.size("e") > 0), "quotes")
+    parts = items.select("row", F.posexplode("e").alias("nth", "x")).filter("x.t <> '' OR x.a <> ''").withColumn("w", _words(F.col("x.a")))
+    parts = parts.select("row", "nth", "x", F.when(F.size("w") >= SHINGLE + 2, F.xxhash64(F.slice("w", 2, SHINGLE))).alias("key"))
+    name = F.md5(F.concat_ws("\x01", F.col(doc_id).cast("string"), F.col(text)))
+    forms = docs.select(name.alias("_d"), F.col(doc_id).alias("doc"), X.normal(F.col(text)).alias("t"), X.alphanumeric(F.col(text)).alias("a"))
+    words = forms.select("_d", _words(F.col("a")).alias("w")).filter(F.size("w") >= SHINGLE)
     hashes = F.transform(F.sequence(F.lit(1), F.size("w") - SHINGLE + 1), lambda i: F.xxhash64(F.slice("w", i, SHINGLE)))
-    keys = items.select("key").filter("key IS NOT NULL").distinct()
+    keyed = parts.filter("key IS NOT NULL")
     # written, so that its size decides whether the texts are shuffled to meet it
-    pairs = written(words.select("doc", F.explode(F.array_distinct(hashes)).alias("key")).join(keys, "key").distinct(), "grounding")
-    holds = F.forall("e", lambda e: F.col("t").contains(e["t"]) | ((e["a"] != "") & F.col("a").contains(e["a"])))
-    p = pairs.withColumnRenamed("doc", "_doc")
-    long = forms.join(p, F.col("doc").eqNullSafe(F.col("_doc"))).join(items, "key").filter(holds)
-    short = forms.join(items.filter("key IS NULL"), holds)
-    return long.select("item", "doc").unionAll(short.select("item", "doc"))
+    pairs = words.select("_d", F.explode(F.array_distinct(hashes)).alias("key")).join(keyed, "key").select("_d", "row", "nth", "x")
+    pairs = written(pairs.dropDuplicates(["_d", "row", "nth"]), "grounding")
+    long = forms.join(pairs, "_d").filter(_held(F.col("x"), F.col("t"), F.col("a"))).select("row", "nth", "_d", "doc")
+    short = forms.join(parts.filter("key IS NULL"), _held(F.col("x"), F.col("t"), F.col("a"))).select("row", "nth", "_d", "doc")
+    held = long.unionAll(short).groupBy("row", "_d", "doc").agg(F.countDistinct("nth").alias("held"), F.count("*").alias("n"))
+    held = held.withColumn("copies", (F.col("n") / F.col("held")).cast("int"))
+    return held.join(items.select("row", "item", F.size("e").alias("excerpts")), "row").select("row", "item", "excerpts", "doc", "held", "copies")
+
+
+def grounded(docs: DataFrame, quotes: DataFrame, doc_id: str, item_id: str, text: str) -> DataFrame:
+    """(item, doc) for each row of `quotes` and each row of `docs` that holds every excerpt of it."""
+    whole = found_excerpts(docs, quotes, doc_id, item_id, text).filter("held = excerpts")
+    return whole.select("item", "doc", F.explode(F.sequence(F.lit(1), "copies"))).select("item", "doc")
+
+
+def best_grounding(docs: DataFrame, quotes: DataFrame, doc_id: str, item_id: str, text: str) -> DataFrame:
+    """(item, status) for each row of `quotes`: the best that any one document gives it."""
+    found = found_excerpts(docs, quotes, doc_id, item_id, text)
+    best = found.groupBy("row").agg(F.first("item").alias("item"), F.bool_or(F.col("held") == F.col("excerpts")).alias("whole"))
+    some = best.select("item", F.when(F.col("whole"), "GROUNDED").otherwise("PARTIALLY_GROUNDED").alias("status"))
+    # rows without any document are told by what is left of the count of rows of each item
+    counts = quotes.groupBy(F.col(item_id).alias("item")).agg(F.count("*").alias("n"))
+    hits = some.groupBy(F.col("item").alias("_i")).agg(F.count("*").alias("h"))
+    left = counts.join(hits, F.col("item").eqNullSafe(F.col("_i")), "left").withColumn("left", F.col("n") - F.coalesce("h", F.lit(0))).filter("left > 0")
+    none = left.select("item", F.explode(F.array_repeat(F.lit("NOT_GROUNDED"), F.col("left").cast("int"))).alias("status"))
+    return some.unionAll(none)
+
+
+# Verbs of sentences that claim something of a document, and words of sentences that say what isn't there.
+CLAIMING = ("mentions", "contains", "outlines", "states", "describes", "includes", "provides", "defines", "details")
+ABSENT = (
+    "not found", "not evidenced", "not provided", "not documented", "does not contain", "does not include", "does not specify", "no evidence",
+    "no documented", "could not be found", "was not located", "absent from",
+)
+
+
+def claims(texts: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, nth, sentence, windows): the sentences that claim something, with their windows of three words in lower case."""
+    parts = F.transform(F.split(X.stripped(F.col(text_col)), r"(?<=[.!?])\s+"), X.stripped)
+    rows = texts.select(F.col(id_col), F.posexplode(parts).alias("nth", "sentence"))
+    low = F.lower("sentence")
+    has = lambda words: F.exists(F.array(*map(F.lit, words)), lambda w: low.contains(w))
+    words = F.filter(F.split(low, r"\s+"), lambda w: w != "")
+    rows = rows.filter((F.length("sentence") >= 20) & has(CLAIMING) & ~has(ABSENT)).withColumn("w", words).filter("size(w) >= 4")
+    windows = F.transform(F.sequence(F.lit(1), F.size("w") - 2), lambda i: F.array_join(F.slice("w", i, F.lit(3)), " "))
+    return rows.select(id_col, "nth", "sentence", F.array_distinct(windows).alias("windows"))
+
+
+def unsupported(reasoning: DataFrame, documents: DataFrame, key: str, text_col: str) -> DataFrame:
+    """(key, nth, sentence): claims of a reasoning of which no window of three words stands in its document (of equal key)."""
+    d = documents.select(F.col(key).alias("_k"), F.lower(F.coalesce(F.col(text_col), F.lit(""))).alias("_t"))
+    rows = claims(reasoning, key, text_col).join(d, F.col(key) == F.col("_k"))
+    return rows.filter(~F.exists("windows", lambda w: F.col("_t").contains(w)) & (F.col("_t") != "")).select(key, "nth", "sentence")

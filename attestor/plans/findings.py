@@ -91,11 +91,6 @@ def _(t: Tables) -> DataFrame:
     return findings(t).groupBy((F.col("sev") == 0).alias("is_informational")).agg(F.count("*").alias("n"))
 
 
-@query("flt12_placeholder_target", "SELECT s_suppkey FROM supplier WHERE lower(trim(split_part(s_name, '#', 2))) NOT IN ('', 'n/a', 'none', 'unknown')")
-def _(t: Tables) -> DataFrame:
-    return t("supplier").filter(~F.lower(F.trim(F.split_part("s_name", F.lit("#"), F.lit(2)))).isin("", "n/a", "none", "unknown")).select("s_suppkey")
-
-
 @query("flt13_feedback_eligible", "SELECT doc_id FROM labels WHERE quality = 1 AND coalesce(toxic, 0) = 0")
 def _(t: Tables) -> DataFrame:
     return t("labels").filter((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0)).select("doc_id")
@@ -151,12 +146,6 @@ def _(t: Tables) -> DataFrame:
     return t("orders").join(counts, F.col("report_id") == F.col("o_orderkey"), "left").select("o_orderkey", F.coalesce("n", F.lit(0)).alias("findings"), F.coalesce("bad", F.lit(0)).alias("non_compliant"))
 
 
-@query("jon08_suppressions", WITH_F + ", s AS (SELECT p_partkey FROM part WHERE p_size < 10) SELECT report_id, pos, CASE WHEN p_partkey IS NULL THEN status ELSE 'SUPPRESSED' END AS status FROM f LEFT JOIN s ON plugin_id = p_partkey")
-def _(t: Tables) -> DataFrame:
-    s = t("part").filter("p_size < 10").select("p_partkey")
-    return findings(t).join(s, F.col("plugin_id") == F.col("p_partkey"), "left").select("report_id", "pos", F.when(F.col("p_partkey").isNull(), F.col("status")).otherwise("SUPPRESSED").alias("status"))
-
-
 @query("jon09_skip_saved_keys", WITH_F + "SELECT report_id, pos FROM f WHERE tool = 'N' AND NOT EXISTS (SELECT 1 FROM f g WHERE g.tool = 'R' AND g.plugin_id = f.plugin_id AND g.host = f.host)")
 def _(t: Tables) -> DataFrame:
     f = findings(t)
@@ -178,11 +167,6 @@ def _(t: Tables) -> DataFrame:
     return s.select("s_suppkey", F.coalesce("n_name", "r_name", F.lit("none")).alias("place"))
 
 
-@query("jon14_code_lookup", "SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN 'A01' WHEN 1 THEN 'A03' WHEN 2 THEN 'A07' ELSE 'A05' END AS owasp FROM part")
-def _(t: Tables) -> DataFrame:
-    return t("part").select("p_partkey", S.lookup((F.col("p_size") % 4).cast("string"), {"0": "A01", "1": "A03", "2": "A07"}, "A05").alias("owasp"))
-
-
 # Aggregations
 
 
@@ -230,18 +214,6 @@ def _(t: Tables) -> DataFrame:
     return findings(t).filter("status = 'O'").agg(*[F.count_if(F.col("sev") == v).alias(k.lower()) for k, v in S.RANKS.items()])
 
 
-@query("agg10_overall", WITH_F + "SELECT report_id, max(sev) AS worst, max_by(score, (sev, score)) AS score FROM f GROUP BY 1")
-def _(t: Tables) -> DataFrame:
-    # the highest score among the worst severity is the score of the greatest (severity, score)
-    return findings(t).groupBy("report_id").agg(F.max(F.struct("sev", "score")).alias("m")).select("report_id", F.col("m.sev").alias("worst"), "m.score")
-
-
-@query("agg12_tools_in_order", WITH_F + ", g AS (SELECT report_id, tool, min(pos) AS p FROM f GROUP BY 1, 2) SELECT report_id, array_to_string(list(tool ORDER BY p, tool), ',') AS tools FROM g GROUP BY 1")
-def _(t: Tables) -> DataFrame:
-    first = findings(t).groupBy("report_id", "tool").agg(F.min("pos").alias("p"))
-    return first.groupBy("report_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p", "tool"))), lambda s: s["tool"]), ",").alias("tools"))
-
-
 @query("agg13_scan_dates", WITH_F + "SELECT report_id, strftime(min(seen), '%Y-%m-%d') || ' to ' || strftime(max(seen), '%Y-%m-%d') AS dates FROM f GROUP BY 1")
 def _(t: Tables) -> DataFrame:
     day = lambda c: F.date_format(c, "yyyy-MM-dd")
@@ -270,12 +242,6 @@ def _(t: Tables) -> DataFrame:
     return t("events").groupBy("user_id").agg(F.round(v / F.greatest(n, F.lit(1)), 2).alias("avg_value"), F.round(n / F.greatest(v, F.lit(0.1)), 2).alias("per_value"))
 
 
-@query("agg19_compliance_score", "SELECT o_custkey, floor(count(*) FILTER (o_orderstatus = 'F') / greatest(count(*), 1) * 100)::INT AS score FROM orders GROUP BY 1")
-def _(t: Tables) -> DataFrame:
-    passed = S.verdict(F.when(F.col("o_orderstatus") == "F", "pass").otherwise("open")) == "COMPLIANT"
-    return t("orders").groupBy("o_custkey").agg(S.percent(F.count_if(passed), F.count("*")).alias("score"))
-
-
 @query("agg21_confusion", """WITH c AS (SELECT count(*) FILTER (quality = 1 AND toxic = 0) AS tp, count(*) FILTER (quality = 1 AND toxic = 1) AS fp, count(*) FILTER (quality = 0 AND toxic = 0) AS fn, count(*) FILTER (quality = 0 AND toxic = 1) AS tn FROM labels)
 SELECT tp, fp, fn, tn, round((tp + tn) / greatest(tp + fp + fn + tn, 1), 4) AS accuracy, round(tp / greatest(tp + fp, 1), 4) AS precision, round(tp / greatest(tp + fn, 1), 4) AS recall, round(2 * tp / greatest(2 * tp + fp + fn, 1), 4) AS f1 FROM c""")
 def _(t: Tables) -> DataFrame:
@@ -337,12 +303,6 @@ def _(t: Tables) -> DataFrame:
     return t("events").select("event_id", F.last(F.when(F.col("event_type") == "purchase", F.col("event_id")), True).over(w).alias("section"))
 
 
-@query("win04_sliding_paragraphs", "SELECT conv_id, turn, array_to_string(list(role) OVER w, '/') AS roles FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING)")
-def _(t: Tables) -> DataFrame:
-    w = W.partitionBy("conv_id").orderBy("turn").rowsBetween(0, 2)
-    return t("conversations").select("conv_id", "turn", F.array_join(F.collect_list("role").over(w), "/").alias("roles"))
-
-
 @query("win09_row_chunks", """WITH r AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS i FROM conversations),
 c AS (SELECT r.*, unnest(range(greatest(0, ceil((i - 4) / 4.0)::BIGINT), i // 4 + 1)) AS chunk FROM r)
 SELECT conv_id, chunk::INT AS chunk, min(i)::INT AS first, count(*) AS n, array_to_string(list(turn ORDER BY i), ',') AS values FROM c GROUP BY 1, 2""")
@@ -366,11 +326,6 @@ def _(t: Tables) -> DataFrame:
     return R.page(t("events").select("event_id", "ts"), [F.desc("ts"), F.col("event_id")], 3, 20).select("event_id")
 
 
-@query("srt03_severity_order", WITH_F + "SELECT report_id, pos, row_number() OVER (PARTITION BY report_id ORDER BY sev DESC, plugin_id, pos) AS place FROM f")
-def _(t: Tables) -> DataFrame:
-    return findings(t).select("report_id", "pos", F.row_number().over(W.partitionBy("report_id").orderBy(F.desc("sev"), "plugin_id", "pos")).cast("long").alias("place"))
-
-
 @query("srt09_newest_per_role", "SELECT conv_id, turn FROM (SELECT *, row_number() OVER (PARTITION BY role ORDER BY conv_id DESC, turn DESC) AS r FROM conversations) WHERE r <= 50")
 def _(t: Tables) -> DataFrame:
     return R.newest_per(t("conversations"), ["role"], [F.desc("conv_id"), F.desc("turn")], 50).select("conv_id", "turn")
@@ -405,13 +360,6 @@ def _(t: Tables) -> DataFrame:
     return t("orders").select("o_orderkey", S.normalised(F.col("o_orderpriority")).alias("severity"))
 
 
-@query("scl03_dedup_key", "SELECT p_partkey, substr(lower(trim(p_brand)) || ':' || CASE WHEN p_size > 25 THEN lower(trim(p_type)) ELSE lower(trim(p_name)) END || '|' || 'host-' || (p_size % 7), 1, 480) AS key FROM part")
-def _(t: Tables) -> DataFrame:
-    target = F.concat(F.lit("Host-"), (F.col("p_size") % 7).cast("string"), F.lit(" (https)"))
-    plugin = F.when(F.col("p_size") > 25, F.col("p_type"))
-    return t("part").select("p_partkey", S.dedup_key(F.lit(None).cast("array<string>"), F.col("p_brand"), plugin, F.col("p_name"), target).alias("key"))
-
-
 @query("scl15_risk_score", "SELECT p_partkey, (4 * (p_size % 5 + 1 + p_size % 3 + 1 + p_size % 4 + 1 + 3 + 2))::INT AS risk, CASE WHEN 4 * (p_size % 5 + p_size % 3 + p_size % 4 + 8) >= 80 THEN 'CRITICAL' WHEN 4 * (p_size % 5 + p_size % 3 + p_size % 4 + 8) >= 60 THEN 'HIGH' WHEN 4 * (p_size % 5 + p_size % 3 + p_size % 4 + 8) >= 40 THEN 'MEDIUM' ELSE 'LOW' END AS band FROM part")
 def _(t: Tables) -> DataFrame:
     part = lambda n: F.col("p_size") % n + 1
@@ -419,26 +367,6 @@ def _(t: Tables) -> DataFrame:
     return t("part").select("p_partkey", risk.alias("risk"), S.risk_band(risk).alias("band"))
 
 
-@query("scl18_status_verdict", "SELECT o_orderkey, upper(trim(o_orderpriority)) IS NOT NULL AS known, CASE WHEN o_orderstatus = 'F' THEN 'COMPLIANT' ELSE 'NON_COMPLIANT' END AS verdict FROM orders")
-def _(t: Tables) -> DataFrame:
-    raw = F.when(F.col("o_orderstatus") == "F", "passed").otherwise(F.col("o_orderstatus"))
-    return t("orders").select("o_orderkey", S.status(F.col("o_orderpriority")).isNotNull().alias("known"), S.verdict(raw).alias("verdict"))
-
-
-@query("scl21_nist_matrix", """WITH x AS (SELECT p_partkey, p_size % 3 + 1 AS a, p_size % 4 % 3 + 1 AS b FROM part)
-SELECT p_partkey, CASE WHEN a * b >= 9 THEN 'CRITICAL' WHEN a * b >= 6 THEN 'HIGH' WHEN a * b >= 3 THEN 'MEDIUM' ELSE 'LOW' END AS level FROM x""")
-def _(t: Tables) -> DataFrame:
-    word = lambda c: F.element_at(F.array(F.lit("LOW"), F.lit("MEDIUM"), F.lit("HIGH")), (c + 1).cast("int"))
-    return t("part").select("p_partkey", S.nist_level(word(F.col("p_size") % 3), word(F.col("p_size") % 4 % 3)).alias("level"))
-
-
-@query("scl24_loose_dates", "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS day FROM orders")
-def _(t: Tables) -> DataFrame:
-    raw = F.when(F.col("o_orderkey") % 2 == 0, F.date_format("o_orderdate", "dd/MM/yyyy")).otherwise(F.date_format("o_orderdate", "yyyy-MM-dd"))
-    parsed = F.coalesce(F.try_to_timestamp(raw, F.lit("yyyy-MM-dd")), F.try_to_timestamp(raw, F.lit("dd/MM/yyyy")), F.try_to_timestamp(raw, F.lit("MM/dd/yyyy")))
-    return t("orders").select("o_orderkey", F.date_format(parsed, "yyyy-MM-dd").alias("day"))
-
-
 @query("snk10_retention", "SELECT event_id FROM events WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 1 DAY")
 def _(t: Tables) -> DataFrame:
     e = t("events").select("event_id", "ts")
