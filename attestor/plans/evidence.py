@@ -271,13 +271,6 @@ def _(t: Tables) -> DataFrame:
     return V.within_budget(c, [F.col("turn")], F.col("k"), 80, 120, ["conv_id"]).select("conv_id", "turn")
 
 
-@query("txt21_roles", "SELECT conv_id, string_agg(CASE role WHEN 'user' THEN 'EVIDENCE' WHEN 'assistant' THEN 'POLICY' ELSE 'SHARED' END, '|' ORDER BY turn) AS roles FROM conversations GROUP BY 1")
-def _(t: Tables) -> DataFrame:
-    kind = F.when(F.col("role") == "user", "EVIDENCE").when(F.col("role") == "assistant", "POLICY").otherwise("SHARED")
-    turns = t("conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", kind.alias("k")))).alias("s"))
-    return turns.select("conv_id", F.array_join(F.transform("s", lambda s: s["k"]), "|").alias("roles"))
-
-
 @query("jon19_duplicate_quotes", f"SELECT doc_id, n FROM (SELECT doc_id, count(*) OVER (PARTITION BY md5({_NORMAL})) AS n, text FROM documents WHERE length(text) >= 15) WHERE n >= 2")
 def _(t: Tables) -> DataFrame:
     d = t("documents").filter(F.length("text") >= 15).select("doc_id", F.md5(X.normal(F.col("text")).cast("binary")).alias("k"))

@@ -153,20 +153,6 @@ def _(t: Tables) -> DataFrame:
     return f.filter("tool = 'N'").join(saved, ["plugin_id", "host"], "left_anti").select("report_id", "pos")
 
 
-@query("jon10_import_anti_join", "SELECT c.conv_id, c.turn FROM conversations c WHERE NOT EXISTS (SELECT 1 FROM conversations d WHERE d.turn = 0 AND coalesce(d.text, '') = coalesce(c.text, '') AND coalesce(d.role, '') = coalesce(c.role, ''))")
-def _(t: Tables) -> DataFrame:
-    blank = lambda c: F.coalesce(c, F.lit(""))
-    c = t("conversations").select("conv_id", "turn", blank("text").alias("x"), blank("role").alias("r"))
-    return c.join(c.filter("turn = 0").select("x", "r"), ["x", "r"], "left_anti").select("conv_id", "turn")
-
-
-@query("jon13_catalog_fallback", "SELECT s_suppkey, coalesce(n_name, r_name, 'none') AS place FROM supplier LEFT JOIN nation ON n_nationkey = s_nationkey AND n_regionkey = 1 LEFT JOIN region ON r_regionkey = s_nationkey % 5")
-def _(t: Tables) -> DataFrame:
-    s = t("supplier").join(F.broadcast(t("nation").filter("n_regionkey = 1")), F.col("s_nationkey") == F.col("n_nationkey"), "left")
-    s = s.join(F.broadcast(t("region")), F.col("r_regionkey") == F.col("s_nationkey") % 5, "left")
-    return s.select("s_suppkey", F.coalesce("n_name", "r_name", F.lit("none")).alias("place"))
-
-
 # Aggregations
 
 

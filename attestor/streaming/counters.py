@@ -1,18 +1,43 @@
-"""Live counters of sessions as Structured Streaming, and their replay as a batch."""
+"""Live counters of sessions: a batch, and Structured Streaming with the same rows.
+
+A session's counters live for a day after its last event and then begin anew. In a batch that is a session window; in a
+stream it is a state with a timeout, so state doesn't grow without end. Each micro-batch writes the sessions it changed to
+a folder of its own number: running it again after a failure writes the same rows, and `latest` reads the newest of each.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.window import Window as W
+
+TTL = "24 hours"
+FINISHED = ("purchase",)
+_COUNTS = "events long, errors long, value double, first timestamp, last timestamp, state string"
 
 
-def counters(events: DataFrame) -> DataFrame:
-    """Per session: events, errors, sum of values, first and last time. The same plan serves streams and batches."""
-    return events.groupBy("user_id").agg(
+def _aggregates() -> list[Column]:
+    return [
         F.count("*").alias("events"), F.count_if(F.col("event_type") == "error").alias("errors"), F.round(F.sum("value"), 2).alias("value"),
         F.min("ts").alias("first"), F.max("ts").alias("last"), F.max_by("event_type", F.struct("ts", "event_id")).alias("state"),
-    )
+    ]
+
+
+def lives(events: DataFrame, ttl: str = TTL) -> DataFrame:
+    """(user_id, events, errors, value, first, last, state) for each stretch of events without a gap of `ttl` or more."""
+    return events.groupBy("user_id", F.session_window("ts", ttl)).agg(*_aggregates()).drop("session_window")
+
+
+def counters(events: DataFrame, ttl: str = TTL) -> DataFrame:
+    """The last life of each session."""
+    fields = ["events", "errors", "value", "first", "last", "state"]
+    best = lives(events, ttl).groupBy("user_id").agg(F.max_by(F.struct(*fields), "last").alias("x"))
+    return best.select("user_id", "x.*")
 
 
 def fleet(sessions: DataFrame) -> DataFrame:
@@ -20,12 +45,81 @@ def fleet(sessions: DataFrame) -> DataFrame:
     return sessions.agg(F.count("*").alias("sessions"), F.sum("events").alias("events"), F.sum("errors").alias("errors"), F.round(F.sum("value"), 2).alias("value"))
 
 
-def follow(spark: SparkSession, folder: str, schema, checkpoint: str, out: str) -> StreamingQuery:
-    """Counters of a folder of parquet files, written anew to `out` with each micro-batch. A batch that is run again
-    writes the same rows, so replays after a failure change nothing."""
-    stream = spark.readStream.schema(schema).parquet(folder)
+def active(sessions: DataFrame, as_of: Column, ttl: str = TTL) -> DataFrame:
+    """Sessions that are neither finished nor expired; the others are pruned from the set of active ones."""
+    return sessions.filter(~F.col("state").isin(*FINISHED) & (F.col("last") + F.expr(f"INTERVAL {ttl}") > as_of))
+
+
+def completed(sessions: DataFrame, n: int = 50) -> DataFrame:
+    """The newest finished sessions."""
+    return sessions.filter(F.col("state").isin(*FINISHED)).orderBy(F.desc("last"), "user_id").limit(n)
+
+
+def _step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """One session in one micro-batch. Its state is one small row."""
+    if state.hasTimedOut:
+        state.remove()
+        return
+    events, errors, value, first, last, kind, newest = state.get if state.exists else (0, 0, 0.0, None, None, None, -1)
+    rows = pd.concat(list(parts)).sort_values(["ts", "event_id"])
+    for ts, i, what, v in zip(rows["ts"], rows["event_id"], rows["event_type"], rows["value"], strict=True):
+        if last is not None and ts - last >= pd.Timedelta(TTL):
+            events, errors, value, first, kind, newest = 0, 0, 0.0, None, None, -1
+        events, errors, value = events + 1, errors + (what == "error"), value + (0.0 if pd.isna(v) else v)
+        first = ts if first is None else min(first, ts)
+        if last is None or (ts, i) >= (last, newest):
+            last, kind, newest = ts, what, i
+    state.update((events, errors, value, first, last, kind, newest))
+    state.setTimeoutTimestamp(int(last.timestamp() * 1000) + int(pd.Timedelta(TTL).total_seconds() * 1000))
+    yield pd.DataFrame({"user_id": [key[0]], "events": [events], "errors": [errors], "value": [round(value, 2)], "first": [first], "last": [last], "state": [kind]})
+
+
+def stream(events: DataFrame) -> DataFrame:
+    """The counters of a stream's sessions, those that a micro-batch changed. Events may come up to a day late."""
+    timed = events.withWatermark("ts", TTL).filter("user_id IS NOT NULL AND ts IS NOT NULL").select("user_id", "ts", "event_id", "event_type", "value")
+    return timed.groupBy("user_id").applyInPandasWithState(_step, f"user_id long, {_COUNTS}", f"{_COUNTS}, newest long", "update", GroupStateTimeout.EventTimeTimeout)
+
+
+def follow(spark: SparkSession, folder: str, schema, checkpoint: str, out: str, files: int = 1) -> StreamingQuery:
+    """Counters of a folder of parquet files, in `out` by micro-batch."""
+    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(folder)
 
     def put(rows: DataFrame, batch: int) -> None:
-        rows.write.mode("overwrite").parquet(out)
+        rows.write.mode("overwrite").parquet(f"{out}/batch={batch:09d}")
+
+    return stream(source).writeStream.outputMode("update").foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def latest(spark: SparkSession, out: str) -> DataFrame:
+    """The newest row of each session in what `follow` has written."""
+    rows = spark.read.parquet(out)
+    fields = [c for c in rows.columns if c not in {"user_id", "batch"}]
+    return rows.groupBy("user_id").agg(F.max_by(F.struct(*fields), F.col("batch").cast("long")).alias("x")).select("user_id", "x.*")
+
+
+def limited(attempts: DataFrame, key: str, ts: str, most: int = 5, seconds: float = 60.0) -> DataFrame:
+    """(key, ts, allowed): whether each attempt is let through, where `most` that were let through within `seconds` before
+    it bar it. Refused attempts don't count, so a range frame can't tell; the sorted rows of a partition are read as a stream
+    and a key's state is the times of its last `most` that passed. Null keys are one key."""
+
+    def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, passed = object(), []
+        for b in batches:
+            out = []
+            for k, t in zip(b[key], b[ts], strict=True):
+                same = k == now or (pd.isna(k) and pd.isna(now))
+                now, passed = k, [p for p in passed if (t - p).total_seconds() < seconds] if same else []
+                out.append(len(passed) < most)
+                if out[-1]:
+                    passed.append(t)
+            yield b.assign(allowed=out)
+
+    rows = attempts.select(key, ts).repartition(key).sortWithinPartitions(key, ts)
+    kinds = dict(rows.dtypes)
+    return rows.mapInPandas(of, f"`{key}` {kinds[key]}, `{ts}` {kinds[ts]}, allowed boolean")
+
 
-    return counters(stream).writeStream.outputMode("complete").foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def carried_forward(rows: DataFrame, keys: list[str], order: list[str], value: str) -> DataFrame:
+    """`rows` with the last filled value up to each."""
+    w = W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    return rows.withColumn(value, F.last(value, True).over(w))
