@@ -6,6 +6,7 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Sequence
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -32,14 +33,17 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
-    """Cut lineage: write `df` as parquet in the shared folder and read it back.
+def written(df: DataFrame, label: str, folders: Sequence[str] = ()) -> DataFrame:
+    """Cut lineage: write `df` as parquet in the shared folder, in folders by the values of columns if asked, and read it back.
 
     Unlike a local checkpoint the files outlive the executors that wrote them.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/attestor/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    if folders:
+        df.write.partitionBy(*folders).parquet(path)
+    else:
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
