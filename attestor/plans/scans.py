@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..sources import scans
+from ..sources import scans, tools
 from .registry import Tables, query
 
 _KEPT = ["file", "plugin_id", "title", "severity", "severity_score", "target"]
@@ -89,6 +89,68 @@ def _(t: Tables) -> DataFrame:
     return scans.sarif(sarif_files(t)).select(*_KEPT, F.array_join("cve_list", ",").alias("cves"))
 
 
+# Formats with one record a line item. `shown` is (title, severity, target) in SQL, and `skip` drops what isn't a finding.
+
+
+def _format(name: str, reader, line: Column, before: str, after: str, between: str, shown: tuple[str, str, str], skip: str = "true") -> None:
+    @query(name, f"SELECT {_BASE}, {shown[0]} AS title, {shown[1]} AS severity, {shown[2]} AS target FROM lineitem WHERE {skip}")
+    def _(t: Tables) -> DataFrame:
+        return reader(exported(t, line(), before, after, between)).select("file", "title", "severity", "target")
+
+
+def _f(text: str, *columns):
+    """A line with columns in the places of %s."""
+    return lambda: F.format_string(text, *[c() if callable(c) else F.col(c) for c in columns])
+
+
+_flag = lambda a, b, c: lambda: F.when(F.col("l_returnflag") == "R", a).when(F.col("l_returnflag") == "A", b).otherwise(c)
+_sql_flag = lambda a, b, c: f"CASE l_returnflag WHEN 'R' THEN '{a}' WHEN 'A' THEN '{b}' ELSE '{c}' END"
+_pk, _sk, _ln = "l_partkey", "l_suppkey", "l_linenumber"
+_format("prs03_zap_json", tools.zap_json, _f('{"pluginid":"%s","alert":"Alert %s","riskcode":"%s","instances":[{"uri":"http://s%s/","param":"q"}]}', _pk, _pk, _flag("3", "1", "0"), _sk), '{"site":[{"@name":"http://x","alerts":[', "]}]}", ",",
+        ("'Alert ' || l_partkey", _sql_flag("HIGH", "LOW", "INFO"), "'http://s' || l_suppkey || '/ [q]'"))
+_format("prs03_zap_xml", tools.zap_xml, _f("<alertitem><alert>Alert %s</alert><riskcode>%s</riskcode><instances><instance><uri>http://s%s/</uri></instance></instances></alertitem>", _pk, _flag("2", "1", "0"), _sk), "<OWASPZAPReport><site name='x'><alerts>", "</alerts></site></OWASPZAPReport>", "",
+        ("'Alert ' || l_partkey", _sql_flag("MEDIUM", "LOW", "INFO"), "'http://s' || l_suppkey || '/'"))
+_format("prs04_burp_xml", tools.burp_xml, _f("<issue><serialNumber>1</serialNumber><name>Issue %s</name><host ip='1'>http://s%s</host><path>/p</path><severity>%s</severity></issue>", _pk, _sk, _flag("High", "Low", "Information")), "<issues>", "</issues>", "",
+        ("'Issue ' || l_partkey", _sql_flag("HIGH", "LOW", "INFO"), "'http://s' || l_suppkey || '/p'"))
+_format("prs05_openvas_xml", tools.openvas_xml, _f("<result><name>Test %s</name><host>10.0.0.%s<hostname>h</hostname></host><port>%s/tcp</port><nvt oid='1'/><threat>%s</threat><severity>5.0</severity></result>", _pk, _sk, _ln, _flag("High", "Log", "")), "<report><report><results>", "</results></report></report>", "",
+        ("'Test ' || l_partkey", _sql_flag("HIGH", "INFO", "MEDIUM"), "'h (10.0.0.' || l_suppkey || '):' || l_linenumber || '/tcp'"))
+_format("prs06_qualys_xml", tools.qualys_xml, _f("<IP value='10.0.0.%s' name='n'><VULNS><CAT port='%s'><VULN number='%s' severity='%s'><TITLE>Item %s</TITLE></VULN></CAT></VULNS></IP>", _sk, _ln, _pk, _flag("5", "3", "1"), _pk), "<SCAN>", "</SCAN>", "",
+        ("'Item ' || l_partkey", _sql_flag("CRITICAL", "MEDIUM", "INFO"), "'10.0.0.' || l_suppkey || ' / n:' || l_linenumber"))
+_format("prs07_trivy_json", scans.trivy, _f('{"Target":"img%s","Vulnerabilities":[{"VulnerabilityID":"CVE-2020-%s","PkgName":"p%s","Severity":"%s"}]}', _sk, lambda: F.col("l_partkey") + 1000, _ln, _flag("CRITICAL", "LOW", "UNKNOWN")), '{"Results":[', "]}", ",",
+        ("'CVE-2020-' || (l_partkey + 1000) || ' in p' || l_linenumber", _sql_flag("CRITICAL", "LOW", "INFO"), "'img' || l_suppkey"))
+_format("prs07_trivy_table", tools.trivy_table, _f("├───┤\n│ lib%s │ CVE-2020-%s │ %s │ fixed │ 1 │ 2 │ flaw %s │\n│ │ │ │ │ │ │ of it │", _sk, lambda: F.col("l_partkey") + 1000, _flag("HIGH", "LOW", "MEDIUM"), _pk), "img (os)\n========\n┌───┐\n│ Library │ Vulnerability │\n", "\n└───┘\n", "\n",
+        ("'flaw ' || l_partkey || ' of it'", _sql_flag("HIGH", "LOW", "MEDIUM"), "'img (os)'"))
+_format("prs09_testssl_csv", tools.testssl_csv, _f('"check%s","s%s.example/10.0.0.1","%s","%s","offered","",""', _pk, _sk, _ln, _flag("HIGH", "LOW", "OK")), '"id","fqdn/ip","port","severity","finding","cve","cwe"\n', "", "\n",
+        ("'check' || l_partkey || ': offered'", _sql_flag("HIGH", "LOW", ""), "'s' || l_suppkey || '.example (10.0.0.1):' || l_linenumber"), "l_returnflag IN ('R', 'A')")
+_format("prs10_nikto_json", tools.nikto_json, _f('{"host":"s%s","port":"80","vulnerabilities":[{"id":"1","url":"/p%s","msg":"%s"}]}', _sk, _pk, _flag("Server is outdated here", "Directory indexing found", "A default file is there")), "[", "]", ",",
+        ("'Nikto: /p' || l_partkey || ': ' || " + _sql_flag("Server is outdated here", "Directory indexing found", "A default file is there"), _sql_flag("MEDIUM", "MEDIUM", "LOW"), "'s' || l_suppkey"))
+_format("prs10_paths", tools.gobuster, _f("/%s%s   (Status: %s) [Size: 1]", _flag("backup", "page", "admin"), _pk, lambda: F.element_at(F.array(F.lit("200"), F.lit("403"), F.lit("404")), (F.col("l_linenumber") % 3 + 1).cast("int"))), "[+] Url: http://g\n", "", "\n",
+        (f"CASE WHEN l_returnflag = 'A' THEN 'Discovered path: /' ELSE 'Exposed path discovered: /' END || {_sql_flag('backup', 'page', 'admin')} || l_partkey || ' (HTTP ' || (['200', '403', '404'])[l_linenumber % 3 + 1] || ')'",
+         "CASE WHEN l_returnflag = 'A' THEN 'INFO' WHEN l_linenumber % 3 = 0 THEN 'HIGH' ELSE 'LOW' END", "'http://g'"), "l_linenumber % 3 < 2")
+_format("prs10_credentials", tools.hydra_text, _f("[%s][%s] host: 10.0.0.%s   login: u%s   password: no-%s-word", _ln, _flag("ssh", "ftp", "rdp"), _sk, _pk, _pk), "# Hydra\n", "\n", "\n",
+        ("'Valid credentials recovered by brute force: ' || " + _sql_flag("ssh", "ftp", "rdp") + " || ' u' || l_partkey || '@10.0.0.' || l_suppkey || ':' || l_linenumber", "'CRITICAL'", "'10.0.0.' || l_suppkey || ':' || l_linenumber"))
+_format("prs11_bandit", scans.bandit, _f('{"test_id":"B%s","test_name":"t","issue_severity":"%s","issue_text":"x","filename":"f%s.py","line_number":%s}', _pk, _flag("HIGH", "LOW", "UNDEFINED"), _sk, _ln), '{"results":[', "]}", ",",
+        ("'t (B' || l_partkey || ')'", _sql_flag("HIGH", "LOW", "INFO"), "'f' || l_suppkey || '.py:' || l_linenumber"))
+_format("prs11_semgrep", tools.semgrep, _f('{"check_id":"c%s","path":"f%s.py","start":{"line":%s},"extra":{"message":"Bad call %s. More","severity":"%s"}}', _pk, _sk, _ln, _pk, _flag("ERROR", "WARNING", "INFO")), '{"results":[', "]}", ",",
+        ("'Bad call ' || l_partkey", _sql_flag("HIGH", "MEDIUM", "INFO"), "'f' || l_suppkey || '.py:' || l_linenumber"))
+_format("prs12_pentest_table", tools.pentest_csv, _f("%s,Flaw %s,%s risk,10.0.0.%s,fix it", _ln, _pk, _flag("High", "Low", "Medium"), _sk), "Report of a test\nS No,Vulnerability,Severity,Host,Recommendation\n", "", "\n",
+        ("'Flaw ' || l_partkey", _sql_flag("HIGH", "LOW", "MEDIUM"), "'10.0.0.' || l_suppkey"))
+
+
+@query("prs02_nmap", f"SELECT DISTINCT {_BASE}, 'Nmap: Cleartext Remote Login Service (Telnet) (' || l_linenumber || '/tcp)' AS title, 'HIGH' AS severity, '10.0.0.' || l_suppkey AS target FROM lineitem WHERE l_returnflag = 'R'")
+def _(t: Tables) -> DataFrame:
+    line = F.format_string("Nmap scan report for 10.0.0.%s\n%s/tcp open %s x", "l_suppkey", "l_linenumber", F.when(F.col("l_returnflag") == "R", "telnet").otherwise("http"))
+    return tools.nmap_text(exported(t, line, "Starting Nmap\n", "\n", "\n")).select("file", "title", "severity", "target").distinct()
+
+
+@query("txt25_tool_segments", f"SELECT {_BASE}, count(*) FILTER (l_returnflag = 'R') AS nmap, count(*) FILTER (l_returnflag <> 'R') AS hydra FROM lineitem GROUP BY 1")
+def _(t: Tables) -> DataFrame:
+    """Console output of several tools in one file, cut at their banners."""
+    line = F.format_string("%s %s\nsome line %s", F.when(F.col("l_returnflag") == "R", "Nmap scan report for").otherwise("# Hydra v9"), "l_suppkey", "l_partkey")
+    parts = tools.segments(exported(t, line, "noise first\n", "", "\n")).filter("tool IS NOT NULL")
+    return parts.groupBy("file").agg(F.count_if(F.col("tool") == "nmap").alias("nmap"), F.count_if(F.col("tool") == "hydra").alias("hydra"))
+
+
 @query("prs00_dispatch", """SELECT tool AS source_tool, count(*) AS n FROM lineitem, (VALUES ('Qualys'), ('OpenVAS'), ('Lint')) AS tools(tool) GROUP BY tool
   UNION ALL SELECT 'Nessus', count(DISTINCT (l_orderkey, l_partkey, l_suppkey, l_linenumber)) FROM lineitem UNION ALL SELECT 'Nuclei', count(DISTINCT (l_orderkey, l_partkey, l_linenumber)) FROM lineitem""")
 def _(t: Tables) -> DataFrame:
