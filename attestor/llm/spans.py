@@ -51,13 +51,13 @@ def occurrences(df: DataFrame, kinds: Sequence[Kind], text: str) -> DataFrame:
     zipped = []
     for k in kinds:
         gap, hit = F.col(f"_gap_{k.name}"), F.col(f"_hit_{k.name}")
-        z = F.arrays_zip(hit.alias("hit"), gap.alias("gap"), F.slice(gap, 2, 2**31 - 1).alias("next"))
+        z = F.arrays_zip(hit.alias("hit"), gap.alias("gap"), F.slice(gap, 2, 2**30).alias("next"))
         zipped.append(F.when(hit.isNotNull(), z.cast(_OCCURRENCE)).alias(f"_occ_{k.name}"))
     df = df.select(*keep, *zipped)
     for k in (k for k in kinds if k.cut):
         occ = f"_occ_{k.name}"
         pieces = df.withColumn(occ, F.flatten(F.transform(occ, _pieces(k.cut))))
-        gaps = F.slice(F.transform(occ, lambda o: o["gap"]), 2, 2**31 - 1)
+        gaps = F.slice(F.transform(occ, lambda o: o["gap"]), 2, 2**30)
         df = pieces.withColumn(occ, F.zip_with(occ, gaps, lambda o, n: F.struct(o["hit"].alias("hit"), o["gap"].alias("gap"), n.alias("next"))))
     return df
 
