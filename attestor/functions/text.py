@@ -10,6 +10,11 @@ SMART, PLAIN = "‘’“”", "''\"\""
 BLANKS = r"[\x20\x09-\x0D]+"
 
 
+def let(value: Column, of) -> Column:
+    """`of` a value that is computed once; an expression that a lambda uses would be computed for each element."""
+    return F.transform(F.array(value), of)[0]
+
+
 def normal(text: Column) -> Column:
     """Lower case, plain quotes, one blank between words."""
     plain = F.translate(F.coalesce(text, F.lit("")), SMART, PLAIN)
@@ -69,10 +74,10 @@ def pairs(text: Column) -> Column:
         value = F.lower(F.regexp_extract(hit, _PAIR, 2))
         return F.struct(label.alias("label"), F.when(value.isin(*YES), "yes").when(value.isin(*NO), "no").otherwise(value).alias("value"))
 
-    entries = F.filter(F.transform(found, entry), lambda e: F.length(e["label"]) >= 3)
-    labels = F.transform(entries, lambda e: e["label"])
-    first = F.filter(entries, lambda e, i: F.array_position(labels, e["label"]) == i + 1)
-    return F.map_from_entries(first)
+    def firsts(entries: Column) -> Column:
+        return let(F.transform(entries, lambda e: e["label"]), lambda labels: F.filter(entries, lambda e, i: F.array_position(labels, e["label"]) == i + 1))
+
+    return F.map_from_entries(let(F.filter(F.transform(found, entry), lambda e: F.length(e["label"]) >= 3), firsts))
 
 
 # How a field and its value are written, words that don't belong to a label, and words of one meaning.

@@ -29,13 +29,18 @@ def joined_lines(text: Column) -> Column:
     starts with a capital or a digit. Only the line before decides, so no state is carried."""
     lines = F.filter(F.transform(F.split(text, "\n"), X.stripped), lambda x: x != "")
 
-    def begins(line: Column, i: Column) -> Column:
-        before = F.get(lines, i - 1)
+    def marked(lines: Column) -> Column:
+        # each line beside the one before it; the last pair has no line
+        beside = F.zip_with(lines, F.concat(F.array(F.lit(None).cast("string")), lines), lambda x, y: F.struct(x.alias("line"), y.alias("before")))
+        return F.array_join(F.transform(F.filter(beside, lambda p: p["line"].isNotNull()), begins), "")
+
+    def begins(pair: Column) -> Column:
+        line, before = pair["line"], pair["before"]
         ends = before.rlike('[.?!"”]$') & ~before.rlike(r"(?:i\.e\.|e\.g\.|approx\.)$")
-        new = (i > 0) & (line.rlike(SECTION) | (ends & line.rlike(r"^[\p{Lu}0-9]")))
+        new = before.isNotNull() & (line.rlike(SECTION) | (ends & line.rlike(r"^[\p{Lu}0-9]")))
         return F.concat(F.when(new, _MARK).otherwise(" "), line)
 
-    return F.split(F.array_join(F.transform(lines, begins), ""), _MARK)
+    return F.split(X.let(lines, marked), _MARK)
 
 
 def paragraphs(text: Column) -> Column:
@@ -43,9 +48,13 @@ def paragraphs(text: Column) -> Column:
     text = F.coalesce(text, F.lit(""))
     blocks = _kept(F.split(text, "\n\n"), LEAST_WORDS)
     fine = F.flatten(F.transform(blocks, lambda p: F.when(F.length(p) > LONG, _kept(F.split(p, "\n"), LEAST_LINE)).otherwise(F.array(p))))
-    total = F.aggregate(fine, F.lit(0), lambda n, p: n + F.length(p))
-    coarse = (F.size(fine) <= FEW) | (total > DENSE * F.size(fine))
-    return F.when(coarse, _kept(joined_lines(text), LEAST_WORDS)).otherwise(fine)
+
+    def chosen(fine: Column) -> Column:
+        total = F.aggregate(fine, F.lit(0), lambda n, p: n + F.length(p))
+        coarse = (F.size(fine) <= FEW) | (total > DENSE * F.size(fine))
+        return F.when(coarse, _kept(joined_lines(text), LEAST_WORDS)).otherwise(fine)
+
+    return X.let(fine, chosen)
 
 
 def numbered(docs: DataFrame, keys: Sequence[str], text: str) -> DataFrame:

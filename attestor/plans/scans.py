@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..sources import scans, tools
+from ..sources import documents, scans, tools
 from .registry import Tables, query
 
 _KEPT = ["file", "plugin_id", "title", "severity", "severity_score", "target"]
@@ -158,3 +158,46 @@ def _(t: Tables) -> DataFrame:
     for other in (qualys_files, openvas_files, nuclei_files, sarif_files):
         files = files.unionByName(other(t))
     return scans.read(files).groupBy("source_tool").agg(F.count("*").alias("n"))
+
+
+# Documents
+
+_ROWS = "SELECT l_suppkey, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_quantity) - 1 AS i, l_orderkey || '  ' || l_linenumber || '  p,' || l_partkey AS x, 'order=' || l_orderkey || ' | line=' || l_linenumber || ' | part=p,' || l_partkey AS y FROM lineitem"
+
+
+def _windows(n: int, shared: int, before: str, value: str) -> str:
+    step = n - shared
+    return f"WITH r AS ({_ROWS}), k AS (SELECT DISTINCT l_suppkey, i // {step} AS chunk FROM r) SELECT k.l_suppkey::VARCHAR AS file, k.chunk::INT AS chunk_index, md5({before} || string_agg({value}, chr(10) ORDER BY i)) AS digest FROM k JOIN r ON r.l_suppkey = k.l_suppkey AND i >= chunk * {step} AND i < chunk * {step} + {n} GROUP BY k.l_suppkey, k.chunk"
+
+
+def _tables(t: Tables) -> DataFrame:
+    """One table as CSV for each supplier, its rows in order."""
+    key = F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_quantity")
+    rows = t("lineitem").groupBy("l_suppkey").agg(F.array_sort(F.collect_list(key)).alias("r"))
+    line = lambda x: F.format_string('%s,%s,"p,%s"', x["l_orderkey"], x["l_linenumber"], x["l_partkey"])
+    return rows.select(F.col("l_suppkey").cast("string").alias("file"), F.concat(F.lit("order,line,part\n"), F.array_join(F.transform("r", line), "\n")).alias("text"))
+
+
+@query("src01e_csv_chunks", _windows(15, 3, "'Headers: order  line  part' || chr(10)", "x"))
+def _(t: Tables) -> DataFrame:
+    return documents.row_chunks(_tables(t), ["file"], "text", False).select("file", "chunk_index", F.md5("content").alias("digest"))
+
+
+@query("src01d_sheet_chunks", _windows(5, 1, "''", "y"))
+def _(t: Tables) -> DataFrame:
+    return documents.row_chunks(_tables(t), ["file"], "text", True).select("file", "chunk_index", F.md5("content").alias("digest"))
+
+
+@query("src01_documents", None)
+def _(t: Tables) -> DataFrame:
+    """Every document as a text file: opened, decoded and cut into chunks. Cuts depend on those before, so there is no SQL."""
+    docs = t("documents").select(F.concat(F.col("doc_id").cast("string"), F.lit(".txt")).alias("file"), F.col("text").cast("binary").alias("data"))
+    return documents.chunks(documents.parts(docs)).select("file", "chunk_index", "source_type", F.md5("content").alias("digest"))
+
+
+@query("src11_guardrail", "SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'executable' WHEN page_id % 3 = 1 THEN 'signature' END AS flaw FROM pages")
+def _(t: Tables) -> DataFrame:
+    """Pages as files whose first bytes are those of a program, of another format than the name says, or their own."""
+    head = F.when(F.col("page_id") % 3 == 0, F.unhex(F.lit("4D5A90"))).when(F.col("page_id") % 3 == 1, F.unhex(F.lit("504B0304"))).otherwise(F.unhex(F.lit("25504446")))
+    files = t("pages").select("page_id", F.lit("a.pdf").alias("file"), F.concat(head, F.col("html").cast("binary")).alias("data"))
+    return documents.guarded(files).select("page_id", "flaw")

@@ -16,6 +16,8 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.window import Window as W
 
+from ..session import ship
+
 TTL = "24 hours"
 FINISHED = ("purchase",)
 _COUNTS = "events long, errors long, value double, first timestamp, last timestamp, state string"
@@ -76,8 +78,12 @@ def _step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Itera
 
 def stream(events: DataFrame) -> DataFrame:
     """The counters of a stream's sessions, those that a micro-batch changed. Events may come up to a day late."""
-    timed = events.withWatermark("ts", TTL).filter("user_id IS NOT NULL AND ts IS NOT NULL").select("user_id", "ts", "event_id", "event_type", "value")
-    return timed.groupBy("user_id").applyInPandasWithState(_step, f"user_id long, {_COUNTS}", f"{_COUNTS}, newest long", "update", GroupStateTimeout.EventTimeTimeout)
+    ship(events.sparkSession)
+    kind = dict(events.dtypes)["ts"]
+    timed = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", TTL)  # watermarks need instants
+    timed = timed.filter("user_id IS NOT NULL AND ts IS NOT NULL").select("user_id", "ts", "event_id", "event_type", "value")
+    rows = timed.groupBy("user_id").applyInPandasWithState(_step, f"user_id long, {_COUNTS}", f"{_COUNTS}, newest long", "update", GroupStateTimeout.EventTimeTimeout)
+    return rows.withColumns({c: F.col(c).cast(kind) for c in ("first", "last")})
 
 
 def follow(spark: SparkSession, folder: str, schema, checkpoint: str, out: str, files: int = 1) -> StreamingQuery:
@@ -114,6 +120,7 @@ def limited(attempts: DataFrame, key: str, ts: str, most: int = 5, seconds: floa
                     passed.append(t)
             yield b.assign(allowed=out)
 
+    ship(attempts.sparkSession)
     rows = attempts.select(key, ts).repartition(key).sortWithinPartitions(key, ts)
     kinds = dict(rows.dtypes)
     return rows.mapInPandas(of, f"`{key}` {kinds[key]}, `{ts}` {kinds[ts]}, allowed boolean")
