@@ -10,6 +10,7 @@ from ..functions import text as X
 from ..operators import chunking as K
 from ..operators import relational as R
 from ..operators import retrieval as V
+from ..session import written
 from .registry import Tables, query
 
 #: The query of the ranking examples: words and weights.
@@ -238,14 +239,14 @@ def _(t: Tables) -> DataFrame:
 
 @query("txt18_file_diversity", _CHAIN + "SELECT doc_id, round(score, 4) AS score FROM g")
 def _(t: Tables) -> DataFrame:
-    every = _hybrid(t)
+    every = written(_hybrid(t), "hybrid")  # it is read three times
     u = V.unlike(V.distinct_texts(V.candidates(every, [], ["doc_id"]), [], ["doc_id"], "text"), [], ["doc_id"], "text")
     return _TEN(V.diverse(u, every, [], ["doc_id"], "file", "text", 10))
 
 
 @query("txt20_context_budget", _CHAIN + "SELECT doc_id, round(score, 4) AS score FROM z")
 def _(t: Tables) -> DataFrame:
-    every = _hybrid(t)
+    every = written(_hybrid(t), "hybrid")  # it is read three times
     u = V.unlike(V.distinct_texts(V.candidates(every, [], ["doc_id"]), [], ["doc_id"], "text"), [], ["doc_id"], "text")
     g = V.diverse(u, every, [], ["doc_id"], "file", "text", 10)
     return _TEN(V.within_budget(g, [F.desc("score"), F.col("doc_id")], X.token_estimate(F.col("text")), 3000, 6000, []))
