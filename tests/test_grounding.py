@@ -5,8 +5,6 @@ from __future__ import annotations
 from collections import Counter
 
 from attestor.operators import retrieval
-from attestor.plans import evidence  # noqa: F401  registers the queries
-from attestor.plans.registry import QUERIES
 
 HEAD = "the quick brown fox jumps over the lazy dog near the old river bank"
 QUOTE = HEAD + " and was approved on the first of may"
@@ -28,13 +26,19 @@ def test_whole_quotes(spark):
     assert got == Counter({(10, d): 2 for d in holders} | {(11, d): 1 for d in holders} | {(12, 5): 1, (13, 7): 1, (14, 7): 1})
 
 
-def test_three_word_support_forces_no_broadcast(spark):
-    """With broadcasts off none is left in the plan."""
-    key = "spark.sql.autoBroadcastJoinThreshold"
-    was = spark.conf.get(key)
-    spark.conf.set(key, "-1")
-    try:
-        plan = QUERIES["val04_three_word_support"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
-    finally:
-        spark.conf.set(key, was)
-    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+def test_status_of_quotes(spark):
+    """Whole, in part, or not at all; rows of one item are judged each."""
+    docs = spark.createDataFrame([*DOCS, (8, QUOTE + " and more")], "doc_id long, text string")
+    quotes = spark.createDataFrame([*QUOTES, (20, QUOTE + "\n\nnever written anywhere at all")], "item_id long, text string")
+    got = Counter(map(tuple, retrieval.best_grounding(docs, quotes, "doc_id", "item_id", "text").collect()))
+    whole, part = {(10, "GROUNDED"): 2, (11, "GROUNDED"): 1, (12, "GROUNDED"): 1, (13, "GROUNDED"): 1, (14, "GROUNDED"): 1}, {(18, "PARTIALLY_GROUNDED"): 1, (20, "PARTIALLY_GROUNDED"): 1}
+    assert got == Counter(whole | part | {(i, "NOT_GROUNDED"): 1 for i in (15, 16, 17)})
+
+
+def test_claims(spark):
+    """A claim without any three words in a row of its document is flagged; what says that something is absent isn't a claim."""
+    text = "The policy states that all users rotate keys. It mentions purple elephants dancing around here! No evidence contains anything of it. Short states."
+    rows = spark.createDataFrame([(1, text), (2, text), (3, None)], "k long, text string")
+    docs = spark.createDataFrame([(1, "We know that all users rotate keys every month."), (2, "The policy states that all. Mentions purple elephants dancing."), (3, "x")], "k long, text string")
+    got = sorted((r["k"], r["sentence"]) for r in retrieval.unsupported(rows, docs, "k", "text").collect())
+    assert got == [(1, "It mentions purple elephants dancing around here!")]
