@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
-from . import fill_in_middle, media, mixing, packing, pii, quality, secrets, simhash, token_counts, toxicity, url_rules, whitening
+from . import best_fit, fill_in_middle, media, mixing, packing, pii, quality, secrets, simhash, token_counts, toxicity, url_rules, whitening
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,6 +58,11 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.report(table(spark, sf_dir, "documents"))
 
 
+def op11_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in few sequences of at most 2,048 tokens, cut only where they are longer; one row for each piece."""
+    return best_fit.report(table(spark, sf_dir, "documents"))
+
+
 def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document cut into prefix, middle and suffix and put together in another order, and the text it is restored to."""
     return fill_in_middle.report(table(spark, sf_dir, "documents"))
@@ -71,7 +76,7 @@ def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     found = [
         op1_secret_scan, op2_simhash_near_dedup, op3_toxicity, op4_packing, op5_url_filter, op6_mixing, op7_media, op8_pii, op9_quality_rules, op10_token_counts,
-        op12_fill_in_middle, op13_whitening,
+        op11_best_fit_packing, op12_fill_in_middle, op13_whitening,
     ]
     return {f.__name__: f for f in found}
 
