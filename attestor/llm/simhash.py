@@ -16,11 +16,7 @@ Copies never meet: only distinct fingerprints are keyed. A partition sorted by k
 key emits the links of a spanning forest, found by flooding, so a cluster of n near copies costs about n comparisons and
 n - 1 links instead of all pairs, and no link between different texts is lost.
 
-`deduplicated` is for corpora: it links texts whose sets of five-word shingles have a similarity (Jaccard) of 0.8 or more.
-Four bits of 64 don't reach that far (texts of similarity 0.8 differ in about 10 bits), and pigeonring keys for 20 bits
-would be too short to prune. So there, blocks of two min-wise shingles add candidates to those of the ring; the Hamming
-budget of `WIDE` bits and the sizes prune them, and the shingle sets decide. A pair of similarity 0.8 shares no block with
-a probability of 0.36 ** 8 = 0.0003, at 0.9 of 0.000002.
+Corpora are deduplicated by `near_copies`, which takes its first candidates from here.
 
 Null texts count as empty; a text without words has fingerprint zero, linked like any other; very long texts are read
 whole, in pieces of memory. Rows with a null id are returned, but don't name a component. Repeated rows and rows that
@@ -30,7 +26,6 @@ are not read.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 from itertools import combinations, repeat
 
@@ -44,11 +39,6 @@ from ..session import bound_batches, ship, written
 from .components import components
 
 SHINGLE, BITS, SEED = 4, 4, 42
-#: Near copies of a corpus: words of a shingle, least similarity, bits that a candidate may differ in, blocks of two min-wise
-#: shingles. Of 64 bits, a pair of similarity 0.8 differs in 9.6 on average, with a standard deviation of 2.9.
-WORDS, SIMILAR, WIDE, BANDS = 5, 0.8, 22, 8
-#: Up to so many rows of representatives are broadcast.
-BROADCAST = 500_000
 #: (lowest bit, width) of the segments, and where the next segment is halved.
 SEGMENTS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
 #: Rows of one fingerprint are spread over so many salts before they meet their component.
@@ -269,91 +259,3 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shi
 def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     out = classes(docs, id_col, text_col)
     return out.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
-
-
-# Near copies of a corpus
-
-_FACTORS = np.random.default_rng(SEED).integers(1, 2**63, 2 * BANDS, np.uint64) * np.uint64(2) + np.uint64(1)
-
-
-def described(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, row_key, norm, fp, size, bands, shingles) for every row: the digest of the text, that of its lower-cased words
-    (equal words have equal shingles), fingerprint, number of distinct shingles, block keys and 32-bit hashes of shingles."""
-    bound_batches(docs.sparkSession)
-    ship(docs.sparkSession)
-    kind = docs.schema[id_col].dataType.simpleString()
-
-    def bands(h: np.ndarray) -> np.ndarray:
-        """Negative keys, which the ring's keys never are."""
-        if not len(h):
-            return np.full(1, -1)
-        least = np.array([(h * f).min() for f in _FACTORS]).reshape(BANDS, 2)
-        mixed = (least[:, 0] * _FACTORS[:BANDS]) ^ (least[:, 1] * _FACTORS[BANDS:])
-        return (mixed | np.uint64(1 << 63)).view(np.int64)
-
-    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            norm, fp, size, keys, sets = [], [], [], [], []
-            for text in b.column(1).to_pylist():
-                words = (text or b"").lower().split()
-                h = hashes(words, WORDS)
-                own = np.unique((h >> np.uint64(32)).astype(np.uint32)).view(np.int32)
-                norm.append(hashlib.md5(b" ".join(words), usedforsecurity=False).digest())
-                fp.append(majority(h))
-                size.append(len(own))
-                keys.append(bands(h))
-                sets.append(own)
-            columns = [
-                b.column(0), b.column(2), pa.array(norm, pa.binary()), pa.array(np.array(fp, np.uint64).view(np.int64), pa.int64()), pa.array(size, pa.int32()),
-                pa.array(keys, pa.list_(pa.int64())), pa.array(sets, pa.list_(pa.int32())),
-            ]
-            yield pa.RecordBatch.from_arrays(columns, names=["id", "row_key", "norm", "fp", "size", "bands", "shingles"])
-
-    text = F.col(text_col).cast("string")
-    rows = docs.select(F.col(id_col).alias("id"), text.cast("binary").alias("text"), row_key(text).alias("row_key"))
-    return rows.mapInArrow(of, f"id {kind}, row_key string, norm binary, fp long, size int, bands array<long>, shingles array<int>")
-
-
-def row_key(text: Column) -> Column:
-    """Which text a row has; with the id it names the row, up to copies that share both."""
-    return F.md5(F.coalesce(text, F.lit("")))
-
-
-def similar_pairs(rows: DataFrame, texts: DataFrame, similar: float = SIMILAR) -> DataFrame:
-    """(a, b): links between texts (norm) of that similarity or more. `rows` is `described`, `texts` has one row a norm with
-    the row that stands for it (least)."""
-    chain, parts = _scheme(texts.count())
-    keyed = texts.select(F.explode(F.concat(_keys(F.col("fp"), chain, parts), "bands")).alias("key"), "fp", "size", F.col("norm").alias("v"))
-    everywhere = [(np.uint64(2**64 - 1), WIDE)]
-    pairs = written(_grouped(keyed, [*_chains(BITS), everywhere], similar, "binary").distinct(), "near-pairs")
-    # the shingles of one row of each text that is in a pair
-    meant = pairs.select(F.explode(F.array("a", "b")).alias("norm")).distinct().join(texts.select("norm", "least.id", "least.row_key"), "norm")
-    meant = written(meant, "near-texts")
-    named = [F.col("r.norm") == F.col("m.norm"), F.col("r.row_key") == F.col("m.row_key"), F.col("r.id").eqNullSafe(F.col("m.id"))]
-    small = F.broadcast(meant) if meant.count() <= BROADCAST else meant
-    sets = rows.alias("r").join(small.alias("m"), named, "left_semi").select("norm", "shingles").dropDuplicates(["norm"])
-    sets = written(sets, "near-sets")
-    a = pairs.join(sets.select(F.col("norm").alias("a"), F.col("shingles").alias("sa")), "a")
-    both = a.join(sets.select(F.col("norm").alias("b"), F.col("shingles").alias("sb")), "b")
-    common = F.size(F.array_intersect("sa", "sb"))
-    return both.filter(common >= similar * (F.size("sa") + F.size("sb") - common)).select("a", "b")
-
-
-def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similar: float = SIMILAR) -> DataFrame:
-    """One row of each group of near copies: that with the least id, or else the least digest of its text.
-
-    Rows with one id but unlike texts are judged each by its own text; rows with a null id come last in their group. Of
-    rows that share id and text any one stays. Columns of any name pass through."""
-    rows = written(described(docs, id_col, text_col), "described")
-    name = F.struct(F.col("id").isNull().alias("unnamed"), "id", "row_key")
-    texts = rows.groupBy("norm").agg(F.min(name).alias("least"), *[F.first(c).alias(c) for c in ("fp", "size", "bands")])
-    texts = written(texts, "texts")
-    edges = written(similar_pairs(rows, texts, similar), "similar")
-    stays = texts.select("norm", "least")
-    if not edges.isEmpty():
-        roots = components(edges, "a", "b")
-        stays = stays.join(roots.withColumnRenamed("v", "norm"), "norm", "left").withColumn("norm", F.coalesce("root", "norm"))
-    stays = stays.groupBy("norm").agg(F.min("least").alias("least")).select(F.col("least.id").alias("_id"), F.col("least.row_key").alias("_key"))
-    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), F.col(id_col).alias("_0"), row_key(F.col(text_col).cast("string")).alias("_1"))
-    kept = whole.join(stays, F.col("_0").eqNullSafe(F.col("_id")) & (F.col("_1") == F.col("_key")), "left_semi")
-    return kept.dropDuplicates(["_0", "_1"]).select("_doc.*")

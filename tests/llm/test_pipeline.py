@@ -3,15 +3,12 @@
 from __future__ import annotations
 
 import hashlib
-import sys
 from collections import Counter, defaultdict
-from pathlib import Path
 
 import pytest
 
-sys.path.insert(0, str(Path(__file__).resolve().parent.parent.parent))
-import corpus_pipeline
 from attestor.llm import pii, toxicity
+from attestor.llm import pipeline as corpus_pipeline
 from attestor.session import table, written
 
 from .rows import edges

@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from attestor.llm import simhash
+from attestor.llm import near_copies, simhash
 from attestor.session import table
 
 from .rows import edges
@@ -121,7 +121,7 @@ def survivors(rows: list[tuple]) -> Counter:
 @pytest.mark.parametrize("which", ["edges", "table"])
 def test_one_of_each_group_stays(spark, which):
     docs = table(spark, "/root/testdata/sf0.001", "documents") if which == "table" else edges(spark, clashing=True)
-    got = simhash.deduplicated(docs)
+    got = near_copies.deduplicated(docs)
     assert got.columns == docs.columns
     digest = lambda t: hashlib.md5((t or "").encode()).hexdigest()
     assert Counter((r["doc_id"], digest(r["text"])) for r in got.collect()) == survivors([(r["doc_id"], r["text"]) for r in docs.collect()])
@@ -130,7 +130,7 @@ def test_one_of_each_group_stays(spark, which):
 def test_rows_of_one_id_are_judged_apart(spark):
     texts = [" ".join(f"{w}{i}" for i in range(60)) for w in "abc"]
     docs = spark.createDataFrame([(7, texts[0]), (7, texts[1]), (8, texts[2]), (None, texts[2]), (None, texts[0] + " more"), (None, "alone")], "doc_id long, text string")
-    assert Counter(map(tuple, simhash.deduplicated(docs).collect())) == Counter([(7, texts[0]), (7, texts[1]), (8, texts[2]), (None, "alone")])
+    assert Counter(map(tuple, near_copies.deduplicated(docs).collect())) == Counter([(7, texts[0]), (7, texts[1]), (8, texts[2]), (None, "alone")])
 
 
 def test_near_copies_are_caught(spark):
@@ -151,10 +151,53 @@ def test_near_copies_are_caught(spark):
         rows.append((len(rows), " ".join(w[:k] + ["odd"] + w[k + 1 :]) if k < 300 else " ".join(w) + f" {k}"))
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert pairs > 60
-    kept = Counter(r["doc_id"] for r in simhash.deduplicated(docs).collect())
+    kept = Counter(r["doc_id"] for r in near_copies.deduplicated(docs).collect())
+    assert kept == Counter(i for i, _ in survivors(rows).elements())
+
+
+def family_rows(families: int, own: int = 56, shared: int = 400, edit: int = 12) -> list[tuple[int, str]]:
+    """Pages that share a passage and have words of their own, each with one edited copy of similarity above 0.8; pages of unlike
+    families stay below it."""
+    rng, rows = random.Random(families), []
+    passage = [f"p{i}" for i in range(shared)]
+    for k in range(families):
+        mine = [f"f{k}w{i}" for i in range(own)]
+        other = list(mine)
+        for i in rng.sample(range(own), 1 + k % edit // 4):
+            other[i] = f"f{k}e{i}"
+        rows += [(2 * k, " ".join(passage + mine)), (2 * k + 1, " ".join(passage + other))]
+    return rows
+
+
+@pytest.mark.parametrize(("families", "own"), [(20, 56), (33, 56), (120, 56), (120, 50), (2000, 56)])
+def test_pages_with_a_shared_passage(spark, families, own):
+    """Blocks far larger than those that are compared whole: every copy is found, and no unlike page goes."""
+    rows = family_rows(families, own)
+    sets = [shingles(t) for _, t in rows]
+    like = lambda a, b: len(a & b) / len(a | b)
+    assert all(like(sets[i], sets[i + 1]) >= 0.8 for i in range(0, len(sets), 2))
+    assert like(sets[0], sets[2]) < 0.8
+    kept = [r["doc_id"] for r in near_copies.deduplicated(spark.createDataFrame(rows, "doc_id long, text string").repartition(8)).collect()]
+    assert sorted(kept) == [2 * k for k in range(families)]
+
+
+def test_crowd_of_edited_copies(spark):
+    """A thousand copies of one page, each edited in places of its own so that many are below 0.8 to each other, among
+    pages of the same passage: groups are those of all pairs."""
+    rng = random.Random(9)
+    base = [f"b{i}" for i in range(300)]
+    texts = []
+    for k in range(400):
+        w = list(base)
+        for i in rng.sample(range(300), rng.choice((1, 3, 6, 9, 14))):
+            w[i] = f"x{k}y{i}"
+        texts.append(" ".join(w))
+    texts += [" ".join(base[:220] + [f"z{k}q{i}" for i in range(60)]) for k in range(60)]
+    rows = list(enumerate(texts))
+    kept = Counter(r["doc_id"] for r in near_copies.deduplicated(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect())
     assert kept == Counter(i for i, _ in survivors(rows).elements())
 
 
 def test_empty_table(spark):
     none = edges(spark).filter("false")
-    assert simhash.report(none).count() == simhash.deduplicated(none).count() == 0
+    assert simhash.report(none).count() == near_copies.deduplicated(none).count() == 0
