@@ -53,8 +53,10 @@ def test_packing_round_trip(docs):
             assert offset == at and length > 0
             at += length
         assert at <= 2048
-        waste += 0 if at & (at - 1) == 0 else 2048 - at
-    assert waste == 0
+        lacks = 0 if at & (at - 1) == 0 else 2048 - at
+        assert lacks <= packing.PADDING
+        waste += lacks
+    assert waste <= 0.01 * sum(r["length"] for r in rows)
     # each piece has the ids at its place in some row of its document, and all places are covered once per row
     of = defaultdict(list)
     for (i, n, ids), copies in expected.items():
@@ -89,29 +91,34 @@ def test_sum_of_squares_choice():
             assert packer.count[level] and cost(level) == min(map(cost, whole or [x for x in range(1, 16) if packer.count[x] > 0]))
 
 
-@pytest.mark.parametrize(("n", "least"), [(200, 0.85), (1000, 0.95), (20_000, 0.99)])
-def test_windows_come_from_the_level_array(n, least):
-    """Partitions of several sizes; windows that one document fills alone are left out, and the last window is at most 11 sequences."""
+@pytest.mark.parametrize("n", [200, 1000, 20_000])
+def test_windows_fill_as_documents_come(n):
+    """Partitions of several sizes: no document is cut for want of room, what is left open is little for the partition, and
+    only that is cut at the end."""
     rng = np.random.default_rng(n)
     sizes = np.minimum(np.exp(rng.normal(6, 1.2, n)).astype(int) + 1, 30_000)
     packer = packing.Packer()
     for i, k in enumerate(sizes.tolist()):
         packer.add(i, bytes(4 * k))
-        assert packer.n_open <= packing.SPACE
+    left = packer.n_open
+    assert packer.forced == 0 and left <= 8 * n**0.5 and packer.placed == len(packer.done)
+    assert all(sum(map(len, held)) == 2048 for held in packer.done)
+    whole = Counter(p.doc for held in packer.done for p in held if p.doc_tokens <= 2048)
+    assert set(whole.values()) <= {1}
     packer.close()
-    alone = sum(len(held) == 1 for held in packer.done)
-    assert packer.placed + packer.closed == len(packer.done) and packer.closed <= 11
-    assert (packer.placed - alone) / (len(packer.done) - alone) >= least
+    assert packer.n_open == 0 and packer.placed + packer.closed == len(packer.done)
     tokens = [sum(map(len, held)) for held in packer.done]
-    assert sum(tokens) == sizes.sum() and all(t == 2048 or t & (t - 1) == 0 for t in tokens)
+    assert sum(tokens) == sizes.sum() and all(t & (t - 1) == 0 or 2048 - t <= packing.PADDING for t in tokens)
+    assert packer.closed <= 11 * left
 
 
 def test_sizes_that_never_fit_are_cut():
-    """No two documents fit one window: space stays bounded and nothing is padded."""
+    """No two documents fit one window: space stays bounded."""
     packer = packing.Packer(window=64, space=4)
     for i in range(500):
         packer.add(i, np.arange(40, dtype="<u4").tobytes())
         assert packer.n_open <= 4
+    assert packer.forced > 100
     packer.close()
     covered = Counter()
     for held in packer.done:
