@@ -173,7 +173,7 @@ def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
         encode, end, item = byte_ids_of(tokenizer), np.array([closing], "<u4").tobytes(), TaskContext.get().partitionId() << 40
         for b in batches:
             out: list[tuple] = []
-            for row, ids in enumerate(encode([t or "" for t in b.column(1).to_pylist()])):
+            for row, ids in enumerate(encode(b.column(1))):
                 ids += end
                 n = len(ids) // 4
                 cuts = [0, *range(n % window or window, n + 1, window)] if n > window else [0, n]
@@ -185,7 +185,7 @@ def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
             columns = [b.column(0).take(pa.array(row, pa.int32())), *(pa.array(c, k) for c, k in zip(rest, kinds, strict=True))]
             yield pa.RecordBatch.from_arrays(columns, names=["id", "piece", "start", "length", "ids_crc32", "item"])
 
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     return rows.mapInArrow(of, f"id {kind}, piece int, start long, length long, ids_crc32 long, item long")
 
 

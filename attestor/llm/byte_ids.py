@@ -5,24 +5,21 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Iterator
-from itertools import batched
+from itertools import batched, compress, repeat
+from operator import is_
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Chunks and words a worker remembers, and the longest such chunk in characters.
-REMEMBERED, LONGEST = 600_000, 64
+REMEMBERED, WORDS, LONGEST = 700_000, 1_200_000, 64
 #: Punctuation that may follow a word. An apostrophe isn't: it may begin a contraction.
 TAIL = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum() and chr(c) != "'")
-#: Letters below this are letters in every version of Unicode.
-OLD = "Ԁ"
-#: White space other than blanks and line ends.
-_ODD = re.compile(r"[^\S \n]")
-
-
-def single(text: str) -> bool:
-    """Whether all white space is single blanks and line ends between words. The tokenizer may take longer runs together,
-    or apart from the word after them."""
-    return not (text[:1].isspace() or text[-1:].isspace() or "  " in text or "\n\n" in text or " \n" in text or "\n " in text or _ODD.search(text))
+#: Characters that may not be letters in every version of Unicode.
+_NEW = re.compile("[^\0-\u04ff]")
+#: Stands for the ids of a chunk that begins or ends with white space, which the tokenizer may take together with what is beside it.
+JOINED = b""
 
 
 class ByteIds:
@@ -71,44 +68,66 @@ class ByteIds:
         return ids
 
     def _encoded(self, chunks: set[str]) -> dict[str, bytes]:
-        if len(self.words) > REMEMBERED:
+        if len(self.words) > WORDS:
             self.words.clear()
-        plain, words, odd = [], [], []
+        whole, cut, words, odd, out = [], [], [], [], {}
         for c in chunks:
-            word = c.rstrip(TAIL)
-            if len(word) <= LONGEST and (letters := word.removeprefix("\n")).isalpha() and (letters.isascii() or max(letters) < OLD):
-                plain.append(c)
-                words.append(word)
+            if c.isalpha():
+                word = c
+            else:
+                word = c.rstrip(TAIL)
+                if not (word[1:] if word[:1] == "\n" else word).isalpha():
+                    word = None
+            if word is None or len(word) > LONGEST or not word.isascii() and _NEW.search(word):
+                if c[-1].isspace() or c[c[0] == "\n"].isspace():
+                    out[c] = JOINED
+                else:
+                    odd.append(c)
+            elif len(word) == len(c):
+                whole.append(c)
             else:
-                odd.append(c)
-        self._learn(list(set(words).difference(self.words)))
+                cut.append(c)
+                words.append(word)
         known = self.words
-        out = {c: known[w] if len(c) == len(w) else known[w] + self._tail(c[len(w) :]) for c, w in zip(plain, words, strict=True)}
+        self._learn([w for w in {*whole, *words} if w not in known])
+        out.update(zip(whole, map(known.__getitem__, whole), strict=True))
+        out.update((c, known[w] + self._tail(c[len(w) :])) for c, w in zip(cut, words, strict=True))
         for some in batched(odd, 4096):
             out.update(zip(some, self._apart([c if c[0] == "\n" else " " + c for c in some]), strict=True))
         return out
 
-    def __call__(self, texts: list[str]) -> Iterator[bytes]:
+    def __call__(self, texts: list[str] | pa.StringArray) -> Iterator[bytes]:
+        """The ids of each text. Chunks are told apart and numbered by Arrow, so that each is looked up once a batch."""
+        texts = pa.array(texts, pa.string()) if isinstance(texts, list) else texts
+        if not len(texts):
+            return
         if len(self.known) > REMEMBERED:
             self.known.clear()
-        split, found, new = [], [], set()
-        for t in texts:
-            if not t or not single(t) or any(s in t for s in self.special):
-                chunks, ids = None, self._apart([t])[0] if t else b""
-            else:
-                chunks = ("\n" + t).replace("\n", " \n").split(" ")[1:]
-                ids = list(map(self.known.get, chunks))
-                if None in ids:
-                    new.update(c for c, i in zip(chunks, ids, strict=True) if i is None)
-            split.append(chunks)
-            found.append(ids)
+        split = pc.split_pattern(pc.binary_join_element_wise("\n", pc.replace_substring(texts, "\n", " \n"), ""), " ")
+        coded = split.values.dictionary_encode()
+        chunks = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        ids = list(map(self.known.get, chunks))
+        # nothing between two blanks, or a line end by itself: a longer run of white space
+        new = {c for c in compress(chunks, map(is_, ids, repeat(None))) if c not in ("", "\n")}
         learned = self._encoded(new)
         self.known.update(learned if max(map(len, new), default=0) <= LONGEST else {c: i for c, i in learned.items() if len(c) <= LONGEST})
-        for chunks, ids in zip(split, found, strict=True):
-            if chunks is None:
-                yield ids
-            else:  # without the line end that was put before the text
-                yield b"".join([learned[c] if i is None else i for c, i in zip(chunks, ids, strict=True)] if None in ids else ids)[4:]
+        ids = [learned.get(c, JOINED) if i is None else i for c, i in zip(chunks, ids, strict=True)]
+
+        n_ids = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        code, borders = coded.indices.to_numpy(), split.offsets.to_numpy().astype(np.int64) - split.offsets[0].as_py()
+        whole = np.add.reduceat(n_ids[code] == 0, borders[:-1]) == 0  # texts that have no chunk without ids; each has a chunk
+        for s in self.special:
+            whole &= ~pc.match_substring(texts, s).to_numpy(zero_copy_only=False)
+        first = np.concatenate(([0], np.cumsum(n_ids)))[:-1]
+        n = n_ids[code]
+        ends = np.cumsum(n)
+        flat = np.frombuffer(b"".join(ids), "<u4")[np.repeat(first[code] - ends + n, n) + np.arange(ends[-1])].tobytes()
+        at = 4 * np.concatenate(([0], ends))[borders]
+        for k, (i, j, known) in enumerate(zip(at.tolist(), at[1:].tolist(), whole.tolist(), strict=False)):
+            if known:  # without the line end that was put before the text
+                yield flat[i + 4 : j]
+            else:
+                yield self._apart([text])[0] if (text := texts[k].as_py()) else b""
 
 
 _ids: dict[str, ByteIds] = {}
