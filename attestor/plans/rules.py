@@ -70,7 +70,7 @@ _rule(
 
 
 def _class(number: str) -> str:
-    return "CASE " + " ".join(f"WHEN {number} IN ({', '.join(map(T.lit, n.split()))}) THEN '{k}'" for k, n in C.CWES.items()) + " END"
+    return "CASE " + " ".join(f"WHEN {number} IN ({', '.join(T.lit(str(x)) for x in n)}) THEN '{k}'" for k, n in C.CWES.items()) + " END"
 
 
 _CODE = f"coalesce({_class("regexp_replace(coalesce(cwe, ''), '[^0-9]', '', 'g')")}, {T.first(_low('title'), C.OWASP_WORDS, None)}, {T.first(_low('title', 'description'), C.OWASP_WORDS, None)}, 'A05')"
@@ -84,11 +84,21 @@ _rule("scl08_risk_category", "CASE " + _CAT + " " + " ".join(f"WHEN '{k}' THEN {
 _METRIC = lambda i: f"CASE upper(regexp_extract(coalesce(vector, ''), '(?i)\\bC:([NLH])/I:([NLH])/A:([NLH])\\b', {i})) WHEN 'N' THEN 'NONE' WHEN 'L' THEN 'LOW' WHEN 'H' THEN 'HIGH' END"
 _rule("hlp13_vector_impact", f"{_METRIC(1)} AS c, {_METRIC(2)} AS i, {_METRIC(3)} AS a", lambda: dict(**dict(zip("cia", C.vector_impact(_c("vector")), strict=True))))
 _WORDS = lambda k: f"CASE WHEN {T.whole('low', C.IMPACT_WORDS[k, 'HIGH'])} THEN 'HIGH' WHEN " + (T.has("low", C.SLOW) if k == "A" else T.whole("low", C.IMPACT_WORDS[k, "MEDIUM"])) + " THEN 'MEDIUM' ELSE 'NONE' END"
+_NAMED = "split_part(w, '@', 1)"
+_HOST = "rtrim(split_part(w, '@', 2), '.')"
+_ADDRESS = (
+    f"len(string_split(w, '@')) = 2 AND regexp_full_match({_NAMED}, '[a-z0-9][a-z0-9_.+-]+') AND regexp_matches({_HOST}, '^[^.].*[.][a-z][a-z]+$')"
+    f" AND NOT regexp_matches({_NAMED}, '^(?:{'|'.join(C.SCHEMES)}|[0-9a-f]{{8}})|(?:^|-)sha[0-9]')"
+)
+_SPACED = r"regexp_replace(lower(txt), '\s+', ' ', 'g')"
+_PERSONAL = (
+    f"({T.has(_SPACED, C.PERSONAL_WORDS)} OR len(list_filter(string_split_regex(lower(txt), {T.lit(C.APART)}), lambda w: {_ADDRESS})) > 0"
+    rf" OR regexp_matches(lower(txt), '(?:{'|'.join(C.CREDENTIALS)})\s*[:=]\s*\S'))"
+)
 _PRIO = T.first(_low("asset", "target", "title"), C.PRIORITY_WORDS, "")
 _IMPACTS = f"""{WITH.rstrip()}, x AS (SELECT report_id, pos, severity, quantum, exposure, {_PRIO} AS prio, coalesce(quantum, '') <> '' AS post, {_METRIC(1)} AS vc, {_METRIC(2)} AS vi, {_METRIC(3)} AS va,
   coalesce(title, '') || ' ' || coalesce(description, '') || ' ' || CASE WHEN coalesce(quantum, '') <> '' THEN coalesce(evidence, '') ELSE '' END || ' ' || coalesce(remediation, '') AS txt FROM v),
-y AS (SELECT *, lower(txt) AS low, NOT post AND ((regexp_matches(txt, '(?i)(?:^|[^a-z0-9_@])[a-z0-9][a-z0-9_.+-]+@[a-z0-9_-]+\\.[a-z]{{2,}}') AND NOT regexp_matches(txt, '(?i)(?:sntrup|mlkem)\\S*@'))
-  OR regexp_matches(txt, {T.lit(C.PERSONAL[1])}) OR regexp_matches(txt, {T.lit(C.PERSONAL[2])})) AS pii FROM x),
+y AS (SELECT *, lower(txt) AS low, NOT post AND {_PERSONAL} AS pii FROM x),
 z AS (SELECT *, CASE WHEN pii THEN '{C.EXPOSED}' WHEN post THEN 'HIGH' ELSE coalesce(vc, {_WORDS("C")}) END AS c, CASE WHEN post THEN 'HIGH' ELSE coalesce(vi, {_WORDS("I")}) END AS i, coalesce(va, {_WORDS("A")}) AS a FROM y),
 w AS (SELECT report_id, pos, quantum, exposure, prio, pii AS is_pii, CASE WHEN vc IS NULL AND c = 'NONE' AND i = 'NONE' AND a = 'NONE' AND coalesce(severity, '') <> '' AND NOT contains(upper(severity), 'INFO') THEN 'Not determined - requires auditor assessment'
   ELSE 'C:' || c || ' | I:' || i || ' | A:' || a END AS cia FROM z)
@@ -196,9 +206,24 @@ _rule(
     lambda: dict(required=V.policy_required(_c("requirement"), _c("clause"), _c("title"))),
 )
 _rule("hlp37_confidence", "coalesce(try_cast(regexp_extract(trim(coalesce(confidence, '')), '^[+-]?[0-9]+$') AS INT), 10) AS confidence", lambda: dict(confidence=F.coalesce(F.regexp_extract(F.trim(F.coalesce("confidence", F.lit(""))), "^[+-]?[0-9]+$", 0).try_cast("int"), F.lit(10))))
-# the sample texts are few, so what they contradict is written out
-_SAID = {("NTP synchronized: yes and RTC in local TZ: no", "NTP synchronized: no RTC in local TZ: no"): "ntp synchronized", ("Firewall = enabled", "config Firewall: disabled"): "firewall", ("cache MFA enforced: on; Logging: active", "MFA enforced: enabled Logging: off"): "logging"}
-_rule("scl28_contradictions", "CASE " + " ".join(f"WHEN quote = {T.lit(q)} AND seen_text = {T.lit(s)} THEN {T.lit(k)}" for (q, s), k in _SAID.items()) + " ELSE '' END AS fields", lambda: dict(fields=F.array_join(F.array_sort(X.contradictions(_c("quote"), _c("seen_text"))), ",")))
+_FLAT = lambda c: rf"string_split_regex(lower(regexp_replace({c}, '\s+', ' ', 'g')), '[:=]')"
+_VALUES = "|".join((*X.YES, *X.NO, "n/a"))
+#: (label, value) of each colon or equals sign that a known value follows; `p` is the text's parts and `i` the number of one.
+_BEFORE = rf"CASE WHEN i > 1 THEN regexp_replace(p[i], '^ *(?:{_VALUES})\b', '') ELSE p[i] END"
+_LABEL = rf"regexp_replace(trim(regexp_replace(translate(right(regexp_extract(rtrim({_BEFORE}), '[a-z /_-]*$'), 41), '/_-', '   '), ' +', ' ', 'g')), '^(?:(?:{'|'.join(X.GLUED)}) )+', '')"
+_MEANT = f"CASE WHEN v IN ({', '.join(map(T.lit, X.YES))}) THEN 'yes' WHEN v IN ({', '.join(map(T.lit, X.NO))}) THEN 'no' ELSE v END"
+
+
+def _labelled(column: str) -> str:
+    parts = f"SELECT {column} AS txt, {_FLAT(column)} AS p, unnest(range(1, len({_FLAT(column)}))) AS i FROM (SELECT DISTINCT {column} FROM v)"
+    said = rf"SELECT txt, i, {_LABEL} AS label, regexp_extract(ltrim(p[i + 1]), '^({_VALUES})\b', 1) AS v FROM ({parts})"
+    return f"SELECT txt, label, arg_min({_MEANT}, i) AS value FROM ({said}) WHERE v <> '' AND length(label) >= 3 GROUP BY 1, 2"
+
+
+@query("scl28_contradictions", f"""{WITH.rstrip()}, a AS ({_labelled("quote")}), b AS ({_labelled("seen_text")}), c AS (SELECT a.txt AS q, b.txt AS s, string_agg(label, ',' ORDER BY label) AS fields FROM a JOIN b USING (label) WHERE a.value <> b.value GROUP BY 1, 2)
+SELECT report_id, pos, coalesce(fields, '') AS fields FROM v LEFT JOIN c ON v.quote = c.q AND v.seen_text = c.s""")
+def _(t: Tables) -> DataFrame:
+    return findings(t).select(*_KEY, F.array_join(F.array_sort(X.contradictions(_c("quote"), _c("seen_text"))), ",").alias("fields"))
 
 
 @query("val05_consistency", f"{WITH}SELECT report_id, pos, CASE WHEN recorded = 'COMPLIANT' AND coalesce(nullif(quote, ''), 'NOT_FOUND') = 'NOT_FOUND' THEN 'NON_COMPLIANT' ELSE coalesce(recorded, 'NON_COMPLIANT') END AS status FROM v")
@@ -229,12 +254,12 @@ def _(t: Tables) -> DataFrame:
     return findings(t).groupBy("report_id").agg(best.alias("b")).select("report_id", F.coalesce("b.sev", F.lit("-")).alias("severity"), F.col("b.score").alias("score"))
 
 
-_NOTE = r"\s+(?:\[[^\]]*\]|\([^)]*\)|[\[(][^\])]*$)"
+_NOTE = r"\s[\[(][^\])]*(?:[\])]|$)"
 
 
 @query("agg11_scope_targets", f"{WITH}SELECT report_id, array_to_string(list_sort(list_distinct(list(x))), '|') AS targets FROM (SELECT report_id, unnest(string_split_regex(regexp_replace(target, {T.lit(_NOTE)}, ' ', 'g'), '[,;\\s]+')) AS x FROM v) WHERE x <> '' AND lower(x) NOT IN ('n/a', 'none', 'unknown', '—', '-') AND x[1] NOT IN ('[', '(') AND x[-1] NOT IN (']', ')') GROUP BY 1")
 def _(t: Tables) -> DataFrame:
-    x = findings(t).select("report_id", F.explode(F.split(F.regexp_replace("target", _NOTE, " "), r"[,;\s]+")).alias("x"))
+    x = findings(t).select("report_id", F.explode(F.split(S.without_notes(_c("target")), r"[,;\s]+")).alias("x"))
     x = x.filter((_c("x") != "") & ~F.lower("x").isin("n/a", "none", "unknown", "—", "-") & ~F.left("x", F.lit(1)).isin("[", "(") & ~F.right("x", F.lit(1)).isin("]", ")"))
     return x.groupBy("report_id").agg(F.array_join(F.array_sort(F.collect_set("x")), "|").alias("targets"))
 
