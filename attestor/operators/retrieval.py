@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,6 +16,8 @@ from ..session import written
 K1, B, EPSILON = 1.5, 0.75, 0.25
 #: Words of the shingles by which quotes find their documents.
 SHINGLE = 6
+#: First words of runs that are told by a set of words; excerpts that are broadcast; excerpts of one or two words that meet every document.
+ANCHORS, BROADCAST, LOOKED_UP = 5_000, 200_000, 500
 
 
 def bm25(docs: DataFrame, terms: Mapping[str, float] | Sequence[Mapping[str, float]], id_col: str, text_col: str, keep_all: bool = False, carry: Sequence[str] = ()) -> DataFrame:
@@ -178,24 +181,51 @@ def found_excerpts(docs: DataFrame, quotes: DataFrame, doc_id: str, item_id: str
     least one of its excerpts, how many it holds, and how many rows are that document.
 
     An excerpt counts as held if its normal form, or else its letters and digits alone, stand in the document. The words of
-    an excerpt but its first and last are whole words of a document that holds it, so the document has a shingle of them: an
-    equi-join on hashes of shingles finds candidates, and only those are looked up. Excerpts too short for a shingle meet
-    each document. Repeated rows and repeated or null ids are kept apart; null texts count as empty."""
+    an excerpt but its first and last are whole words of a document that holds it, so the document has the run of up to
+    SHINGLE of them: an equi-join on hashes of runs finds candidates, and only those are looked up. Where few words begin a
+    run, only places of those words are hashed. Excerpts of one or two words meet every document if they are few, else those
+    that share their first three characters. Repeated rows and repeated or null ids are kept apart; null texts count as empty."""
     items = quotes.select(F.monotonically_increasing_id().alias("row"), F.col(item_id).alias("item"), _excerpts(F.col(text)).alias("e"))
     items = written(items.filter(F.size("e") > 0), "quotes")
     parts = items.select("row", F.posexplode("e").alias("nth", "x")).filter("x.t <> '' OR x.a <> ''").withColumn("w", _words(F.col("x.a")))
-    parts = parts.select("row", "nth", "x", F.when(F.size("w") >= SHINGLE + 2, F.xxhash64(F.slice("w", 2, SHINGLE))).alias("key"))
-    name = F.md5(F.concat_ws("\x01", F.col(doc_id).cast("string"), F.col(text)))
-    forms = docs.select(name.alias("_d"), F.col(doc_id).alias("doc"), X.normal(F.col(text)).alias("t"), X.alphanumeric(F.col(text)).alias("a"))
-    words = forms.select("_d", _words(F.col("a")).alias("w")).filter(F.size("w") >= SHINGLE)
-    hashes = F.transform(F.sequence(F.lit(1), F.size("w") - SHINGLE + 1), lambda i: F.xxhash64(F.slice("w", i, SHINGLE)))
+    run = F.slice("w", F.lit(2), F.greatest(F.lit(0), F.least(F.lit(SHINGLE), F.size("w") - 2)))
+    parts = written(parts.select("row", "nth", "x", F.when(F.size("w") > 2, F.xxhash64(run)).alias("key"), F.get("w", F.lit(1)).alias("anchor"), F.size(run).alias("n")), "excerpts")
     keyed = parts.filter("key IS NOT NULL")
+    sizes = [r["n"] for r in keyed.select("n").distinct().collect()]  # SHINGLE of them at most
+    name = F.md5(F.concat_ws("\x01", F.col(doc_id).cast("string"), F.col(text)))
+    found = []
+    if sizes:
+        anchors = [r["anchor"] for r in keyed.select("anchor").distinct().limit(ANCHORS + 1).collect()]
+        begins = (lambda w: w.isin(*anchors)) if len(anchors) <= ANCHORS else (lambda w: F.lit(True))
+
+        def hashes(w: Column) -> Column:
+            at = F.filter(F.sequence(F.lit(1), F.size(w)), lambda i: begins(F.get(w, i - 1)))
+            return F.flatten(F.transform(at, lambda i: F.array(*[F.when(i + m - 1 <= F.size(w), F.xxhash64(F.slice(w, i, F.lit(m)))) for m in sizes])))
+
+        few = keyed.count() <= BROADCAST
+        words = docs.select(name.alias("_d"), _words(X.alphanumeric(F.col(text))).alias("w")).filter(F.size("w") > 0)
+        keys = words.select("_d", F.explode(F.array_distinct(X.let(F.col("w"), hashes))).alias("key"))
+        meant = keyed.select("key", "row", "nth", "x")
+        found.append(keys.join(F.broadcast(meant) if few else meant, "key").select("_d", "row", "nth", "x"))
+    tiny = parts.filter("key IS NULL").select("row", "nth", "x")
+    n = tiny.count()
+    if n > LOOKED_UP:
+        three = lambda c: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(c) - 2)), lambda i: F.substr(c, i, F.lit(3)))
+        keys = docs.select(name.alias("_d"), F.explode(F.array_distinct(F.concat(three(X.normal(F.col(text))), three(X.alphanumeric(F.col(text)))))).alias("k"))
+        own = tiny.withColumn("k", F.explode(F.array_distinct(F.array(F.left("x.t", F.lit(3)), F.left("x.a", F.lit(3)))))).filter(F.length("k") == 3)
+        found.append(keys.join(own, "k").select("_d", "row", "nth", "x"))
+        tiny = tiny.filter((F.length("x.t") < 3) | (F.length("x.a") < 3))
+        n = tiny.count()
+    if n:  # one or two words, or one or two characters
+        found.append(docs.select(name.alias("_d"), F.col(text)).join(F.broadcast(tiny) if n <= BROADCAST else tiny, _held(F.col("x"), X.normal(F.col(text)), X.alphanumeric(F.col(text)))).select("_d", "row", "nth", "x"))
+    if not found:
+        found.append(parts.select(F.lit("").alias("_d"), "row", "nth", "x").filter("false"))
     # written, so that its size decides whether the texts are shuffled to meet it
-    pairs = words.select("_d", F.explode(F.array_distinct(hashes)).alias("key")).join(keyed, "key").select("_d", "row", "nth", "x")
-    pairs = written(pairs.dropDuplicates(["_d", "row", "nth"]), "grounding")
-    long = forms.join(pairs, "_d").filter(_held(F.col("x"), F.col("t"), F.col("a"))).select("row", "nth", "_d", "doc")
-    short = forms.join(parts.filter("key IS NULL"), _held(F.col("x"), F.col("t"), F.col("a"))).select("row", "nth", "_d", "doc")
-    held = long.unionAll(short).groupBy("row", "_d", "doc").agg(F.countDistinct("nth").alias("held"), F.count("*").alias("n"))
+    pairs = reduce(DataFrame.unionByName, found).dropDuplicates(["_d", "row", "nth"])
+    pairs = written(pairs, "grounding")
+    whole = docs.select(name.alias("_d"), F.col(doc_id).alias("doc"), F.col(text).alias("_text")).join(pairs, "_d")
+    long = whole.filter(_held(F.col("x"), X.normal(F.col("_text")), X.alphanumeric(F.col("_text"))))
+    held = long.groupBy("row", "_d", "doc").agg(F.countDistinct("nth").alias("held"), F.count("*").alias("n"))
     held = held.withColumn("copies", (F.col("n") / F.col("held")).cast("int"))
     return held.join(items.select("row", "item", F.size("e").alias("excerpts")), "row").select("row", "item", "excerpts", "doc", "held", "copies")
 

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import crypto as C
+from ..session import written
 
 #: Up to so many codes are broadcast.
 BROADCAST = 200_000
@@ -84,10 +85,10 @@ def scan(docs: DataFrame, codes: DataFrame | None = None, file: str = "file", te
     codes = codes if codes is not None else spark.createDataFrame(list(C.CODES), "kind string, code string, name string, status string, category string, severity string")
     rows = lines(docs, file, text)
     hits = by_rules(rows)
-    found = hits.groupBy("file", *FINDING, "evidence").agg(F.min("at").alias("at"), F.count("*").alias("n"))
+    found = written(hits.groupBy("file", *FINDING, "evidence").agg(F.min("at").alias("at"), F.count("*").alias("n")), "rule-findings")
     more = uncovered(found.select("file", "name"), by_codes(rows, codes)).withColumn("n", F.lit(1).cast("long"))
     columns = ["file", "at", *FINDING, "n", "evidence"]
-    both = found.select(columns).unionByName(more.select(columns))
+    both = written(found.select(columns).unionByName(more.select(columns)), "findings")
     ready = both.filter(F.col("rule").isin(*C.READY)).select("file").distinct()
     gaps = both.filter(F.col("rule").isin(*C.GAPS)).join(ready, "file", "left_anti").select(columns)
     return both.filter(~F.col("rule").isin(*C.GAPS)).unionByName(gaps)

@@ -42,14 +42,14 @@ def _(t: Tables) -> DataFrame:
 
 
 _CODES = ", ".join(f"({', '.join(T.lit(v) for v in c)})" for c in C.CODES)
-_NUMBERED = f"SELECT file, line, row_number() OVER (PARTITION BY file ORDER BY n, k, line) AS at FROM ({_FILES})"
-_SEEN = r"""SELECT file, at, trim(line) AS evidence, 'oid' AS kind, unnest(regexp_extract_all(line, '[0-9]+(?:\.[0-9]+){3,}')) AS code FROM n
-UNION ALL SELECT file, at, trim(line), 'suite', upper(regexp_replace(lower(unnest(regexp_extract_all(line, '(?i)0x[0-9a-f]{2}[,\s]+0x[0-9a-f]{2}|0x[0-9a-f]{4}'))), '0x|[,\s]', '', 'g')) FROM n
-UNION ALL SELECT file, at, trim(line), 'word', unnest(string_split_regex(lower(line), '[^a-z0-9_-]+')) FROM n"""
+_NUMBERED = f'SELECT file, line, row_number() OVER (PARTITION BY file ORDER BY n, k, line) AS "at" FROM ({_FILES})'
+_SEEN = r"""SELECT file, "at", trim(line) AS evidence, 'oid' AS kind, unnest(regexp_extract_all(line, '[0-9]+(?:\.[0-9]+){3,}')) AS code FROM n
+UNION ALL SELECT file, "at", trim(line), 'suite', upper(regexp_replace(lower(unnest(regexp_extract_all(line, '(?i)0x[0-9a-f]{2}[,\s]+0x[0-9a-f]{2}|0x[0-9a-f]{4}'))), '0x|[,\s]', '', 'g')) FROM n
+UNION ALL SELECT file, "at", trim(line), 'word', unnest(string_split_regex(lower(line), '[^a-z0-9_-]+')) FROM n"""
 
 
 @query("prs15_crypto_dictionaries", f"""WITH n AS (SELECT * FROM ({_NUMBERED}) WHERE trim(line) <> '' AND NOT starts_with(line, '#') AND NOT starts_with(line, '--')), s AS ({_SEEN}), c(kind, code, name, status, category, severity) AS (VALUES {_CODES}),
-j AS (SELECT *, row_number() OVER (PARTITION BY file, kind, code ORDER BY at) AS nth FROM s JOIN c USING (kind, code)) SELECT file, kind, code, at, evidence, name, status, category, severity FROM j WHERE nth = 1""")
+j AS (SELECT *, row_number() OVER (PARTITION BY file, kind, code ORDER BY "at") AS nth FROM s JOIN c USING (kind, code)) SELECT file, kind, code, "at", evidence, name, status, category, severity FROM j WHERE nth = 1""")
 def _(t: Tables) -> DataFrame:
     """Identifiers, suite codes and names of registries, each where a file has it first."""
     f = files(t)
