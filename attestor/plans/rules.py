@@ -214,13 +214,13 @@ _LABEL = rf"regexp_replace(trim(regexp_replace(translate(right(regexp_extract(rt
 _MEANT = f"CASE WHEN v IN ({', '.join(map(T.lit, X.YES))}) THEN 'yes' WHEN v IN ({', '.join(map(T.lit, X.NO))}) THEN 'no' ELSE v END"
 
 
-def _labelled(column: str) -> str:
-    parts = f"SELECT {column} AS txt, {_FLAT(column)} AS p, unnest(range(1, len({_FLAT(column)}))) AS i FROM (SELECT DISTINCT {column} FROM v)"
+def labelled(column: str, of: str = "v") -> str:
+    parts = f"SELECT {column} AS txt, {_FLAT(column)} AS p, unnest(range(1, len({_FLAT(column)}))) AS i FROM (SELECT DISTINCT {column} FROM {of})"
     said = rf"SELECT txt, i, {_LABEL} AS label, regexp_extract(ltrim(p[i + 1]), '^({_VALUES})\b', 1) AS v FROM ({parts})"
     return f"SELECT txt, label, arg_min({_MEANT}, i) AS value FROM ({said}) WHERE v <> '' AND length(label) >= 3 GROUP BY 1, 2"
 
 
-@query("scl28_contradictions", f"""{WITH.rstrip()}, a AS ({_labelled("quote")}), b AS ({_labelled("seen_text")}), c AS (SELECT a.txt AS q, b.txt AS s, string_agg(label, ',' ORDER BY label) AS fields FROM a JOIN b USING (label) WHERE a.value <> b.value GROUP BY 1, 2)
+@query("scl28_contradictions", f"""{WITH.rstrip()}, a AS ({labelled("quote")}), b AS ({labelled("seen_text")}), c AS (SELECT a.txt AS q, b.txt AS s, string_agg(label, ',' ORDER BY label) AS fields FROM a JOIN b USING (label) WHERE a.value <> b.value GROUP BY 1, 2)
 SELECT report_id, pos, coalesce(fields, '') AS fields FROM v LEFT JOIN c ON v.quote = c.q AND v.seen_text = c.s""")
 def _(t: Tables) -> DataFrame:
     return findings(t).select(*_KEY, F.array_join(F.array_sort(X.contradictions(_c("quote"), _c("seen_text"))), ",").alias("fields"))
