@@ -22,6 +22,22 @@ _NEW = re.compile("[^\0-\u04ff]")
 JOINED = b""
 
 
+def numbered(split: pa.ListArray) -> tuple[pa.StringArray, np.ndarray, np.ndarray]:
+    """(distinct chunks, the number of each chunk, where the chunks of each text begin and end)."""
+    coded = split.values.dictionary_encode()
+    return coded.dictionary, coded.indices.to_numpy(), split.offsets.to_numpy().astype(np.int64) - split.offsets[0].as_py()
+
+
+def joined(ids: list[bytes], code: np.ndarray, borders: np.ndarray) -> tuple[bytes, np.ndarray]:
+    """The ids of all chunks one after another, and at which byte those of each text begin and end."""
+    n_ids = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+    first = np.concatenate(([0], np.cumsum(n_ids)))[:-1]
+    n = n_ids[code]
+    ends = np.concatenate(([0], np.cumsum(n)))
+    flat = np.frombuffer(b"".join(ids), "<u4")[np.repeat(first[code] - ends[:-1], n) + np.arange(ends[-1])] if ends[-1] else np.empty(0, "<u4")
+    return flat.tobytes(), 4 * ends[borders]
+
+
 class ByteIds:
     """Ids as little-endian 32-bit bytes. Where every run of white space is a single character, a text is chunks that begin
     with a line end or a blank (which is left out of their names), and the tokenizer never joins over their borders; most
@@ -104,8 +120,8 @@ class ByteIds:
         if len(self.known) > REMEMBERED:
             self.known.clear()
         split = pc.split_pattern(pc.binary_join_element_wise("\n", pc.replace_substring(texts, "\n", " \n"), ""), " ")
-        coded = split.values.dictionary_encode()
-        chunks = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        names, code, borders = numbered(split)
+        chunks = names.to_numpy(zero_copy_only=False).tolist()
         ids = list(map(self.known.get, chunks))
         # nothing between two blanks, or a line end by itself: a longer run of white space
         new = {c for c in compress(chunks, map(is_, ids, repeat(None))) if c not in ("", "\n")}
@@ -113,16 +129,11 @@ class ByteIds:
         self.known.update(learned if max(map(len, new), default=0) <= LONGEST else {c: i for c, i in learned.items() if len(c) <= LONGEST})
         ids = [learned.get(c, JOINED) if i is None else i for c, i in zip(chunks, ids, strict=True)]
 
-        n_ids = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-        code, borders = coded.indices.to_numpy(), split.offsets.to_numpy().astype(np.int64) - split.offsets[0].as_py()
-        whole = np.add.reduceat(n_ids[code] == 0, borders[:-1]) == 0  # texts that have no chunk without ids; each has a chunk
+        none = np.array([i == JOINED for i in ids])
+        whole = np.add.reduceat(none[code], borders[:-1]) == 0  # texts without a chunk that has no ids; each text has a chunk
         for s in self.special:
             whole &= ~pc.match_substring(texts, s).to_numpy(zero_copy_only=False)
-        first = np.concatenate(([0], np.cumsum(n_ids)))[:-1]
-        n = n_ids[code]
-        ends = np.cumsum(n)
-        flat = np.frombuffer(b"".join(ids), "<u4")[np.repeat(first[code] - ends + n, n) + np.arange(ends[-1])].tobytes()
-        at = 4 * np.concatenate(([0], ends))[borders]
+        flat, at = joined(ids, code, borders)
         for k, (i, j, known) in enumerate(zip(at.tolist(), at[1:].tolist(), whole.tolist(), strict=False)):
             if known:  # without the line end that was put before the text
                 yield flat[i + 4 : j]

@@ -26,22 +26,25 @@ import unicodedata
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from itertools import batched
+from itertools import batched, compress, pairwise
+from operator import not_
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import bound_batches, ship
+from .byte_ids import joined, numbered
 
 WINDOW, CLOSING = 2048, 1
 #: Open windows of a partition (64 MB of ids at most), and tokens that a padded window may lack.
 SPACE, PADDING = 8192, 64
-#: Chunks of text whose ids a worker remembers, and the longest such chunk in bytes.
-REMEMBERED, LONGEST = 700_000, 64
+#: Chunks of text and words whose ids a worker remembers, and the longest such chunk in bytes.
+REMEMBERED, WORDS, LONGEST = 700_000, 1_200_000, 64
 #: Punctuation that may follow a word. An apostrophe isn't: it may begin a contraction.
 TAIL = b"".join(bytes([c]) for c in range(33, 127) if not chr(c).isalnum() and chr(c) != "'")
 SCHEMA = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -79,16 +82,18 @@ class Ids:
             else:  # a letter that its normal form splits
                 self.words.update(zip(some, self._apart([w.decode() for w in some]), strict=True))
 
-    def _encoded(self, chunks: set[bytes]) -> dict[bytes, bytes]:
-        if len(self.words) > REMEMBERED:
+    def _encoded(self, chunks: pa.StringArray) -> dict[bytes, bytes]:
+        if len(self.words) > WORDS:
             self.words.clear()
-        plain, words, odd = [], [], []
-        for c in chunks:
+        names = chunks.cast(pa.binary()).to_numpy(zero_copy_only=False).tolist()
+        cut = pc.ascii_rtrim(chunks, TAIL.decode())
+        letters = pc.ascii_is_alpha(cut).to_numpy(zero_copy_only=False).tolist()  # ASCII letters, at least one
+        lower = pc.ascii_lower(cut).cast(pa.binary()).to_numpy(zero_copy_only=False).tolist()
+        plain, words = list(compress(names, letters)), list(compress(lower, letters))
+        odd = []
+        for c in compress(names, map(not_, letters)):
             word = c.rstrip(TAIL)
-            if word.isalpha():  # of bytes: ASCII letters only
-                plain.append(c)
-                words.append(word.lower())
-            elif not word.isascii() and unicodedata.normalize("NFC", word.decode()).lower().isalpha():
+            if not word.isascii() and unicodedata.normalize("NFC", word.decode()).lower().isalpha():
                 plain.append(c)
                 words.append(word)
             else:  # also where a mark comes off a letter, which may join the punctuation
@@ -108,19 +113,20 @@ class Ids:
                 self.tails[tail] = ids
         return ids
 
-    def __call__(self, texts: list[bytes]) -> Iterator[bytes]:
+    def __call__(self, texts: pa.StringArray) -> Iterator[bytes]:
+        """The ids of each text. Chunks are told apart and numbered by Arrow, so that each is looked up once a batch."""
+        if not len(texts):
+            return
         if len(self.known) > REMEMBERED:
             self.known.clear()
-        split, found, new = [t.split() for t in texts], [], set()
-        for chunks in split:
-            ids = list(map(self.known.get, chunks))
-            if None in ids:
-                new.update(c for c, i in zip(chunks, ids, strict=True) if i is None)
-            found.append(ids)
-        learned = self._encoded(new)
-        self.known.update(learned if max(map(len, new), default=0) <= LONGEST else {c: i for c, i in learned.items() if len(c) <= LONGEST})
-        for chunks, ids in zip(split, found, strict=True):
-            yield b"".join([learned[c] if i is None else i for c, i in zip(chunks, ids, strict=True)] if None in ids else ids)
+        names, code, borders = numbered(pc.ascii_split_whitespace(texts))
+        chunks = names.cast(pa.binary()).to_numpy(zero_copy_only=False).tolist()
+        ids = list(map(self.known.get, chunks))
+        learned = self._encoded(names.filter(pa.array([i is None and c != b"" for i, c in zip(ids, chunks, strict=True)], pa.bool_())))
+        self.known.update(learned if max(map(len, learned), default=0) <= LONGEST else {c: i for c, i in learned.items() if len(c) <= LONGEST})
+        flat, at = joined([learned.get(c, b"") if i is None else i for c, i in zip(chunks, ids, strict=True)], code, borders)
+        for i, j in pairwise(at.tolist()):
+            yield flat[i:j]
 
 
 _ids: dict[str, Ids] = {}
@@ -271,13 +277,13 @@ def packed(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
         id_type = pa.int64()
         for b in batches:
             id_type = b.schema.field(0).type
-            for doc, ids in zip(b.column(0).to_pylist(), encode([t or b"" for t in b.column(1).to_pylist()]), strict=True):
+            for doc, ids in zip(b.column(0).to_pylist(), encode(b.column(1)), strict=True):
                 packer.add(doc, ids + closing)
             yield from rows()
         packer.close()
         yield from rows()
 
-    rows = docs.select(F.col(id_col), F.col(text_col).cast("string").cast("binary").alias("_text"))
+    rows = docs.select(F.col(id_col), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"))
     return rows.mapInArrow(of, f"`{id_col}` {kind}, {SCHEMA}")
 
 
