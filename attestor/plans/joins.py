@@ -278,7 +278,8 @@ def _(t: Tables) -> DataFrame:
 def _folder(rows: DataFrame, name: str) -> str:
     import uuid
 
-    return f"{shared_dir(rows.sparkSession)}/attestor/stores/{name}-{uuid.uuid4().hex}"
+    spark = rows.sparkSession  # below the application's folder, which session.clear deletes
+    return f"{shared_dir(spark)}/attestor/{spark.sparkContext.applicationId}/stores/{name}-{uuid.uuid4().hex}"
 
 
 @query("snk01_insert", "SELECT o_orderkey, replace(o_orderstatus, 'P', '') AS status FROM orders WHERE o_orderkey % 2 = 0 OR o_orderstatus = 'F'")
@@ -290,12 +291,14 @@ def _(t: Tables) -> DataFrame:
     return o.sparkSession.read.parquet(path)
 
 
-@query("snk02_replace_scope", "SELECT doc_id, coalesce(lang, '') AS lang, lang = 'en' AS replaced FROM documents WHERE lang IS NOT NULL AND (lang <> 'en' OR doc_id % 2 = 0)")
+@query("snk02_replace_scope", "SELECT doc_id, coalesce(lang, '') AS lang, lang = 'en' AS replaced FROM documents WHERE lang IS NOT NULL AND lang <> 'de' AND (lang <> 'en' OR doc_id % 2 = 0)")
 def _(t: Tables) -> DataFrame:
     d = t("documents").filter("lang IS NOT NULL").select("doc_id", "lang")
     path = _folder(d, "chunks")
     stores.replace_scope(d.withColumn("replaced", F.lit(False)), path, ["lang"])
-    stores.replace_scope(d.filter("lang = 'en' AND doc_id % 2 = 0").withColumn("replaced", F.lit(True)), path, ["lang"])
+    # German documents are named, but have no rows any more
+    named = d.filter("lang IN ('en', 'de')").select("lang").distinct()
+    stores.replace_scope(d.filter("lang = 'en' AND doc_id % 2 = 0").withColumn("replaced", F.lit(True)), path, ["lang"], named)
     return d.sparkSession.read.parquet(path).select("doc_id", "lang", "replaced")
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions import labels as L
+from ..streaming import checkpoints as K
 from ..streaming import counters as S
 from .registry import Tables, query
 
@@ -93,3 +94,37 @@ def _(t: Tables) -> DataFrame:
     chats = t("events").groupBy(F.col("user_id").alias("id")).agg(F.max("ts").alias("ts")).join(reports.select("id"), "id", "left_anti")
     both = reports.withColumn("origin", F.lit("report")).unionByName(chats.withColumn("origin", F.lit("chat")))
     return both.orderBy(F.desc("ts"), "id").limit(12).select("id", "origin", "ts")
+
+
+# Progress: events are reports of a session (user) on a control (kind of event and a number), orders say what was to be done.
+_PROGRESS = """r AS (SELECT user_id AS session, event_type || (event_id % 4) AS control, CASE WHEN event_type = 'error' THEN 'FAILED' WHEN value > 20 THEN 'COMPLETED' ELSE 'RUNNING' END AS status, ts AS at FROM events WHERE user_id IS NOT NULL),
+p AS (SELECT session, control, arg_max(status, [epoch_us(at)::VARCHAR, status]) AS status, max(at) AS at, count(*) AS reports FROM r GROUP BY 1, 2), w AS (SELECT DISTINCT user_id AS session, event_type || n AS control FROM events, (SELECT unnest([0, 1, 2]) AS n) WHERE user_id IS NOT NULL)"""
+
+
+def _reports(t: Tables) -> DataFrame:
+    status = F.when(F.col("event_type") == "error", "FAILED").when(F.col("value") > 20, "COMPLETED").otherwise("RUNNING")
+    return t("events").select(F.col("user_id").alias("session"), F.concat("event_type", (F.col("event_id") % 4).cast("string")).alias("control"), status.alias("status"), F.col("ts").alias("at"))
+
+
+def _work(t: Tables) -> DataFrame:
+    e = t("events").filter("user_id IS NOT NULL")
+    return e.select(F.col("user_id").alias("session"), F.explode(F.transform(F.array(*map(F.lit, range(3))), lambda n: F.concat("event_type", n.cast("string")))).alias("control"))
+
+
+@query("hlp38_checkpoints", f'WITH {_PROGRESS} SELECT session, control, status, "at", reports FROM p'.replace(" AS at ", ' AS "at" ').replace("epoch_us(at)", 'epoch_us("at")').replace("max(at)", 'max("at")'))
+def _(t: Tables) -> DataFrame:
+    """The newest report of each control of each session."""
+    return K.newest(_reports(t))
+
+
+@query("hlp38_remaining", f"WITH {_PROGRESS} SELECT session, control FROM w WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.session = w.session AND p.control = w.control AND status IN ('COMPLETED', 'FAILED'))".replace(" AS at ", ' AS "at" ').replace("epoch_us(at)", 'epoch_us("at")').replace("max(at)", 'max("at")'))
+def _(t: Tables) -> DataFrame:
+    """What a run that begins again has to do."""
+    return K.remaining(_work(t), K.newest(_reports(t)))
+
+
+@query("hlp38_sessions", f"""WITH {_PROGRESS}, j AS (SELECT w.session, p.status, p.at FROM w LEFT JOIN p ON p.session = w.session AND p.control = w.control AND p.status IN ('COMPLETED', 'FAILED'))
+SELECT session, count(*) AS total, count(status) AS done, count(*) FILTER (status = 'FAILED') AS failed, CASE WHEN count(status) = count(*) THEN 'COMPLETED' WHEN count(status) > 0 THEN 'STARTED' ELSE 'WAITING' END AS state, max(at) AS at FROM j GROUP BY 1""".replace(" AS at ", ' AS "at" ').replace("epoch_us(at)", 'epoch_us("at")').replace("max(at)", 'max("at")').replace("p.at FROM", 'p."at" FROM'))
+def _(t: Tables) -> DataFrame:
+    """How far each session is."""
+    return K.sessions(_work(t), K.newest(_reports(t)))

@@ -18,16 +18,29 @@ def without_nul(rows: DataFrame) -> DataFrame:
 
 
 def insert(rows: DataFrame, path: str, keys: Sequence[str]) -> None:
-    """Append the rows whose keys aren't in the table yet, each key once: inserting them again adds nothing."""
+    """Append the rows whose keys aren't in the table yet, each key once: inserting them again adds nothing. The keys are read
+    before rows are appended, so a table has one writer at a time."""
     spark, fresh = rows.sparkSession, without_nul(rows).dropDuplicates(list(keys))
     if _exists(spark, path):
         fresh = fresh.join(spark.read.parquet(path).select(*keys), list(keys), "left_anti")
     fresh.write.mode("append").parquet(path)
 
 
-def replace_scope(rows: DataFrame, path: str, scope: Sequence[str]) -> None:
-    """Put rows in the place of those with the same scope (say file and report); other scopes stay untouched."""
+def replace_scope(rows: DataFrame, path: str, scope: Sequence[str], scopes: DataFrame | None = None) -> None:
+    """Put rows in the place of those with the same scope (say file and report); other scopes stay untouched. Of `scopes`, if they
+    are named, those without any new row are emptied: a document without chunks keeps no old ones. Running it again
+    gives the same table. A table has one writer at a time."""
+    spark = rows.sparkSession
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*scope).parquet(path)
+    if scopes is None:
+        return
+    same = [rows[c].eqNullSafe(scopes[c]) for c in scope]
+    jvm = spark.sparkContext._jvm
+    names = jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils
+    for gone in scopes.select(*scope).distinct().join(rows.select(*scope).distinct(), same, "left_anti").toLocalIterator():
+        folder = "/".join(names.getPartitionPathString(c, None if gone[c] is None else str(gone[c])) for c in scope)
+        p = jvm.org.apache.hadoop.fs.Path(f"{path}/{folder}")
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def merged(old: DataFrame, new: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:

@@ -7,6 +7,7 @@ a folder of its own number: running it again after a failure writes the same row
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -58,31 +59,41 @@ def completed(sessions: DataFrame, n: int = 50) -> DataFrame:
 
 
 def _step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """One session in one micro-batch. Its state is one small row."""
+    """One session in one micro-batch. Its state is the lives that an event may still join: those that ended less than the
+    lifetime before the watermark, and the last one. A late event in the gap between two lives makes them one, as in a batch."""
     if state.hasTimedOut:
         state.remove()
         return
-    events, errors, value, first, last, kind, newest = state.get if state.exists else (0, 0, 0.0, None, None, None, -1)
-    rows = pd.concat(list(parts)).sort_values(["ts", "event_id"])
-    for ts, i, what, v in zip(rows["ts"], rows["event_id"], rows["event_type"], rows["value"], strict=True):
-        if last is not None and ts - last >= pd.Timedelta(TTL):
-            events, errors, value, first, kind, newest = 0, 0, 0.0, None, None, -1
-        events, errors, value = events + 1, errors + (what == "error"), value + (0.0 if pd.isna(v) else v)
-        first = ts if first is None else min(first, ts)
-        if last is None or (ts, i) >= (last, newest):
-            last, kind, newest = ts, what, i
-    state.update((events, errors, value, first, last, kind, newest))
-    state.setTimeoutTimestamp(int(last.timestamp() * 1000) + int(pd.Timedelta(TTL).total_seconds() * 1000))
-    yield pd.DataFrame({"user_id": [key[0]], "events": [events], "errors": [errors], "value": [round(value, 2)], "first": [first], "last": [last], "state": [kind]})
+    ttl = int(pd.Timedelta(TTL).total_seconds() * 1_000_000)
+    lives = json.loads(state.get[0]) if state.exists else []  # [first, last, events, errors, value, kind, newest id]
+    for p in parts:
+        times = p["ts"].astype("datetime64[us]").astype("int64")
+        lives += [[t, t, 1, int(what == "error"), 0.0 if pd.isna(v) else float(v), what, int(i)] for t, i, what, v in zip(times, p["event_id"], p["event_type"], p["value"], strict=True)]
+    merged: list[list] = []
+    for life in sorted(lives, key=lambda x: x[:2]):
+        if merged and life[0] - merged[-1][1] < ttl:
+            m = merged[-1]
+            if (life[1], life[6]) >= (m[1], m[6]):
+                m[5:] = life[5:]
+            m[1:5] = [max(m[1], life[1]), m[2] + life[2], m[3] + life[3], m[4] + life[4]]
+        else:
+            merged.append(life)
+    reached = state.getCurrentWatermarkMs() * 1000 - ttl
+    state.update((json.dumps([x for x in merged if x[1] > reached or x is merged[-1]]),))
+    first, last, events, errors, value, kind, _ = merged[-1]
+    state.setTimeoutTimestamp((last + ttl) // 1000)
+    times = [pd.Timestamp(t, unit="us") for t in (first, last)]
+    yield pd.DataFrame({"user_id": [key[0]], "events": [events], "errors": [errors], "value": [round(value, 2)], "first": times[:1], "last": times[1:], "state": [kind]})
 
 
 def stream(events: DataFrame) -> DataFrame:
-    """The counters of a stream's sessions, those that a micro-batch changed. Events may come up to a day late."""
+    """The counters of a stream's sessions, those that a micro-batch changed. Events may come in any order, up to a day after the
+    newest one seen; later ones are dropped."""
     ship(events.sparkSession)
     kind = dict(events.dtypes)["ts"]
     timed = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", TTL)  # watermarks need instants
     timed = timed.filter("user_id IS NOT NULL AND ts IS NOT NULL").select("user_id", "ts", "event_id", "event_type", "value")
-    rows = timed.groupBy("user_id").applyInPandasWithState(_step, f"user_id long, {_COUNTS}", f"{_COUNTS}, newest long", "update", GroupStateTimeout.EventTimeTimeout)
+    rows = timed.groupBy("user_id").applyInPandasWithState(_step, f"user_id long, {_COUNTS}", "lives string", "update", GroupStateTimeout.EventTimeTimeout)
     return rows.withColumns({c: F.col(c).cast(kind) for c in ("first", "last")})
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from attestor.session import table
 from attestor.sources import stores
-from attestor.streaming import counters
+from attestor.streaming import checkpoints, counters
 
 SF = "/root/testdata/sf0.001"
 
@@ -32,6 +32,66 @@ def test_stream_equals_batch(spark, tmp_path):
     assert counters.lives(batch).count() > counters.counters(batch).count()
 
 
+def test_events_in_any_order(spark, tmp_path):
+    """Events that arrive up to 23 hours late, also between two lives, which they join: still the batch's rows."""
+    rng, start = random.Random(11), dt.datetime(2024, 1, 1)
+    rows = []
+    for user in range(25):
+        at = 0.0
+        for i in range(rng.randrange(4, 25)):
+            at += rng.choice((0.5, 5, 13, 23.5, 24, 25, 40))
+            rows.append((start + dt.timedelta(hours=at), user, user * 100 + i, rng.choice(("view", "error", "purchase")), rng.choice((None, 1.5, 2.25))))
+        # far apart, and joined by one that lies between them
+        rows += [(start + dt.timedelta(hours=h), user, user * 100 + 50 + k, "view", 1.0) for k, h in enumerate((700, 746, 723))]
+    schema = "ts timestamp, user_id long, event_id long, event_type string, value double"
+    arrival = sorted(rows, key=lambda r: (r[0] + dt.timedelta(hours=rng.uniform(0, 23)), r[2]))
+    step = -(-len(arrival) // 12)
+    for i in range(12):
+        spark.createDataFrame(arrival[i * step : (i + 1) * step], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        (tmp_path / "in").touch()
+    out = str(tmp_path / "out")
+    counters.follow(spark, str(tmp_path / "in"), spark.createDataFrame([], schema).schema, str(tmp_path / "check"), out).awaitTermination()
+    names = ["user_id", "events", "errors", "value", "first", "last", "state"]
+    got = {r["user_id"]: tuple(r[c] for c in names[1:]) for r in counters.latest(spark, out).collect()}
+    want = {r["user_id"]: tuple(r[c] if c != "value" else r[c] or 0.0 for c in names[1:]) for r in counters.counters(spark.createDataFrame(rows, schema)).collect()}
+    assert got == want
+    assert counters.lives(spark.createDataFrame(rows, schema)).count() > 60
+
+
+def test_progress_of_a_stream(spark, tmp_path):
+    """Reports in files, begun again halfway: the state is that of all reports, and what is left is what no report ended."""
+    start = dt.datetime(2024, 1, 1)
+    rng = random.Random(12)
+    rows = [(rng.choice(["s1", "s2", None]), f"c{rng.randrange(6)}", rng.choice(["RUNNING", "COMPLETED", "FAILED"]), start + dt.timedelta(minutes=rng.randrange(90))) for _ in range(120)]
+    schema = spark.createDataFrame([], "session string, control string, status string, at timestamp").schema
+    for i in range(0, 120, 40):
+        spark.createDataFrame(rows[i : i + 40], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        checkpoints.follow(spark, str(tmp_path / "in"), schema, str(tmp_path / "check"), str(tmp_path / "out")).awaitTermination()
+    got = {(r["session"], r["control"]): (r["status"], r["at"], r["reports"]) for r in checkpoints.state(spark, str(tmp_path / "out")).collect()}
+    want = {}
+    for s, c, status, at in rows:
+        if s:
+            old = want.get((s, c), (at, status, 0))
+            want[s, c] = (*max(old[:2], (at, status)), old[2] + 1)
+    assert got == {k: (status, at, n) for k, (at, status, n) in want.items()}
+    work = spark.createDataFrame([("s1", f"c{i}") for i in range(8)] + [("s1", "c0"), ("s3", "c0")], "session string, control string")
+    progress = checkpoints.state(spark, str(tmp_path / "out"))
+    ended = {c for (s, c), (_, status, _) in want.items() if s == "s1" and status != "RUNNING"}
+    left = sorted(map(tuple, checkpoints.remaining(work, progress).collect()))
+    assert left == sorted([("s1", f"c{i}") for i in range(8) if f"c{i}" not in ended] + [("s3", "c0")])
+    states = {r["session"]: (r["total"], r["done"], r["state"]) for r in checkpoints.sessions(work, progress).collect()}
+    assert states == {"s1": (8, len(ended), "STARTED"), "s3": (1, 0, "WAITING")}
+
+
+def test_named_scopes_without_rows_are_emptied(spark, tmp_path):
+    path, schema = f"{tmp_path}/t", "n long, file string, report string"
+    stores.replace_scope(spark.createDataFrame([(1, "a b", "x"), (2, "b", "y"), (3, "c=d", "y"), (4, None, "y")], schema), path, ["file", "report"])
+    named = spark.createDataFrame([("a b", "x"), ("c=d", "y"), (None, "y"), ("b", "z")], "file string, report string")
+    for _ in range(2):
+        stores.replace_scope(spark.createDataFrame([(5, "a b", "x")], schema), path, ["file", "report"], named)
+    assert sorted(r["n"] for r in spark.read.parquet(path).collect()) == [2, 5]
+
+
 def test_a_batch_written_again_changes_nothing(spark, tmp_path):
     rows = counters.counters(table(spark, SF, "events"))
     path = f"{tmp_path}/out/batch=000000003"
