@@ -45,12 +45,20 @@ MARKER = " (IP masked)"
 def masked(text: Column, addresses: str = "mask") -> Column:
     """E-mail addresses, then addresses of hosts, then phone numbers. "mask" hides the last part of a host's address and says
     so once, at the first; "redact" takes whole addresses out; "keep" leaves them."""
-    out = F.regexp_replace(text, r"[A-Za-z0-9_.+-]+@[A-Za-z0-9_-]+\.[A-Za-z]{2,}", "[EMAIL REDACTED]")
-    if addresses == "mask":
-        out = F.regexp_replace(F.regexp_replace(out, rf"(?s)^(.*?){_NET}", f"$1$2.xxx{MARKER}"), _NET, "$1.xxx")
-    elif addresses == "redact":
-        out = F.regexp_replace(out, _NET, "[IP REDACTED]")
-    return F.regexp_replace(out, rf"(?<![0-9]){PHONE}(?![0-9])", "[PHONE REDACTED]")
+    # each pattern is tried only where a cheap sign of it is found
+    out = F.when(text.contains("@"), F.regexp_replace(text, r"[A-Za-z0-9_.+-]+@[A-Za-z0-9_-]+\.[A-Za-z]{2,}", "[EMAIL REDACTED]")).otherwise(text)
+    if addresses != "keep":
+        hide = _hidden if addresses == "mask" else lambda t: F.regexp_replace(t, _NET, "[IP REDACTED]")
+        out = let(out, lambda t: F.when(t.rlike(r"[0-9]\.[0-9]"), hide(t)).otherwise(t))
+    return let(out, lambda t: F.when(t.rlike(r"[0-9][0-9\s-]{7}"), F.regexp_replace(t, rf"(?<![0-9]){PHONE}(?![0-9])", "[PHONE REDACTED]")).otherwise(t))
+
+
+def _hidden(text: Column) -> Column:
+    """Addresses without their last part, the marker behind the first: what stands between them is joined by what is left."""
+    gaps, found = F.split(text, _NET, -1), F.regexp_extract_all(text, F.lit(_NET), F.lit(1))
+    parts = F.zip_with(gaps, found, lambda g, f: F.concat(g, F.coalesce(F.concat(f, F.lit(".xxx")), F.lit(""))))
+    marked = F.transform(parts, lambda p, i: F.when(i == 0, F.concat(p, F.lit(MARKER))).otherwise(p))
+    return F.when(F.size(found) > 0, F.array_join(marked, "")).otherwise(text)
 
 
 def stripped(text: Column) -> Column:

@@ -14,6 +14,10 @@ from ..functions.rules import has_any
 from ..functions.severity import cases
 
 
+#: Up to so many controls are broadcast.
+BROADCAST = 100_000
+
+
 def _stem(name: Column) -> Column:
     return F.regexp_replace(name, r"\.[^./]*$", "")
 
@@ -71,10 +75,25 @@ def cascade(items: DataFrame, controls: DataFrame, item: str, given: str, text:
     item that nothing resolves has a null control."""
     exact = controls.select(control, F.split_part(control, F.lit(" "), F.lit(1)).alias("_id"))
     number = F.regexp_extract(F.coalesce(given, F.lit("")), r"([0-9]+\.[0-9]+)", 1)
-    first = items.select(item, text, number.alias("_id")).join(F.broadcast(exact), "_id", "left")
+    first = items.select(item, text, number.alias("_id")).join(F.broadcast(exact) if controls.count() <= BROADCAST else exact, "_id", "left")
     low = L.spelled(F.col(text))
     by_rule = cases([(L.has_word(low, w), c) for w, c in words.items()])
     shared = overlaps(items, controls, item, text, control, label, order).select(item, F.col(control).alias("_shared"))
     rows = first.withColumn("_rule", by_rule).join(shared, item, "left")
     how = F.when(F.col(control).isNotNull(), "id").when(F.col("_rule").isNotNull(), "rule").when(F.col("_shared").isNotNull(), "name")
     return rows.select(item, F.coalesce(control, "_rule", "_shared").alias(control), how.alias("by"))
+
+
+#: Assets that chains are compared with.
+ASSETS = 10_000
+
+
+def chained(chains: DataFrame, assets: DataFrame, chain: str, node: str, asset: str) -> DataFrame:
+    """(chain, node, asset): nodes whose name contains an asset's or is contained in it, whatever the case. Nodes repeat in many
+    chains, so each name is compared once. Assets at risk are a short list and refused beyond ASSETS."""
+    few = assets.select(asset).distinct()
+    if few.count() > ASSETS:
+        raise ValueError(f"more than {ASSETS} assets")
+    names, low = chains.select(node).distinct(), F.lower
+    pairs = names.join(F.broadcast(few), low(node).contains(low(asset)) | low(asset).contains(low(node)))
+    return chains.select(chain, node).join(pairs, node)

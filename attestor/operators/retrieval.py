@@ -30,7 +30,9 @@ def bm25(docs: DataFrame, terms: Mapping[str, float] | Sequence[Mapping[str, flo
     queries = [terms] if isinstance(terms, Mapping) else list(terms)
     names = list(dict.fromkeys(t for q in queries for t in q))
     words = docs.select(F.col(id_col), *carry, X.tokens(F.col(text_col)).alias("_w"))
-    rows = words.select(id_col, *carry, F.size("_w").alias("_dl"), *[_count(t).alias(f"_tf{i}") for i, t in enumerate(names)])
+    # the query's words among a row's are few, and only those are counted by word
+    rows = words.select(id_col, *carry, F.size("_w").alias("_dl"), F.filter("_w", lambda w: w.isin(*names)).alias("_w"))
+    rows = rows.select(id_col, *carry, "_dl", *[_count(t).alias(f"_tf{i}") for i, t in enumerate(names)])
     rows = written(rows, "term-counts")
     stats = rows.agg(F.count("*").alias("_n"), F.avg("_dl").alias("_avg"), *[F.count_if(F.col(f"_tf{i}") > 0).alias(f"_df{i}") for i in range(len(names))])
     seen = words.select(F.explode(F.array_distinct("_w")).alias("t")).groupBy("t").agg(F.count("*").alias("df"))
@@ -106,9 +108,14 @@ def candidates(rows: DataFrame, keys: Sequence[str], order: Sequence[str]) -> Da
     return best.filter((F.col("_any") & (F.col("score") > CUT)) | (~F.col("_any") & (F.col("_r") <= SOME))).drop("_r", "_any")
 
 
-def distinct_texts(rows: DataFrame, keys: Sequence[str], order: Sequence[str], text: str) -> DataFrame:
-    """The best of candidates with equal texts."""
-    over = W.partitionBy(*keys, F.md5(X.stripped(F.col(text)))).orderBy(F.desc("score"), *order)
+def text_key(text: Column) -> Column:
+    """What rows with equal texts share; it stands for the text until few rows are left."""
+    return F.md5(X.stripped(F.coalesce(text, F.lit(""))))
+
+
+def distinct_texts(rows: DataFrame, keys: Sequence[str], order: Sequence[str], digest: str) -> DataFrame:
+    """The best of candidates with equal texts (`digest` is their `text_key`)."""
+    over = W.partitionBy(*keys, digest).orderBy(F.desc("score"), *order)
     return rows.withColumn("_r", F.row_number().over(over)).filter("_r = 1").drop("_r")
 
 
@@ -129,17 +136,18 @@ def reranked(rows: DataFrame, model_score: str) -> DataFrame:
     return rows.withColumn("score", KEPT * F.col("score") + RERANKED * F.col(model_score))
 
 
-def diverse(chosen: DataFrame, everything: DataFrame, keys: Sequence[str], order: Sequence[str], file: str, text: str, k: int) -> DataFrame:
+def diverse(chosen: DataFrame, everything: DataFrame, keys: Sequence[str], order: Sequence[str], file: str, digest: str, k: int) -> DataFrame:
     """The best k of each query. A file that has none among them, but a row with a score above HEARD whose text isn't there,
     takes the place of the last ones with its best row."""
     top = chosen.withColumn("_r", _ranked(keys, order)).filter(F.col("_r") <= k)
     heard = top.select(*keys, file).distinct()
-    texts = chosen.select(*keys, F.md5(X.stripped(F.col(text))).alias("_k")).distinct()
+    texts = chosen.select(*keys, digest).distinct()
     rest = everything.filter(F.col("score") > HEARD).join(heard, [*keys, file], "left_anti")
-    rest = rest.withColumn("_k", F.md5(X.stripped(F.col(text)))).join(texts, [*keys, "_k"], "left_anti").drop("_k")
+    rest = rest.join(texts, [*keys, digest], "left_anti")
     best = F.row_number().over(W.partitionBy(*keys, file).orderBy(F.desc("score"), *order))
     rest = rest.withColumn("_b", best).filter("_b = 1").drop("_b").withColumn("_r", F.lit(0))
-    both = top.select(*chosen.columns, "_r").unionByName(rest.select(*chosen.columns, "_r"))
+    columns = [c for c in chosen.columns if c in everything.columns]
+    both = top.select(*columns, "_r").unionByName(rest.select(*columns, "_r"))
     place = F.row_number().over(W.partitionBy(*(keys or [F.lit(1)])).orderBy("_r", F.desc("score"), *order))
     return both.withColumn("_p", place).filter(F.col("_p") <= k).drop("_p", "_r")
 

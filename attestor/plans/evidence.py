@@ -201,15 +201,22 @@ z AS (SELECT * FROM x WHERE stop = 0 AND run - length(text) // 4 < 3000)
 
 
 def _hybrid(t: Tables) -> DataFrame:
-    b = V.bm25(t("documents"), _QUERIES, "doc_id", "text", keep_all=True, carry=["source", "text"]).withColumnRenamed("source", "file")
+    """(doc_id, file, digest, keyword, vector, score): scores travel without texts."""
+    d = t("documents").select("doc_id", F.col("source").alias("file"), "text", V.boost(F.col("text")).alias("boost"), V.text_key(F.col("text")).alias("digest"))
+    b = V.bm25(d, _QUERIES, "doc_id", "text", keep_all=True, carry=["file", "boost", "digest"])
     first = t("embeddings").orderBy("vec_id").limit(1).select(F.col("embedding").alias("e"))
     near = t("embeddings").crossJoin(F.broadcast(first)).select(F.col("vec_id").alias("doc_id"), F.greatest(F.lit(0.0), X.cosine(F.col("embedding"), F.col("e"))).alias("vector"))
-    rows = b.select("doc_id", "file", F.coalesce("text", F.lit("")).alias("text"), (F.col("score") * V.boost(F.col("text"))).alias("keyword")).join(near, "doc_id", "left")
+    rows = b.select("doc_id", "file", "digest", (F.col("score") * F.col("boost")).alias("keyword")).join(near, "doc_id", "left")
     return V.hybrid(rows, []).withColumn("score", F.round("score", 9))
 
 
 def _candidates(t: Tables) -> DataFrame:
-    return V.distinct_texts(V.candidates(_hybrid(t), [], ["doc_id"]), [], ["doc_id"], "text")
+    return _with_texts(t, V.distinct_texts(V.candidates(_hybrid(t), [], ["doc_id"]), [], ["doc_id"], "digest"))
+
+
+def _with_texts(t: Tables, few: DataFrame) -> DataFrame:
+    """Candidates, of which there are MOST at most, with their texts."""
+    return t("documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(few), "doc_id")
 
 
 _TEN = lambda df: df.select("doc_id", F.round("score", 4).alias("score"))
@@ -240,15 +247,15 @@ def _(t: Tables) -> DataFrame:
 @query("txt18_file_diversity", _CHAIN + "SELECT doc_id, round(score, 4) AS score FROM g")
 def _(t: Tables) -> DataFrame:
     every = written(_hybrid(t), "hybrid")  # it is read three times
-    u = V.unlike(V.distinct_texts(V.candidates(every, [], ["doc_id"]), [], ["doc_id"], "text"), [], ["doc_id"], "text")
-    return _TEN(V.diverse(u, every, [], ["doc_id"], "file", "text", 10))
+    u = V.unlike(_with_texts(t, V.distinct_texts(V.candidates(every, [], ["doc_id"]), [], ["doc_id"], "digest")), [], ["doc_id"], "text")
+    return _TEN(V.diverse(u, every, [], ["doc_id"], "file", "digest", 10))
 
 
 @query("txt20_context_budget", _CHAIN + "SELECT doc_id, round(score, 4) AS score FROM z")
 def _(t: Tables) -> DataFrame:
     every = written(_hybrid(t), "hybrid")  # it is read three times
-    u = V.unlike(V.distinct_texts(V.candidates(every, [], ["doc_id"]), [], ["doc_id"], "text"), [], ["doc_id"], "text")
-    g = V.diverse(u, every, [], ["doc_id"], "file", "text", 10)
+    u = V.unlike(_with_texts(t, V.distinct_texts(V.candidates(every, [], ["doc_id"]), [], ["doc_id"], "digest")), [], ["doc_id"], "text")
+    g = _with_texts(t, V.diverse(u, every, [], ["doc_id"], "file", "digest", 10))
     return _TEN(V.within_budget(g, [F.desc("score"), F.col("doc_id")], X.token_estimate(F.col("text")), 3000, 6000, []))
 
 

@@ -69,14 +69,11 @@ def _(t: Tables) -> DataFrame:
 
 @query("jon16_chain_dependencies", "WITH n AS (SELECT s_suppkey AS chain, unnest(['Node ' || (s_suppkey % 7), 'nation ' || s_nationkey, 'Edge']) AS node FROM supplier), a AS (SELECT DISTINCT 'host NATION ' || n_nationkey AS asset FROM nation WHERE n_regionkey = 1 UNION SELECT 'node 3') SELECT chain, count(*) AS hits FROM n JOIN a ON contains(lower(node), lower(asset)) OR contains(lower(asset), lower(node)) GROUP BY 1")
 def _(t: Tables) -> DataFrame:
-    """Nodes of dependency chains that name an asset or are named by one. Assets at risk are few: checked before they are sent."""
+    """Nodes of dependency chains that name an asset or are named by one."""
     chains = t("supplier").select(_c("s_suppkey").alias("chain"), F.explode(F.array(F.concat(F.lit("Node "), (_c("s_suppkey") % 7).cast("string")), F.concat(F.lit("nation "), _c("s_nationkey").cast("string")), F.lit("Edge"))).alias("node"))
     assets = t("nation").filter("n_regionkey = 1").select(F.concat(F.lit("host NATION "), _c("n_nationkey").cast("string")).alias("asset")).distinct()
     assets = assets.unionByName(assets.sparkSession.range(1).select(F.lit("node 3").alias("asset")))
-    # nodes repeat in many chains: each is compared once
-    nodes, low = chains.select("node").distinct(), F.lower
-    pairs = nodes.join(assets, low("node").contains(low("asset")) | low("asset").contains(low("node")))
-    return chains.join(pairs, "node").groupBy("chain").agg(F.count("*").alias("hits"))
+    return K.chained(chains, assets, "chain", "node", "asset").groupBy("chain").agg(F.count("*").alias("hits"))
 
 
 # Checklists
@@ -120,13 +117,14 @@ def _(t: Tables) -> DataFrame:
 
 
 _OVERLAP = f"""WITH a AS (SELECT p_partkey, list_distinct(list_filter(string_split({_SPELL("p_type || ' ' || p_brand || ' supplier'")}, ' '), lambda w: length(w) > 2)) AS w FROM part),
-b AS (SELECT s_suppkey, list_distinct(list_filter(string_split({_SPELL("s_name || ' brand economy ' || (s_suppkey % 9 + 10)")}, ' '), lambda w: length(w) > 2)) AS x FROM supplier WHERE s_suppkey <= 60),
+b AS (SELECT n_nationkey AS s_suppkey, list_distinct(list_filter(string_split({_SPELL("n_name || ' brand economy ' || (n_nationkey % 9 + 10)")}, ' '), lambda w: length(w) > 2)) AS x FROM nation),
 c AS (SELECT p_partkey, s_suppkey, len(w) AS k, len(list_intersect(w, x)) AS overlap FROM a, b)
 """
 
 
 def _controls(t: Tables) -> DataFrame:
-    return t("supplier").filter("s_suppkey <= 60").select(_c("s_suppkey").alias("control"), F.concat("s_name", F.lit(" brand economy "), (_c("s_suppkey") % 9 + 10).cast("string")).alias("label"))
+    """A catalogue: the nations, each with a label."""
+    return t("nation").select(_c("n_nationkey").alias("control"), F.concat("n_name", F.lit(" brand economy "), (_c("n_nationkey") % 9 + 10).cast("string")).alias("label"))
 
 
 @query("jon18_control_by_name", _OVERLAP + "SELECT p_partkey, s_suppkey AS control, overlap FROM c WHERE overlap >= CASE WHEN k <= 2 THEN 1 ELSE 2 END QUALIFY row_number() OVER (PARTITION BY p_partkey ORDER BY overlap DESC, s_suppkey) = 1")
@@ -231,7 +229,7 @@ def _(t: Tables) -> DataFrame:
     """Chunks in the order of the files that were named; files without a place come last."""
     names = t("documents").filter("source IS NOT NULL AND source > 'c'").select("source").distinct()
     order = names.withColumn("at", F.row_number().over(W.orderBy(F.desc("source"))) - 1)
-    rows = t("documents").select("doc_id", "source").join(F.broadcast(order), "source", "left")
+    rows = t("documents").select("doc_id", "source").join(F.broadcast(order) if names.count() <= K.BROADCAST else order, "source", "left")
     top = rows.orderBy(F.coalesce("at", F.lit(999)), "doc_id").limit(500)
     return top.select("doc_id", F.row_number().over(W.orderBy(F.coalesce("at", F.lit(999)), "doc_id")).cast("long").alias("place"))
 
@@ -245,13 +243,28 @@ def _(t: Tables) -> DataFrame:
     return R.first_of(p, ["source", "k"], [_c("doc_id"), _c("nth")]).select("doc_id", "nth", "digest")
 
 
-@query("txt21_roles", f"WITH f AS (SELECT doc_id, source, text FROM documents), r AS (SELECT *, CASE WHEN source IN ('web', 'books') AND source IN ('books', 'code') THEN 'DUAL_ROLE_CONFLICT' WHEN source IN ('web', 'books') THEN 'POLICY' WHEN source IN ('books', 'code') THEN 'EVIDENCE' ELSE 'SHARED_CONTEXT' END AS role FROM f) SELECT role, count(*) AS n, md5(string_agg(left(coalesce(text, ''), 20), '|' ORDER BY doc_id)) AS digest FROM r GROUP BY 1")
+@query("txt21_roles", "SELECT doc_id, CASE WHEN source IN ('src5', 'src6') THEN 'DUAL_ROLE_CONFLICT' WHEN source IN ('src0', 'src1', 'src2') THEN 'POLICY' WHEN source IN ('src7', 'src8') THEN 'EVIDENCE' ELSE 'SHARED_CONTEXT' END AS role, md5(coalesce(text, '')) AS digest, length(coalesce(text, '')) // 4 AS tokens FROM documents")
 def _(t: Tables) -> DataFrame:
-    """Chunks by the part of their file: policy, evidence, both (a conflict) or neither, joined in order."""
-    lists = [F.array(*map(F.lit, x)) for x in (("web", "books"), ("books", "code"))]
-    r = t("documents").select(L.file_role(F.coalesce("source", F.lit("")), *lists).alias("role"), F.struct("doc_id", F.left(F.coalesce("text", F.lit("")), F.lit(20)).alias("x")).alias("s"))
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list("s")), lambda s: s["x"]), "|")
-    return r.groupBy("role").agg(F.count("*").alias("n"), F.md5(joined).alias("digest"))
+    """Chunks by the part of their file: policy, evidence, both (a conflict) or neither. Contexts are put together from these
+    rows in order of their ids, under a budget, so no role's texts meet in one task."""
+    lists = [F.array(*map(F.lit, x)) for x in (("src0", "src1", "src2", "src5", "src6"), ("src5", "src6", "src7", "src8"))]
+    text = F.coalesce("text", F.lit(""))
+    return t("documents").select("doc_id", L.file_role(F.coalesce("source", F.lit("")), *lists).alias("role"), F.md5(text).alias("digest"), X.token_estimate(text).alias("tokens"))
+
+
+@query("txt21_role_contexts", "WITH r AS (SELECT doc_id, CASE WHEN source IN ('src5', 'src6') THEN 'DUAL_ROLE_CONFLICT' WHEN source IN ('src0', 'src1', 'src2') THEN 'POLICY' WHEN source IN ('src7', 'src8') THEN 'EVIDENCE' ELSE 'SHARED_CONTEXT' END AS role, coalesce(text, '') AS x FROM documents), s AS (SELECT *, sum(length(x) // 4) OVER (PARTITION BY role ORDER BY doc_id) AS run FROM r) SELECT role, count(*) AS n, md5(string_agg(x, chr(10) || chr(10) ORDER BY doc_id)) AS digest FROM s WHERE run <= 6000 GROUP BY 1")
+def _(t: Tables) -> DataFrame:
+    """The context of each role: whole chunks in order as long as 6,000 tokens hold them. Chunks take one token at least or
+    none, and of those of a role only the first that can fit are ranked, so a task sends few."""
+    lists = [F.array(*map(F.lit, x)) for x in (("src0", "src1", "src2", "src5", "src6"), ("src5", "src6", "src7", "src8"))]
+    r = t("documents").select("doc_id", L.file_role(F.coalesce("source", F.lit("")), *lists).alias("role"), F.coalesce("text", F.lit("")).alias("x"))
+    sums = r.groupBy("role", F.floor(F.col("doc_id") / 64).alias("block")).agg(F.sum(X.token_estimate(_c("x"))).alias("k"))
+    before = F.sum("k").over(W.partitionBy("role").orderBy("block").rowsBetween(W.unboundedPreceding, -1))
+    fits = sums.withColumn("run", F.coalesce(before, F.lit(0))).filter("run <= 6000").select("role", "block", "run")
+    rows = r.withColumn("block", F.floor(F.col("doc_id") / 64)).join(fits, ["role", "block"])
+    run = F.col("run") + F.sum(X.token_estimate(_c("x"))).over(W.partitionBy("role", "block").orderBy("doc_id"))
+    chosen = rows.withColumn("total", run).filter("total <= 6000").groupBy("role").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("doc_id", "x"))).alias("xs"))
+    return chosen.select("role", "n", F.md5(F.array_join(F.transform("xs", lambda s: s["x"]), "\n\n")).alias("digest"))
 
 
 @query("txt23_chat_context", f"WITH q AS (SELECT embedding AS e FROM embeddings ORDER BY vec_id LIMIT 1), s AS (SELECT label, vec_id, {_SIM} AS s FROM embeddings, q), v AS (SELECT label, vec_id, s AS score FROM s WHERE s > 0), k AS (SELECT label, vec_id, (vec_id % 7)::DOUBLE AS score FROM embeddings WHERE label NOT IN (SELECT label FROM v)) SELECT label, vec_id FROM (SELECT * FROM v UNION ALL SELECT * FROM k) QUALIFY row_number() OVER (PARTITION BY label ORDER BY score DESC, vec_id) <= 5")
