@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import evidence, findings, joins, labels, live, policy, quantum, repairs, rules, scans, scope  # noqa: F401  they register their queries
+from .plans import evidence, findings, joins, labels, live, nearest, policy, quantum, repairs, rules, scans, scope  # noqa: F401  they register their queries
 from .plans.registry import QUERIES, SQL
 
 

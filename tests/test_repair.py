@@ -9,6 +9,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+from attestor import catalog
 from attestor.operators import repair
 from attestor.plans import repairs
 from attestor.session import table
@@ -48,7 +49,7 @@ def test_advice(spark):
     rows = spark.createDataFrame(list(enumerate(repairs.ANSWERS)), "n int, raw string").select("n", repair.advice(F.col("raw")).alias("a")).collect()
     got = {r["n"]: tuple(sorted((k, v["remediation"], v["actionable"]) for k, v in (r["a"] or {}).items())) for r in rows}
     assert got == {i: tuple(sorted(x)) for i, x in enumerate(repairs._READ)}
-    query = repairs.query.__globals__["QUERIES"]["hlp27_salvaged_json"](spark, SF).collect()
+    query = catalog.queries()["hlp27_salvaged_json"](spark, SF).collect()
     keys = [r["o_orderkey"] for r in table(spark, SF, "orders").collect()]
     assert Counter((r["o_orderkey"], r["nth"], r["remediation"], r["actionable"]) for r in query) == Counter((k, *x) for k in keys for x in repairs._READ[k % len(repairs.ANSWERS)])
 
@@ -83,7 +84,7 @@ def test_places_lead_back():
 def test_quotes_of_documents(spark):
     t = lambda n: table(spark, SF, n)
     rows = {r["doc_id"]: r for r in repairs.quotes(t).collect()}
-    got = {r["doc_id"]: r["completed"] for r in repairs.query.__globals__["QUERIES"]["hlp34_completed_quotes"](spark, SF).collect()}
+    got = {r["doc_id"]: r["completed"] for r in catalog.queries()["hlp34_completed_quotes"](spark, SF).collect()}
     assert got.keys() == rows.keys()
     for i, r in rows.items():
         if r["quote"] and len(r["quote"]) >= 8:
