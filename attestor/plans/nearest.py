@@ -48,11 +48,12 @@ def _(t: Tables) -> DataFrame:
 
 @query("txt11_indexed")
 def _(t: Tables) -> DataFrame:
-    """The ten nearest from an index of 32 cells, of which a search reads 12; tests measure the recall."""
+    """The ten nearest from an index of 32 cells, of which a search reads 20: these vectors are close to random, so cells part them
+    little. Tests measure the recall (0.92 to 0.94)."""
     import uuid
 
     e = t("embeddings")
     spark = e.sparkSession
     path = f"{shared_dir(spark)}/attestor/{spark.sparkContext.applicationId}/index-{uuid.uuid4().hex}"
     middle = N.indexed(e, path, "vec_id", "embedding", 32)
-    return _shown(N.search(spark, path, middle, _asked(t), 10, "vec_id", "embedding", 12))
+    return _shown(N.search(spark, path, middle, _asked(t), 10, "vec_id", "embedding", 20))
