@@ -12,8 +12,8 @@ Larger blocks are pages that share a passage, and crowds of copies. Their texts
   pages share is in no first ninth, unless they have hardly anything else; then they are alike.
 * In keys of up to `SMALL` texts all pairs that the places, sizes and bits allow are decided.
 * In larger keys, first each text meets a few pivots, which connects a crowd of copies by about as many links as it has
-  texts. Only keys whose texts aren't all connected by then are compared pair by pair, in tiles of `TILE` texts, leaving out
-  pairs that are connected already: a link between them wouldn't change any group.
+  texts. Only keys whose texts aren't all connected by then are compared pair by pair, in tiles of `VOLUME` shingles with
+  their sets, leaving out pairs that are connected already: a link between them wouldn't change any group.
 
 A link is only ever left out between texts that decided links connect, so groups don't depend on the size of a block. A
 text in very many pairs meets them in several tasks.
@@ -44,8 +44,9 @@ from .simhash import BITS, SEED, SMALL, _chains, _grouped, _keys, _scheme, hashe
 WORDS, SIMILAR, WIDE, BANDS = 5, 0.8, 22, 8
 #: Up to so many rows of keys are broadcast; so many frequent shingles are put last.
 BROADCAST, FREQUENT = 500_000, 500_000
-#: Pivots that a text of large keys meets; texts of one tile; pairs of a text that one task meets, and tasks for a text with more.
-PIVOTS, TILE, HUB, SALTS = 4, 2048, 1000, 64
+#: Pivots that a text of large keys meets; shingles of a tile's texts; pairs of a text that one task meets, and tasks for a text
+#: with more.
+PIVOTS, VOLUME, HUB, SALTS = 4, 400_000, 1000, 64
 
 _FACTORS = np.random.default_rng(SEED).integers(1, 2**63, 2 * BANDS, np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -200,30 +201,53 @@ def _pairs_of_keys(tokens: DataFrame, similar: float) -> DataFrame:
     return tokens.repartition("t").sortWithinPartitions("t", "v").mapInArrow(of, "a binary, b binary")
 
 
-def _pairs_of_tiles(tokens: DataFrame, similar: float) -> DataFrame:
-    """(a, b): the pairs of unlike labels that large keys allow. The texts of a key are dealt to tiles, and each two tiles meet in
-    a group of their own."""
-    parts = F.ceil(F.col("n") / TILE).cast("int")
+def _bits(shingles: pa.ListArray) -> np.ndarray:
+    """A row of bits for each set; a column for each shingle that at least two sets have."""
+    flat, borders = shingles.values.to_numpy(), shingles.offsets.to_numpy()
+    names, column, n = np.unique(flat[borders[0] : borders[-1]], return_inverse=True, return_counts=True)
+    place = np.where(n > 1, np.cumsum(n > 1) - 1, -1)[column]
+    width = -(-int((n > 1).sum()) // 64) * 64
+    out = np.zeros((len(shingles), width // 64), np.uint64)
+    for i, (x, y) in enumerate(zip(borders - borders[0], borders[1:] - borders[0], strict=False)):
+        row = np.zeros(width, bool)
+        own = place[x:y]
+        row[own[own >= 0]] = True
+        out[i] = np.packbits(row).view(np.uint64)
+    return out
+
+
+def _links_of_tiles(tokens: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
+    """(a, b): links that connect all texts of unlike labels that large keys allow and whose sets are similar. The texts of a
+    key are dealt to tiles by the volume of their sets, and each two tiles meet in a group of their own. There a text is compared with
+    those that aren't connected with it yet, so a group gives no more links than it has texts."""
+    parts = F.ceil(F.col("volume") / VOLUME).cast("int")
     own = tokens.withColumn("tile", F.pmod(F.xxhash64("v"), parts).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), parts - 1)))
     own = own.withColumn("low", F.least("tile", "with")).withColumn("high", F.greatest("tile", "with"))
+    own = own.join(sets.select(F.col("norm").alias("v"), "shingles"), "v").select("t", "low", "high", "tile", "at", "fp", "size", "label", "v", "shingles")
 
     def of(table: pa.Table) -> pa.Table:
         table = table.sort_by([("tile", "ascending"), ("v", "ascending")])
-        tile, values = table.column("tile").to_numpy(), _columns(table)
-        label, v = table.column("label").combine_chunks().dictionary_encode().indices.to_numpy(), table.column("v").combine_chunks()
+        tile, values, v = table.column("tile").to_numpy(), _columns(table), table.column("v").combine_chunks()
+        group = table.column("label").combine_chunks().dictionary_encode().indices.to_numpy().copy()
         left = np.flatnonzero(tile == tile[0])
-        right = left if tile[0] == tile[-1] else np.flatnonzero(tile != tile[0])
         both = table.column("low")[0].as_py() != table.column("high")[0].as_py()
         a, b = [], []
         if both == (tile[0] != tile[-1]):  # else one of the two tiles is empty
+            right = np.flatnonzero(tile != tile[0]) if both else left
+            bits, size = _bits(table.column("shingles").combine_chunks()), values[1]
             for i in left.tolist():
-                with_ = right if both else right[right > i]
-                with_ = with_[label[with_] != label[i]]
-                ok = _allowed(tuple(c[i] for c in values), tuple(c[with_] for c in values), similar)
-                b.append(with_[ok])
-                a.append(np.full(len(b[-1]), i))
-        none = np.empty(0, np.int64)
-        return pa.table({"a": v.take(pa.array(np.concatenate(a or [none]))), "b": v.take(pa.array(np.concatenate(b or [none])))})
+                near = right if both else right[right > i]
+                near = near[group[near] != group[i]]
+                near = near[_allowed(tuple(c[i] for c in values), tuple(c[near] for c in values), similar)]
+                if not len(near):
+                    continue
+                common = np.bitwise_count(bits[near] & bits[i]).sum(1)
+                near = near[common >= similar * (size[near] + size[i] - common)]
+                for g, first in zip(*np.unique(group[near], return_index=True), strict=True):
+                    a.append(i)
+                    b.append(int(near[first]))
+                    group[group == g] = group[i]
+        return pa.table({"a": v.take(pa.array(a, pa.int64())), "b": v.take(pa.array(b, pa.int64()))})
 
     return own.groupBy("t", "low", "high").applyInArrow(of, "a binary, b binary")
 
@@ -231,8 +255,8 @@ def _pairs_of_tiles(tokens: DataFrame, similar: float) -> DataFrame:
 def _crowded_links(sets: DataFrame, links: DataFrame, similar: float) -> DataFrame:
     """The links (a, b) with those among crowded texts, as many as their groups need."""
     tokens = written(_prefixes(sets.filter("crowded"), similar), "prefixes")
-    sizes = tokens.groupBy("t").agg(F.count("*").alias("n"), F.max("first").alias("first"))
-    large = written(sizes.filter(F.col("first") & (F.col("n") > SMALL)).select("t", "n"), "large-keys")
+    sizes = tokens.groupBy("t").agg(F.count("*").alias("n"), F.max("first").alias("first"), F.sum("size").alias("volume"))
+    large = written(sizes.filter(F.col("first") & (F.col("n") > SMALL)).select("t", "volume"), "large-keys")
     n = large.count()
     used = written(sizes.filter(F.col("first") & F.col("n").between(2, SMALL)).select("t"), "small-keys")
     links = written(links.unionByName(_decided(_pairs_of_keys(tokens.join(used, "t", "left_semi"), similar), sets, similar)), "links")
@@ -254,8 +278,8 @@ def _crowded_links(sets: DataFrame, links: DataFrame, similar: float) -> DataFra
     apart = written(apart, "apart-keys")
     if not (m := apart.count()):
         return links
-    pairs = _pairs_of_tiles(labelled.join(_bounded(apart, m), "t", "left_semi"), similar)
-    return written(links.unionByName(_decided(pairs, sets, similar)), "links")
+    apart_rows = labelled.join(_bounded(apart, m), "t", "left_semi")
+    return written(links.unionByName(_links_of_tiles(apart_rows, sets, similar)).distinct(), "links")
 
 
 def similar_pairs(rows: DataFrame, texts: DataFrame, similar: float = SIMILAR) -> DataFrame:

@@ -5,7 +5,8 @@ national phone numbers (`local`) and social security numbers (`ssn`).
 
 The patterns are anchored so that each run of characters is tried once, also in very long texts; `\\G` keeps matches
 that begin where the one before ended. Null texts count as empty; rows without spans are returned with empty results;
-repeated rows and repeated or null ids are kept apart; an empty table gives no rows; other columns are not read.
+repeated rows and repeated or null ids are kept apart; spans of different kinds that begin at one place are all reported, in
+the order of the kinds, and in redaction the first of them wins; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations

@@ -9,7 +9,8 @@ The table answers how many tokens any prefix has (`count_at`), and how much of a
 without encoding again. Counts are those of the prefix itself: they may fall as a word is completed.
 
 Null texts count as empty (no tokens, an empty table). Very long texts are counted whole; long pieces aren't remembered. Strings of special tokens count as the special token, as is the
-library's default. Repeated rows and null ids are kept; an empty table gives no rows; extra columns are not read.
+library's default. Of tokens that may end a prefix the encoding has exactly one, so there are no
+ties. Repeated rows and null ids are kept; an empty table gives no rows; extra columns are not read.
 """
 
 from __future__ import annotations

@@ -181,9 +181,12 @@ def test_pages_with_a_shared_passage(spark, families, own):
     assert sorted(kept) == [2 * k for k in range(families)]
 
 
-def test_crowd_of_edited_copies(spark):
-    """A thousand copies of one page, each edited in places of its own so that many are below 0.8 to each other, among
-    pages of the same passage: groups are those of all pairs."""
+@pytest.mark.parametrize("volume", [near_copies.VOLUME, 20_000])
+def test_crowd_of_edited_copies(spark, monkeypatch, volume):
+    """Hundreds of copies of one page, each edited in places of its own so that many are below 0.8 to each other, among
+    pages of the same passage: groups are those of all pairs, also where their keys are dealt to several tiles."""
+    monkeypatch.setattr(near_copies, "VOLUME", volume)
+    monkeypatch.setattr(near_copies, "PIVOTS", 1)
     rng = random.Random(9)
     base = [f"b{i}" for i in range(300)]
     texts = []

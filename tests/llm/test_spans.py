@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 from collections import Counter
 
@@ -139,6 +140,51 @@ def test_account_numbers_among_other_words(spark):
             assert redacted[i].count("[IBAN]") == len(accounts) and not any(a in redacted[i] for a in accounts)
 
 
+COUNTRY = {c: n for n, codes in pii.LENGTHS.items() for c in codes.split()}
+
+
+def is_account(hit: str) -> bool:
+    bare = hit.replace(" ", "")
+    if not re.match("[A-Z]{2}[0-9]{2}", hit) or not 15 <= len(bare) <= 34:
+        return False
+    turned = bare[4:] + bare[:4]
+    return int("".join(str(ord(c) - 55) if c.isalpha() else c for c in turned)) % 97 == 1
+
+
+def added(text: str) -> list[str]:
+    """The spans beside the base kinds, by plain loops."""
+    out = []
+    run = r"(?<![A-Za-z0-9])(?=[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11})[A-Z0-9]++(?![a-z])(?:\x20[A-Z0-9]++(?![a-z]))*+"
+    for m in re.finditer(run, text):
+        words, i, at = m.group().split(" "), 0, m.start()
+        while i < len(words):
+            hits = [(COUNTRY.get(words[i][:2]) == len("".join(words[i : i + n])), n) for n in range(1, len(words) - i + 1) if n <= 34 and is_account(" ".join(words[i : i + n]))]
+            n = max(hits)[1] if hits else 1
+            size = len(" ".join(words[i : i + n]))
+            if hits:
+                out.append((at, 4, f"iban:{at}:{at + size}"))
+            at, i = at + size + 1, i + n
+    for kind, order, pattern in (("local", 5, r"(?<![0-9+(])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9])"), ("ssn", 6, r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")):
+        for m in re.finditer(pattern, text):
+            near = text[max(0, m.start() - 48) : m.start()] + " " + text[m.end() : m.end() + 48]
+            if re.search(rf"(?i)(?<![a-z])(?:{pii.WORDS[kind]})", near):
+                out.append((m.start(), order, f"{kind}:{m.start()}:{m.end()}"))
+    return [s for _, _, s in sorted(out)]
+
+
+@pytest.mark.parametrize("which", ["edges", "table", "made"])
+def test_added_spans(spark, which):
+    """Account numbers, and numbers that nearby words speak for, against plain loops."""
+    docs = edges(spark) if which == "edges" else table(spark, "/root/testdata/sf0.01", "documents")
+    if which == "made":
+        rng = random.Random(17)
+        parts = ["DE89 3704 0044 0532 0130 00", "GB82WEST12345698765432", "NO9386011117947", "AB12", "USD 500", "call", "555-123-4567", "(555) 123 4567", "078-05-1120", "ssn", "social", "x" * 45, "Fax:", "1", "é你", "tel.", "\n", "security,"]
+        docs = spark.createDataFrame([(i, " ".join(rng.choice(parts) for _ in range(rng.randrange(1, 16)))) for i in range(300)], "doc_id long, text string")
+    got = Counter((r["doc_id"], tuple(s for s in r["spans"].split(",") if s.split(":")[0] in ("iban", "local", "ssn"))) for r in pii.report(docs).collect())
+    expected = Counter((r["doc_id"], tuple(added(r["text"] or ""))) for r in docs.collect())
+    assert got == expected and (which == "table" or sum(n for (_, s), n in got.items() if s) > 0)
+
+
 def test_redaction(spark):
     docs = edges(spark, clashing=True)
     got = pii.redact(docs)
