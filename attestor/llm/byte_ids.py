@@ -3,10 +3,8 @@
 from __future__ import annotations
 
 import os
-import re
 from collections.abc import Iterator
-from itertools import batched, compress, repeat
-from operator import is_
+from itertools import batched, compress
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +15,7 @@ REMEMBERED, WORDS, LONGEST = 700_000, 1_200_000, 64
 #: Punctuation that may follow a word. An apostrophe isn't: it may begin a contraction.
 TAIL = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum() and chr(c) != "'")
 #: Characters that may not be letters in every version of Unicode.
-_NEW = re.compile("[^\0-\u04ff]")
+_NEW = "[^\\x{0}-\\x{4ff}]"
 #: Stands for the ids of a chunk that begins or ends with white space, which the tokenizer may take together with what is beside it.
 JOINED = b""
 
@@ -28,9 +26,12 @@ def numbered(split: pa.ListArray) -> tuple[pa.StringArray, np.ndarray, np.ndarra
     return coded.dictionary, coded.indices.to_numpy(), split.offsets.to_numpy().astype(np.int64) - split.offsets[0].as_py()
 
 
-def joined(ids: list[bytes], code: np.ndarray, borders: np.ndarray) -> tuple[bytes, np.ndarray]:
+def counted(ids: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+
+
+def joined(ids: list[bytes], n_ids: np.ndarray, code: np.ndarray, borders: np.ndarray) -> tuple[bytes, np.ndarray]:
     """The ids of all chunks one after another, and at which byte those of each text begin and end."""
-    n_ids = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
     first = np.concatenate(([0], np.cumsum(n_ids)))[:-1]
     n = n_ids[code]
     ends = np.concatenate(([0], np.cumsum(n)))
@@ -83,31 +84,27 @@ class ByteIds:
                 self.tails[tail] = ids
         return ids
 
-    def _encoded(self, chunks: set[str]) -> dict[str, bytes]:
+    def _encoded(self, chunks: pa.StringArray) -> dict[str, bytes]:
         if len(self.words) > WORDS:
             self.words.clear()
-        whole, cut, words, odd, out = [], [], [], [], {}
-        for c in chunks:
-            if c.isalpha():
-                word = c
-            else:
-                word = c.rstrip(TAIL)
-                if not (word[1:] if word[:1] == "\n" else word).isalpha():
-                    word = None
-            if word is None or len(word) > LONGEST or not word.isascii() and _NEW.search(word):
-                if c[-1].isspace() or c[c[0] == "\n"].isspace():
-                    out[c] = JOINED
-                else:
-                    odd.append(c)
-            elif len(word) == len(c):
-                whole.append(c)
+        names = chunks.to_numpy(zero_copy_only=False).tolist()
+        cut = pc.utf8_rtrim(chunks, TAIL)
+        letters = pc.utf8_is_alpha(pc.utf8_ltrim(cut, "\n"))  # at least one
+        letters = pc.and_(pc.and_(letters, pc.less_equal(pc.utf8_length(cut), LONGEST)), pc.invert(pc.match_substring_regex(cut, _NEW))).to_numpy(zero_copy_only=False)
+        same = pc.equal(pc.binary_length(cut), pc.binary_length(chunks)).to_numpy(zero_copy_only=False)
+        whole = list(compress(names, (letters & same).tolist()))
+        tailed = (letters & ~same).tolist()
+        plain, words = list(compress(names, tailed)), cut.filter(pa.array(tailed, pa.bool_())).to_numpy(zero_copy_only=False).tolist()
+        odd, out = [], {}
+        for c in compress(names, (~letters).tolist()):
+            if c[-1].isspace() or c[c[0] == "\n"].isspace():
+                out[c] = JOINED
             else:
-                cut.append(c)
-                words.append(word)
+                odd.append(c)
         known = self.words
         self._learn([w for w in {*whole, *words} if w not in known])
         out.update(zip(whole, map(known.__getitem__, whole), strict=True))
-        out.update((c, known[w] + self._tail(c[len(w) :])) for c, w in zip(cut, words, strict=True))
+        out.update((c, known[w] + self._tail(c[len(w) :])) for c, w in zip(plain, words, strict=True))
         for some in batched(odd, 4096):
             out.update(zip(some, self._apart([c if c[0] == "\n" else " " + c for c in some]), strict=True))
         return out
@@ -117,23 +114,23 @@ class ByteIds:
         texts = pa.array(texts, pa.string()) if isinstance(texts, list) else texts
         if not len(texts):
             return
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
+        if not self.known or len(self.known) > REMEMBERED:
+            # nothing between two blanks, or a line end by itself: a longer run of white space
+            self.known = {"": JOINED, "\n": JOINED}
         split = pc.split_pattern(pc.binary_join_element_wise("\n", pc.replace_substring(texts, "\n", " \n"), ""), " ")
         names, code, borders = numbered(split)
         chunks = names.to_numpy(zero_copy_only=False).tolist()
         ids = list(map(self.known.get, chunks))
-        # nothing between two blanks, or a line end by itself: a longer run of white space
-        new = {c for c in compress(chunks, map(is_, ids, repeat(None))) if c not in ("", "\n")}
-        learned = self._encoded(new)
-        self.known.update(learned if max(map(len, new), default=0) <= LONGEST else {c: i for c, i in learned.items() if len(c) <= LONGEST})
-        ids = [learned.get(c, JOINED) if i is None else i for c, i in zip(chunks, ids, strict=True)]
-
-        none = np.array([i == JOINED for i in ids])
-        whole = np.add.reduceat(none[code], borders[:-1]) == 0  # texts without a chunk that has no ids; each text has a chunk
+        new = [i is None for i in ids]
+        learned = self._encoded(names.filter(pa.array(new, pa.bool_())))
+        self.known.update(learned if max(map(len, learned), default=0) <= LONGEST else {c: i for c, i in learned.items() if len(c) <= LONGEST})
+        for i in np.flatnonzero(new).tolist():
+            ids[i] = learned[chunks[i]]
+        n_ids = counted(ids)
+        whole = np.add.reduceat((n_ids == 0)[code], borders[:-1]) == 0  # texts without a chunk that has no ids; each text has a chunk
         for s in self.special:
             whole &= ~pc.match_substring(texts, s).to_numpy(zero_copy_only=False)
-        flat, at = joined(ids, code, borders)
+        flat, at = joined(ids, n_ids, code, borders)
         for k, (i, j, known) in enumerate(zip(at.tolist(), at[1:].tolist(), whole.tolist(), strict=False)):
             if known:  # without the line end that was put before the text
                 yield flat[i + 4 : j]

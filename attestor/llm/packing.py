@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import bound_batches, ship
-from .byte_ids import joined, numbered
+from .byte_ids import counted, joined, numbered
 
 WINDOW, CLOSING = 2048, 1
 #: Open windows of a partition (64 MB of ids at most), and tokens that a padded window may lack.
@@ -124,7 +124,8 @@ class Ids:
         ids = list(map(self.known.get, chunks))
         learned = self._encoded(names.filter(pa.array([i is None and c != b"" for i, c in zip(ids, chunks, strict=True)], pa.bool_())))
         self.known.update(learned if max(map(len, learned), default=0) <= LONGEST else {c: i for c, i in learned.items() if len(c) <= LONGEST})
-        flat, at = joined([learned.get(c, b"") if i is None else i for c, i in zip(chunks, ids, strict=True)], code, borders)
+        ids = [learned.get(c, b"") if i is None else i for c, i in zip(chunks, ids, strict=True)]
+        flat, at = joined(ids, counted(ids), code, borders)
         for i, j in pairwise(at.tolist()):
             yield flat[i:j]
 
