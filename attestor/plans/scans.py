@@ -188,11 +188,30 @@ def _(t: Tables) -> DataFrame:
     return documents.row_chunks(_tables(t), ["file"], "text", True).select("file", "chunk_index", F.md5("content").alias("digest"))
 
 
+def _files(t: Tables) -> DataFrame:
+    """(file, data): documents as text files, tables of suppliers as CSV, nations as documents of tags."""
+    text = t("documents").select(F.concat(F.col("doc_id").cast("string"), F.lit(".txt")).alias("file"), F.coalesce("text", F.lit("")).alias("x"))
+    csv = _tables(t).select(F.concat(F.lit("table"), "file", F.lit(".csv")).alias("file"), F.col("text").alias("x"))
+    xml = t("nation").select(F.concat(F.lit("nation"), F.col("n_nationkey").cast("string"), F.lit(".xml")).alias("file"), F.format_string("<nation><name>%s</name><region>%s</region></nation>", "n_name", "n_regionkey").alias("x"))
+    return text.unionByName(csv).unionByName(xml).select("file", F.col("x").cast("binary").alias("data"))
+
+
+_FILES = """SELECT doc_id || '.txt' AS file, 'text' AS kind, coalesce(text, '') AS x FROM documents
+UNION ALL SELECT 'table' || l_suppkey || '.csv', 'table', 'order,line,part' || chr(10) || string_agg(l_orderkey || ',' || l_linenumber || ',"p,' || l_partkey || '"', chr(10) ORDER BY l_orderkey, l_linenumber, l_partkey, l_quantity) FROM lineitem GROUP BY l_suppkey
+UNION ALL SELECT 'nation' || n_nationkey || '.xml', 'xml', 'name: ' || n_name || chr(10) || 'region: ' || n_regionkey || chr(10) || chr(10) || '[RAW XML]' || chr(10) || '<nation><name>' || n_name || '</name><region>' || n_regionkey || '</region></nation>' FROM nation"""
+
+
+@query("src01_parts", f"SELECT file, file AS part, kind, md5(x) AS digest FROM ({_FILES})")
+def _(t: Tables) -> DataFrame:
+    """Files of several kinds: what each holds, and its text."""
+    p = documents.parts(_files(t))
+    return p.select("file", "part", "kind", F.md5(documents.text_of(F.col("kind"), F.col("data"))).alias("digest"))
+
+
 @query("src01_documents", None)
 def _(t: Tables) -> DataFrame:
-    """Every document as a text file: opened, decoded and cut into chunks. Cuts depend on those before, so there is no SQL."""
-    docs = t("documents").select(F.concat(F.col("doc_id").cast("string"), F.lit(".txt")).alias("file"), F.col("text").cast("binary").alias("data"))
-    return documents.chunks(documents.parts(docs)).select("file", "chunk_index", "source_type", F.md5("content").alias("digest"))
+    """Files of several kinds: opened, decoded and cut into chunks. Cuts depend on those before, so there is no SQL."""
+    return documents.chunks(documents.parts(_files(t))).select("file", "chunk_index", "source_type", F.md5("content").alias("digest"))
 
 
 @query("src11_guardrail", "SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'executable' WHEN page_id % 3 = 1 THEN 'signature' END AS flaw FROM pages")
