@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import labels as L
+from ..functions import text as X
 from ..functions.rules import has_any
 from ..functions.severity import cases
 
@@ -97,3 +98,64 @@ def chained(chains: DataFrame, assets: DataFrame, chain: str, node: str, asset:
     names, low = chains.select(node).distinct(), F.lower
     pairs = names.join(F.broadcast(few), low(node).contains(low(asset)) | low(asset).contains(low(node)))
     return chains.select(chain, node).join(pairs, node)
+
+
+# Sheets that are read before others, cells that name no file, and rows that repeat a header.
+SHEETS = ("Audit Check", "Scoping", "Checklist", "Controls", "Sheet1", "Sheet 1", "Data")
+NO_FILE = ("file name", "file", "filename", "n/a", "na", "-", "")
+AGAIN = ("audit check", "question", "control", "sl no", "s no", "sno", "control control name", "control name")
+#: Characters that a label must share to be named by its beginning.
+PREFIX = 8
+
+
+def read(rows: DataFrame) -> DataFrame:
+    """(file, row, id_text, name_text, question, files, policy_files, evidence_files): the items of checklists.
+
+    `rows` is (file, sheet, sheet_at, row, cells), a row of a worksheet each. Of a file the first sheet of SHEETS is read, or its
+    first one. The first row with a filled cell is the header; it says which columns hold ids, names, questions and files.
+    Blank rows and repeated headers are left out; a column that holds ids isn't read as questions, nor one of ids, names or
+    questions as files. Null cells are blank; short rows have blank cells behind them. A file without rows has no items."""
+    text = F.transform("cells", lambda c: X.stripped(F.coalesce(c, F.lit(""))))
+    filled = rows.select("file", "sheet", "sheet_at", "row", text.alias("c")).filter(F.exists("c", lambda c: c != ""))
+    rank = F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, SHEETS)), F.col("sheet")), F.lit(0)), F.lit(len(SHEETS) + 1))
+    # one row a file: the header of the sheet that is read
+    head = rows.select("file", "sheet", "sheet_at").distinct().groupBy("file").agg(F.min_by("sheet", F.struct(rank, "sheet_at")).alias("sheet"))
+    first = filled.groupBy("file", "sheet").agg(F.min_by(F.struct("row", "c"), "row").alias("h"))
+    head = head.join(first, ["file", "sheet"]).select("file", "sheet", F.col("h.row").alias("top"), F.col("h.c").alias("h"))
+    at = {"i": L.id_column(F.col("h")), "n": L.name_column(F.col("h")), "q": L.question_column(F.col("h"))}
+    head = head.withColumns({f"_{k}": c for k, c in at.items()})
+    ours = lambda i: (i != F.coalesce("_i", F.lit(-1))) & (i != F.coalesce("_n", F.lit(-1))) & (i != F.coalesce("_q", F.lit(-1)))
+    role = F.transform("h", lambda h, i: F.when(L.is_file_column(h) & ours(i), L.column_role(h)))
+    head = head.withColumn("roles", role)
+    body = filled.join(F.broadcast(head) if head.count() <= BROADCAST else head, ["file", "sheet"]).filter(F.col("row") > F.col("top"))
+    cell = lambda k: F.coalesce(F.get("c", F.col(k)), F.lit(""))
+    question = F.when(F.coalesce(F.col("_q") == F.col("_i"), F.lit(False)), "").otherwise(cell("_q"))
+    items = body.withColumns({"id_text": cell("_i"), "name_text": cell("_n"), "question": question})
+    said = L.spelled(F.concat_ws(" ", "id_text", "name_text", "question"))
+    items = items.filter((said != "") & ~said.isin(*AGAIN))
+    kept = lambda roles: F.filter(F.transform("c", lambda c, i: F.when(F.get("roles", i).isin(*roles) & ~F.lower(c).isin(*NO_FILE), c)), lambda c: c.isNotNull())
+    return items.select("file", "row", "id_text", "name_text", "question", kept(("policy", "evidence", "generic")).alias("files"), kept(("policy",)).alias("policy_files"), kept(("evidence",)).alias("evidence_files"))
+
+
+def controls_of(items: DataFrame, controls: DataFrame, key: str, words: dict[str, str]) -> DataFrame:
+    """(key, control, by): the control of each item (key, id_text, name_text, question), by its number or whole label, by the beginning of a
+    label, by the words of a rule, or by shared words, in this order; what nothing resolves has a null control. `controls` is (control, label, at);
+    of several the first by `at`. Labels begin with their number; a beginning counts from PREFIX characters on."""
+    c = controls.select("control", "at", L.spelled(F.col("label")).alias("l"), F.regexp_extract("label", r"^\s*([0-9]+(?:\.[0-9]+)*)", 1).alias("number"))
+    bare = F.when(F.col("number") != "", X.stripped(F.substr("l", F.length(L.spelled(F.col("number"))) + 1))).otherwise(F.col("l"))
+    c = c.withColumn("bare", bare)
+    i = items.select(F.col(key).alias("_key"), "id_text", L.spelled(F.col("name_text")).alias("n"), L.spelled(F.concat_ws(" ", "id_text", "name_text", "question")).alias("all"))
+    number = i.select("_key", F.regexp_extract("id_text", r"([0-9]+(?:\.[0-9]+)+)", 1).alias("number")).filter("number <> ''")
+    exact = number.join(c.filter("number <> ''"), "number").select("_key", "control", "at", F.lit(0).alias("o"))
+    names = i.select("_key", F.explode(F.array_distinct(F.array("n", L.spelled(F.col("id_text"))))).alias("n")).filter("n <> ''")
+    labels = c.select("control", "at", F.explode(F.array_distinct(F.array("l", "bare"))).alias("n"))
+    same = names.join(labels, "n").select("_key", "control", "at", F.lit(1).alias("o"))
+    heads = c.select("control", "at", F.explode(F.array_distinct(F.array("l", "bare"))).alias("x")).withColumn("p", F.left("x", F.lit(PREFIX)))
+    begins = names.filter(F.length("n") >= PREFIX).withColumn("p", F.left("n", F.lit(PREFIX))).join(heads, "p").filter(F.col("x").startswith(F.col("n")))
+    begins = begins.select("_key", "control", "at", F.lit(2).alias("o"))
+    best = exact.unionByName(same).unionByName(begins).groupBy("_key").agg(F.min(F.struct("o", "at", "control")).alias("b"))
+    by_rule = cases([(L.has_word(F.col("all"), w), k) for w, k in words.items()])
+    shared = overlaps(items.select(F.col(key).alias("_key"), F.concat_ws(" ", "name_text", "question").alias("t")), controls, "_key", "t", "control", "label", "at").select("_key", F.col("control").alias("_s"))
+    rows = i.withColumn("_r", by_rule).join(best, "_key", "left").join(shared, "_key", "left")
+    how = F.when(F.col("b.o") == 0, "id").when(F.col("b.o") == 1, "label").when(F.col("b.o") == 2, "prefix").when(F.col("_r").isNotNull(), "rule").when(F.col("_s").isNotNull(), "name")
+    return rows.select(F.col("_key").alias(key), F.coalesce("b.control", "_r", "_s").alias("control"), how.alias("by"))

@@ -199,3 +199,52 @@ def _(t: Tables) -> DataFrame:
         "report_id", "pos", ((st == "COMPLIANT") & F.trim(F.coalesce("quote", F.lit("NOT_FOUND"))).isin("", "NOT_FOUND")).alias("refused"),
         F.when(st == "COMPLIANT", "N/A").when(st == "NON_COMPLIANT", F.coalesce(stated, by_score)).otherwise(sv).alias("severity"), F.when(st != "NON_COMPLIANT", s).otherwise(fitted).alias("score"),
     )
+
+
+# Checklists: parts of one size are the rows of a worksheet, below one of three headers that the size picks.
+_LISTS = (
+    ("No", "Control ID", "Audit check", "Policy document", "Evidence file"), ("Control name", "Question", "Attachment", "File type"), ("Clause", "Control title", "Requirement", "Exhibit"),
+)
+
+
+def worksheets(t: Tables) -> DataFrame:
+    """(file, sheet, sheet_at, row, cells): a header and a row for each part, in a sheet that comes after one of notes."""
+    p = t("part").select("p_partkey", "p_size", "p_name", "p_type", "p_brand")
+    file, none = F.concat(F.lit("list-"), _c("p_size").cast("string")), F.lit(None).cast("string")
+    number = F.concat_ws(".", (_c("p_partkey") % 4 + 5).cast("string"), (_c("p_partkey") % 30 + 1).cast("string"))
+    doc = F.when(_c("p_partkey") % 3 == 0, "n/a").when(_c("p_partkey") % 3 == 1, F.concat("p_brand", F.lit(".pdf")))
+    cells = F.when(_c("p_size") % 3 == 0, F.array(_c("p_partkey").cast("string"), number, "p_name", doc, F.lit("log.txt"))).when(_c("p_size") % 3 == 1, F.array(_c("p_type"), "p_name", doc)).otherwise(F.array(number, F.concat(F.lit(" "), "p_type"), "p_name", doc))
+    rows = p.select(file.alias("file"), F.lit("Scoping").alias("sheet"), F.lit(1).alias("sheet_at"), _c("p_partkey").cast("int").alias("row"), F.when(_c("p_partkey") % 11 == 0, F.array(none, F.lit(" "))).otherwise(cells).alias("cells"))
+    sizes = p.select("p_size").distinct()
+    header = F.element_at(F.array(*[F.array(*map(F.lit, h)) for h in _LISTS]), (_c("p_size") % 3 + 1).cast("int"))
+    heads = sizes.select(F.concat(F.lit("list-"), _c("p_size").cast("string")).alias("file"), F.lit("Scoping").alias("sheet"), F.lit(1).alias("sheet_at"), F.lit(-1).alias("row"), header.alias("cells"))
+    notes = heads.select("file", F.lit("Notes").alias("sheet"), F.lit(0).alias("sheet_at"), F.lit(0).alias("row"), F.array(F.lit("Question"), F.lit("Evidence")).alias("cells"))
+    return rows.unionByName(heads).unionByName(notes)
+
+
+_DOC = "CASE WHEN p_partkey % 3 = 1 THEN p_brand || '.pdf' END"
+_NUMBER = "(p_partkey % 4 + 5) || '.' || (p_partkey % 30 + 1)"
+
+
+@query("src06_checklist_items", f"""SELECT 'list-' || p_size AS file, p_partkey::INT AS row, CASE p_size % 3 WHEN 1 THEN '' ELSE {_NUMBER} END AS id_text, CASE p_size % 3 WHEN 0 THEN '' ELSE trim(p_type) END AS name_text, trim(p_name) AS question,
+  concat_ws('|', {_DOC}, CASE WHEN p_size % 3 = 0 THEN 'log.txt' END) AS files, CASE WHEN p_size % 3 = 0 THEN coalesce({_DOC}, '') ELSE '' END AS policy_files FROM part WHERE p_partkey % 11 <> 0""")
+def _(t: Tables) -> DataFrame:
+    """Items of checklists; the header of each says what its columns hold."""
+    from ..operators import checklists
+
+    i = checklists.read(worksheets(t))
+    return i.select("file", "row", "id_text", "name_text", "question", F.array_join("files", "|").alias("files"), F.array_join("policy_files", "|").alias("policy_files"))
+
+
+_CATALOGUE = (("A5.1", "5.1 Policies", 1), ("A5.15", "5.15 Access control", 2), ("A6.3", "6.3 Awareness training", 3), ("A7.2", "7.2 Physical entry", 4), ("A8.17", "8.17 Clock synchronization", 5), ("A8.20", "8.20 Networks", 6))
+
+
+@query("hlp07_checklist_controls", f"""WITH i AS (SELECT p_partkey, CASE p_size % 3 WHEN 1 THEN '' ELSE {_NUMBER} END AS id_text FROM part WHERE p_partkey % 11 <> 0), c(control, label, spot) AS (VALUES {', '.join(f'({T.lit(a)}, {T.lit(b)}, {n})' for a, b, n in _CATALOGUE)})
+SELECT p_partkey::INT AS row, control, CASE WHEN control IS NOT NULL THEN 'id' END AS by FROM i LEFT JOIN c ON id_text <> '' AND string_split(label, ' ')[1] = id_text""")
+def _(t: Tables) -> DataFrame:
+    """The control of each item by its number; names of parts share no word with the catalogue's labels."""
+    from ..operators import checklists
+
+    i = checklists.read(worksheets(t))
+    catalogue = i.sparkSession.createDataFrame(list(_CATALOGUE), "control string, label string, at int")
+    return checklists.controls_of(i, catalogue, "row", {})
