@@ -69,3 +69,19 @@ def controls(found: DataFrame, mapping: DataFrame) -> DataFrame:
     """(id, control): controls of the kinds of each document, once each. `mapping` is (kind, control)."""
     few = F.broadcast(mapping.select("kind", "control").distinct()) if mapping.count() <= MOST else mapping.select("kind", "control").distinct()
     return found.select("id", "kind").join(few, "kind").select("id", "control").distinct()
+
+
+CUSTOM = "struct<kind:string,keywords:array<string>,generated:array<string>>"
+
+
+def custom(rows: DataFrame, control: str, settings: str, active: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(signals, mapping) out of controls that auditors have added: `settings` is JSON with a kind and keywords, their own and generated
+    ones. Without a kind, or with JSON that can't be read, a control belongs to General; blank keywords are left out; only rows with a true
+    `active` column count, if one is named."""
+    x = rows.filter(F.coalesce(F.col(active), F.lit(False))) if active else rows
+    x = x.select(F.col(control).alias("control"), F.from_json(F.coalesce(F.col(settings), F.lit("{}")), CUSTOM).alias("s"))
+    kind = F.coalesce(F.nullif(F.trim("s.kind"), F.lit("")), F.lit("General"))
+    none = F.array().cast("array<string>")
+    words = F.filter(F.transform(F.concat(F.coalesce("s.keywords", none), F.coalesce("s.generated", none)), lambda w: F.lower(F.trim(w))), lambda w: F.coalesce(w, F.lit("")) != "")
+    signals = x.select(kind.alias("kind"), F.explode(words).alias("keyword")).distinct()
+    return signals, x.filter(F.col("control").isNotNull()).select(kind.alias("kind"), "control").distinct()

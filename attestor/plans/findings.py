@@ -12,6 +12,7 @@ from pyspark.sql.window import Window as W
 
 from ..functions import severity as S
 from ..operators import relational as R
+from ..sources import stores
 from .registry import Tables, query
 
 _F = """f AS (SELECT l_orderkey AS report_id, l_linenumber AS pos, l_partkey AS plugin_id, l_suppkey AS host, round(l_discount * 100, 1) AS score,
@@ -228,13 +229,16 @@ def _(t: Tables) -> DataFrame:
     return t("events").groupBy("user_id").agg(F.round(v / F.greatest(n, F.lit(1)), 2).alias("avg_value"), F.round(n / F.greatest(v, F.lit(0.1)), 2).alias("per_value"))
 
 
-@query("agg21_confusion", """WITH c AS (SELECT count(*) FILTER (quality = 1 AND toxic = 0) AS tp, count(*) FILTER (quality = 1 AND toxic = 1) AS fp, count(*) FILTER (quality = 0 AND toxic = 0) AS fn, count(*) FILTER (quality = 0 AND toxic = 1) AS tn FROM labels)
-SELECT tp, fp, fn, tn, round((tp + tn) / greatest(tp + fp + fn + tn, 1), 4) AS accuracy, round(tp / greatest(tp + fp, 1), 4) AS precision, round(tp / greatest(tp + fn, 1), 4) AS recall, round(2 * tp / greatest(2 * tp + fp + fn, 1), 4) AS f1 FROM c""")
+@query("agg21_confusion", """WITH c AS (SELECT count(*) FILTER (quality = 1 AND toxic = 0) AS tp, count(*) FILTER (quality = 1 AND toxic = 1) AS fp, count(*) FILTER (quality = 0 AND toxic = 0) AS fn, count(*) FILTER (quality = 0 AND toxic = 1) AS tn FROM labels), h AS (SELECT count(*) FILTER (n_chars >= 300) / greatest(count(*), 1) AS hit FROM labels JOIN documents USING (doc_id) WHERE quality = 1 AND lang IS NOT NULL)
+SELECT tp, fp, fn, tn, round(hit, 4) AS retrieval_recall, round((tp + tn) / greatest(tp + fp + fn + tn, 1), 4) AS accuracy, round(tp / greatest(tp + fp, 1), 4) AS precision, round(tp / greatest(tp + fn, 1), 4) AS recall, round(2 * tp / greatest(2 * tp + fp + fn, 1), 4) AS f1 FROM c, h""")
 def _(t: Tables) -> DataFrame:
     said, true = F.col("quality") == 1, F.col("toxic") == 0
     c = t("labels").agg(F.count_if(said & true).alias("tp"), F.count_if(said & ~true).alias("fp"), F.count_if(~said & true).alias("fn"), F.count_if(~said & ~true).alias("tn"))
     ratio = lambda a, b: F.round(F.expr(a) / F.greatest(F.expr(b), F.lit(1)), 4)
-    return c.select("*", ratio("tp + tn", "tp + fp + fn + tn").alias("accuracy"), ratio("tp", "tp + fp").alias("precision"), ratio("tp", "tp + fn").alias("recall"), ratio("2 * tp", "2 * tp + fp + fn").alias("f1"))
+    # of the rows for which a chunk had to be found, those where it was; here long documents stand for those
+    found = t("labels").filter(said).join(t("documents").filter("lang IS NOT NULL").select("doc_id", "n_chars"), "doc_id")
+    hit = found.agg(F.round(F.count_if(F.col("n_chars") >= 300) / F.greatest(F.count("*"), F.lit(1)), 4).alias("retrieval_recall"))
+    return c.crossJoin(F.broadcast(hit)).select("tp", "fp", "fn", "tn", "retrieval_recall", ratio("tp + tn", "tp + fp + fn + tn").alias("accuracy"), ratio("tp", "tp + fp").alias("precision"), ratio("tp", "tp + fn").alias("recall"), ratio("2 * tp", "2 * tp + fp + fn").alias("f1"))
 
 
 @query("agg22_retention", "SELECT o_orderkey FROM (SELECT o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS n FROM orders) WHERE n > 5")
@@ -248,10 +252,11 @@ def _(t: Tables) -> DataFrame:
     return findings(t).groupBy("plugin_id", "host").agg(F.min("score").alias("low"), F.max("score").alias("high"), F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_set("tool")), ",").alias("refs"))
 
 
-@query("agg26_dominant_type", "SELECT source, lang FROM (SELECT source, lang, row_number() OVER (PARTITION BY source ORDER BY count(*) DESC, lang) AS r FROM documents GROUP BY 1, 2) WHERE r = 1")
+@query("agg26_dominant_type", "SELECT source, lang FROM (SELECT source, lang, row_number() OVER (PARTITION BY source ORDER BY count(*) DESC, min(doc_id)) AS r FROM documents GROUP BY 1, 2) WHERE r = 1")
 def _(t: Tables) -> DataFrame:
-    n = t("documents").groupBy("source", "lang").agg(F.count("*").alias("n"))
-    return R.first_of(n, ["source"], [-F.col("n"), F.col("lang")]).select("source", "lang")
+    """Of equally frequent kinds the one that is met first."""
+    n = t("documents").groupBy("source", "lang").agg(F.count("*").alias("n"), F.min("doc_id").alias("first"))
+    return R.first_of(n, ["source"], [-F.col("n"), F.col("first")]).select("source", "lang")
 
 
 @query("agg27_set_difference", "SELECT DISTINCT o_custkey FROM orders WHERE o_orderstatus = 'O' EXCEPT SELECT o_custkey FROM orders WHERE o_orderstatus = 'F'")
@@ -332,10 +337,12 @@ def _(t: Tables) -> DataFrame:
     return c.withColumn("origin", F.lit("customer")).unionByName(e.withColumn("origin", F.lit("event")))
 
 
-@query("set06_equal_sets", WITH_F + ", s AS (SELECT report_id, list_sort(list(DISTINCT tool)) AS tools FROM f GROUP BY 1) SELECT report_id, tools = ['A', 'N'] AS same FROM s")
+@query("set06_equal_sets", "WITH s AS (SELECT l_suppkey, list_sort(list(DISTINCT l_returnflag) FILTER (l_linenumber <= 3)) AS a, list_sort(list(DISTINCT l_returnflag) FILTER (l_linenumber > 3)) AS b FROM lineitem GROUP BY 1) SELECT l_suppkey, coalesce(a, []) = coalesce(b, []) AS same FROM s")
 def _(t: Tables) -> DataFrame:
-    tools = F.array_sort(F.collect_set("tool"))
-    return findings(t).groupBy("report_id").agg((tools == F.array(F.lit("A"), F.lit("N"))).alias("same"))
+    """Whether two selections of one owner hold the same values, in any order and however often."""
+    chosen = lambda which: F.array_sort(F.collect_set(F.when(which, F.col("l_returnflag"))))
+    early = F.col("l_linenumber") <= 3
+    return t("lineitem").groupBy("l_suppkey").agg((chosen(early) == chosen(~early)).alias("same"))
 
 
 # Scalar rules
@@ -360,6 +367,10 @@ def _(t: Tables) -> DataFrame:
     return e.crossJoin(F.broadcast(last)).filter("ts >= last - INTERVAL 1 DAY").select("event_id")
 
 
-@query("snk03_upsert_latest", "SELECT user_id, max_by(value, (ts, event_id)) AS value, count(*) AS versions FROM events GROUP BY 1")
+@query("snk03_upsert_latest", "SELECT vec_id, CASE WHEN vec_id % 3 = 0 THEN label + 100 ELSE label END AS label, (vec_id % 3 = 0)::INT AS version FROM embeddings UNION ALL SELECT -vec_id - 1, label, 1 FROM embeddings WHERE vec_id % 50 = 0")
 def _(t: Tables) -> DataFrame:
-    return t("events").groupBy("user_id").agg(F.max_by("value", F.struct("ts", "event_id")).alias("value"), F.count("*").alias("versions"))
+    """Vectors by their keys: new ones take the place of old ones, others stay or come in."""
+    e = t("embeddings").select("vec_id", "label", F.lit(0).alias("version"))
+    again = e.filter("vec_id % 3 = 0").withColumn("label", F.col("label") + 100)
+    fresh = e.filter("vec_id % 50 = 0").withColumn("vec_id", -F.col("vec_id") - 1)
+    return stores.merged(e, again.unionByName(fresh).withColumn("version", F.lit(1)), ["vec_id"], ["version"])

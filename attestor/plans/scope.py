@@ -56,6 +56,27 @@ def _(t: Tables) -> DataFrame:
     return scoping.controls(_kinds(t), _literal(t, CONTROLS, "kind string, control string"))
 
 
+_SET = ('{"kind": "Access", "keywords": ["Vault ", " "], "generated": ["kms"]}', '{"kind": " ", "keywords": ["badge"]}', "not json", None, '{"keywords": null, "generated": ["Badge", "cctv"]}')
+_CUSTOM = f"x AS (SELECT 'C' || p_partkey AS control, {T.picked('p_partkey', _SET)} AS s FROM part WHERE p_size % 2 = 0), y AS (SELECT control, CASE WHEN json_valid(s) THEN s ELSE '{{}}' END AS s FROM x), z AS (SELECT control, coalesce(nullif(trim(s ->> 'kind'), ''), 'General') AS kind, s FROM y)"
+
+
+def _custom(t: Tables) -> tuple[DataFrame, DataFrame]:
+    p = t("part").select(F.concat(F.lit("C"), _c("p_partkey").cast("string")).alias("control"), T.pick(_c("p_partkey"), _SET).alias("settings"), (_c("p_size") % 2 == 0).alias("active"))
+    return scoping.custom(p, "control", "settings", "active")
+
+
+@query("hlp08_custom_signals", f"WITH {_CUSTOM} SELECT DISTINCT kind, lower(trim(w)) AS keyword FROM (SELECT kind, unnest(list_concat(coalesce(TRY_CAST(s -> 'keywords' AS VARCHAR[]), []), coalesce(TRY_CAST(s -> 'generated' AS VARCHAR[]), []))) AS w FROM z) WHERE trim(w) <> ''")
+def _(t: Tables) -> DataFrame:
+    """Keywords of the controls that auditors have added."""
+    return _custom(t)[0]
+
+
+@query("hlp08_custom_controls", f"WITH {_CUSTOM} SELECT kind, control FROM z")
+def _(t: Tables) -> DataFrame:
+    """The kinds of the controls that auditors have added."""
+    return _custom(t)[1]
+
+
 TITLES = ("SQL injection in the search field of the shop", "SQL injection in the search form of the portal", "Missing HttpOnly flag on session cookie", "Weak ciphers", "weak  ciphers.", "Outdated web server on the gateway host", None, "")
 
 

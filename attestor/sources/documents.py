@@ -16,6 +16,7 @@ import zipfile
 from collections.abc import Iterator, Sequence
 from xml.etree import ElementTree
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,6 +42,10 @@ def files(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(F.col("path").alias("file"), F.col("content").alias("data"))
 
 
+#: First bytes of binary office files.
+OLE = bytes.fromhex("d0cf11e0")
+
+
 def _members(data: bytes) -> Iterator[tuple[str, bytes]]:
     """The files of an archive in order of their names, but for hidden ones, what has no text, and what would burst."""
     with zipfile.ZipFile(io.BytesIO(data)) as z:
@@ -89,6 +94,25 @@ def _sheets(data: bytes) -> Iterator[tuple[str, str]]:
                 yield titles[i] if i < len(titles) else str(i), out.getvalue()
 
 
+#: Least characters of a run in a legacy file, and the least text for which two bytes a character are believed.
+LEAST_RUN, LEAST_WIDE = 4, 40
+
+
+def _runs(codes: np.ndarray) -> str:
+    """The runs of printable characters among codes, with a blank between them."""
+    good = ((codes >= 32) & (codes <= 126)) | (codes == 9) | (codes == 10) | (codes == 13)
+    edges = np.flatnonzero(np.diff(np.concatenate(([False], good, [False])).astype(np.int8)))
+    text = codes.astype(np.uint8).tobytes().decode("latin-1")
+    return " ".join(text[a:b] for a, b in edges.reshape(-1, 2).tolist() if b - a >= LEAST_RUN)
+
+
+def legacy_text(data: bytes) -> str:
+    """What can be read in a word processor's or presentation's binary file without its format: runs of printable characters of
+    two bytes each, else, if these say too little, of one byte."""
+    wide = _runs(np.frombuffer(data[: len(data) // 2 * 2], "<u2"))
+    return wide if len(wide) >= LEAST_WIDE else _runs(np.frombuffer(data, np.uint8))
+
+
 def opened(name: str, data: bytes, depth: int = 0) -> Iterator[tuple[str, str, bytes]]:
     """(part, kind, bytes) of one file: itself, or what it holds."""
     low = name.lower()
@@ -105,6 +129,9 @@ def opened(name: str, data: bytes, depth: int = 0) -> Iterator[tuple[str, str, b
         if low.endswith(".docx"):
             yield name, "paragraphs", _paragraphs(data).encode()
             return
+        if low.endswith((".doc", ".ppt")) and data[:4] == OLE:
+            yield name, "text", legacy_text(data).encode()
+            return
     except (zipfile.BadZipFile, KeyError, ElementTree.ParseError, ValueError, IndexError, RuntimeError, NotImplementedError):
         pass  # what can't be opened comes whole
     ext = posixpath.splitext(low)[1]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import random
 import zipfile
 from collections import Counter
 
@@ -95,3 +96,29 @@ def test_guardrail(spark):
     docs = spark.createDataFrame([(f, bytearray(d) if d is not None else None) for f, d in rows.items()], "file string, data binary")
     got = {r["file"]: r["flaw"] for r in D.guarded(docs).collect()}
     assert got == {"a.pdf": "signature", "b.png": "signature", "c.txt": "executable", "d.docx": "macro", "e.zip": "ratio", "f.zip": "member", **dict.fromkeys(("g.png", "h.pdf", "i.txt", "j.txt", "k.zip"))}
+
+
+def plain_runs(data: bytes, wide: bool) -> str:
+    """Runs found character by character."""
+    out, now = [], ""
+    for i in range(0, len(data) - 1 if wide else len(data), 2 if wide else 1):
+        c = data[i] if not wide or data[i + 1] == 0 else 0
+        if 32 <= c <= 126 or c in (9, 10, 13):
+            now += chr(c)
+            continue
+        out += [now] if len(now) >= 4 else []
+        now = ""
+    return " ".join([*out, now] if len(now) >= 4 else out)
+
+
+def test_legacy_files(spark):
+    rng = random.Random(18)
+    head = D.OLE + bytes(12)
+    for _ in range(200):
+        data = bytes(rng.choice((0, 65, 97, 32, 10, 200, 255)) for _ in range(rng.randrange(120)))
+        wide = plain_runs(data, True)
+        assert D.legacy_text(data) == (wide if len(wide) >= 40 else plain_runs(data, False))
+    said = "The policy of access is reviewed each year."
+    files = {"a.doc": head + b"\x01" + b"\x02" + said.encode("utf-16-le") + b"\xff\xfe\x01", "b.ppt": head + b"\x90" + said.encode() + b"\x00\x01abc", "c.doc": said.encode(), "d.doc": D.OLE, "e.doc": b""}
+    got = {n: [(k, x.decode()) for _, k, x in D.opened(n, d)] for n, d in files.items()}
+    assert got == {"a.doc": [("text", said)], "b.ppt": [("text", said)], "c.doc": [("text", said)], "d.doc": [("text", "")], "e.doc": [("text", "")]}
