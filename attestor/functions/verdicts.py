@@ -101,14 +101,16 @@ def nist(status_: Column, final: Column, likelihood: Column, impact: Column, pol
     known = cases([(c, True) for c, _ in fits], False) | (l_ok & i_ok)
     lh = F.when(l_ok, l0).otherwise(cases([(c, pair[0]) for c, pair in fits]))
     im = F.when(i_ok, i0).otherwise(cases([(c, pair[1]) for c, pair in fits]))
-    level = cases([((lh == x) & (im == y), v) for (x, y), v in MATRIX.items()])
+    # looked up by one key: a CASE would compute both sides for each cell
+    both = F.concat(lh, F.lit("/"), im)
+    level, severity = (F.element_at(F.create_map(*[F.lit(x) for (a, b), v in MATRIX.items() for x in (f"{a}/{b}", of(v))]), both) for of in (str, PRIORITIES.get))
     never = (s == "NOT_EVALUATED") | (F.coalesce(final, F.lit("")) == "NOT_EVALUATED")
     free = s.isin("COMPLIANT", "FALSE_POSITIVE") | (F.coalesce(final, F.lit("")) == "COMPLIANT")
     rated = ~never & ~free & known
     return F.struct(
         F.when(rated, lh).otherwise("N/A").alias("likelihood"), F.when(rated, im).otherwise("N/A").alias("impact"),
         F.when(rated, level).when(free & ~never, "N/A").otherwise("UNDETERMINED").alias("level"),
-        F.when(rated, cases([(level == k, v) for k, v in PRIORITIES.items()])).otherwise("N/A").alias("severity"),
+        F.when(rated, severity).otherwise("N/A").alias("severity"),
     )
 
 
