@@ -1,13 +1,14 @@
 """Checklists against controls and uploaded files.
 
-What is matched by containment is compared within one session's uploads, which are collected for it as one array; controls
-are matched by an equi-join of words. Null and empty references match nothing.
+What is matched by containment is compared within one session, each normal form once with each upload; controls are matched
+by an equi-join of words. Null and empty references match nothing.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from ..functions import labels as L
 from ..functions import text as X
@@ -15,8 +16,10 @@ from ..functions.rules import has_any
 from ..functions.severity import cases
 
 
-#: Up to so many controls are broadcast.
-BROADCAST = 100_000
+#: Up to so many controls, or normal forms of references, are broadcast; beyond that a session's uploads are dealt to so many tasks.
+BROADCAST, SALTS = 100_000, 32
+#: How well an upload of an equal name fits, and more than the uploads of a session.
+EQUAL, PLACES = 1 << 29, 1 << 32
 
 
 def _stem(name: Column) -> Column:
@@ -26,17 +29,28 @@ def _stem(name: Column) -> Column:
 def resolved(references: DataFrame, uploads: DataFrame, session: str, position: str, cell: str, name: str, order: str) -> DataFrame:
     """(session, position, nth, reference, file): each reference of a cell with the upload it means: of an equal name, else
     the longest name that contains the other, the first upload of equals. What matches no upload stays if it looks like a
-    file, with a null file; prose goes."""
-    item = F.struct(F.col(order).alias("at"), F.col(name).alias("name"), L.spelled(F.col(name)).alias("full"), L.spelled(_stem(F.col(name))).alias("stem"))
-    files = uploads.groupBy(session).agg(F.array_sort(F.collect_list(item)).alias("_u"))
-    refs = references.select(session, position, F.posexplode(L.citations(F.col(cell))).alias("nth", "reference")).join(files, session, "left")
-    refs = refs.withColumn("_r", L.spelled(F.col("reference")))
-    r, u = F.col("_r"), F.coalesce("_u", F.filter(F.array(F.struct(F.lit(0).alias("at"), F.lit("").alias("name"), F.lit("").alias("full"), F.lit("").alias("stem"))), lambda x: F.lit(False)))
+    file, with a null file; prose goes.
+
+    Each normal form of a session's references is compared once with each of its uploads, and only the best is kept: one
+    number holds how well an upload fits and its place."""
+    spark = references.sparkSession
+    refs = references.select(session, position, F.posexplode(L.citations(F.col(cell))).alias("nth", "reference")).withColumn("_r", L.spelled(F.col("reference")))
+    place = F.row_number().over(W.partitionBy(session).orderBy(order, name)).cast("long")
+    files = uploads.filter(F.col(session).isNotNull()).select(session, place.alias("_i"), F.col(name).alias("_name"), L.spelled(F.col(name)).alias("_full"), L.spelled(_stem(F.col(name))).alias("_stem"))
+    spread = files.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "_i")
+    forms = refs.filter(F.col(session).isNotNull() & (F.col("_r") != "")).select(session, "_r").distinct()
+    r, full, stem = F.col("_r"), F.col("_full"), F.col("_stem")
     length = lambda c: F.when((c == "") | (r == ""), 0).when(r.contains(c), F.length(c)).when(c.contains(r), F.length(r)).otherwise(0)
-    equal = F.filter(u, lambda x: (r != "") & ((r == x["stem"]) | (r == x["full"])))
-    partly = F.filter(F.transform(u, lambda x, i: F.struct(F.greatest(length(x["full"]), length(x["stem"])).alias("n"), (-i).alias("i"), x["name"].alias("name"))), lambda x: x["n"] > 0)
-    best = F.coalesce(F.get(equal, F.lit(0))["name"], F.array_max(partly)["name"])
-    return refs.select(session, position, "nth", "reference", best.alias("file")).filter(F.col("file").isNotNull() | L.file_like(F.col("reference")))
+    n = F.when((r == stem) | (r == full), EQUAL).otherwise(F.greatest(length(full), length(stem)))
+    meets = (r != "") & (((full != "") & (full.contains(r) | r.contains(full))) | ((stem != "") & (stem.contains(r) | r.contains(stem))))
+    if forms.count() <= BROADCAST:
+        pairs = spread.join(F.broadcast(forms), (spread[session] == forms[session]) & meets).drop(forms[session])
+    else:
+        dealt = forms.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        pairs = spread.withColumn("_salt", (F.col("_i") % SALTS).cast("int")).join(dealt, [session, "_salt"]).filter(meets)
+    best = pairs.groupBy(session, "_r").agg(F.min(F.col("_i") - n.cast("long") * PLACES).alias("_b")).withColumn("_i", F.pmod("_b", F.lit(PLACES)))
+    best = best.join(files.select(session, "_i", "_name"), [session, "_i"]).select(session, "_r", F.col("_name").alias("file"))
+    return refs.join(best, [session, "_r"], "left").select(session, position, "nth", "reference", "file").filter(F.col("file").isNotNull() | L.file_like(F.col("reference")))
 
 
 def locked(items: DataFrame, session: str, control: str, position: str, file: str) -> DataFrame:

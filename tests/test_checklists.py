@@ -36,3 +36,26 @@ def test_controls(spark):
     assert got == {
         1: ("c2", "id"), 2: ("c1", "label"), 3: ("c2", "prefix"), 4: ("c3", "name"), 5: ("c9", "rule"), 6: (None, None), 7: ("c4", "label"), 8: ("c1", "id"), 9: ("c4", "id"), 10: ("c2", "name"),
     }
+
+
+def test_references_of_a_crowded_session(spark, monkeypatch):
+    """Thousands of references of few forms and thousands of uploads in one session, against the rule taken literally."""
+    refs = spark.range(3000).selectExpr("1L AS s", "id AS row", "element_at(array('Policy ' || id % 50, 'see Policy_' || id % 50 || ' V1.pdf p.3', 'prose', ' ', 'policy_7 v1.PDF'), CAST(id % 5 + 1 AS INT)) AS cell")
+    refs = refs.unionByName(spark.createDataFrame([(None, 9000, "Policy_1 V1.pdf"), (2, 9001, "a.pdf")], "s long, row long, cell string"))
+    uploads = spark.range(2000).selectExpr("1L AS s", "2000 - id AS at", "'Policy_' || id || ' V1.pdf' AS name")
+    names = [(2000 - i, f"Policy_{i} V1.pdf", f"policy {i} v1 pdf", f"policy {i} v1") for i in range(2000)]
+
+    def meant(r: str) -> str | None:
+        def n(c: str) -> int:
+            return len(c) if c in r else len(r) if r in c else 0
+
+        best = min((((-(10**6) if r in (f, s) else -max(n(f), n(s))), at, name) for at, name, f, s in names), default=(0,))
+        return best[2] if r and best[0] else None
+
+    forms = {f: meant(f) for i in range(50) for f in (f"policy {i}", f"see policy {i} v1 pdf p 3", "prose", "policy 7 v1 pdf")}
+    low = lambda c: " ".join("".join(x if x.isascii() and x.isalnum() else " " for x in c.lower()).split())
+    want = {(1, r["row"]): forms.get(low(r["cell"])) for r in refs.filter("s = 1").collect()} | {(None, 9000): None, (2, 9001): None}
+    for bound in (K.BROADCAST, 10):  # broadcast, and dealt to tasks
+        monkeypatch.setattr(K, "BROADCAST", bound)
+        got = {(r["s"], r["row"]): r["file"] for r in K.resolved(refs, uploads, "s", "row", "cell", "name", "at").collect()}
+        assert got == {k: v for k, v in want.items() if v or k[1] >= 9000}
