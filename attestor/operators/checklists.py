@@ -54,9 +54,10 @@ def resolved(references: DataFrame, uploads: DataFrame, session: str, position:
 
 
 def locked(items: DataFrame, session: str, control: str, position: str, file: str) -> DataFrame:
-    """(session, control, files): the files of all rows that mean a control, in order, each once."""
-    files = F.transform(F.array_sort(F.collect_list(F.struct(position, F.col(file).alias("f")))), lambda s: s["f"])
-    return items.groupBy(session, control).agg(F.array_distinct(files).alias("files"))
+    """(session, control, files): the files of all rows that mean a control, in order, each once. Only the first place of each
+    file is collected."""
+    first = items.groupBy(session, control, F.col(file).alias("f")).agg(F.min(position).alias("_p"))
+    return first.groupBy(session, control).agg(F.transform(F.array_sort(F.collect_list(F.struct("_p", "f"))), lambda s: s["f"]).alias("files"))
 
 
 def overlaps(items: DataFrame, controls: DataFrame, item: str, text: str, control: str, label: str, order: str) -> DataFrame:

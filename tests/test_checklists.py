@@ -59,3 +59,9 @@ def test_references_of_a_crowded_session(spark, monkeypatch):
         monkeypatch.setattr(K, "BROADCAST", bound)
         got = {(r["s"], r["row"]): r["file"] for r in K.resolved(refs, uploads, "s", "row", "cell", "name", "at").collect()}
         assert got == {k: v for k, v in want.items() if v or k[1] >= 9000}
+
+
+def test_files_of_many_rows_are_collected_once(spark):
+    rows = spark.range(5000).selectExpr("1 AS s", "id % 2 AS c", "id AS at", "'f' || id % 3 AS f")
+    plan = K.locked(rows, "s", "c", "at", "f")
+    assert {r["c"]: r["files"] for r in plan.collect()} == {0: ["f0", "f2", "f1"], 1: ["f1", "f0", "f2"]}
