@@ -62,14 +62,23 @@ def locked(items: DataFrame, session: str, control: str, position: str, file: st
 
 def overlaps(items: DataFrame, controls: DataFrame, item: str, text: str, control: str, label: str, order: str) -> DataFrame:
     """(item, control, overlap): the control whose label shares most words with an item, the first of equals. One shared word
-    is enough for an item of one or two words, others need two. Words meet by an equi-join; a word that all labels have
-    counts like any other, so labels should be few (they are a catalogue)."""
-    words = lambda c: F.array_distinct(F.filter(F.split(L.spelled(F.col(c)), " "), lambda w: F.length(w) > 2))
-    a = items.select(item, words(text).alias("w")).withColumn("least", F.when(F.size("w") <= 2, 1).otherwise(2))
-    b = controls.select(control, order, F.explode(words(label)).alias("x"))
-    hits = a.select(item, "least", F.explode("w").alias("x")).join(b, "x").groupBy(item, "least", control, order).agg(F.count("*").alias("overlap"))
-    best = hits.groupBy(item, "least").agg(F.max(F.struct("overlap", (-F.col(order)).alias("o"), control)).alias("b"))
-    return best.filter(F.col("b.overlap") >= F.col("least")).select(item, F.col(f"b.{control}").alias(control), F.col("b.overlap").alias("overlap"))
+    is enough for an item of one or two words, others need two.
+
+    Items of the same words have the same answer, and so have labels that share the same words with any item, of which the
+    first stands for all. So each set of words of items meets each such set of labels once, by an equi-join of words, however
+    many items and labels there are."""
+    words = lambda c: F.array_sort(F.array_distinct(F.filter(F.split(L.spelled(F.col(c)), " "), lambda w: F.length(w) > 2)))
+    a = items.select(item, F.array_join(words(text), " ").alias("_set"))
+    sets = a.filter("_set <> ''").select("_set").distinct()
+    each = sets.select("_set", F.explode(F.split("_set", " ")).alias("x"))
+    b = controls.select(control, F.col(order).alias("_at"), F.explode(words(label)).alias("x")).join(each.select("x").distinct(), "x")
+    b = b.groupBy(control, "_at").agg(F.array_join(F.array_sort(F.collect_list("x")), " ").alias("_label"))
+    b = b.groupBy("_label").agg(F.max(F.struct((-F.col("_at")).alias("o"), F.col(control).alias("c"))).alias("_c"))
+    hits = each.join(b.select("_label", F.explode(F.split("_label", " ")).alias("x")), "x").groupBy("_set", "_label").agg(F.count("*").alias("overlap"))
+    best = hits.join(b, "_label").groupBy("_set").agg(F.max(F.struct("overlap", "_c.o", "_c.c")).alias("b"))
+    least = F.when(F.size(F.split("_set", " ")) <= 2, 1).otherwise(2)
+    found = a.join(best.filter(F.col("b.overlap") >= least), "_set").groupBy(item).agg(F.max("b").alias("b"))
+    return found.select(item, F.col("b.c").alias(control), F.col("b.overlap").alias("overlap"))
 
 
 def standard_of(framework: Column) -> Column:

@@ -117,14 +117,14 @@ def _(t: Tables) -> DataFrame:
 
 
 _OVERLAP = f"""WITH a AS (SELECT p_partkey, list_distinct(list_filter(string_split({_SPELL("p_type || ' ' || p_brand || ' supplier'")}, ' '), lambda w: length(w) > 2)) AS w FROM part),
-b AS (SELECT n_nationkey AS s_suppkey, list_distinct(list_filter(string_split({_SPELL("n_name || ' brand economy ' || (n_nationkey % 9 + 10)")}, ' '), lambda w: length(w) > 2)) AS x FROM nation),
+b AS (SELECT s_suppkey, list_distinct(list_filter(string_split({_SPELL("s_name || ' brand economy ' || (s_suppkey % 9 + 10)")}, ' '), lambda w: length(w) > 2)) AS x FROM supplier),
 c AS (SELECT p_partkey, s_suppkey, len(w) AS k, len(list_intersect(w, x)) AS overlap FROM a, b)
 """
 
 
 def _controls(t: Tables) -> DataFrame:
-    """A catalogue: the nations, each with a label."""
-    return t("nation").select(_c("n_nationkey").alias("control"), F.concat("n_name", F.lit(" brand economy "), (_c("n_nationkey") % 9 + 10).cast("string")).alias("label"))
+    """A catalogue: all suppliers, each with a label."""
+    return t("supplier").select(_c("s_suppkey").alias("control"), F.concat("s_name", F.lit(" brand economy "), (_c("s_suppkey") % 9 + 10).cast("string")).alias("label"))
 
 
 @query("jon18_control_by_name", _OVERLAP + "SELECT p_partkey, s_suppkey AS control, overlap FROM c WHERE overlap >= CASE WHEN k <= 2 THEN 1 ELSE 2 END QUALIFY row_number() OVER (PARTITION BY p_partkey ORDER BY overlap DESC, s_suppkey) = 1")

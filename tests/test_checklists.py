@@ -65,3 +65,12 @@ def test_files_of_many_rows_are_collected_once(spark):
     rows = spark.range(5000).selectExpr("1 AS s", "id % 2 AS c", "id AS at", "'f' || id % 3 AS f")
     plan = K.locked(rows, "s", "c", "at", "f")
     assert {r["c"]: r["files"] for r in plan.collect()} == {0: ["f0", "f2", "f1"], 1: ["f1", "f0", "f2"]}
+
+
+def test_shared_words_of_repeated_sets(spark):
+    """Many items and labels of few sets of words: a pair of an item and a label is never made."""
+    items = spark.range(2000).selectExpr("id AS n", "element_at(array('brand economy steel', 'brand', 'copper tin zinc', '', 'economy economy brand'), CAST(id % 5 + 1 AS INT)) AS t")
+    items = items.unionByName(spark.createDataFrame([(0, "brand economy steel"), (None, "brand tin")], "n long, t string"))
+    controls = spark.range(1, 1001).selectExpr("id AS control", "'Supplier ' || id || CASE WHEN id > 500 THEN ' brand economy' ELSE ' brand' END AS label", "id AS at")
+    got = {r["n"]: (r["control"], r["overlap"]) for r in K.overlaps(items, controls, "n", "t", "control", "label", "at").collect()}
+    assert got == {None: (1, 1)} | {n: (1, 1) if n % 5 == 1 else (501, 2) for n in range(2000) if n % 5 in (0, 1, 4)}
