@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
@@ -27,7 +28,7 @@ from pyspark.sql.window import Window
 
 from ..session import bound_batches, ship
 
-BLOCK, SAMPLE, SALTS, STEPS = 2048, 20_000, 8, 12
+BLOCK, CHUNK, SAMPLE, SALTS, STEPS = 2048, 256, 20_000, 8, 12
 SCALES = ("cosine", "unclipped", "half")
 
 
@@ -59,6 +60,32 @@ def _best(found: DataFrame, query: str, id_col: str, k: int) -> DataFrame:
     return found.withColumn("place", place).filter(F.col("place") <= k)
 
 
+def _of_batch(ids: pa.Array, rows: np.ndarray, queries: np.ndarray, names: pa.Array, k: int, scale: str, columns: list[str]) -> Iterator[pa.RecordBatch]:
+    """The best k rows of a batch for each query, `CHUNK` queries at a time, so that a task holds few similarities at once. Of
+    equal rows the least ids are kept. What has no similarity matches nothing."""
+    order = pc.sort_indices(pa.table({"i": ids}), sort_keys=[("i", "ascending")], null_placement="at_end").to_numpy()
+    ids, rows = ids.take(pa.array(order)), rows[order]
+    for first in range(0, len(queries), CHUNK):
+        s = np.round(scores(rows, queries[first : first + CHUNK], scale), 12)
+        s[np.isnan(s)] = -np.inf
+        least = np.partition(s, max(0, len(s) - k), axis=0)[max(0, len(s) - k)]
+        more, same = s > least, (s == least) & (least > -np.inf)
+        row, of_query = np.nonzero(more | (same & (np.cumsum(same, axis=0) <= k - more.sum(0))))
+        yield pa.RecordBatch.from_arrays([names.take(pa.array(first + of_query)), ids.take(pa.array(row)), pa.array(s[row, of_query])], names=columns)
+
+
+def _blocks(asked: DataFrame) -> Iterator[list]:
+    """Rows of the driver's local iterator in blocks of `BLOCK`: one block at a time is on the driver."""
+    block = []
+    for r in asked.toLocalIterator():
+        block.append((r[0], r[1]))
+        if len(block) == BLOCK:
+            yield block
+            block = []
+    if block:
+        yield block
+
+
 def nearest(vectors: DataFrame, queries: DataFrame, k: int, id_col: str, vector_col: str, query: str = "query", scale: str = "cosine") -> DataFrame:
     """(query, id, similarity, place): the k nearest rows of each query (column `query`, vectors in `vector_col`)."""
     if scale not in SCALES:
@@ -69,7 +96,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, id_col: str, vector_
     kind, key = vectors.schema[id_col].dataType.simpleString(), queries.schema[query].dataType.simpleString()
     asked = queries.filter(F.col(query).isNotNull() & F.col(vector_col).isNotNull()).select(query, vector_col)
     schema = f"`{query}` {key}, `{id_col}` {kind}, similarity double"
-    out, block = None, []
+    out = None
 
     def searched(block: list) -> DataFrame:
         size = len(block[0][1])
@@ -78,22 +105,12 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, id_col: str, vector_
 
         def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                if not b.num_rows:
-                    continue
-                s = np.round(scores(_matrix(b.column(1)), q, scale), 12)
-                n = min(k, len(s))
-                least = np.partition(s, len(s) - n, axis=0)[len(s) - n]
-                row, of_query = np.nonzero(s >= least)  # ties are kept, and told apart by id below
-                names_ = pa.array(names, b.schema.field(0).type if key == kind else None).take(pa.array(of_query))
-                yield pa.RecordBatch.from_arrays([names_, b.column(0).take(pa.array(row)), pa.array(s[row, of_query])], names=[query, id_col, "similarity"])
+                if b.num_rows:
+                    yield from _of_batch(b.column(0), _matrix(b.column(1)), q, pa.array(names, b.schema.field(0).type if key == kind else None), k, scale, [query, id_col, "similarity"])
 
         return vectors.filter(_usable(F.col(vector_col), size)).select(id_col, vector_col).mapInArrow(of, schema)
 
-    for r in asked.toLocalIterator():  # one block of queries at a time is on the driver
-        block.append((r[0], r[1]))
-        if len(block) == BLOCK:
-            out, block = searched(block) if out is None else out.unionByName(searched(block)), []
-    if block:
+    for block in _blocks(asked):
         out = searched(block) if out is None else out.unionByName(searched(block))
     return _best(out if out is not None else spark.createDataFrame([], schema), query, id_col, k)
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -67,3 +68,21 @@ def test_nothing_to_find(spark):
     assert N.nearest(one.withColumnRenamed("query", "id"), one.filter("false"), 3, "id", "v").count() == 0
     with pytest.raises(ValueError, match="no such scale"):
         N.nearest(none, one, 3, "id", "v", scale="other")
+
+
+def test_ties_of_many_copies(spark):
+    """Of thousands of equal rows a task hands on as many as are asked for, and the least ids win; rows without a number match nothing."""
+    df = spark.range(5000, numPartitions=2).select("id", F.array(F.lit(1.0), F.when(F.col("id") == 3, float("nan")).otherwise(2.0)).alias("v"))
+    ids = np.arange(5000)[::-1]
+    many = list(N._of_batch(pa.array(ids), np.tile([1.0, 2.0], (5000, 1)), np.ones((600, 2)), pa.array(range(600)), 4, "half", ["q", "i", "s"]))
+    assert sum(b.num_rows for b in many) == 2400 and set(pa.Table.from_batches(many)["i"].to_pylist()) == {0, 1, 2, 3}
+    got = N.nearest(df, df.filter("id = 7").withColumnRenamed("id", "query"), 4, "id", "v").collect()
+    assert [r["id"] for r in sorted(got, key=lambda r: r["place"])] == [0, 1, 2, 4]
+
+
+def test_similarities_at_once_are_few(monkeypatch):
+    """However many queries a block has, only `CHUNK` of them are multiplied at once."""
+    seen, whole = [], N.scores
+    monkeypatch.setattr(N, "scores", lambda rows, queries, scale: seen.append(len(queries)) or whole(rows, queries, scale))
+    list(N._of_batch(pa.array(range(9)), np.eye(9), np.ones((N.BLOCK, 9)), pa.array(range(N.BLOCK)), 2, "cosine", ["q", "i", "s"]))
+    assert max(seen) <= N.CHUNK and sum(seen) == N.BLOCK
