@@ -4,8 +4,8 @@ Exact: queries are sent to the tasks in blocks of `BLOCK`; a task multiplies a b
 keeps the best k of each query, so k rows a query and task are shuffled, whatever the table's size.
 
 Index: centroids come from a bounded sample (`SAMPLE` rows, those with the least hashes), and every row is written to the folder of
-its nearest centroid. A search reads the cells nearest to each query only. Cells are met by an equi-join on cell and salt,
-so a cell that holds many rows is read by `SALTS` tasks. How many of the exact neighbours a search finds depends on `probes`; measure
+its nearest centroid. A search reads the cells nearest to each query only; the files of a large cell are dealt to tasks like any
+others, which multiply their rows with the queries of a block that read the cell. How many of the exact neighbours a search finds depends on `probes`; measure
 it with `recall`.
 
 Similarity has one of three scales, as stores of vectors have them: "cosine" (never below 0), "unclipped" (1 minus the cosine
@@ -28,7 +28,7 @@ from pyspark.sql.window import Window
 
 from ..session import bound_batches, ship
 
-BLOCK, CHUNK, SAMPLE, SALTS, STEPS = 2048, 256, 20_000, 8, 12
+BLOCK, CHUNK, SAMPLE, STEPS = 2048, 256, 20_000, 12
 SCALES = ("cosine", "unclipped", "half")
 
 
@@ -158,17 +158,34 @@ def indexed(vectors: DataFrame, path: str, id_col: str, vector_col: str, cells:
 
 
 def search(spark: SparkSession, path: str, middle: np.ndarray, queries: DataFrame, k: int, id_col: str, vector_col: str, probes: int, query: str = "query") -> DataFrame:
-    """(query, id, similarity, place) from the `probes` cells of an index that are nearest to each query, by clipped cosine."""
-    asked = queries.filter(F.col(query).isNotNull() & _usable(F.col(vector_col), middle.shape[1])).select(query, F.col(vector_col).alias("_q"))
-    asked = asked.withColumn("cell", F.explode(_cells(middle, probes)(F.col("_q"))) if len(middle) else F.lit(0))
-    asked = asked.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    rows = spark.read.parquet(path).withColumn("salt", F.pmod(F.xxhash64(vector_col), F.lit(SALTS)).cast("int"))
-    pairs = asked.join(rows, ["cell", "salt"])
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, v: s + v)
-    v, q = F.col(vector_col), F.col("_q")
-    size = F.sqrt(dot(v, v)) * F.sqrt(dot(q, q))
-    found = pairs.select(query, id_col, F.when(size == 0, 0.0).otherwise(F.greatest(F.lit(0.0), dot(v, q) / size)).alias("similarity"))
-    return _best(found, query, id_col, k)
+    """(query, id, similarity, place) from the `probes` cells of an index that are nearest to each query, by clipped cosine. A
+    task multiplies the rows of a cell with all queries of a block that read this cell."""
+    bound_batches(spark, 4096)
+    ship(spark)
+    rows = spark.read.parquet(path).select(id_col, vector_col, "cell")
+    kind, key = rows.schema[id_col].dataType.simpleString(), queries.schema[query].dataType.simpleString()
+    asked = queries.filter(F.col(query).isNotNull() & _usable(F.col(vector_col), middle.shape[1])).select(query, vector_col)
+    schema = f"`{query}` {key}, `{id_col}` {kind}, similarity double"
+    out = None
+
+    def searched(block: list) -> DataFrame:
+        names, q = [i for i, _ in block], np.array([v for _, v in block], np.float64)
+        cells = np.argsort(-(_units(q) @ middle.T), axis=1, kind="stable")[:, :probes] if len(middle) else np.zeros((len(q), 1), int)
+        reads = {c: np.flatnonzero((cells == c).any(1)) for c in np.unique(cells).tolist()}
+
+        def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                at, names_ = b.column(2).to_numpy(zero_copy_only=False), pa.array(names, b.schema.field(0).type if key == kind else None)
+                for c in np.unique(at).tolist():
+                    if c in reads:
+                        some, part = reads[c], b.filter(pa.array(at == c))
+                        yield from _of_batch(part.column(0), _matrix(part.column(1)), q[some], names_.take(pa.array(some)), k, "cosine", [query, id_col, "similarity"])
+
+        return rows.filter(F.col("cell").isin(list(reads))).mapInArrow(of, schema)
+
+    for block in _blocks(asked):
+        out = searched(block) if out is None else out.unionByName(searched(block))
+    return _best(out if out is not None else spark.createDataFrame([], schema), query, id_col, k)
 
 
 def recall(found: DataFrame, exact: DataFrame, query: str, id_col: str) -> float:

@@ -86,3 +86,11 @@ def test_similarities_at_once_are_few(monkeypatch):
     monkeypatch.setattr(N, "scores", lambda rows, queries, scale: seen.append(len(queries)) or whole(rows, queries, scale))
     list(N._of_batch(pa.array(range(9)), np.eye(9), np.ones((N.BLOCK, 9)), pa.array(range(N.BLOCK)), 2, "cosine", ["q", "i", "s"]))
     assert max(seen) <= N.CHUNK and sum(seen) == N.BLOCK
+
+
+def test_search_is_made_of_products(spark, tmp_path):
+    """A search makes no row for a pair of a query and a row of its cells: the plan has no join."""
+    e = table(spark, "/root/testdata/sf0.001", "embeddings")
+    middle = N.indexed(e, str(tmp_path / "i"), "vec_id", "embedding", 8)
+    found = N.search(spark, str(tmp_path / "i"), middle, e.limit(5).select(F.col("vec_id").alias("query"), "embedding"), 10, "vec_id", "embedding", 3)
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString() and found.count() == 50
