@@ -84,3 +84,22 @@ def test_kinds(spark):
     many = spark.range(scoping.MOST + 1).selectExpr("'K' AS kind", "CAST(id AS STRING) AS keyword")
     with pytest.raises(ValueError, match="more than"):
         scoping.kinds(docs, many)
+
+
+def test_blocks_come_many_at_once(spark):
+    """Blocks are read in batches, also those that lie across batches; a report of one block is put together whole."""
+    rows = [ROW | {"report": None if i % 9 == 0 else i // 6, "nth": i, "table": "ab"[i % 2], "severity": (None, "LOW", "HIGH")[i // 2 % 3], "title": ("Weak", "A title that is long enough", None)[i % 3]} for i in range(600)]
+    rows += [ROW | {"report": -5, "nth": i, "table": str(i % 7), "title": f"A title that is long enough {i % 40}"} for i in range(900)]
+    df = spark.createDataFrame([tuple((r | {"extra": "x"}).get(k.split(" ")[0].strip("`")) for k in SCHEMA.split(", ")) for r in rows], SCHEMA)
+    reports: dict[object, list[dict]] = {}
+    for r in rows:
+        reports.setdefault(r["report"], []).append(r)
+    expected = Counter((f[0], f[1], f[2], f[-1]) for rs in reports.values() for f in whole(rs))
+    kept = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = merging.merged(df)
+        assert Counter((r["report"], r["title"], r["severity"], tuple(r["rows"])) for r in got.collect()) == expected
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", kept)
+    assert "FlatMapGroups" not in got._jdf.queryExecution().executedPlan().toString()  # no call of Python for each block
