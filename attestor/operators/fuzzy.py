@@ -2,9 +2,10 @@
 
 Likeness is the ratio of matching blocks (2 * matched characters / both lengths), as `difflib` defines it. It is computed only for
 windows that can reach the least ratio. If M of the quote's a characters match M of the window's b in blocks, the quote keeps at
-least (a - 1) - 2 * (a - M) - (b - M) of its pairs of neighbouring characters: each unmatched character of the quote breaks two,
-and two blocks that touch in the quote are parted by an unmatched character of the window. So a window must have that many places
-with a pair of the quote, which running sums tell for all windows at once; no window that is like enough is lost.
+least (a - q + 1) - q * (a - M) - (q - 1) * (b - M) of its runs of q neighbouring characters: each unmatched character of the quote
+breaks q, and two blocks that touch in the quote are parted by an unmatched character of the window. So a window must have that
+many places with a run of the quote, which running sums tell for all windows at once, for pairs and for threes. Blocks are a
+common subsequence, so a window whose longest one is too short is left out too; no window that is like enough is lost.
 
 Quotes meet the chunks they were drawn from by an equi-join of the caller; each row is one quote and one chunk, so work is
 spread by rows. Null or empty quotes and chunks match nothing; a chunk with fewer words than the quote doesn't match. Very
@@ -16,6 +17,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from difflib import SequenceMatcher
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -41,21 +43,62 @@ def possible(quote: str, words: list[str], least: float = LEAST) -> list[int]:
     first = (ends - sizes)[: len(words) - n + 1]
     b = ends[n - 1 :] - first
     codes, own = _codes(" ".join(words)), _codes(quote)
-    known = np.isin(codes[:-1] << 32 | codes[1:], own[:-1] << 32 | own[1:])
-    sums = np.concatenate(([0], np.cumsum(known)))
-    places = sums[first + b - 1] - sums[first]
     matched = np.ceil(least * (a + b) / 2 - 1e-9)
-    enough = (matched <= np.minimum(a, b)) & (places >= (a - 1) - 2 * (a - matched) - (b - matched))
+    enough = matched <= np.minimum(a, b)
+    for q in (2, 3):
+        grams, known = _grams(codes, q), np.unique(_grams(own, q))
+        if not len(known):
+            continue
+        at = np.minimum(np.searchsorted(known, grams), len(known) - 1)
+        sums = np.concatenate(([0], np.cumsum(known[at] == grams)))
+        last = len(sums) - 1
+        places = sums[np.minimum(np.maximum(first + b - q + 1, first), last)] - sums[np.minimum(first, last)]
+        enough &= places >= (a - q + 1) - q * (a - matched) - (q - 1) * (b - matched)
     return np.flatnonzero(enough).tolist()
 
 
+def _grams(codes: np.ndarray, q: int) -> np.ndarray:
+    """Each run of q characters as one number; nothing if there are fewer. 21 bits hold any character."""
+    out = codes[: max(0, len(codes) - q + 1)]
+    for i in range(1, q):
+        out = out << 21 | codes[i : len(codes) - q + 1 + i]
+    return out
+
+
+def common(places: dict[str, int], size: int, window: str) -> int:
+    """Characters of the longest common subsequence, by bits; `places` has where each character of the quote stands."""
+    every = (1 << size) - 1
+    free = every
+    for c in window:
+        if hit := free & places.get(c, 0):
+            free = (free + hit | free - hit) & every
+    return size - free.bit_count()
+
+
 def like(quote: str | None, text: str | None, least: float = LEAST) -> bool:
-    """Whether a window of the text is like the quote; both are compared in lower case."""
+    """Whether a window of the text is like the quote; both are compared in lower case. Blocks are matched only in windows whose
+    common subsequence, which holds all blocks in their order, is long enough."""
     quote, words = (quote or "").lower(), (text or "").lower().split()
     n = len(quote.split())
+    if not n or len(words) < n:
+        return False
+    if f" {quote} " in f" {' '.join(words)} ":  # a window equals the quote
+        return True
+    places: dict[str, int] = {}
+    for i, c in enumerate(quote):
+        places[c] = places.get(c, 0) | 1 << i
+    ends = list(accumulate(len(w) + 1 for w in words))
+    most, seen = len(quote), 0  # no subsequence of a window that ends at `seen` is longer; each further character adds one at most
     for i in possible(quote, words, least):
-        match = SequenceMatcher(None, quote, " ".join(words[i : i + n]))
-        if match.quick_ratio() >= least and match.ratio() >= least:
+        window = " ".join(words[i : i + n])
+        needed = least * (len(quote) + len(window)) - 1e-6
+        most, seen = most + ends[i + n - 1] - seen, ends[i + n - 1]
+        if 2 * most < needed:
+            continue
+        most = common(places, len(quote), window)
+        if 2 * most < needed:
+            continue
+        if SequenceMatcher(None, quote, window).ratio() >= least:
             return True
     return False
 

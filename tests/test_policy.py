@@ -110,3 +110,26 @@ def test_lock(spark):
     df = spark.createDataFrame(rows, "f string, l array<string>, q string, c string")
     got = [tuple(r) for r in df.select(P.within_lock(df.f, df.l), P.quoted_within_lock(df.q, df.l, df.c)).collect()]
     assert got == [("a.pdf", "Long enough paragraph of evidence."), ("b.pdf", "tiny"), (None, "a real quote of it"), ("x.pdf", ""), ("x.pdf", None), ("", "none")]
+
+
+def test_blocks_are_matched_in_few_windows(monkeypatch):
+    """Random texts are judged as by all windows, but blocks are matched only where a common subsequence is long enough."""
+    rng = random.Random(5)
+    vocabulary = ["".join(rng.choice("aeinrstlo") for _ in range(rng.randrange(1, 9))) for _ in range(300)]
+    made = []
+    monkeypatch.setattr(fuzzy, "SequenceMatcher", lambda *a: made.append(a) or SequenceMatcher(*a))
+    found = 0
+    for k in range(60):
+        words = [rng.choice(vocabulary) for _ in range(90)]
+        quote = " ".join(words[40:60] if k % 2 else rng.choices(vocabulary, k=20))
+        for _ in range(rng.randrange(20)):
+            i = rng.randrange(len(quote))
+            quote = quote[:i] + rng.choice("xyz ") + quote[i + 1 :]
+        got = fuzzy.like(quote, " ".join(words))
+        assert got == (best(quote, " ".join(words)) >= 0.85)
+        found += got
+    assert found >= 20 and len(made) < 200
+
+
+def test_short_words_at_the_end():
+    assert fuzzy.like("a", "bc a") and fuzzy.like("xyz", "long text xyz") and not fuzzy.like("xyz", "a b") and not fuzzy.like("ab c", "d e f")
