@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from attestor.functions import rules as C
+from attestor.functions import text as X
 
 
 def made(column, call: str) -> int:
@@ -15,3 +16,10 @@ def made(column, call: str) -> int:
 def test_rules_make_their_text_once(spark):
     assert made(C.vapt_control(F.col("a"), F.col("b"), F.col("c")), "lower(") == 1
     assert made(C.owasp_code(F.col("a"), F.col("b"), F.col("c")), "lower(") == 2
+
+
+def test_contradictions_read_both_texts_once(spark):
+    assert made(X.contradictions(F.col("a"), F.col("b")), "map_from_entries(") == 2
+    rows = [("Logging: on", "Logging: off"), ("Logging: on", "Logging off"), (None, "Logging: off"), ("", ""), ("Logging = on", "Logging: yes")]
+    got = spark.createDataFrame(rows, "a string, b string").select(X.contradictions(F.col("a"), F.col("b"))).collect()
+    assert [r[0] for r in got] == [["logging"], [], [], [], []]
