@@ -23,3 +23,8 @@ def test_contradictions_read_both_texts_once(spark):
     rows = [("Logging: on", "Logging: off"), ("Logging: on", "Logging off"), (None, "Logging: off"), ("", ""), ("Logging = on", "Logging: yes")]
     got = spark.createDataFrame(rows, "a string, b string").select(X.contradictions(F.col("a"), F.col("b"))).collect()
     assert [r[0] for r in got] == [["logging"], [], [], [], []]
+
+
+def test_impact_makes_its_text_once(spark):
+    texts = [F.col(c) for c in "abcdefg"]
+    assert made(C.impact(*texts), "lower(") == 2
