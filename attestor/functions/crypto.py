@@ -9,10 +9,13 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import text as X
+
 
 @dataclass(frozen=True)
 class Term:
@@ -136,17 +139,30 @@ _SPAN = "array<struct<rule:int,start:int,end:int,hit:string>>"
 
 
 def is_comment(line: Column) -> Column:
-    low = F.lower(F.ltrim(F.translate(line, "\t", " ")))
-    out = low.startswith(COMMENTS[0])
-    for c in COMMENTS[1:]:
-        out = out | low.startswith(c)
-    return out
+    """One anchored pattern: a filter would make a lower-cased line again for each of the marks."""
+    marks = "|".join(re.escape(c[:-1]) + "[ \t]" if c.endswith(" ") else re.escape(c) for c in COMMENTS)
+    return line.rlike(rf"(?i)\A[ \t]*(?:{marks})")
+
+
+#: Stands for a match while a line is cut.
+_MARK = "\0"
+
+
+def anchors(t: Term) -> list[str]:
+    """Lower-case texts one of which stands in every match of a term: the longest plain run of each of its names."""
+    return sorted({max(re.split("[ #]", n), key=len).lower() for n in t.names})
+
+
+def _any_in(text: Column, words: Sequence[str]) -> Column:
+    return reduce(lambda a, b: a | b, [text.contains(w) for w in words])
 
 
 def _places(line: Column, rule: int, pattern: str) -> Column:
-    """Where a pattern matches: what lies between the matches gives their places."""
+    """Where a pattern matches: what lies between the matches gives their places. A pattern is compiled once when it replaces,
+    but for each line when it splits, so matches are replaced by a mark, at which the line is cut."""
     p = f"(?i){pattern}"
-    both = F.arrays_zip(F.split(line, p, -1).alias("gap"), F.regexp_extract_all(line, F.lit(p), F.lit(0)).alias("hit"))
+    gaps = F.when(line.contains(_MARK), F.split(line, p, -1)).otherwise(F.split(F.regexp_replace(line, p, _MARK), _MARK, -1))
+    both = F.arrays_zip(gaps.alias("gap"), F.regexp_extract_all(line, F.lit(p), F.lit(0)).alias("hit"))
     start = F.struct(F.lit(0).alias("at"), F.array().cast(_SPAN).alias("out"))
 
     def add(state: Column, x: Column) -> Column:
@@ -158,11 +174,8 @@ def _places(line: Column, rule: int, pattern: str) -> Column:
     return F.when(line.rlike(p), F.aggregate(both, start, add, lambda s: s["out"])).otherwise(F.array().cast(_SPAN))
 
 
-def _set(line: Column, rule: int, s: Setting) -> Column:
-    """The whole line, if it is the setting."""
-    at = F.regexp_instr(line, F.lit("[=:]"))
-    key = F.lower(F.trim(F.translate(F.left(line, at - 1), "\t", " ")))
-    value = F.upper(F.ltrim(F.translate(F.substr(line, at + 1), "\"'\t", "   ")))
+def _set(line: Column, rule: int, s: Setting, key: Column, value: Column) -> Column:
+    """The whole line, if its key and value are the setting."""
     fits = F.trim(value) == "" if s.empty else F.trim(value) != ""
     if s.values:
         fits = value.startswith(s.values[0])
@@ -170,20 +183,34 @@ def _set(line: Column, rule: int, s: Setting) -> Column:
             fits = fits | value.startswith(v)
     first = F.length(line) - F.length(F.ltrim(F.translate(line, "\t", " ")))
     span = F.struct(F.lit(rule).alias("rule"), first.cast("int").alias("start"), F.length(line).alias("end"), line.alias("hit"))
-    return F.when((at > 0) & key.isin(*s.keys) & fits, F.array(span)).otherwise(F.array().cast(_SPAN))
+    return F.when(key.isin(*s.keys) & fits, F.array(span)).otherwise(F.array().cast(_SPAN))
+
 
+def _settings(line: Column, nth: int, settings: Sequence[Setting]) -> Column:
+    """What settings find: key and value are made once for all, and a value only where the key is one of theirs."""
+    none, keys = F.array().cast(_SPAN), sorted({k for s in settings for k in s.keys})
 
-def any_rule(line: Column, terms: Sequence[Term], settings: Sequence[Setting]) -> Column:
-    """Whether a line may hold anything; one test for all rules."""
-    words = [t.pattern for t in terms] + [f"^[ \t]*(?:{'|'.join(map(re.escape, s.keys))})[ \t]*[=:]" for s in settings]
-    return line.rlike("(?i)" + "|".join(f"(?:{w})" for w in words))
+    def of(at: Column) -> Column:
+        key = F.lower(F.trim(F.translate(F.left(line, at - 1), "\t", " ")))
+        value = F.upper(F.ltrim(F.translate(F.substr(line, at + 1), "\"'\t", "   ")))
+        found = lambda k: X.let(value, lambda v: F.concat(*[_set(line, nth + i, s, k, v) for i, s in enumerate(settings)]))
+        return X.let(key, lambda k: F.when(k.isin(*keys), found(k)).otherwise(none))
+
+    # the first of the two signs
+    at = lambda: F.when(line.contains("=") | line.contains(":"), F.regexp_instr(line, F.lit("[=:]"))).otherwise(0)
+    return X.let(at(), lambda n: F.when(n > 0, of(n)).otherwise(none))
 
 
 def accepted(line: Column, terms: Sequence[Term], settings: Sequence[Setting]) -> Column:
-    """The places of a line that rules take, in the order of the rules; a place that overlaps an earlier one is dropped."""
-    found = [_places(line, i, t.pattern) for i, t in enumerate(terms)] + [_set(line, len(terms) + i, s) for i, s in enumerate(settings)]
+    """The places of a line that rules take, in the order of the rules; a place that overlaps an earlier one is dropped. A
+    term's pattern runs only where the lower-cased line holds one of its anchors: most rules find nothing in most lines."""
+    none = F.array().cast(_SPAN)
+
+    def found(low: Column) -> list[Column]:
+        return [F.when(_any_in(low, anchors(t)), _places(line, i, t.pattern)).otherwise(none) for i, t in enumerate(terms)] + ([_settings(line, len(terms), settings)] if settings else [])
 
     def take(taken: Column, x: Column) -> Column:
         return F.when(F.exists(taken, lambda y: (x["start"] < y["end"]) & (x["end"] > y["start"])), taken).otherwise(F.concat(taken, F.array(x)))
 
-    return F.aggregate(F.concat(*found), F.array().cast(_SPAN), take)
+    places = X.let(F.lower(line), lambda low: F.concat(none, *found(low)))
+    return F.aggregate(places, none, take)

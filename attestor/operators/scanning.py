@@ -28,7 +28,7 @@ def lines(docs: DataFrame, file: str = "file", text: str = "content") -> DataFra
 
 def by_rules(rows: DataFrame, terms: Sequence[C.Term] = C.TERMS, settings: Sequence[C.Setting] = C.SETTINGS) -> DataFrame:
     """(file, at, start, FINDING, evidence): what the rules find in `lines`."""
-    found = rows.filter(C.any_rule(F.col("line"), terms, settings)).select("file", "at", "line", F.explode(C.accepted(F.col("line"), terms, settings)).alias("x"))
+    found = rows.select("file", "at", "line", F.explode(C.accepted(F.col("line"), terms, settings)).alias("x"))
     table = [(i, r.rule, r.shown, r.status, r.category, *(r.severity if isinstance(r.severity, tuple) else (None, r.severity, r.severity))) for i, r in enumerate((*terms, *settings))]
     rules = rows.sparkSession.createDataFrame(table, "nth int, rule string, shown string, status string, category string, limit int, low string, high string")
     joined = found.join(F.broadcast(rules), F.col("x.rule") == F.col("nth"))  # as many rows as rules
@@ -40,11 +40,13 @@ def by_rules(rows: DataFrame, terms: Sequence[C.Term] = C.TERMS, settings: Seque
 
 def codes_in(line: Column) -> Column:
     """array of (kind, code): dotted numbers, hexadecimal suite codes and words that a line may be looked up by."""
-    pairs = F.regexp_extract_all(line, F.lit(r"(?i)0x[0-9a-f]{2}[,\s]+0x[0-9a-f]{2}(?![0-9a-f])|0x[0-9a-f]{4}"), F.lit(0))
+    none = F.array().cast("array<string>")
+    # most lines hold neither, and need no pattern for it
+    pairs = F.when(line.contains("0x") | line.contains("0X"), F.regexp_extract_all(line, F.lit(r"(?i)0x[0-9a-f]{2}[,\s]+0x[0-9a-f]{2}(?![0-9a-f])|0x[0-9a-f]{4}"), F.lit(0))).otherwise(none)
     coded = lambda kind, values: F.transform(values, lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("code")))
     suites = F.transform(pairs, lambda p: F.upper(F.regexp_replace(F.lower(p), r"0x|[,\s]", "")))
-    oids = F.regexp_extract_all(line, F.lit(r"(?<![0-9.])[0-9]+(?:\.[0-9]+){3,}(?![0-9])"), F.lit(0))
-    words = F.filter(F.split(F.lower(line), "[^a-z0-9_-]+"), lambda w: F.length(w) > 2)
+    oids = F.when(line.contains("."), F.regexp_extract_all(line, F.lit(r"(?<![0-9.])[0-9]+(?:\.[0-9]+){3,}(?![0-9])"), F.lit(0))).otherwise(none)
+    words = F.regexp_extract_all(F.lower(line), F.lit("[a-z0-9_-]{3,}"), F.lit(0))
     return F.array_distinct(F.concat(coded("oid", oids), coded("suite", suites), coded("word", words)))
 
 

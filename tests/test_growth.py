@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from attestor.functions import crypto as C2
 from attestor.functions import rules as C
 from attestor.functions import text as X
 from attestor.operators import chunking as K
@@ -51,3 +52,15 @@ def test_wanted_cells_are_picked_where_lines_are_cut(spark):
     ]
     plan = tools.pentest_csv(docs)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("array_position(") == 1
+
+
+def test_rules_run_where_their_anchors_stand(spark):
+    assert made(C2.is_comment(F.col("a")), "lower(") + made(C2.is_comment(F.col("a")), "translate(") == 0
+    # a split would compile its pattern for each line; settings make one key for all of them
+    assert made(C2.accepted(F.col("a"), C2.TERMS, C2.SETTINGS), "regexp_instr(") == 1
+    assert all(any(a in n.lower() for a in C2.anchors(t)) for t in C2.TERMS for n in t.names)
+    lines = ["  # x", "\t// x", "REM\tx", "rem x", "remx", " <!-- x", "x # y", "", "--", "! x"]
+    got = spark.createDataFrame([(x,) for x in lines], "a string").select(C2.is_comment(F.col("a"))).collect()
+    assert [r[0] for r in got] == [True, True, True, True, False, True, False, False, True, True]
+    marked = spark.createDataFrame([("RSA\0 rsa-2048, md5",), ("RSA rsa-2048, md5",)], "a string").select(C2.accepted(F.col("a"), C2.TERMS, C2.SETTINGS).alias("x")).collect()
+    assert [[(s["start"], s["hit"]) for s in r["x"]] for r in marked] == [[(5, "rsa-2048"), (0, "RSA"), (15, "md5")], [(4, "rsa-2048"), (0, "RSA"), (14, "md5")]]
