@@ -1,6 +1,6 @@
 """Documents of several formats to parts and chunks of text.
 
-`parts` opens containers in the tasks that hold their files, one file at a time: members of archives (two levels), sheets of
+`parts` opens containers in the tasks that hold their files, one file at a time, and hands on all others as they are: members of archives (two levels), sheets of
 workbooks as tables, paragraphs of word processor files. Everything else is bytes, whose text is taken by the session. Files
 that can't be opened come through whole. Null and empty files have no chunks; other columns than those named are not read.
 
@@ -14,14 +14,16 @@ import posixpath
 import re
 import zipfile
 from collections.abc import Iterator, Sequence
+from functools import reduce
 from xml.etree import ElementTree
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
-from pyspark.sql.window import Window as W
 
 from ..functions import labels as L
 from ..functions import text as X
@@ -32,6 +34,9 @@ DEPTH, MOST_BYTES, MOST_RATIO = 2, 500_000_000, 100
 NO_TEXT = (".exe", ".dll", ".so", ".bin", ".jar", ".class", ".pyc", ".o", ".dylib", ".msi")
 DANGEROUS = (".exe", ".ps1", ".bat", ".cmd", ".js", ".vbs", ".scr", ".msi", ".dll", ".com", ".jar", ".sh")
 SHEET_ROWS, SHEET_OVERLAP, TABLE_ROWS, TABLE_OVERLAP, TARGET, OVERLAP, CAP, MOST_TEXT = 5, 1, 15, 3, 1000, 200, 2000, 50_000_000
+#: Kinds of files by extension, others are text; extensions of files that are opened; columns of parts.
+KINDS = {".csv": "table", ".html": "html", ".htm": "html", ".xml": "xml"}
+HOLDING, PART = (".zip", ".xlsx", ".docx", ".doc", ".ppt"), ["file", "part", "kind", "data"]
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 _S = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 
@@ -134,22 +139,29 @@ def opened(name: str, data: bytes, depth: int = 0) -> Iterator[tuple[str, str, b
             return
     except (zipfile.BadZipFile, KeyError, ElementTree.ParseError, ValueError, IndexError, RuntimeError, NotImplementedError):
         pass  # what can't be opened comes whole
-    ext = posixpath.splitext(low)[1]
-    yield name, {".csv": "table", ".html": "html", ".htm": "html", ".xml": "xml", ".docx": "text"}.get(ext, "text"), data
+    yield name, KINDS.get(posixpath.splitext(low)[1], "text"), data
 
 
 def parts(docs: DataFrame) -> DataFrame:
-    """(file, part, kind, data) for what each file of (file, data) holds."""
+    """(file, part, kind, data) for what each file of (file, data) holds. Only containers are taken out of their batch; all
+    other files go through as they come."""
 
-    def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for f, d in zip(b["file"], b["data"], strict=True):
-                for p, k, x in opened(f or "", d or b""):
-                    yield pd.DataFrame({"file": [f], "part": [p], "kind": [k], "data": [x]})
+            names, data = b.column(0), b.column(1)
+            said = names.fill_null("")
+            low = pc.utf8_lower(said)
+            whole = pc.invert(reduce(pc.or_, [pc.ends_with(low, e) for e in HOLDING]))
+            kinds = pa.array([KINDS.get(posixpath.splitext(n)[1], "text") for n in low.to_pylist()], pa.string())
+            yield pa.RecordBatch.from_arrays([names, said, kinds, data.fill_null(b"")], names=PART).filter(whole)
+            for i in np.flatnonzero(~np.asarray(whole)).tolist():
+                f = said[i].as_py()
+                for p, k, x in opened(f, data[i].as_py() or b""):
+                    yield pa.RecordBatch.from_arrays([pa.array([f]), pa.array([p]), pa.array([k]), pa.array([x], pa.binary())], names=PART)
 
     ship(docs.sparkSession)
     bound_batches(docs.sparkSession, 16)  # a batch of whole files must fit a worker
-    return docs.select("file", "data").mapInPandas(of, "file string, part string, kind string, data binary")
+    return docs.select("file", "data").mapInArrow(of, "file string, part string, kind string, data binary")
 
 
 def text_of(kind: Column, data: Column) -> Column:
@@ -207,13 +219,10 @@ def by_paragraphs(paragraphs: list[str], target: int = TARGET, overlap: int = OV
 
 
 @F.pandas_udf(ArrayType(StringType()))
-def char_chunks(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: by_chars(t or ""))
-
-
-@F.pandas_udf(ArrayType(StringType()))
-def paragraph_chunks(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: by_paragraphs([p for p in (t or "").split("\n\n") if p.strip()]))
+def prose_chunks(kinds: pd.Series, texts: pd.Series) -> pd.Series:
+    """Of paragraphs, whole ones; of other texts, stretches of characters."""
+    cut = lambda k, t: by_paragraphs([p for p in t.split("\n\n") if p.strip()]) if k == "paragraphs" else by_chars(t)
+    return pd.Series([cut(k, t or "") for k, t in zip(kinds, texts, strict=True)], dtype=object)
 
 
 _LINE = r'(?:"[^"]*+"|[^"\r\n])++'
@@ -225,41 +234,47 @@ def _cells(line: Column) -> Column:
     return F.transform(raw, lambda v: F.trim(F.replace(F.regexp_replace(v, '^"|"$', ""), F.lit('""'), F.lit('"'))))
 
 
-def row_chunks(tables: DataFrame, keys: Sequence[str], text: str, sheet: bool) -> DataFrame:
-    """(keys..., chunk_index, content): rows of a table in windows that overlap. Those of sheets are column=value pairs and
-    capped, those of other tables go below their header. Lines are rows of a frame, so each is read once, and a row goes to
-    the windows it lies in."""
+def windows_of(text: Column, sheet: bool) -> Column:
+    """array of contents: the rows of a table in windows that overlap. Those of sheets are column=value pairs and capped,
+    those of other tables go below their header. A table is one value, so its lines are cut where it stands, once for all
+    windows, and none of them is shuffled."""
     n, shared = (SHEET_ROWS, SHEET_OVERLAP) if sheet else (TABLE_ROWS, TABLE_OVERLAP)
     step = n - shared
-    lines = F.filter(F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(_LINE), F.lit(0)), lambda x: F.trim(x) != "")
-    rows = tables.select(*keys, F.regexp_extract(F.coalesce(F.col(text), F.lit("")), rf"^\s*({_LINE})", 1).alias("_head"), F.posexplode(lines).alias("_at", "_line")).filter("_at > 0")
-    rows = rows.withColumn("_h", _cells(F.col("_head"))).withColumn("_v", _cells(F.col("_line")))
-    pairs = F.zip_with("_h", "_v", lambda h, v: F.when(F.coalesce(v, F.lit("")) != "", F.concat_ws("=", h, v)))
-    shown = F.array_join(F.filter(pairs, lambda p: p.isNotNull()), " | ") if sheet else F.array_join("_v", "  ")
-    rows = rows.select(*keys, F.array_join("_h", "  ").alias("_head"), "_at", shown.alias("_x"))
-    rows = rows.filter("_x <> ''") if sheet else rows
-    i = F.row_number().over(W.partitionBy(*keys).orderBy("_at")) - 1
-    rows = rows.withColumn("_i", i)
-    first = F.greatest(F.lit(0), F.ceil((F.col("_i") - n + 1) / step)).cast("int")
-    rows = rows.withColumn("chunk_index", F.explode(F.sequence(first, F.floor(F.col("_i") / step).cast("int"))))
-    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_i", "_x"))), lambda s: s["_x"]), "\n")
-    out = rows.groupBy(*keys, "chunk_index", "_head").agg(body.alias("_body"))
-    content = F.left("_body", F.lit(CAP)) if sheet else F.concat(F.lit("Headers: "), "_head", F.lit("\n"), "_body")
-    return out.select(*keys, "chunk_index", content.alias("content"))
+
+    def shown(line: Column, head: Column) -> Column:
+        if not sheet:
+            return F.array_join(_cells(line), "  ")
+        pairs = F.zip_with(head, _cells(line), lambda h, v: F.when(F.coalesce(v, F.lit("")) != "", F.concat_ws("=", h, v)))
+        return F.array_join(F.filter(pairs, lambda p: p.isNotNull()), " | ")
+
+    def of(t: Column, head: Column) -> Column:
+        lines = F.filter(F.regexp_extract_all(t, F.lit(_LINE), F.lit(0)), lambda x: F.trim(x) != "")
+        # a line and its end take two of a text's 2^31 bytes at least, so that is all of them
+        rows = F.transform(F.slice(lines, F.lit(2), F.lit(2**30)), lambda x: shown(x, head))
+        rows = F.filter(rows, lambda x: x != "") if sheet else rows
+        return X.let(rows, lambda xs: F.when(F.size(xs) > 0, contents(xs, head)).otherwise(F.array().cast("array<string>")))
+
+    def contents(xs: Column, head: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.floor((F.size(xs) - 1) / step).cast("int"))
+        body = lambda c: F.array_join(F.slice(xs, c * step + 1, F.lit(n)), "\n")
+        return F.transform(starts, lambda c: F.left(body(c), F.lit(CAP)) if sheet else F.concat(F.lit("Headers: "), F.array_join(head, "  "), F.lit("\n"), body(c)))
+
+    return X.let(F.coalesce(text, F.lit("")), lambda t: X.let(_cells(F.regexp_extract(t, rf"^\s*({_LINE})", 1)), lambda head: of(t, head)))
+
+
+def row_chunks(tables: DataFrame, keys: Sequence[str], text: str, sheet: bool) -> DataFrame:
+    """(keys..., chunk_index, content): the windows of each table."""
+    return tables.select(*keys, F.posexplode(windows_of(F.col(text), sheet)).alias("chunk_index", "content"))
 
 
 def chunks(rows: DataFrame) -> DataFrame:
-    """(file, part, kind, chunk_index, source_type, content) of `parts`."""
+    """(file, part, kind, chunk_index, source_type, content) of `parts`, which are read once for all kinds."""
     ship(rows.sparkSession)
     text = rows.select("file", "part", "kind", text_of(F.col("kind"), F.col("data")).alias("text"))
-    keys = ["file", "part", "kind"]
-    sheets = row_chunks(text.filter("kind = 'sheet'"), keys, "text", True)
-    tables = row_chunks(text.filter("kind = 'table'"), keys, "text", False)
-    prose = text.filter("kind = 'paragraphs'").withColumn("c", paragraph_chunks("text"))
-    other = text.filter("kind NOT IN ('sheet', 'table', 'paragraphs')").withColumn("c", char_chunks("text"))
-    cut = prose.unionByName(other).select(*keys, F.posexplode("c").alias("chunk_index", "content"))
-    both = sheets.unionByName(tables).unionByName(cut)
-    return both.withColumn("source_type", F.when(F.col("kind") == "sheet", "xlsx").otherwise(L.source_type(F.col("part"))))
+    kind, prose = F.col("kind"), ~F.col("kind").isin("sheet", "table")
+    c = F.when(kind == "sheet", windows_of(F.col("text"), True)).when(kind == "table", windows_of(F.col("text"), False))
+    cut = text.withColumn("p", prose_chunks("kind", F.when(prose, F.col("text")))).select("file", "part", "kind", F.posexplode(c.otherwise(F.col("p"))).alias("chunk_index", "content"))
+    return cut.withColumn("source_type", F.when(kind == "sheet", "xlsx").otherwise(L.source_type(F.col("part"))))
 
 
 # Guardrail

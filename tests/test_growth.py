@@ -8,7 +8,7 @@ from attestor.functions import crypto as C2
 from attestor.functions import rules as C
 from attestor.functions import text as X
 from attestor.operators import chunking as K
-from attestor.sources import scans, tools
+from attestor.sources import documents, scans, tools
 
 
 def made(column, call: str) -> int:
@@ -64,3 +64,24 @@ def test_rules_run_where_their_anchors_stand(spark):
     assert [r[0] for r in got] == [True, True, True, True, False, True, False, False, True, True]
     marked = spark.createDataFrame([("RSA\0 rsa-2048, md5",), ("RSA rsa-2048, md5",)], "a string").select(C2.accepted(F.col("a"), C2.TERMS, C2.SETTINGS).alias("x")).collect()
     assert [[(s["start"], s["hit"]) for s in r["x"]] for r in marked] == [[(5, "rsa-2048"), (0, "RSA"), (15, "md5")], [(4, "rsa-2048"), (0, "RSA"), (14, "md5")]]
+
+
+def test_files_are_read_once_for_all_kinds(spark):
+    rows = [("a.csv", b'k,v\n1,"x, y"\n\n2,z\n'), ("a.csv", b'k,v\n1,"x, y"\n\n2,z\n'), ("b.csv", b"k,v"), ("c.csv", None), ("d.txt", b"one p\ntwo"), (None, b"x"), ("e.zip", b"no zip")]
+    out = documents.chunks(documents.parts(spark.createDataFrame([(f, bytearray(d) if d is not None else None) for f, d in rows], "file string, data binary")))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") + plan.count("MapInPandas") == 1 and "Exchange" not in plan
+    table = "Headers: k  v\n1  x, y\n2  z"
+    got = sorted((r["file"] or "", r["part"], r["chunk_index"], r["content"]) for r in out.collect())
+    assert got == [("", "", 0, "x"), ("a.csv", "a.csv", 0, table), ("a.csv", "a.csv", 0, table), ("d.txt", "d.txt", 0, "one p\ntwo"), ("e.zip", "e.zip", 0, "no zip")]
+    # zeros of bytes are looked for, not those of digits: "p" and the end of a line are 70 and 0a
+    assert made(scans.decoded(F.col("a")), "contains(") == 2 and "contains(hex(" not in str(scans.decoded(F.col("a"))).lower()
+
+
+def test_windows_of_rows_against_slices(spark):
+    tables = {n: [f"r{i}" for i in range(n)] for n in (0, 1, 3, 4, 5, 6, 12, 13, 15, 16, 27, 28, 300)}
+    rows = [(n, "h\n" + "\n".join(xs)) for n, xs in tables.items()]
+    df = spark.createDataFrame(rows, "n int, text string")
+    for sheet, size, step, head, sign in ((False, 15, 12, "Headers: h\n", ""), (True, 5, 4, "", "h=")):
+        want = {(n, c): head + "\n".join(sign + x for x in xs[c * step : c * step + size]) for n, xs in tables.items() for c in range((len(xs) + step - 1) // step)}
+        assert {(r["n"], r["chunk_index"]): r["content"] for r in documents.row_chunks(df, ["n"], "text", sheet).collect()} == want
