@@ -2,18 +2,24 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import re
+from collections import Counter
+from collections.abc import Iterator, Mapping, Sequence
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 from pyspark.sql.window import Window as W
 
 from ..functions import text as X
-from ..session import written
+from ..session import bound_batches, ship, written
 
 #: Fixed values of the ranking function: saturation, length normalisation, and the floor of negative weights.
 K1, B, EPSILON = 1.5, 0.75, 0.25
+#: A word as `X.tokens` has it, of a text in lower case; words that a task counts before it hands them on.
+TOKEN, HELD = re.compile("[a-z0-9_-]{3,}"), 100_000
 #: Words of the shingles by which quotes find their documents.
 SHINGLE = 6
 #: First words of runs that are told by a set of words; excerpts that are broadcast; excerpts of one or two words that meet every document.
@@ -26,16 +32,17 @@ def bm25(docs: DataFrame, terms: Mapping[str, float] | Sequence[Mapping[str, flo
 
     A word that most rows have would weigh less than nothing; it gets EPSILON of the mean weight of all words instead. Rows
     are cut down to their length and the counts of the query's words, which is written and read twice; the vocabulary is a
-    count that combines before the shuffle."""
+    count that combines before the shuffle. Words are those of `X.tokens`, taken by one pattern a batch."""
     queries = [terms] if isinstance(terms, Mapping) else list(terms)
     names = list(dict.fromkeys(t for q in queries for t in q))
-    words = docs.select(F.col(id_col), *carry, X.tokens(F.col(text_col)).alias("_w"))
-    # the query's words among a row's are few, and only those are counted by word
-    rows = words.select(id_col, *carry, F.size("_w").alias("_dl"), F.filter("_w", lambda w: w.isin(*names)).alias("_w"))
-    rows = rows.select(id_col, *carry, "_dl", *[_count(t).alias(f"_tf{i}") for i, t in enumerate(names)])
+    ship(docs.sparkSession)
+    bound_batches(docs.sparkSession)
+    low = F.lower(F.coalesce(F.col(text_col), F.lit("")))
+    rows = docs.select(id_col, *carry, _counted(names)(low).alias("_n"))
+    rows = rows.select(id_col, *carry, F.col("_n")[0].alias("_dl"), *[F.col("_n")[i + 1].alias(f"_tf{i}") for i in range(len(names))])
     rows = written(rows, "term-counts")
     stats = rows.agg(F.count("*").alias("_n"), F.avg("_dl").alias("_avg"), *[F.count_if(F.col(f"_tf{i}") > 0).alias(f"_df{i}") for i in range(len(names))])
-    seen = words.select(F.explode(F.array_distinct("_w")).alias("t")).groupBy("t").agg(F.count("*").alias("df"))
+    seen = docs.select(low.alias("t")).mapInPandas(_vocabulary, "t string, df long").groupBy("t").agg(F.sum("df").alias("df"))
     weight = lambda n, df: F.log((n - df + 0.5) / (df + 0.5))
     # one row of statistics and one of the mean
     mean = seen.crossJoin(F.broadcast(stats.select("_n"))).agg(F.avg(weight(F.col("_n"), F.col("df"))).alias("_mean"))
@@ -55,8 +62,27 @@ def bm25(docs: DataFrame, terms: Mapping[str, float] | Sequence[Mapping[str, flo
     return out if keep_all else out.filter("score > 0")
 
 
-def _count(term: str) -> Column:
-    return F.size(F.filter("_w", lambda w: w == F.lit(term)))
+def _counted(names: Sequence[str]):
+    """array of the number of a text's words and how often it has each of `names`."""
+
+    @F.pandas_udf(ArrayType(IntegerType()))
+    def counted(texts: pd.Series) -> pd.Series:
+        found = map(Counter, map(TOKEN.findall, texts))
+        return pd.Series([[c.total(), *[c[t] for t in names]] for c in found], index=texts.index, dtype=object)
+
+    return counted
+
+
+def _vocabulary(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(t, df): words with the number of texts that have them, added up over the texts of a task as long as they are few."""
+    seen: Counter[str] = Counter()
+    for b in batches:
+        for text in b["t"]:
+            seen.update(set(TOKEN.findall(text)))
+            if len(seen) >= HELD:
+                yield pd.DataFrame({"t": list(seen.keys()), "df": list(seen.values())})
+                seen.clear()
+    yield pd.DataFrame({"t": pd.Series(list(seen.keys()), dtype=object), "df": pd.Series(list(seen.values()), dtype="int64")})
 
 
 def nearest(vectors: DataFrame, query: Sequence[float], id_col: str, vector_col: str, k: int) -> DataFrame:

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
+import pandas as pd
 from pyspark.sql import functions as F
 
 from attestor.functions import crypto as C2
 from attestor.functions import rules as C
 from attestor.functions import text as X
 from attestor.operators import chunking as K
+from attestor.operators import retrieval as V
 from attestor.sources import documents, scans, tools
 
 
@@ -85,3 +89,25 @@ def test_windows_of_rows_against_slices(spark):
     for sheet, size, step, head, sign in ((False, 15, 12, "Headers: h\n", ""), (True, 5, 4, "", "h=")):
         want = {(n, c): head + "\n".join(sign + x for x in xs[c * step : c * step + size]) for n, xs in tables.items() for c in range((len(xs) + step - 1) // step)}
         assert {(r["n"], r["chunk_index"]): r["content"] for r in documents.row_chunks(df, ["n"], "text", sheet).collect()} == want
+
+
+def test_words_are_counted_as_tokens_are(spark):
+    texts = ["The the THE that-thing that_thing ab abc a-b", None, "", "İstanbul theéthe straße the", "the\nthat\tthing;policy,policy", "x " * 50 + "the", "漢the字", "K12 Kelvin"]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, text string")
+    names = ["the", "that", "policy"]
+    held = docs.select("id", X.tokens(F.col("text")).alias("w")).collect()
+    low = F.lower(F.coalesce("text", F.lit("")))
+    got = {r["id"]: r["n"] for r in docs.select("id", V._counted(names)(low).alias("n")).collect()}
+    assert got == {r["id"]: [len(r["w"]), *[r["w"].count(n) for n in names]] for r in held}
+    seen = {r["t"]: r["df"] for r in docs.select(low.alias("t")).mapInPandas(V._vocabulary, "t string, df long").groupBy("t").agg(F.sum("df").alias("df")).collect()}
+    assert seen == Counter(w for r in held for w in set(r["w"]))
+    # texts go to a task in batches, and no row of its own is made for a word of a text
+    plan = V.bm25(docs, {"the": 1.0}, "id", "text")._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInPandas" in plan and "Generate" not in plan and "split(" not in plan
+
+
+def test_vocabulary_hands_on_what_it_cannot_hold(monkeypatch):
+    monkeypatch.setattr(V, "HELD", 3)
+    out = pd.concat(V._vocabulary(iter([pd.DataFrame({"t": ["one two", "one two six ten", ""]}), pd.DataFrame({"t": ["one one six"]})])))
+    assert out.groupby("t")["df"].sum().to_dict() == {"one": 3, "two": 2, "six": 2, "ten": 1} and len(out) > 4
+    assert len(pd.concat(V._vocabulary(iter([])))) == 0
